@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lumenar.llm import exact_dedup, sharding
+from lumenar.llm import exact_dedup, minhash, sharding
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
     "op6_byte_shards": sharding.op6_byte_shards,
 }
 
