@@ -23,10 +23,9 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenar.llm.bitmaps import maybe_members
 from lumenar.storage import remove, table, written, written_at
 
-#: Bits of the hit filter: at most 256 bitmaps of 4 KB, 1 MB to broadcast at any input size.
-FILTER_BITS = 1 << 23
 FAN_IN = 64
 
 
@@ -75,39 +74,18 @@ def lookup(index: DataFrame, digest: bytes) -> DataFrame:
     return index.where(F.col("digest") == F.lit(bytearray(digest)))
 
 
-def _slot(digest: Column) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(FILTER_BITS))
-
-
-def _hit_filter(index: DataFrame) -> DataFrame:
-    slot = _slot(F.col("digest"))
-    return (
-        index.where("copies > 1")
-        .groupBy(F.bitmap_bucket_number(slot).alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bitmap"))
-    )
-
-
 def _possible_hits(docs: DataFrame, index: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, digest, folded) of rows whose digest passes the hit filter."""
     scan = docs.select(F.col(id_col).alias("doc_id"), fold_ascii(F.col(text_col)).alias("folded"))
     scan = scan.withColumn("digest", F.unhex(F.sha2(F.col("folded").cast("binary"), 256)))
-    slot = _slot(F.col("digest"))
-    scan = scan.withColumn("bucket", F.bitmap_bucket_number(slot)).withColumn("bit", F.bitmap_bit_position(slot).cast("int"))
-    byte = F.conv(F.hex(F.expr("substring(bitmap, bit div 8 + 1, 1)")), 16, 10).cast("int")
-    hit = F.expr("bit % 8")
-    return (
-        scan.join(F.broadcast(_hit_filter(index)), "bucket")
-        .where(F.call_function("shiftright", byte, hit).bitwiseAND(F.lit(1)) == 1)
-        .select("doc_id", "digest", "folded")
-    )
+    return maybe_members(scan, "digest", index.where("copies > 1"), "digest")
 
 
 def _collisions(docs: DataFrame, index: DataFrame, id_col: str, text_col: str, largest: bool) -> DataFrame:
     """Byte verification: rows whose bytes differ from those of their group's keeper (none, unless SHA-256 collides)."""
     keeper = F.col("last.doc_id") if largest else F.col("first.doc_id")
     shared = index.where("copies > 1").select("digest", keeper.alias("keep_id"))
-    hits = _possible_hits(docs, index, id_col, text_col).join(shared, "digest")
+    hits = written(_possible_hits(docs, index, id_col, text_col).join(shared, "digest"), "hits")  # read twice: one scan of the texts
     kept = hits.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("folded").alias("kept_text"))
     return hits.join(kept, "digest").where(F.col("folded") != F.col("kept_text")).select("digest").distinct()
 
