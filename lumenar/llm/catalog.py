@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from lumenar.llm import exact_dedup, minhash, sharding
+from lumenar.llm import exact_dedup, knn_join, minhash, packing, sharding
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op7_voronoi_knn_join": knn_join.op7_voronoi_knn_join,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
     "op6_byte_shards": sharding.op6_byte_shards,
@@ -12,4 +14,5 @@ QUERIES = {
 
 ORACLES = {
     "op4_exact_dedup": exact_dedup.ORACLE,
+    "op7_voronoi_knn_join": knn_join.ORACLE,
 }
