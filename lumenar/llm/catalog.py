@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lumenar.llm import exact_dedup, knn_join, minhash, packing, sharding, warc
+from lumenar.llm import exact_dedup, knn_join, language_id, minhash, packing, sharding, toxicity, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op7_voronoi_knn_join": knn_join.op7_voronoi_knn_join,
     "op2_arc_to_warc": warc.op2_arc_to_warc,
+    "op9_toxicity": toxicity.op9_toxicity,
+    "op10_language_id": language_id.op10_language_id,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
     "op6_byte_shards": sharding.op6_byte_shards,

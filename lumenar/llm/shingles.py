@@ -63,14 +63,14 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         first = last
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the distinct shingles of each text, ordered by row and hash."""
+def hashed_words(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first byte, hash) of the runs of bytes that ``outside`` does not mark, A-Z lower-cased."""
     base, end = int(offsets[0]), int(offsets[-1])
     text = data[base:end]
-    empty = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     if not len(text):
-        return empty
-    inside = ~_SPACE[text]
+        return none
+    inside = ~outside[text]
     cut = np.zeros(len(text) + 1, bool)
     cut[offsets - base] = True
     begins = inside.copy()
@@ -79,13 +79,21 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     ends[:-1] &= ~inside[1:] | cut[1:-1]
     first, last = np.flatnonzero(begins), np.flatnonzero(ends)
     if not len(first):
-        return empty
+        return none
     up, down = _power(len(text))
     total = np.cumsum(_BYTE[text] * up[: len(text)])
     before = total[first - 1]
     before[first == 0] = 0
     word = mix((total[last] - before) * down[first] + (last - first).astype(np.uint64))
     row = np.searchsorted(offsets - base, first, "right") - 1
+    return row, first, word
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the distinct shingles of each text, ordered by row and hash."""
+    row, _, word = hashed_words(data, offsets, _SPACE)
+    if not len(word):
+        return row, word
     count = np.bincount(row, minlength=len(offsets) - 1)
 
     n = len(word) - words + 1
