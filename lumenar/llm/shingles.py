@@ -63,8 +63,11 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         first = last
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first byte, hash) of the runs of bytes that ``outside`` does not mark, A-Z lower-cased."""
+def hashed_words(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first byte, hash) of the runs of bytes that ``outside`` does not mark, A-Z lower-cased.
+
+    With ``prefixes``, each word is followed by the hashes of its first so many bytes, where it is longer.
+    """
     base, end = int(offsets[0]), int(offsets[-1])
     text = data[base:end]
     none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -86,7 +89,15 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray) ->
     before[first == 0] = 0
     word = mix((total[last] - before) * down[first] + (last - first).astype(np.uint64))
     row = np.searchsorted(offsets - base, first, "right") - 1
-    return row, first, word
+    if not prefixes:
+        return row, first, word
+    kinds, real = [word], [np.ones(len(word), bool)]
+    for size in prefixes:
+        real.append(last - first >= size)
+        upto = total[np.minimum(first + size - 1, len(total) - 1)]
+        kinds.append(mix((upto - before) * down[first] + _PLACE[size]))
+    keep = np.stack(real, 1).ravel()
+    return np.repeat(row, len(kinds))[keep], np.repeat(first, len(kinds))[keep], np.stack(kinds, 1).ravel()[keep]
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:

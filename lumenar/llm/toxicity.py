@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning: documents are bags of sentences, labels are known for bags only.
 
-A sentence's probability is the logistic of its words' weights; a document's is the noisy-or
+A sentence's probability is the logistic of the weights of its words and their beginnings; a document's is the noisy-or
 of its sentences'. Both are trained together from document labels by full-batch gradient
 steps on the noisy-or likelihood, over a bounded sample of labelled rows. Scoring is one pass
 over the texts with the weights of the sample's vocabulary; the sentences whose probability
@@ -29,9 +29,11 @@ from pyspark.sql import functions as F
 from lumenar.llm.shingles import buffers, hashed_words, slices
 from lumenar.storage import table
 
-PER_LABEL = 3000
+PER_LABEL = 2000
 LEAST_DOCS = 5
-STEPS, RATE, RIDGE = 150, 0.3, 1e-4
+STEPS, RATE, RIDGE = 120, 0.3, 1e-4
+#: Beginnings of words are features as well: inflected forms share them.
+PREFIXES = (4, 5)
 THRESHOLD = 0.5
 
 #: Words are runs of ASCII letters and of bytes beyond ASCII; sentences end at these bytes.
@@ -50,7 +52,7 @@ class Model:
 
 def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, sentence, word hash, first byte) of each word; sentences are numbered over the whole slice, first bytes within it."""
-    row, first, word = hashed_words(data, offsets, _OUTSIDE)
+    row, first, word = hashed_words(data, offsets, _OUTSIDE, PREFIXES)
     stops = np.cumsum(_STOPS[data[int(offsets[0]) : int(offsets[-1])]])[first] if len(first) else first
     fresh = np.ones(len(row), bool)
     fresh[1:] = (row[1:] != row[:-1]) | (stops[1:] != stops[:-1])
