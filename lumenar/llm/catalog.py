@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenar.llm import exact_dedup, knn_join, language_id, minhash, packing, sharding, toxicity, warc
+from lumenar.llm import exact_dedup, knn_join, language_id, minhash, nbest, packing, sharding, tool_calls, toxicity, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -10,6 +10,8 @@ QUERIES = {
     "op2_arc_to_warc": warc.op2_arc_to_warc,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_language_id": language_id.op10_language_id,
+    "op3_tool_call_linking": tool_calls.op3_tool_call_linking,
+    "op8_nbest_segmentation": nbest.op8_nbest_segmentation,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
     "op6_byte_shards": sharding.op6_byte_shards,
@@ -17,6 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op2_arc_to_warc": warc.ORACLE,
+    "op3_tool_call_linking": tool_calls.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op7_voronoi_knn_join": knn_join.ORACLE,
 }
