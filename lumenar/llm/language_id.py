@@ -27,12 +27,14 @@ from pyspark.sql import functions as F
 
 from lumenar.llm.shingles import buffers, slices
 from lumenar.llm.toxicity import held_out
+from lumenar.llm.training import fitted
 from lumenar.storage import table
 
 PER_LANGUAGE = 400
 DIMENSIONS = 4096
 STEPS, RIDGE = 120, 1e-4
 UNKNOWN = "und"
+SAMPLE = pa.schema([("lang", pa.string()), ("doc_id", pa.int64()), ("x", pa.list_(pa.float32()))])
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "is", "nb", "nl", "no", "sv"),
     "romance": ("ca", "es", "fr", "gl", "it", "pt", "ro"),
@@ -74,7 +76,7 @@ def features(data: np.ndarray, offsets: np.ndarray, dimensions: int = DIMENSIONS
 
 def _machine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights and bias of a linear support vector machine (squared hinge, classes balanced); y is 1 or -1."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
     w, before, momentum = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 1.0
     step = 1 / (2 * 2.0 + RIDGE)  # rows have squared norm 2
@@ -112,20 +114,24 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     best = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = usable.select("doc_id", "lang").withColumn("place", F.row_number().over(best)).where(F.col("place") <= per_language).select("doc_id").distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = buffers(batch.column(1))
+            data, offsets = buffers(batch.column(2))
             for first, last in slices(offsets):
                 x = features(data, offsets[first : last + 1]).astype(np.float32)
                 flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), DIMENSIONS).cast(pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), flat], ["lang", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), flat], SAMPLE.names)
+
+    def learn(got: pa.Table) -> Model:
+        got = got.sort_by([("lang", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+        if not got.num_rows:
+            return Model()
+        x = got["x"].combine_chunks().flatten().to_numpy().reshape(got.num_rows, DIMENSIONS)
+        return fit(x, np.array(got["lang"].to_pylist()))
 
     # at most per_language ids of each language
-    got = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").select("lang", "text").mapInArrow(run, "lang string, x array<float>").toArrow()
-    if not got.num_rows:
-        return Model()
-    x = got.column(1).combine_chunks().flatten().to_numpy().reshape(got.num_rows, DIMENSIONS).astype(np.float64)
-    return fit(x, np.array(got.column(0).to_pylist()))
+    sample = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").select("lang", "doc_id", "text")
+    return fitted(sample.mapInArrow(vectors, "lang string, doc_id long, x array<float>"), SAMPLE, learn)
 
 
 def _predicted(model: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -27,13 +27,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenar.llm.shingles import buffers, hashed_words, slices
+from lumenar.llm.training import fitted
 from lumenar.storage import table
 
-PER_LABEL = 2000
+PER_LABEL = 1500
 LEAST_DOCS = 5
 STEPS, RATE, RIDGE = 120, 0.3, 1e-4
 #: Beginnings of words are features as well: inflected forms share them.
 PREFIXES = (4, 5)
+SAMPLE = pa.schema([("label", pa.int32()), ("doc_id", pa.int64()), ("sentence", pa.list_(pa.int32())), ("word", pa.list_(pa.int64()))])
 THRESHOLD = 0.5
 
 #: Words are runs of ASCII letters and of bytes beyond ASCII; sentences end at these bytes.
@@ -66,14 +68,18 @@ def _logistic(z: np.ndarray) -> np.ndarray:
 def fit(doc: np.ndarray, sentence: np.ndarray, word: np.ndarray, label: np.ndarray, weight: np.ndarray, least_docs: int = LEAST_DOCS) -> Model:
     """doc, sentence and word of each token (sentences ascend with docs); label and weight of each doc."""
     names, code = np.unique(word, return_inverse=True)
-    in_docs = np.bincount(np.unique(np.stack([doc, code], 1), axis=0)[:, 1], minlength=len(names)) if len(names) else np.zeros(0, int)
+    code = code.astype(np.int32)
+    kinds = max(1, len(names))
+    in_docs = np.bincount(np.unique(doc * kinds + code) % kinds, minlength=len(names)) if len(names) else np.zeros(0, int)
     often = in_docs >= least_docs
     names, renumber = names[often], np.cumsum(often) - 1
     sentence_doc = doc[np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]])] if len(sentence) else np.zeros(0, int)
     n_sentences = len(sentence_doc)
     known = often[code] if len(code) else np.zeros(0, bool)
-    pairs = np.unique(np.stack([sentence[known], renumber[code[known]]], 1), axis=0) if known.any() else np.zeros((0, 2), int)
-    at, feature = pairs[:, 0], pairs[:, 1]
+    kinds = max(1, len(names))
+    pairs = np.unique(sentence[known] * kinds + renumber[code[known]])
+    at, feature = (pairs // kinds).astype(np.int32), (pairs % kinds).astype(np.int32)
+    del pairs, known, code
     params, bias = np.zeros(len(names)), -6.0
     if not (label == 1).any() or not (label == 0).any():
         return Model(names, params, -12.0)
@@ -102,30 +108,31 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, least_
     counts = {r["label"]: r["count"] for r in known.groupBy(F.when(F.col("label") == 1, 1).otherwise(0).alias("label")).count().collect()}
     chosen = known.where("label = 1").orderBy(*order).limit(per_label).unionByName(known.where("label <> 1").orderBy(*order).limit(per_label))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = buffers(batch.column(1))
+            data, offsets = buffers(batch.column(2))
             for first, last in slices(offsets):
                 row, sentence, word, _ = sentences(data, offsets[first : last + 1])
                 ends = pa.array(np.searchsorted(row, np.arange(last - first + 1)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, last - first), pa.ListArray.from_arrays(ends, pa.array(sentence)), pa.ListArray.from_arrays(ends, pa.array(word.view(np.int64)))],
-                    ["label", "sentence", "word"],
-                )
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (sentence.astype(np.int32), word.view(np.int64))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), *lists], SAMPLE.names)
+
+    def learn(got: pa.Table) -> Model:
+        got = got.sort_by([("label", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+        label = (got["label"].to_numpy() == 1).astype(int)
+        lists = [got[c].combine_chunks() for c in ("sentence", "word")]
+        size = lists[0].value_lengths().to_numpy()
+        number, word = lists[0].flatten().to_numpy(), lists[1].flatten().to_numpy().view(np.uint64)
+        doc = np.repeat(np.arange(len(label)), size)
+        fresh = np.ones(len(doc), bool)
+        fresh[1:] = (doc[1:] != doc[:-1]) | (number[1:] != number[:-1])
+        del got, lists, number
+        share = {k: counts.get(k, 0) / max(1, int((label == k).sum())) for k in (0, 1)}
+        return fit(doc, np.cumsum(fresh) - 1, word, label, np.where(label == 1, share[1], share[0]), least_docs)
 
     # at most 2 * per_label ids
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
-    got = sample.mapInArrow(run, "label int, sentence array<long>, word array<long>").toArrow()
-    label = (got.column(0).to_numpy() == 1).astype(int)
-    size = got.column(1).combine_chunks().value_lengths().to_numpy() if len(label) else np.zeros(0, int)
-    word = got.column(2).combine_chunks().flatten().to_numpy().view(np.uint64) if len(label) else np.zeros(0, np.uint64)
-    number = got.column(1).combine_chunks().flatten().to_numpy() if len(label) else np.zeros(0, int)
-    doc = np.repeat(np.arange(len(label)), size)
-    fresh = np.ones(len(doc), bool)
-    fresh[1:] = (doc[1:] != doc[:-1]) | (number[1:] != number[:-1])
-    share = {k: counts.get(k, 0) / max(1, int((label == k).sum())) for k in (0, 1)}
-    weight = np.where(label == 1, share[1], share[0])
-    return fit(doc, np.cumsum(fresh) - 1, word, label, weight, least_docs)
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "doc_id", "text")
+    return fitted(sample.mapInArrow(tokens, "label int, doc_id long, sentence array<int>, word array<long>"), SAMPLE, learn)
 
 
 def _sentence_scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
