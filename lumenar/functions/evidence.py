@@ -22,9 +22,24 @@ PHRASES = {
     "dropped_in_rank": (r"\bdropped in rank\b", r"\bdrop in rank\b", r"\bdecline(?:d)? (?:of \d+ places? )?in (?:its )?rank\b", r"\bmoved down\b"),
     "gained_in_rank": (r"\bgain(?:ed)? in rank\b", r"\bimproved (?:its )?rank\b", r"\bmoved up\b", r"\brise in (?:the )?rank(?:ing)?\b", r"\bupward trajectory\b"),
     "is_profitable": (r"\bprofitable\b", r"\bprofitability\b", r"\bposted (?:a )?profit\b"),
-    "growth_in_jobs": (r"\bgrowth in jobs\b", r"\bjob growth\b", r"\bemployment growth\b", r"\bworkforce growth\b", r"\bjob creation\b", r"\bcreated jobs?\b"),
+    "growth_in_jobs": (
+        r"\bgrowth in jobs\b", r"\bjob growth\b", r"\bemployment growth\b", r"\bworkforce growth\b", r"\bjob creation\b", r"\bcreated jobs?\b", r"\badding jobs?\b",
+        r"\bincrease[sd]? in (?:employment|jobs|headcount|workforce)\b", r"\bexpanded (?:its )?(?:workforce|employee base|headcount)\b",
+        r"\bexpanding (?:its )?(?:workforce|employee base|headcount)\b", r"\bgrowing workforce\b", r"\bworkforce expansion\b", r"\bemployment opportunities\b", r"\binvesting in human capital\b",
+    ),
     "best_companies_to_work_for": (r"\bbest companies to work for\b", r"\bbest workplaces?\b"),
-    "global500": (r"\bfortune global 500\b", r"\bglobal fortune 500\b"),
+    "global500": (r"\bfortune global 500\b", r"\bglobal fortune 500\b", r"\bglobal 500\b"),
+    "founder_is_ceo": (
+        r"\bfounder and (?:the )?ceo\b", r"\bco-founder and (?:the )?ceo\b", r"\bceo and (?:co-)?founder\b",
+        r"\bfounder[^.]{0,120}\b(?:serves as|is|as|currently serves as)[^.]{0,60}\bceo\b", r"\bfounded by [^.]{0,120}\b(?:serves as|is|as|currently serves as)[^.]{0,60}\bceo\b",
+        r"\bchief executive[^.]{0,80}\b(?:founder|co-founder)\b",
+    ),
+    "is_female_ceo": (r"\bfemale ceo\b", r"\bwoman ceo\b", r"\bwoman-led\b", r"\bled by [^.]{0,80}\bfemale\b"),
+    "newcomer_to_the_fortune500": (
+        r"\bnewcomer to (?:the )?fortune\s*500\b", r"\bnew entrant (?:to|in) (?:the )?fortune\s*500\b", r"\bnewly entered (?:the )?fortune\s*500\b",
+        r"\bmade (?:its )?debut (?:on|in) (?:the )?fortune\s*500\b", r"\bdebuted (?:on|in) (?:the )?fortune\s*500\b",
+    ),
+    "worlds_most_admired_companies": (r"\bworld'?s most admired companies\b", r"\bworlds most admired companies\b", r"\bmost admired companies\b"),
 }
 #: The numeric attribute whose sign decides, where it is known.
 SIGNS = {"dropped_in_rank": ("change_in_rank", -1), "gained_in_rank": ("change_in_rank", 1), "is_profitable": ("profits_m", 1)}
