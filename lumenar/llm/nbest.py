@@ -2,11 +2,11 @@
 
 A text is escaped as the model asks (one mark before it, blanks as marks) and its piece
 lattice falls apart at the starts of words, since no piece goes on from a word into a blank.
-For each word the forward pass gives the best score of every prefix. Searching backward from
+For each word a forward pass gives the best score of every prefix, and the second. Searching backward from
 the word's end, a partial path's score plus the forward score of its prefix is exactly the
 best total it can reach, so paths are completed in order of their scores. A text's n best
-paths differ from the best in few words: in the n - 1 whose cheapest detour (by forward and
-backward scores) costs least; those words are searched and their lists merged best first.
+paths differ from the best in few words: in the n - 1 whose cheapest detour (by the second
+score) costs least; those words are searched and their lists merged best first.
 
 Scores are the model's; a character that no piece covers costs the least score less ten and
 is spelled in byte pieces. Words of a text are looked up in a bounded cache of each worker.
@@ -34,7 +34,7 @@ from lumenar.storage import table
 
 MARK = "▁"
 BEST = 4
-CACHED_WORDS = 150_000
+CACHED_WORDS = 200_000
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 Path = tuple[float, tuple[int, ...]]
@@ -53,7 +53,11 @@ class Lattice:
         self.pieces, self.byte_ids = pieces, byte_ids
         self.longest = max(map(len, pieces), default=1)
         self.unknown = min((s for _, s in pieces.values()), default=0.0) - 10
-        self.cache: dict[str, tuple[float, tuple[int, ...], float]] = {}
+        #: Pieces, and None for what only begins one: a search for longer pieces ends where neither is.
+        self.beginnings: dict[str, tuple[int, float] | None] = {piece[:k]: None for piece in pieces for k in range(1, len(piece))}
+        self.beginnings.update(pieces)
+        self.cache: dict[str, tuple[float, bytes, float]] = {}
+        self.older: dict[str, tuple[float, bytes, float]] = {}
 
     @classmethod
     def of_file(cls, path: str) -> Lattice:
@@ -103,47 +107,78 @@ class Lattice:
                 heapq.heappush(heap, (-(forward[start] + s + behind), (*path, self._spelled(word, start, ident)), start, behind + s))
         return found
 
-    def best(self, word: str) -> tuple[float, tuple[int, ...], float]:
-        """Score and ids of the best path, and what the cheapest detour from it costs."""
+    def best(self, word: str) -> tuple[float, bytes, float]:
+        """Score and ids (as 32-bit integers) of the best path, and what the cheapest detour from it costs.
+
+        One forward pass keeps the best and the second score of every prefix; of equal
+        paths it takes the one that the search completes first, with the least ids from the end.
+        """
         if got := self.cache.get(word):
             return got
-        into = self._edges(word)
-        forward = self._forward(into)
-        n = len(word)
-        ids: list[tuple[int, ...]] = []
-        on_path, at = set(), n
-        while at:
-            # of equal paths the one that the search completes first: the least ids from the end
-            spelled, start, ident = min((self._spelled(word, start, ident), start, ident) for start, ident, s in into[at] if forward[start] + s == forward[at])
-            ids.append(spelled)
-            on_path.add((start, at))
-            at = start
-        backward = [float("-inf")] * n + [0.0]
-        most = float("-inf")
-        for end in range(n, 0, -1):
-            behind = backward[end]
-            for start, _, s in into[end]:
-                if behind + s > backward[start]:
-                    backward[start] = behind + s
-                if (start, end) not in on_path and forward[start] + s + behind > most:
-                    most = forward[start] + s + behind
-        if len(self.cache) >= CACHED_WORDS:
-            self.cache.clear()
-        got = (forward[-1], tuple(x for part in reversed(ids) for x in part), forward[-1] - most)
+        if not (got := self.older.get(word)):
+            got = self._best(word)
+        if len(self.cache) >= CACHED_WORDS:  # the older half goes, words in use stay
+            self.cache, self.older = {}, self.cache
         self.cache[word] = got
         return got
 
-    def segment(self, text: str, n: int) -> tuple[list[float], array, list[tuple[tuple[int, int], ...]], list[str]]:
-        """Scores of the n best paths, the ids of the best, each path's (word, rank) choices off the best, and the words."""
+    def _best(self, word: str) -> tuple[float, bytes, float]:
+        n, get = len(word), self.beginnings.get
+        least = float("-inf")
+        first, second = [0.0] + [least] * n, [least] * (n + 1)
+        back: list[tuple[int, int]] = [(0, 0)] * (n + 1)
+        for start in range(n):
+            f, g = first[start], second[start]
+            covered = False
+            for end in range(start + 1, n + 1):
+                found = get(word[start:end], 0)
+                if found == 0:
+                    break
+                if found is None:
+                    continue
+                ident, s = found
+                if end == start + 1:
+                    covered = True
+                value = f + s
+                top = first[end]
+                if value > top:
+                    second[end] = top if top > g + s else g + s
+                    first[end], back[end] = value, (start, ident)
+                else:
+                    if value > second[end]:
+                        second[end] = value
+                    if g + s > second[end]:
+                        second[end] = g + s
+                    if value == top and 0 <= ident < back[end][1]:
+                        back[end] = (start, ident)
+            if not covered:
+                end, s = start + 1, self.unknown
+                value, top = f + s, first[end]
+                if value > top:
+                    second[end] = max(top, g + s)
+                    first[end], back[end] = value, (start, -1)
+                else:
+                    second[end] = max(second[end], value, g + s)
+        ids: list[int] = []
+        at = n
+        while at:
+            start, ident = back[at]
+            if ident >= 0:
+                ids.append(ident)
+            else:
+                ids.extend(reversed(self._spelled(word, start, ident)))
+            at = start
+        ids.reverse()
+        return first[n], array("I", ids).tobytes(), first[n] - second[n]
+
+    def segment(self, text: str, n: int) -> tuple[list[float], bytes, list[tuple[tuple[int, int], ...]], list[str]]:
+        """Scores of the n best paths, each path's (word, rank) choices off the best, the ids of the best, and the words."""
         words = _WORDS.findall(MARK + text.replace(" ", MARK)) if text else []
         infos = [self.best(w) for w in words]
-        ids = array("I")
-        for info in infos:
-            ids.extend(info[1])
-        total = sum(info[0] for info in infos)
-        return self._merged(words, infos, total, n) + (ids, words)
+        scores, picks = self._merged(words, infos, sum([info[0] for info in infos]), n)
+        return scores, picks, [info[1] for info in infos], words
 
-    def _merged(self, words: list[str], infos: list[tuple[float, tuple[int, ...], float]], total: float, n: int) -> tuple:
+    def _merged(self, words: list[str], infos: list[tuple[float, bytes, float]], total: float, n: int) -> tuple:
         free = [(info[2], i) for i, info in enumerate(infos) if info[2] != float("inf")]
         places = sorted(i for _, i in heapq.nsmallest(n - 1, free))
         lists = [[infos[i][0] - score for score, _ in self.search(words[i], n)] for i in places]
@@ -158,18 +193,18 @@ class Lattice:
                     heapq.heappush(heap, (cost - lists[k][ranks[k]] + lists[k][ranks[k] + 1], (*ranks[:k], ranks[k] + 1, *ranks[k + 1 :]), k))
         return scores, picks
 
-    def path(self, words: list[str], pick: tuple[tuple[int, int], ...]) -> array:
+    def path(self, words: list[str], best: list[bytes], pick: tuple[tuple[int, int], ...]) -> bytes:
         """Ids of the path that takes these ranks and the best elsewhere."""
-        ranks, ids = dict(pick), array("I")
-        for i, word in enumerate(words):
-            ids.extend(self.search(word, ranks[i] + 1)[ranks[i]][1] if i in ranks else self.best(word)[1])
-        return ids
+        parts = list(best)
+        for i, rank in pick:
+            parts[i] = array("I", self.search(words[i], rank + 1)[rank][1]).tobytes()
+        return b"".join(parts)
 
 
 def encode_nbest(lattice: Lattice, text: str, n: int = BEST) -> list[tuple[float, list[int]]]:
     """The n best (score, ids) of a text."""
-    scores, picks, _, words = lattice.segment(text, n)
-    return [(score, lattice.path(words, pick).tolist()) for score, pick in zip(scores, picks, strict=True)]
+    scores, picks, best, words = lattice.segment(text, n)
+    return [(score, array("I", lattice.path(words, best, pick)).tolist()) for score, pick in zip(scores, picks, strict=True)]
 
 
 def decoder(path: str) -> list[bytes]:
@@ -197,10 +232,6 @@ def _loaded(path: str) -> tuple[Lattice, list[bytes]]:
 SCHEMA = "doc_id long, n_pieces long, score double, scores array<double>, ids_crc32 long, second_crc32 long, round_trip boolean"
 
 
-def _crc(ids: array) -> int:
-    return zlib.crc32(ids.tobytes())
-
-
 def segmentations(docs: DataFrame, n: int = BEST, path: str | None = None) -> DataFrame:
     """Per row of (doc_id, text): pieces and score of the best path, the n best scores, checksums of the two best id lists, round trip."""
     path = path or model_path()
@@ -211,9 +242,10 @@ def segmentations(docs: DataFrame, n: int = BEST, path: str | None = None) -> Da
             rows = []
             for i in range(len(batch)):
                 text = batch.column(1)[i].as_py() or ""
-                scores, picks, ids, words = lattice.segment(text, n)
-                second = _crc(lattice.path(words, picks[1])) if len(picks) > 1 else None
-                rows.append((len(ids), scores[0], scores, _crc(ids), second, decode(pieces, ids) == text))
+                scores, picks, best, words = lattice.segment(text, n)
+                ids = b"".join(best)
+                second = zlib.crc32(lattice.path(words, best, picks[1])) if len(picks) > 1 else None
+                rows.append((len(ids) // 4, scores[0], scores, zlib.crc32(ids), second, decode(pieces, array("I", ids)) == text))
             kinds = [pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.int64(), pa.int64(), pa.bool_()]
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], ["doc_id", "n_pieces", "score", "scores", "ids_crc32", "second_crc32", "round_trip"])
