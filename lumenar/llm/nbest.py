@@ -34,7 +34,7 @@ from lumenar.storage import table
 
 MARK = "▁"
 BEST = 4
-CACHED_WORDS = 200_000
+CACHED_WORDS = 500_000
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 Path = tuple[float, tuple[int, ...]]
@@ -174,13 +174,14 @@ class Lattice:
     def segment(self, text: str, n: int) -> tuple[list[float], bytes, list[tuple[tuple[int, int], ...]], list[str]]:
         """Scores of the n best paths, each path's (word, rank) choices off the best, the ids of the best, and the words."""
         words = _WORDS.findall(MARK + text.replace(" ", MARK)) if text else []
-        infos = [self.best(w) for w in words]
+        known, best = self.cache.get, self.best
+        infos = [known(w) or best(w) for w in words]
         scores, picks = self._merged(words, infos, sum([info[0] for info in infos]), n)
         return scores, picks, [info[1] for info in infos], words
 
     def _merged(self, words: list[str], infos: list[tuple[float, bytes, float]], total: float, n: int) -> tuple:
-        free = [(info[2], i) for i, info in enumerate(infos) if info[2] != float("inf")]
-        places = sorted(i for _, i in heapq.nsmallest(n - 1, free))
+        costs = [info[2] for info in infos]
+        places = sorted(i for i in heapq.nsmallest(n - 1, range(len(costs)), key=costs.__getitem__) if costs[i] != float("inf"))
         lists = [[infos[i][0] - score for score, _ in self.search(words[i], n)] for i in places]
         # paths as ranks at these places, best first; each is reached once, by its last raised place
         heap, scores, picks = [(0.0, (0,) * len(places), 0)], [], []
