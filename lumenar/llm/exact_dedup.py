@@ -27,6 +27,8 @@ from lumenar.llm.bitmaps import maybe_members
 from lumenar.storage import remove, table, written, written_at
 
 FAN_IN = 64
+#: Copies of one text that meet in a task for their comparison; larger groups are dealt over more.
+ROWS_A_SALT = 256
 
 
 def fold_ascii(text: Column) -> Column:
@@ -84,10 +86,12 @@ def _possible_hits(docs: DataFrame, index: DataFrame, id_col: str, text_col: str
 def _collisions(docs: DataFrame, index: DataFrame, id_col: str, text_col: str, largest: bool) -> DataFrame:
     """Byte verification: rows whose bytes differ from those of their group's keeper (none, unless SHA-256 collides)."""
     keeper = F.col("last.doc_id") if largest else F.col("first.doc_id")
-    shared = index.where("copies > 1").select("digest", keeper.alias("keep_id"))
+    shared = index.where("copies > 1").select("digest", keeper.alias("keep_id"), F.ceil(F.col("copies") / ROWS_A_SALT).cast("int").alias("salts"))
     hits = written(_possible_hits(docs, index, id_col, text_col).join(shared, "digest"), "hits")  # read twice: one scan of the texts
-    kept = hits.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("folded").alias("kept_text"))
-    return hits.join(kept, "digest").where(F.col("folded") != F.col("kept_text")).select("digest").distinct()
+    hits = hits.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.col("salts")).cast("int"))
+    kept = hits.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("folded").alias("kept_text"), F.first("salts").alias("salts"))
+    kept = kept.select("digest", "kept_text", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return hits.join(kept, ["digest", "salt"]).where(F.col("folded") != F.col("kept_text")).select("digest").distinct()
 
 
 def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", fan_in: int = FAN_IN) -> DataFrame:
