@@ -60,6 +60,18 @@ def test_exact_dedup_regroups_colliding_digests(spark):
     assert dict(zip(got.doc_id, got.keep_id, strict=True)) == {1: 3, 2: 2, 3: 3}
 
 
+def test_exact_dedup_when_every_digest_collides(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda column, bits: exact_dedup.F.lit("ab" * 32))
+    got = exact_dedup.dedup_report(documents(spark, [(1, "a"), (2, "b"), (3, "A"), (4, None)]), keep="largest").toPandas()
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in got.itertuples()} == {1: (3, 2), 2: (2, 1), 3: (3, 2), 4: (4, 1)}
+
+
+def test_large_groups_are_verified_in_salts(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "ROWS_A_SALT", 3)
+    got = exact_dedup.dedup_report(documents(spark, [(i, "Copy") for i in range(40)] + [(99, "other")])).toPandas()
+    assert got.kept.sum() == 2 and set(got.group_size) == {40, 1}
+
+
 def test_exact_dedup_lookup_and_drop(spark):
     docs = documents(spark, ROWS)
     index = exact_dedup.build_index(exact_dedup._digests(docs, "doc_id", "text"))
