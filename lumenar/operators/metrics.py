@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,3 +104,80 @@ def disagreement_buckets(rows: DataFrame, truth: str, scores: list[str], thresho
 
 def savings(before: Column, after: Column) -> Column:
     return F.greatest(before - after, F.lit(0))
+
+
+def table_coverage(truth: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Per document: its truth table, the predicted one and whether it is covered, missing or wrong. Both: doc_id, table_id (null: none)."""
+    joined = truth.where(~is_null_eval(F.col("table_id"))).join(predicted.withColumnRenamed("table_id", "got"), "doc_id", "left")
+    state = F.when(is_null_eval(F.col("got")), "missing").when(F.lower("got") == F.lower("table_id"), "covered").otherwise("wrong")
+    return joined.select("doc_id", "table_id", "got", state.alias("state"))
+
+
+def cell_outcomes(truth: DataFrame, predicted: DataFrame, relevant: DataFrame | None = None) -> DataFrame:
+    """Per document tp, fp, fn, tn and whether all its cells are right. Both: doc_id, column_name, value.
+
+    A cell with equal values is tp, or tn if both are null; a null prediction of a value is fn, any
+    other difference fp. Of documents outside ``relevant``, predicted values are fp and nulls tn.
+    """
+    cells = truth.join(predicted.withColumnRenamed("value", "got"), ["doc_id", "column_name"], "full")
+    inside = F.lit(True)
+    if relevant is not None:
+        cells = cells.join(relevant.select("doc_id").distinct().withColumn("_inside", F.lit(True)), "doc_id", "left")
+        inside = F.coalesce("_inside", F.lit(False))
+    want, got = is_null_eval(F.col("value")), is_null_eval(F.col("got"))
+    equal = values_equal(F.col("got"), F.col("value"))
+    kind = F.when(~inside, F.when(got, "tn").otherwise("fp")).when(want & got, "tn").when(equal, "tp").when(got, "fn").otherwise("fp")
+    counts = cells.withColumn("_kind", kind).groupBy("doc_id").agg(*[F.count_if(F.col("_kind") == k).alias(k) for k in ("tp", "fp", "fn", "tn")])
+    return counts.withColumn("correct", (F.col("fp") == 0) & (F.col("fn") == 0))
+
+
+def ratios(outcomes: DataFrame) -> DataFrame:
+    """Sums of tp, fp, fn, tn with precision, recall, f1 and the share of correct documents."""
+    c = outcomes.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("tp", "fp", "fn", "tn")], safe_ratio(F.count_if("correct"), F.count(F.lit(1))).alias("document_accuracy"))
+    c = c.withColumn("precision", safe_ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", safe_ratio(F.col("tp"), F.col("tp") + F.col("fn")))
+    return c.withColumn("f1", safe_ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+
+
+def attribute_accuracy(truth: DataFrame, predicted: DataFrame, keys: list[str], judge: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """(column_name, total, correct, judged, accuracy). A judge decides on pairs of values that do not match strictly."""
+    cells = truth.join(predicted.withColumnRenamed("value", "got"), [*keys, "column_name"], "left")
+    strict = values_equal(F.col("got"), F.col("value"))
+    unsure = ~strict & ~is_null_eval(F.col("got")) & ~is_null_eval(F.col("value"))
+    agreed = unsure & F.coalesce(judge(F.col("got"), F.col("value")), F.lit(False)) if judge else F.lit(False)
+    out = cells.groupBy("column_name").agg(F.count(F.lit(1)).alias("total"), F.count_if(strict | agreed).alias("correct"), F.count_if(agreed).alias("judged"))
+    return out.withColumn("accuracy", safe_ratio(F.col("correct"), F.col("total")))
+
+
+def set_counts(found: DataFrame, gold: DataFrame) -> DataFrame:
+    """tp, fp, fn of two frames as sets of rows."""
+    f, g = found.distinct().withColumn("_f", F.lit(1)), gold.distinct().withColumn("_g", F.lit(1))
+    both = f.join(g, found.columns, "full")
+    return both.agg(F.count_if(F.col("_f").isNotNull() & F.col("_g").isNotNull()).alias("tp"), F.count_if(F.col("_g").isNull()).alias("fp"), F.count_if(F.col("_f").isNull()).alias("fn"))
+
+
+def call_reduction(stages: DataFrame) -> DataFrame:
+    """Saved calls and their share per stage, and in all. stages: stage, before, after."""
+    saved = savings(F.col("before"), F.col("after"))
+    each = stages.select("stage", "before", "after", saved.alias("saved"))
+    total = each.agg(F.lit("total").alias("stage"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("before", "after", "saved")])
+    return each.unionByName(total).withColumn("reduction", safe_ratio(F.col("saved"), F.col("before")))
+
+
+def harvested(report: object, names: tuple[str, ...] = ("recall", "precision", "f1", "accuracy")) -> dict[str, list[float]]:
+    """The numbers under the given names anywhere in a nested report, in order."""
+    out: dict[str, list[float]] = {}
+    stack = [report]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, dict):
+            for k, v in node.items():
+                if k in names and isinstance(v, (int, float)) and not isinstance(v, bool):
+                    out.setdefault(k, []).append(float(v))
+            stack += reversed([v for v in node.values() if isinstance(v, (dict, list))])
+        elif isinstance(node, list):
+            stack += reversed([v for v in node if isinstance(v, (dict, list))])
+    return out
+
+
+def summary(values: list[float]) -> dict[str, float]:
+    return {"count": len(values), "mean": sum(values) / len(values), "min": min(values), "max": max(values)} if values else {"count": 0}
