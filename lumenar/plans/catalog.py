@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from lumenar.functions import evidence
 from lumenar.functions import values as V
-from lumenar.operators import cascade, curation, metrics, relational, similarity
+from lumenar.operators import adaptive, cascade, curation, filters, metrics, proxies, relational, similarity
 from lumenar.operators.predicates import all_of, compile_predicate
+from lumenar.plans import answers
 from lumenar.plans.sqlx import Predicate, analyse, table_order
 from lumenar.sources import datasets, sinks
 from lumenar.storage import table
@@ -697,6 +698,160 @@ def filter_merge_intersection(s, d):
     return t.where("n_chars > 5000").select("doc_id").intersect(t.where("doc_id % 2 = 1").select("doc_id"))
 
 
+# --- answers over records, proxies, filters, discovery ---------------------------------
+
+RECORD_COLUMNS = {"customer": ["c_custkey", "c_name", "c_mktsegment"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]}
+
+
+def records_of_tables(s, d):
+    """The two tables' rows as records of text cells, a document each."""
+    out = None
+    for t, columns in RECORD_COLUMNS.items():
+        data = F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[F.col(c).cast("string") for c in columns]))
+        rows = table(s, d, t).select(F.concat_ws("-", F.lit(t), F.col(columns[0]).cast("string")).alias("doc_id"), F.lit(t).alias("table_id"), F.col(columns[0]).cast("string").alias("record_id"), data.alias("data"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+_JOINED = "FROM customer AS c JOIN orders o ON c.c_custkey = o.o_custkey WHERE c.c_mktsegment = 'BUILDING' AND o.o_totalprice > 150000.5"
+_TOTALS = f"SELECT c.c_name, count(*) AS n, round(sum(o.o_totalprice), 2) AS total {_JOINED} GROUP BY c.c_name HAVING count(*) > 1"
+
+
+@query(_TOTALS)
+def answer_over_records(s, d):
+    return answers.answer(records_of_tables(s, d), _TOTALS, RECORD_COLUMNS)
+
+
+@query(f"SELECT DISTINCT 'customer' AS table_id, concat('customer-', c_custkey) AS doc_id, CAST(c_custkey AS VARCHAR) AS record_id {_JOINED} UNION ALL SELECT 'orders', concat('orders-', o_orderkey), CAST(o_orderkey AS VARCHAR) {_JOINED}")
+def answer_provenance(s, d):
+    return answers.answer_references(records_of_tables(s, d), _TOTALS, RECORD_COLUMNS)
+
+
+@query("SELECT 'customer' AS table_id, count(*) AS docs, count(c_custkey) + count(c_name) + count(c_mktsegment) AS cells FROM customer UNION ALL SELECT 'orders', count(*), count(o_orderkey) + count(o_custkey) + count(o_orderstatus) + count(o_totalprice) FROM orders")
+def required_cells(s, d):
+    return answers.required_cells(records_of_tables(s, d), RECORD_COLUMNS)
+
+
+@query("SELECT concat('orders-', o_orderkey) AS doc_id FROM orders WHERE lower(o_orderstatus) = 'f' AND o_totalprice > 200000")
+def oracle_predicate_documents(s, d):
+    return proxies.oracle_docs(records_of_tables(s, d), "orders", [Predicate("o_orderstatus", "=", "f"), Predicate("o_totalprice", ">", 200000)])
+
+
+@query("SELECT doc_id, CASE WHEN contains(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), 'the') THEN 1.0 ELSE 0.0 END AS score FROM documents WHERE text IS NOT NULL")
+def heuristic_proxy_text(s, d):
+    docs = table(s, d, "documents").where("text is not null")
+    return docs.select("doc_id", proxies.HeuristicProxy(Predicate("word", "=", "the"), text="text").score().alias("score"))
+
+
+_WRONG = f"SELECT *, CAST((s1 >= 0.5) <> (quality = 1) AS INTEGER) AS wrong FROM ({LABELLED})"
+_CENTRES = (
+    f"WITH l AS ({_WRONG}), g AS (SELECT s1, s2, count(*) FILTER (wrong = 0) AS right_rows, count(*) FILTER (wrong <> 0) AS faults FROM l GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM l),"
+    " o AS (SELECT *, coalesce(sum(right_rows) OVER (ORDER BY (faults + right_rows) / right_rows, right_rows DESC, s1, s2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM g WHERE right_rows > 0)"
+    " SELECT s1, s2, right_rows, faults FROM o, n WHERE earlier < ceil(0.7 * (n + 1))"
+)
+
+
+def _calibrated(s, d):
+    return labelled(s, d).withColumn("wrong", ((F.col("s1") >= 0.5) != (F.col("quality") == 1)).cast("int"))
+
+
+@query(_CENTRES)
+def conformal_centres(s, d):
+    return proxies.conformal_centres(_calibrated(s, d), ["s1", "s2"], "wrong", 0.3).withColumnRenamed("right", "right_rows")
+
+
+@query(f"SELECT l.doc_id, c.s1 IS NOT NULL AS covered FROM ({LABELLED}) l LEFT JOIN ({_CENTRES}) c ON l.s1 = c.s1 AND l.s2 = c.s2")
+def nearest_centre(s, d):
+    rows = _calibrated(s, d)
+    return proxies.nearest_centre(rows, rows, proxies.conformal_centres(rows, ["s1", "s2"], "wrong", 0.3), ["s1", "s2"], "doc_id")
+
+
+@query(None)
+def learned_proxy_scores(s, d):
+    rows = table(s, d, "embeddings").select("vec_id", "embedding", (F.col("label") == table(s, d, "embeddings").agg(F.min("label")).first()[0]).cast("int").alias("relevant"))
+    return proxies.learned_scores(rows, rows.where("vec_id % 5 <> 0"), "embedding", "relevant").select("vec_id", "score")
+
+
+@query("SELECT doc_id FROM documents WHERE lang IS NOT NULL AND lang NOT IN ('en', 'de') UNION SELECT doc_id FROM documents WHERE n_chars < 200")
+def composite_filter(s, d):
+    class Short(filters.DocumentFilter):
+        name = "short"
+
+        def excluded(self, query_id, docs):
+            return docs.where("n_chars < 200").select("doc_id")
+
+    docs = table(s, d, "documents").withColumn("schema_tables", F.when(F.col("lang").isNotNull(), F.array("lang")))
+    return filters.Composite([filters.SchemaRelevance({"q": ["en", "de"]}), Short()]).excluded("q", docs)
+
+
+@query("SELECT (row_number() OVER (ORDER BY n_chars, doc_id) - 1) // 64 AS batch, doc_id FROM documents WHERE n_chars IS NOT NULL QUALIFY batch < 3")
+def document_batches(s, d):
+    docs = table(s, d, "documents").where("n_chars is not null")
+    bounds = adaptive.batch_bounds(docs, 64, "n_chars").where("batch < 3").collect()  # three rows
+    parts = [adaptive.in_batch(docs, b["lo"], b["hi"], "n_chars").select(F.lit(b["batch"]).alias("batch"), "doc_id") for b in bounds]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _cells_by_source(docs):
+    return docs.where("lang is not null").select("doc_id", F.col("lang").alias("table_id"), F.col("source").alias("column_name"))
+
+
+@query(None)
+def schema_discovery_entropy(s, d):
+    found = adaptive.discover(table(s, d, "documents"), _cells_by_source, adaptive.EntropyRule(limit=0.1, needed=2, least=50), size=50, order="doc_id")
+    return s.createDataFrame([(t, a, found.documents) for t, xs in found.schema.items() for a in xs], "table_id string, attribute string, documents long")
+
+
+@query(None)
+def schema_discovery_missing_mass(s, d):
+    found = adaptive.discover_by_missing_mass(table(s, d, "documents"), _cells_by_source, adaptive.MissingMassRule(0.1, 50), size=50, order="doc_id")
+    return s.createDataFrame([(t, a, found.documents) for t, xs in found.schema.items() for a in xs], "table_id string, attribute string, documents long")
+
+
+@query("SELECT lang AS table_id, count(DISTINCT doc_id) AS docs FROM documents WHERE lang IS NOT NULL GROUP BY 1 HAVING count(DISTINCT doc_id) > 5")
+def frequent_tables(s, d):
+    return adaptive.frequent_tables(_cells_by_source(table(s, d, "documents")))
+
+
+_CELLS = "SELECT p_partkey AS doc_id, column_name, value, CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN 'wrong' ELSE value END AS got FROM (SELECT p_partkey, p_name, p_brand FROM part) UNPIVOT (value FOR column_name IN (p_name, p_brand))"
+_KINDS = f"SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN CASE WHEN got IS NULL THEN 'tn' ELSE 'fp' END WHEN got = value THEN 'tp' WHEN got IS NULL THEN 'fn' ELSE 'fp' END AS k FROM ({_CELLS})"
+
+
+def _told(s, d):
+    t = datasets.unpivot_cells(table(s, d, "part").withColumnRenamed("p_partkey", "doc_id"), "doc_id", ["p_name", "p_brand"])
+    return t, t.withColumn("value", F.when(F.col("doc_id") % 5 == 0, F.lit(None)).when(F.col("doc_id") % 7 == 0, "wrong").otherwise(F.col("value")))
+
+
+@query(f"SELECT doc_id, count(*) FILTER (k = 'tp') AS tp, count(*) FILTER (k = 'fp') AS fp, count(*) FILTER (k = 'fn') AS fn, count(*) FILTER (k = 'tn') AS tn, count(*) FILTER (k IN ('fp', 'fn')) = 0 AS correct FROM ({_KINDS}) GROUP BY 1")
+def document_outcomes(s, d):
+    truth, said = _told(s, d)
+    return metrics.cell_outcomes(truth, said, truth.where("doc_id % 11 <> 0"))
+
+
+@query(f"SELECT column_name, count(*) AS total, count(*) FILTER (got = value) AS correct, 0 AS judged, round(count(*) FILTER (got = value) / count(*), 6) AS accuracy FROM ({_CELLS}) GROUP BY 1")
+def attribute_accuracy(s, d):
+    return metrics.attribute_accuracy(*_told(s, d), ["doc_id"]).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query("SELECT doc_id, lang AS table_id, CASE WHEN doc_id % 9 = 0 THEN NULL WHEN doc_id % 4 = 0 THEN 'xx' ELSE lang END AS got, CASE WHEN doc_id % 9 = 0 THEN 'missing' WHEN doc_id % 4 = 0 THEN 'wrong' ELSE 'covered' END AS state FROM documents WHERE lang IS NOT NULL")
+def table_coverage(s, d):
+    docs = table(s, d, "documents").where("lang is not null")
+    said = docs.select("doc_id", F.when(F.col("doc_id") % 9 == 0, F.lit(None)).when(F.col("doc_id") % 4 == 0, "xx").otherwise(F.col("lang")).alias("table_id"))
+    return metrics.table_coverage(docs.select("doc_id", F.col("lang").alias("table_id")), said)
+
+
+_STAGES = "SELECT event_type AS stage, count(*) AS before, count(*) FILTER (value < 50) AS after FROM events GROUP BY 1"
+
+
+@query(f"WITH e AS ({_STAGES}), a AS (SELECT * FROM e UNION ALL SELECT 'total', sum(before), sum(after) FROM e) SELECT stage, before, after, before - after AS saved, round((before - after) / before, 6) AS reduction FROM a")
+def call_reduction(s, d):
+    stages = table(s, d, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count(F.lit(1)).alias("before"), F.count_if(F.col("value") < 50).alias("after"))
+    return metrics.call_reduction(stages).withColumn("reduction", F.round("reduction", 6))
+
+
 # --- extension: event windows ----------------------------------------------------------
 
 
