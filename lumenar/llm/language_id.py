@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenar.llm.hot_keys import likely_first
 from lumenar.llm.shingles import buffers, slices
 from lumenar.llm.toxicity import held_out
 from lumenar.llm.training import fitted
@@ -112,7 +113,10 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """docs: doc_id, text, lang. Rows of the held-out fold are not read."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
     best = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("place", F.row_number().over(best)).where(F.col("place") <= per_language).select("doc_id").distinct()
+    # one row a language, as many as the model holds
+    counts = usable.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids"))
+    likely = usable.select("doc_id", "lang").join(F.broadcast(counts), "lang").where(likely_first(F.col("doc_id"), per_language, F.col("ids")))
+    chosen = likely.select("doc_id", "lang").distinct().withColumn("place", F.row_number().over(best)).where(F.col("place") <= per_language).select("doc_id").distinct()
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
