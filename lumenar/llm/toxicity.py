@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenar.llm.hot_keys import likely_first
 from lumenar.llm.shingles import buffers, hashed_words, slices
 from lumenar.llm.training import fitted
 from lumenar.storage import table
@@ -106,7 +107,8 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, least_
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     counts = {r["label"]: r["count"] for r in known.groupBy(F.when(F.col("label") == 1, 1).otherwise(0).alias("label")).count().collect()}
-    chosen = known.where("label = 1").orderBy(*order).limit(per_label).unionByName(known.where("label <> 1").orderBy(*order).limit(per_label))
+    likely = {k: known.where(is_k).where(likely_first(F.col("doc_id"), per_label, F.lit(max(1, counts.get(k, 0))))) for k, is_k in ((1, "label = 1"), (0, "label <> 1"))}
+    chosen = likely[1].orderBy(*order).limit(per_label).unionByName(likely[0].orderBy(*order).limit(per_label))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
