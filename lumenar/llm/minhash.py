@@ -34,6 +34,7 @@ from pyspark.sql.window import Window
 
 from lumenar.llm.bitmaps import maybe_members
 from lumenar.llm.components import components
+from lumenar.llm.hot_keys import join_facts
 from lumenar.llm.shingles import buffers, mix, shingle_sets, signed, slices
 from lumenar.storage import table, written
 
@@ -211,9 +212,9 @@ def _links(docs: DataFrame, reps: DataFrame, words: int, percent: int, k: int) -
 
     members = reps.join(clusters, "rep")
     sizes = members.groupBy("cluster").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("blocks")
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("rows")
     )
-    members = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    members = join_facts(members, sizes, "cluster", "rows", reps.count()).drop("rows").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     wanted = maybe_members(docs, "doc_id", clusters, "rep")
     sets = full_sets(wanted, words).withColumnsRenamed({"doc_id": "rep"})
     members = members.join(sets, ["rep", "s1", "s2"]).dropDuplicates(["rep", "cluster"])
