@@ -12,8 +12,9 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from lumenar.llm import exact_dedup, knn_join, language_id, minhash, nbest, packing, sharding, shingles, tool_calls, toxicity, warc
+from lumenar.llm import exact_dedup, hot_keys, knn_join, language_id, minhash, nbest, packing, sharding, shingles, tool_calls, toxicity, warc
 from lumenar.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -161,6 +162,26 @@ def test_components_of_a_chain_and_a_star(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_hot_keys_join_like_any_other(spark, monkeypatch):
+    monkeypatch.setattr(hot_keys, "LEAST_HOT", 10)
+    edges = [(500, i) for i in range(501, 600)] + [(i, 700) for i in range(601, 660)] + [(599, 601)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == dict.fromkeys([*range(500, 600), *range(601, 660), 700], 500)
+    rows = spark.createDataFrame([("a", i) for i in range(40)] + [("b", 1), ("c", 2), (None, 3)], "k string, x long")
+    facts = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("x").alias("top")).where("k is null or k <> 'c'")
+    got = hot_keys.join_facts(rows, facts, "k", "n", 43)
+    assert got.columns == ["k", "x", "n", "top"]
+    assert sorted(map(tuple, got.collect())) == sorted([("a", i, 40, 39) for i in range(40)] + [("b", 1, 1, 1)])
+
+
+def test_likely_first_holds_the_smallest_hashes(spark):
+    ids = spark.range(20000).withColumnRenamed("id", "doc_id")
+    some = ids.where(hot_keys.likely_first(F.col("doc_id"), 400, F.lit(20000)))
+    best = {r[0] for r in ids.orderBy(F.xxhash64("doc_id")).limit(400).collect()}
+    assert best <= {r[0] for r in some.collect()} and 600 < some.count() < 1000
+    assert ids.limit(700).where(hot_keys.likely_first(F.col("doc_id"), 400, F.lit(700))).count() == 700
+
+
 # --- packing ---------------------------------------------------------------------------
 
 
