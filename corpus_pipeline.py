@@ -19,7 +19,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, whose language cannot be told, go."""
+    """Documents whose language cannot be told go: those without a letter or with a prediction under ``language_id.LEAST_SCORE``."""
     return language_id.keep_known(docs, language_id.train(docs))
 
 

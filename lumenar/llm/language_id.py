@@ -11,7 +11,9 @@ Defined results: ``und`` with score 0 for a text that is null or has no letter,
 nothing could be learned; ties of votes go to the larger margin, then to the language first
 in order; rows that repeat a doc_id are predicted each; rows with a null doc_id are not
 learned from; texts of any length count whole; further columns are ignored by ``predict``
-and carried through by ``keep_known``.
+and carried through by ``keep_known``, which drops ``und`` and predictions that score less
+than ``LEAST_SCORE``. Where nothing was learned it has no prediction to go by, and keeps the
+texts that have a letter.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ PER_LANGUAGE = 400
 DIMENSIONS = 4096
 STEPS, RIDGE = 120, 1e-4
 UNKNOWN = "und"
+#: No document of sf0.001 to sf0.1 and check_s scores less (the least were 0.357 and more); 0.25 is a text on the border of both machines.
+LEAST_SCORE = 0.35
 SAMPLE = pa.schema([("lang", pa.string()), ("doc_id", pa.int64()), ("x", pa.list_(pa.float32()))])
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "is", "nb", "nl", "no", "sv"),
@@ -163,6 +167,15 @@ def _predicted(model: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, sure * np.where(np.isinf(worst), 1.0, squash(np.where(np.isinf(worst), 0, worst)))
 
 
+def _lettered(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which texts of a slice have a letter."""
+    letter = np.concatenate([[0], np.cumsum(_LETTER[data[bounds[0] : bounds[-1]]])])
+    has = (letter[bounds[1:] - bounds[0]] - letter[bounds[:-1] - bounds[0]]) > 0
+    for i in np.flatnonzero(~has).tolist():
+        has[i] = any(c.isalpha() for c in data[bounds[i] : bounds[i + 1]].tobytes().decode("utf-8", "replace"))
+    return has
+
+
 def _languages(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     data, offsets = buffers(texts)
     names, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
@@ -171,10 +184,7 @@ def _languages(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     known = np.array(model.languages, object)
     for first, last in slices(offsets):
         bounds = offsets[first : last + 1]
-        letter = np.concatenate([[0], np.cumsum(_LETTER[data[bounds[0] : bounds[-1]]])])
-        has = (letter[bounds[1:] - bounds[0]] - letter[bounds[:-1] - bounds[0]]) > 0
-        for i in np.flatnonzero(~has).tolist():
-            has[i] = any(c.isalpha() for c in data[bounds[i] : bounds[i + 1]].tobytes().decode("utf-8", "replace"))
+        has = _lettered(data, bounds)
         if has.any():
             best, sure = _predicted(model, features(data, bounds))
             names[first:last] = np.where(has, known[best], UNKNOWN)
@@ -193,14 +203,20 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: Model, languages: tuple[str, ...] | None = None) -> DataFrame:
-    """The rows in a language that was learned (or one of ``languages``), with all their columns."""
+def keep_known(docs: DataFrame, model: Model, languages: tuple[str, ...] | None = None, least_score: float = LEAST_SCORE) -> DataFrame:
+    """The rows that score ``least_score`` in a language that was learned (or one of ``languages``), with all their columns."""
     at = docs.columns.index("text")
+    unlearned = not model.languages and languages is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, _ = _languages(model, batch.column(at))
-            yield batch.filter(pa.array([n != UNKNOWN and (languages is None or n in languages) for n in names], pa.bool_()))
+            if unlearned:
+                data, offsets = buffers(batch.column(at))
+                kept = [bool(has) for first, last in slices(offsets) for has in _lettered(data, offsets[first : last + 1])]
+            else:
+                names, score = _languages(model, batch.column(at))
+                kept = [n != UNKNOWN and s >= least_score and (languages is None or n in languages) for n, s in zip(names, score.tolist(), strict=True)]
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

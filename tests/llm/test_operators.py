@@ -407,6 +407,22 @@ def test_language_families_and_pairs(spark):
     assert not kept & {900, 901, 902} and 903 in kept
 
 
+def test_predictions_decide_what_is_kept(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(3)
+    junk = [" ".join(f"{b:02x}" for b in rng.integers(0, 256, 300)), "8841 2231 x 9917 3345 " * 20, "<div class='x'><a href='#'></a></div>" * 20, "это предложение на русском языке которого модель не знает " * 5]
+    planted = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(junk)], docs.schema)
+    model = language_id.train(docs)
+    kept = {r["doc_id"] for r in language_id.keep_known(docs.unionByName(planted), model).collect()}
+    assert kept == {r["doc_id"] for r in docs.collect()}
+    assert language_id.keep_known(docs, model, least_score=1.1).count() == 0
+
+
+def test_all_lettered_rows_stay_where_nothing_was_learned(spark):
+    docs = spark.createDataFrame([(1, "abc", None, "s", 3), (2, "12", None, "s", 2), (3, None, None, "s", 0), (4, "Ж", None, "s", 1)], DOCS)
+    assert {r["doc_id"] for r in language_id.keep_known(docs, language_id.train(docs)).collect()} == {1, 4}
+
+
 def test_language_without_examples(spark):
     docs = spark.createDataFrame([(1, "abc", None, "s", 3)], DOCS)
     model = language_id.train(docs)
