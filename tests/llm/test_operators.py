@@ -205,6 +205,20 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", " \u3000"])
+def test_texts_with_long_blank_runs_are_encoded_whole(spark, blank):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    text = "some words" + blank * 1_200_000 + "x <|endoftext|>"
+    tokenizer = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4")
+    got = packing.token_pieces(spark.createDataFrame([(1, text)], "doc_id long, text string"), packing.vocabulary_path()).toPandas()
+    assert [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(got.start, got.length, strict=True)] == got.ids_crc32.tolist()
+    assert got.length.sum() == len(ids)
+
+
 def test_partitions_exchange_until_certified(spark):
     rng = np.random.default_rng(1)
     pieces = pd.DataFrame({"doc_id": range(600), "piece": 0, "length": rng.integers(300, 1500, 600)})
