@@ -6,7 +6,9 @@ For each word a forward pass gives the best score of every prefix, and the secon
 the word's end, a partial path's score plus the forward score of its prefix is exactly the
 best total it can reach, so paths are completed in order of their scores. A text's n best
 paths differ from the best in few words: in the n - 1 whose cheapest detour (by the second
-score) costs least; those words are searched and their lists merged best first.
+score) costs least; those words are searched and their lists merged best first. The ids of
+all n paths are built: ``segmentations`` gives them a text, ``encoded`` a path with its
+decoded text.
 
 Scores are the model's; a character that no piece covers costs the least score less ten and
 is spelled in byte pieces. Words of a text are looked up in a bounded cache of each worker.
@@ -26,7 +28,9 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +39,7 @@ from lumenar.storage import table
 MARK = "▁"
 BEST = 4
 CACHED_WORDS = 500_000
+BYTES_AT_ONCE = 1 << 20
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 Path = tuple[float, tuple[int, ...]]
@@ -171,41 +176,45 @@ class Lattice:
         ids.reverse()
         return first[n], array("I", ids).tobytes(), first[n] - second[n]
 
-    def segment(self, text: str, n: int) -> tuple[list[float], bytes, list[tuple[tuple[int, int], ...]], list[str]]:
-        """Scores of the n best paths, each path's (word, rank) choices off the best, the ids of the best, and the words."""
+    def segment(self, text: str, n: int) -> tuple[list[float], list[bytes]]:
+        """Scores and ids (as 32-bit integers) of the n best paths."""
         words = _WORDS.findall(MARK + text.replace(" ", MARK)) if text else []
         known, best = self.cache.get, self.best
         infos = [known(w) or best(w) for w in words]
         scores, picks = self._merged(words, infos, sum([info[0] for info in infos]), n)
-        return scores, picks, [info[1] for info in infos], words
+        best = [info[1] for info in infos]
+        return scores, [self._joined(best, pick) for pick in picks]
 
     def _merged(self, words: list[str], infos: list[tuple[float, bytes, float]], total: float, n: int) -> tuple:
         costs = [info[2] for info in infos]
         places = sorted(i for i in heapq.nsmallest(n - 1, range(len(costs)), key=costs.__getitem__) if costs[i] != float("inf"))
-        lists = [[infos[i][0] - score for score, _ in self.search(words[i], n)] for i in places]
+        found = [self.search(words[i], n) for i in places]
+        lists = [[infos[i][0] - score for score, _ in paths] for i, paths in zip(places, found, strict=True)]
         # paths as ranks at these places, best first; each is reached once, by its last raised place
         heap, scores, picks = [(0.0, (0,) * len(places), 0)], [], []
         while heap and len(scores) < n:
             cost, ranks, last = heapq.heappop(heap)
             scores.append(total - cost)
-            picks.append(tuple((places[k], r) for k, r in enumerate(ranks) if r))
+            picks.append([(places[k], found[k][r][1]) for k, r in enumerate(ranks) if r])
             for k in range(last, len(places)):
                 if ranks[k] + 1 < len(lists[k]):
                     heapq.heappush(heap, (cost - lists[k][ranks[k]] + lists[k][ranks[k] + 1], (*ranks[:k], ranks[k] + 1, *ranks[k + 1 :]), k))
         return scores, picks
 
-    def path(self, words: list[str], best: list[bytes], pick: tuple[tuple[int, int], ...]) -> bytes:
-        """Ids of the path that takes these ranks and the best elsewhere."""
+    def _joined(self, best: list[bytes], pick: list[tuple[int, tuple[int, ...]]]) -> bytes:
+        """Ids of the path that takes these ids at these words and the best elsewhere."""
+        if not pick:
+            return b"".join(best)
         parts = list(best)
-        for i, rank in pick:
-            parts[i] = array("I", self.search(words[i], rank + 1)[rank][1]).tobytes()
+        for i, ids in pick:
+            parts[i] = array("I", ids).tobytes()
         return b"".join(parts)
 
 
 def encode_nbest(lattice: Lattice, text: str, n: int = BEST) -> list[tuple[float, list[int]]]:
     """The n best (score, ids) of a text."""
-    scores, picks, best, words = lattice.segment(text, n)
-    return [(score, array("I", lattice.path(words, best, pick)).tolist()) for score, pick in zip(scores, picks, strict=True)]
+    scores, paths = lattice.segment(text, n)
+    return [(score, array("I", ids).tolist()) for score, ids in zip(scores, paths, strict=True)]
 
 
 def decoder(path: str) -> list[bytes]:
@@ -230,29 +239,71 @@ def _loaded(path: str) -> tuple[Lattice, list[bytes]]:
     return Lattice.of_file(path), decoder(path)
 
 
-SCHEMA = "doc_id long, n_pieces long, score double, scores array<double>, ids_crc32 long, second_crc32 long, round_trip boolean"
+SCHEMA = "doc_id long, n_pieces long, score double, scores array<double>, ids array<array<int>>, ids_crc32 long, second_crc32 long, round_trip boolean"
+PATH_SCHEMA = "doc_id long, rank int, score double, ids array<int>, decoded string"
+
+
+def _id_lists(paths: list[bytes]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(ids) // 4 for ids in paths])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(paths), np.int32)))
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of some bytes of text, one row at least: the ids of n paths are several times the text."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        first, filled = 0, 0
+        for i, size in enumerate(sizes.tolist()):
+            if i > first and filled + size > BYTES_AT_ONCE:
+                yield batch.slice(first, i - first)
+                first, filled = i, 0
+            filled += size
+        yield batch.slice(first)
 
 
 def segmentations(docs: DataFrame, n: int = BEST, path: str | None = None) -> DataFrame:
-    """Per row of (doc_id, text): pieces and score of the best path, the n best scores, checksums of the two best id lists, round trip."""
+    """Per row of (doc_id, text): pieces and score of the best path, the n best scores and id lists, checksums of the two best id lists, round trip."""
     path = path or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, pieces = _loaded(path)
-        for batch in batches:
-            rows = []
+        for batch in _parts(batches):
+            rows, built, ends = [], [], [0]
             for i in range(len(batch)):
                 text = batch.column(1)[i].as_py() or ""
-                scores, picks, best, words = lattice.segment(text, n)
-                ids = b"".join(best)
-                second = zlib.crc32(lattice.path(words, best, picks[1])) if len(picks) > 1 else None
-                rows.append((len(ids) // 4, scores[0], scores, zlib.crc32(ids), second, decode(pieces, array("I", ids)) == text))
+                scores, paths = lattice.segment(text, n)
+                built += paths
+                ends.append(len(built))
+                second = zlib.crc32(paths[1]) if len(paths) > 1 else None
+                rows.append((len(paths[0]) // 4, scores[0], scores, zlib.crc32(paths[0]), second, decode(pieces, array("I", paths[0])) == text))
             kinds = [pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.int64(), pa.int64(), pa.bool_()]
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], ["doc_id", "n_pieces", "score", "scores", "ids_crc32", "second_crc32", "round_trip"])
+            columns = [pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 6, kinds, strict=True)]
+            columns.insert(3, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _id_lists(built)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_pieces", "score", "scores", "ids", "ids_crc32", "second_crc32", "round_trip"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, SCHEMA)
 
 
+def encoded(docs: DataFrame, n: int = BEST, path: str | None = None) -> DataFrame:
+    """A row for each of the n best paths of (doc_id, text), ranks from 1: score, ids and the text they decode to."""
+    path = path or model_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice, pieces = _loaded(path)
+        for batch in _parts(batches):
+            rows, built = [], []
+            for i in range(len(batch)):
+                scores, paths = lattice.segment(batch.column(1)[i].as_py() or "", n)
+                built += paths
+                rows.extend((i, rank, score, decode(pieces, array("I", ids))) for rank, (score, ids) in enumerate(zip(scores, paths, strict=True), 1))
+            at, rank, score, decoded = zip(*rows, strict=True) if rows else ([],) * 4
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(at, pa.int64())), pa.array(rank, pa.int32()), pa.array(score, pa.float64()), _id_lists(built), pa.array(decoded, pa.string())],
+                ["doc_id", "rank", "score", "ids", "decoded"],
+            )
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, PATH_SCHEMA)
+
+
 def op8_nbest_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmentations(table(spark, sf_dir, "documents"))

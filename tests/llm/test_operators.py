@@ -369,6 +369,18 @@ def test_segmentations_of_rows(spark):
     assert nbest.segmentations(documents(spark, [])).count() == 0
 
 
+def test_ids_of_every_path_leave_the_operator(spark):
+    lattice, decoding = nbest._loaded(nbest.model_path())
+    rows = [(1, None), (2, ""), (3, "plain words"), (4, "ab\ncd ☃ é"), (5, LONG), (5, "a"), (None, "two  blanks")]
+    want = sorted((i or 0, rank, s, ids, nbest.decode(decoding, ids)) for i, t in rows for rank, (s, ids) in enumerate(nbest.encode_nbest(lattice, t or ""), 1))
+    got = sorted((r["doc_id"] or 0, r["rank"], r["score"], r["ids"], r["decoded"]) for r in nbest.encoded(documents(spark, rows)).collect())
+    assert got == want and {r[1] for r in got} == {1, 2, 3, 4}
+    wide = [r for r in nbest.segmentations(documents(spark, rows)).collect()]
+    assert sorted((r["doc_id"] or 0, k, s, ids) for r in wide for k, (s, ids) in enumerate(zip(r["scores"], r["ids"], strict=True), 1)) == [r[:4] for r in want]
+    assert all(zlib.crc32(np.array(r["ids"][0], "<u4").tobytes()) == r["ids_crc32"] for r in wide)
+    assert nbest.encoded(documents(spark, [])).count() == 0
+
+
 # --- classifiers -----------------------------------------------------------------------
 
 
