@@ -57,8 +57,8 @@ def batches(lengths: Iterable[tuple[str, int]], most_docs: int, most_chars: int)
     return out
 
 
-def batch_bounds(docs: DataFrame, size: int, order: str = "doc_pos", key: str = "doc_id", buckets: int = 200) -> DataFrame:
-    """(batch, docs, lo, hi): the first and the last (order, key) of every batch of ``size`` documents in order.
+def batched(docs: DataFrame, size: int, order: str = "doc_pos", key: str = "doc_id", buckets: int = 200) -> DataFrame:
+    """(at, batch): (order, key) of every document and the number of its batch of ``size`` documents in order.
 
     Only order and key are read. Their ranges are numbered apart and offset by prefix counts
     (one row per range), so no task sees all documents. Ties of the order go by the key.
@@ -69,8 +69,12 @@ def batch_bounds(docs: DataFrame, size: int, order: str = "doc_pos", key: str =
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     place = F.row_number().over(Window.partitionBy("_range").orderBy("at")) - 1
-    numbered = placed.join(F.broadcast(before), "_range").withColumn("batch", F.floor((F.col("_before") + place) / size))
-    return numbered.groupBy("batch").agg(F.count(F.lit(1)).alias("docs"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+    return placed.join(F.broadcast(before), "_range").select("at", F.floor((F.col("_before") + place) / size).alias("batch"))
+
+
+def batch_bounds(docs: DataFrame, size: int, order: str = "doc_pos", key: str = "doc_id", buckets: int = 200) -> DataFrame:
+    """(batch, docs, lo, hi): the first and the last (order, key) of every batch of ``batched``."""
+    return batched(docs, size, order, key, buckets).groupBy("batch").agg(F.count(F.lit(1)).alias("docs"), F.min("at").alias("lo"), F.max("at").alias("hi"))
 
 
 def in_batch(docs: DataFrame, lo, hi, order: str = "doc_pos", key: str = "doc_id") -> DataFrame:

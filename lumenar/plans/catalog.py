@@ -786,6 +786,7 @@ def composite_filter(s, d):
 
 @query("SELECT (row_number() OVER (ORDER BY n_chars, doc_id) - 1) // 64 AS batch, doc_id FROM documents WHERE n_chars IS NOT NULL QUALIFY batch < 3")
 def document_batches(s, d):
+    """The first three batches only, as its SQL asks; ``document_batches_all`` gives every document."""
     docs = table(s, d, "documents").where("n_chars is not null")
     bounds = adaptive.batch_bounds(docs, 64, "n_chars").where("batch < 3").collect()  # three rows
     parts = [adaptive.in_batch(docs, b["lo"], b["hi"], "n_chars").select(F.lit(b["batch"]).alias("batch"), "doc_id") for b in bounds]
@@ -795,6 +796,12 @@ def document_batches(s, d):
     return out
 
 
+@query("SELECT (row_number() OVER (ORDER BY n_chars, doc_id) - 1) // 64 AS batch, doc_id FROM documents WHERE n_chars IS NOT NULL")
+def document_batches_all(s, d):
+    docs = table(s, d, "documents").where("n_chars is not null")
+    return adaptive.batched(docs, 64, "n_chars").select("batch", F.col("at.k").alias("doc_id"))
+
+
 def _cells_by_source(docs):
     return docs.where("lang is not null").select("doc_id", F.col("lang").alias("table_id"), F.col("source").alias("column_name"))
 

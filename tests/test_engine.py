@@ -226,3 +226,9 @@ def test_request_in_memory(spark):
     assert engine.provider("e/x") == "E/X"
     with pytest.raises(ValueError):
         engine.provider("nobody")
+
+
+def test_every_document_has_its_batch(spark):
+    docs = spark.range(1000).selectExpr("id AS doc_id", "id % 7 AS n_chars")
+    got = {r["at"]["k"]: r["batch"] for r in adaptive.batched(docs, 64, "n_chars").collect()}
+    assert got == {i: place // 64 for place, i in enumerate(sorted(range(1000), key=lambda i: (i % 7, i)))}
