@@ -420,9 +420,20 @@ _REJECT = (
 
 @query("SELECT 0 AS position, 'length' AS proxy, CAST(1 AS DOUBLE) AS cost UNION ALL SELECT 1, 'the', 2 UNION ALL SELECT 2, 'source', 0.5")
 def order_by_rejection_efficiency(s, d):
+    """The order by the given pass rates; ``order_by_measured_rejection`` measures them over all documents."""
     return s.createDataFrame([(i, p.name, p.cost) for i, p in enumerate(cascade.ordered(_proxies()))], "position int, proxy string, cost double")
 
 
+@query(
+    "WITH m AS (SELECT count(*) AS n, count_if(least(n_chars / 2000, 1.0) >= 0.3) AS l, count_if(contains(lower(text), 'the')) AS t, count_if(NOT (source LIKE '%0')) AS s FROM documents), "
+    "p AS (SELECT 0 AS k, 'length' AS proxy, CAST(1 AS DOUBLE) AS cost, l / n AS pass_rate FROM m UNION ALL SELECT 1, 'the', 2, t / n FROM m UNION ALL SELECT 2, 'source', 0.5, s / n FROM m) "
+    "SELECT CAST(row_number() OVER (ORDER BY (1 - pass_rate) / cost DESC, k) - 1 AS INTEGER) AS position, proxy, cost, pass_rate FROM p"
+)
+def order_by_measured_rejection(s, d):
+    measured = proxies.observed_pass_rates(table(s, d, "documents"), _proxies())
+    return s.createDataFrame([(i, p.name, p.cost, p.pass_rate) for i, p in enumerate(cascade.ordered(measured))], "position int, proxy string, cost double, pass_rate double")
+
+
 @query(
     f"WITH d AS ({_REJECT}) SELECT CAST(i AS INTEGER) AS position, ['length', 'the', 'source'][i + 1] AS proxy, count(*) FILTER (r IS NULL OR r >= i) AS evaluated, count(*) FILTER (r IS NULL OR r > i) AS passed, count(*) FILTER (r = i) AS rejected,"
     " count(*) FILTER ((r IS NULL OR r >= i) AND lang = 'en') AS relevant, count(*) FILTER ((r IS NULL OR r > i) AND lang = 'en') AS relevant_passed FROM d, (SELECT unnest([0, 1, 2]) AS i) GROUP BY i"
