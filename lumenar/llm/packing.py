@@ -5,7 +5,8 @@ lengths and checksums go on. Each partition packs its pieces by best-fit decreas
 computes dual-feasible-function lower bounds on the number of bins that its lengths need.
 Where count and bound agree the partition is certified and final, but for its emptiest bin.
 Partitions with a gap, and the emptiest bins, exchange their pieces: they are dealt anew to
-half as many partitions and packed again. The rounds end when one partition is left.
+half as many partitions and packed again. The rounds end when one partition is left; it
+holds what was never certified, so where bounds stay open it may be large.
 
 Token ids are those of the byte-level BPE file with no special tokens added; strings of
 special tokens in a text are ordinary text. The same vocabulary is read from its rank file,
@@ -22,6 +23,7 @@ columns are ignored.
 from __future__ import annotations
 
 import base64
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -37,7 +39,6 @@ from lumenar.storage import table, written
 
 CAPACITY = 2048
 PIECES_A_PARTITION = 40_000
-MOST_ROUNDS = 6
 BLANK_RUN = 100_000
 _BLANKS = re.compile(r"\s+")
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -167,13 +168,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, pieces_a_partition: int =
         return group.assign(bin=at, offset=offset, bins=len(fill), bound=bound, final=final)
 
     waiting, parts, done = pieces, None, []
-    for turn in range(MOST_ROUNDS):
+    for turn in itertools.count():
         n = waiting.count()
         wanted = max(1, -(-n // pieces_a_partition))
         parts = wanted if parts is None else max(1, min(wanted, parts // 2))
         dealt = waiting.withColumn("dealt", F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(parts)).cast("int"))
         packed = written(dealt.groupBy("dealt").applyInPandas(solve, schema), f"packed{turn}")
-        last = parts == 1 or turn == MOST_ROUNDS - 1
+        last = parts == 1
         number = F.lit(turn).cast("long") * F.lit(1 << 56) + F.col("dealt").cast("long") * F.lit(1 << 28) + F.col("bin")
         settled = packed if last else packed.where("final")
         done.append(settled.select(*columns, number.alias("sequence_id"), "offset", "bins", "bound"))

@@ -205,6 +205,16 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(documents(spark, [])).count() == 0
 
 
+def test_rounds_end_at_one_partition(spark):
+    rng = np.random.default_rng(2)
+    pieces = pd.DataFrame({"doc_id": range(640), "piece": 0, "length": rng.integers(300, 1500, 640)})
+    got = packing.pack(spark.createDataFrame(pieces, "doc_id long, piece int, length long"), 2048, pieces_a_partition=5).toPandas()
+    assert len(got) == 640 and got.groupby("sequence_id").length.sum().max() <= 2048
+    ids = got.sequence_id.to_numpy()
+    turn, dealt = ids >> 56, (ids >> 28) & ((1 << 28) - 1)
+    assert turn.max() >= 6 and set(dealt[turn == turn.max()]) == {0}
+
+
 @pytest.mark.parametrize("blank", [" ", "\n", " \u3000"])
 def test_texts_with_long_blank_runs_are_encoded_whole(spark, blank):
     from public_tokenizers import path
