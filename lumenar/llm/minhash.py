@@ -41,7 +41,7 @@ from lumenar.storage import table, written
 K = 64
 #: Of a full sketch, the share of values that a linked sketch has as well; of a whole small set, the share by the threshold.
 MISS_FULL, MISS_SMALL = 0.5, 0.7
-#: Pairs whose union-sketch estimate is lower are not verified: the threshold less six standard deviations.
+#: Pairs whose union-sketch estimate is lower are not verified: at the threshold, fewer than 32 of 64 values are shared with a chance of 1.9e-8.
 LEAST_ESTIMATE = 0.5
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 500_000
 
