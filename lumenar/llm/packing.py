@@ -4,26 +4,29 @@ Texts are tokenised once, in Arrow batches, into pieces of at most ``capacity``
 lengths and checksums go on. Each partition packs its pieces by best-fit decreasing and
 computes dual-feasible-function lower bounds on the number of bins that its lengths need.
 Where count and bound agree the partition is certified and final, but for its emptiest bin.
-Partitions with a gap, and the emptiest bins, exchange their pieces: they are dealt anew to
-half as many partitions and packed again. The rounds end when one partition is left; it
-holds what was never certified, so where bounds stay open it may be large.
-
-Token ids are those of the byte-level BPE file with no special tokens added; strings of
-special tokens in a text are ordinary text. The same vocabulary is read from its rank file,
-which encodes about four times as fast; tests hold both encoders against each other. That
-encoder fails at about a million blanks in a row, so texts with a run of ``BLANK_RUN`` or more
-are encoded from the JSON file.
+Partitions with a gap settle their full bins; the rest, and the emptiest bins, exchange their
+pieces: they are dealt anew and packed again. No partition holds more than about
+``pieces_a_partition`` pieces, whatever stays open. The rounds end when one partition is left,
+when everything is certified, or with a round that lowers the number of open bins no more.
+
+Token ids are those of ``tokenizers`` for the JSON file, its added tokens included where their
+strings stand in a text, with no others added. The same merges are read from the rank file
+beside it, which encodes about four times as fast; tests hold both encoders against each other.
+That encoder fails at about a million blanks in a row, so texts with a run of ``BLANK_RUN`` or
+more are encoded from the JSON file, as are all texts where the file's added tokens have rules
+of their own (blanks around them, whole words, normalised text).
 
 Defined results: a null or empty text is one piece of the end token alone; rows that repeat
-a doc_id are packed each; a null doc_id is carried; texts of any length are encoded whole;
-equal lengths are taken in order of doc_id and piece; an empty table gives no rows; further
-columns are ignored.
+a doc_id, and rows with a null one, are packed each and dealt by a number of their own, so
+they don't meet in a task; texts of any length are encoded whole; equal lengths are taken in
+order of doc_id and piece; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import itertools
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -41,39 +44,42 @@ CAPACITY = 2048
 PIECES_A_PARTITION = 40_000
 BLANK_RUN = 100_000
 _BLANKS = re.compile(r"\s+")
-PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECE_SCHEMA = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
 
 def vocabulary_path() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str):
-    import public_tokenizers
-    import tiktoken
+def whole_encoder(path: str):
+    import tokenizers
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tokenizers.Tokenizer.from_file(path)
 
 
 @lru_cache(maxsize=2)
-def whole_encoder(path: str):
-    """The encoder of the JSON file beside the rank file; slower, but it takes blanks of any length."""
-    import tokenizers
+def encoder(path: str):
+    """The rank file's encoder with the JSON file's added tokens; none, if they are not plain strings."""
+    import public_tokenizers
+    import tiktoken
 
-    found = tokenizers.Tokenizer.from_file(path.removesuffix(".tiktoken") + ".json")
-    found.encode_special_tokens = True
-    return found
+    with open(path, encoding="utf-8") as text:
+        added = json.load(text)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+        return None
+    with open(path.removesuffix(".json") + ".tiktoken", "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in added})
 
 
 def encoded(path: str, text: str) -> list[int]:
-    if len(text) >= BLANK_RUN and max(map(len, _BLANKS.findall(text)), default=0) >= BLANK_RUN:
+    fast = encoder(path)
+    if fast is None or len(text) >= BLANK_RUN and max(map(len, _BLANKS.findall(text)), default=0) >= BLANK_RUN:
         return whole_encoder(path).encode(text, add_special_tokens=False).ids
-    return encoder(path).encode_ordinary(text)
+    return fast.encode(text, allowed_special="all")
 
 
 def pieces_of(ids: list[int], capacity: int) -> list[tuple[int, int, int]]:
@@ -85,7 +91,7 @@ def pieces_of(ids: list[int], capacity: int) -> list[tuple[int, int, int]]:
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece of (doc_id, text)."""
+    """doc_id, row (a number of the document's row), piece, start, length, ids_crc32 of every piece of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,11 +102,11 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
                 rows.extend((i, k, *piece) for k, piece in enumerate(pieces_of(ids, capacity)))
             at, piece, start, length, crc = zip(*rows, strict=True) if rows else ([],) * 5
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                ["doc_id", "piece", "start", "length", "ids_crc32"],
+                [*(batch.column(c).take(pa.array(at, pa.int64())) for c in (0, 2)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                ["doc_id", "row", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.mapInArrow(run, PIECE_SCHEMA)
+    return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(run, PIECE_SCHEMA)
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
@@ -152,35 +158,34 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, pieces_a_partition: int = PIECES_A_PARTITION) -> DataFrame:
-    """``pieces`` (doc_id, piece, length, ...) with sequence_id, offset, and bins and bound of the partition that packed them."""
+    """``pieces`` (doc_id, row, piece, length, ...) with sequence_id, offset, and bins and bound of the partition that packed them."""
     columns = pieces.columns
-    schema = pieces.select(*columns, F.lit(0).alias("dealt"))._jdf.schema().toDDL() + ", bin long, offset long, bins long, bound long, final boolean"
+    schema = pieces.select(*columns, F.lit(0).alias("dealt"))._jdf.schema().toDDL() + ", bin long, offset long, bins long, bound long, final boolean, open_bins long"
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+        group = group.sort_values(["length", "doc_id", "piece", "row"], ascending=[False, True, True, True], kind="stable")
         lengths = group["length"].to_numpy()
         at, offset, fill = best_fit(lengths, capacity)
         bound = lower_bound(lengths, capacity)
-        certified = len(fill) == bound
-        final = np.full(len(at), certified)
+        settled = np.full(len(fill), True) if len(fill) == bound else fill == capacity
         if fill[(emptiest := int(np.argmin(fill)))] < capacity:
-            final &= at != emptiest
-        return group.assign(bin=at, offset=offset, bins=len(fill), bound=bound, final=final)
+            settled[emptiest] = False
+        return group.assign(bin=at, offset=offset, bins=len(fill), bound=bound, final=settled[at], open_bins=int((~settled).sum()))
 
-    waiting, parts, done = pieces, None, []
+    waiting, open_bins, done = pieces, None, []
     for turn in itertools.count():
-        n = waiting.count()
-        wanted = max(1, -(-n // pieces_a_partition))
-        parts = wanted if parts is None else max(1, min(wanted, parts // 2))
-        dealt = waiting.withColumn("dealt", F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(parts)).cast("int"))
+        parts = max(1, -(-waiting.count() // pieces_a_partition))
+        dealt = waiting.withColumn("dealt", F.pmod(F.xxhash64("row", "piece", F.lit(turn)), F.lit(parts)).cast("int"))
         packed = written(dealt.groupBy("dealt").applyInPandas(solve, schema), f"packed{turn}")
-        last = parts == 1
+        # one row a partition
+        sums = packed.groupBy("dealt").agg(F.first("bins").alias("bins"), F.first("open_bins").alias("open")).agg(F.sum("bins").alias("bins"), F.sum("open").alias("open")).first()
+        last = parts == 1 or not sums["open"] or open_bins is not None and sums["bins"] >= open_bins
         number = F.lit(turn).cast("long") * F.lit(1 << 56) + F.col("dealt").cast("long") * F.lit(1 << 28) + F.col("bin")
         settled = packed if last else packed.where("final")
         done.append(settled.select(*columns, number.alias("sequence_id"), "offset", "bins", "bound"))
         if last:
             break
-        waiting = packed.where("not final").select(*columns)
+        waiting, open_bins = packed.where("not final").select(*columns), sums["open"]
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -191,7 +196,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Pieces of every document with the sequence and the offset each is packed at."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = written(token_pieces(slim, path or vocabulary_path(), capacity), "pieces")
-    return pack(pieces, capacity)
+    return pack(pieces, capacity).drop("row")
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

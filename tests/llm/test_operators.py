@@ -190,8 +190,7 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    rows = [(1, "a b"), (2, None), (3, LONG), (4, ""), (5, "<|endoftext|> ünï 漢字  x  y"), *[(10 + i, f"text {i} " * (i % 90)) for i in range(300)]]
+    rows = [(1, "a b"), (6, "<|endoftext|>"), (7, "a <|endoftext|> b<|endoftext|><|endoftext|>\n\n c  <|endoftext|>"), (8, "<|endoftext <|endoftext|>|>"), (2, None), (3, LONG), (4, ""), (5, "<|endoftext|> ünï 漢字  x  y"), *[(10 + i, f"text {i} " * (i % 90)) for i in range(300)]]
     got = packing.pack_documents(documents(spark, rows)).toPandas()
     for i, t in rows:
         ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
@@ -205,14 +204,22 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(documents(spark, [])).count() == 0
 
 
-def test_rounds_end_at_one_partition(spark):
+def test_rounds_end_with_partitions_of_bounded_size(spark):
     rng = np.random.default_rng(2)
-    pieces = pd.DataFrame({"doc_id": range(640), "piece": 0, "length": rng.integers(300, 1500, 640)})
-    got = packing.pack(spark.createDataFrame(pieces, "doc_id long, piece int, length long"), 2048, pieces_a_partition=5).toPandas()
+    pieces = pd.DataFrame({"doc_id": range(640), "row": range(640), "piece": 0, "length": rng.integers(300, 1500, 640)})
+    got = packing.pack(spark.createDataFrame(pieces, "doc_id long, row long, piece int, length long"), 2048, pieces_a_partition=20).toPandas()
     assert len(got) == 640 and got.groupby("sequence_id").length.sum().max() <= 2048
-    ids = got.sequence_id.to_numpy()
-    turn, dealt = ids >> 56, (ids >> 28) & ((1 << 28) - 1)
-    assert turn.max() >= 6 and set(dealt[turn == turn.max()]) == {0}
+    part = got.sequence_id.to_numpy() >> 28
+    assert np.unique(part, return_counts=True)[1].max() <= 60 and len(np.unique(part)) > 10
+    _, _, whole = packing.best_fit(np.sort(pieces.length.to_numpy())[::-1], 2048)
+    assert got.sequence_id.nunique() <= 1.1 * len(whole)
+
+
+def test_repeated_and_null_ids_are_packed_each(spark):
+    rows = [(1, "same words"), (1, "same words"), (1, "other"), (None, "x"), (None, None)]
+    got = packing.pack_documents(documents(spark, rows), capacity=3).toPandas()
+    assert "row" not in got.columns and (got.start == 0).sum() == 5 and got.doc_id.isna().sum() == 2
+    assert got.groupby("sequence_id").length.sum().max() <= 3 and got.groupby("sequence_id").offset.nunique().eq(got.groupby("sequence_id").size()).all()
 
 
 @pytest.mark.parametrize("blank", [" ", "\n", " \u3000"])
@@ -222,7 +229,6 @@ def test_texts_with_long_blank_runs_are_encoded_whole(spark, blank):
 
     text = "some words" + blank * 1_200_000 + "x <|endoftext|>"
     tokenizer = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4")
     got = packing.token_pieces(spark.createDataFrame([(1, text)], "doc_id long, text string"), packing.vocabulary_path()).toPandas()
     assert [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(got.start, got.length, strict=True)] == got.ids_crc32.tolist()
@@ -231,8 +237,8 @@ def test_texts_with_long_blank_runs_are_encoded_whole(spark, blank):
 
 def test_partitions_exchange_until_certified(spark):
     rng = np.random.default_rng(1)
-    pieces = pd.DataFrame({"doc_id": range(600), "piece": 0, "length": rng.integers(300, 1500, 600)})
-    got = packing.pack(spark.createDataFrame(pieces, "doc_id long, piece int, length long"), 2048, pieces_a_partition=100).toPandas()
+    pieces = pd.DataFrame({"doc_id": range(600), "row": range(600), "piece": 0, "length": rng.integers(300, 1500, 600)})
+    got = packing.pack(spark.createDataFrame(pieces, "doc_id long, row long, piece int, length long"), 2048, pieces_a_partition=100).toPandas()
     assert len(got) == 600 and got.doc_id.is_unique
     assert got.groupby("sequence_id").length.sum().max() <= 2048
     _, _, whole = packing.best_fit(np.sort(pieces.length.to_numpy())[::-1], 2048)
