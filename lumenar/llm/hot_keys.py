@@ -17,21 +17,34 @@ def hot_bound(total: int) -> int:
     return max(LEAST_HOT, -(-total // HOT_KEYS))
 
 
-def join_facts(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """Inner join of ``rows`` with ``facts``, which holds one row a key and in ``n`` that key's rows in ``rows``.
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int, how: str = "inner") -> DataFrame:
+    """Inner or left join of ``rows`` with ``facts``, which holds one row a key and in ``n`` that key's rows in ``rows``.
 
     The facts of hot keys, at most HOT_KEYS where ``n`` sums to ``total``, are broadcast, so their
-    rows stay where they are; all other rows are shuffled by key. Null keys have no match.
+    rows stay where they are; all other rows are shuffled by key. Null keys have no match, and
+    in a left join they are not shuffled either.
     """
     most = hot_bound(total)
     others = [c for c in facts.columns if c != key]
     if total <= most:  # no key can be hot
-        return rows.join(facts, key).select(*rows.columns, *others)
+        return rows.join(facts, key, how).select(*rows.columns, *others)
     hot = facts.where(F.col(n) > most).select(key, F.struct(*others).alias("_hot"))
-    marked = rows.join(F.broadcast(hot), key, "left")
+    marked = rows.where(F.col(key).isNotNull()).join(F.broadcast(hot), key, "left")
     many = marked.where("_hot is not null").select(*rows.columns, *(F.col("_hot")[c].alias(c) for c in others))
-    few = marked.where("_hot is null").drop("_hot").join(facts.where(F.col(n) <= most), key)
-    return many.unionByName(few.select(*rows.columns, *others))
+    few = marked.where("_hot is null").drop("_hot").join(facts.where(F.col(n) <= most), key, how)
+    joined = many.unionByName(few.select(*rows.columns, *others))
+    if how == "left":
+        kinds = facts.schema
+        joined = joined.unionByName(rows.where(F.col(key).isNull()).select(*rows.columns, *(F.lit(None).cast(kinds[c].dataType).alias(c) for c in others)))
+    return joined
+
+
+def look_up(rows: DataFrame, facts: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """``join_facts`` where nothing is known of the keys' counts; ``total`` is the number of ``rows``."""
+    if total <= hot_bound(total):
+        return rows.join(facts, key, how).select(*rows.columns, *(c for c in facts.columns if c != key))
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return join_facts(rows, facts.join(counts, key), key, "_n", total, how).drop("_n")
 
 
 def likely_first(key: Column, wanted: int, distinct: Column) -> Column:

@@ -83,6 +83,29 @@ def test_exact_dedup_lookup_and_drop(spark):
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 3, 7, 8, 9, 11, 12, 13, 14]
 
 
+def test_drop_copies_carries_columns_named_like_its_own(spark):
+    docs = documents(spark, [*ROWS, (None, "lonely"), (21, "far")]).selectExpr("*", "'a' AS _id", "'b' AS _sha_of", "'c' AS _key", "'d' AS _row", "doc_id AS _rows", "'e' AS _kept", "'f' AS _maybe", "'g' AS _slot", "'h' AS _bucket")
+    kept = exact_dedup.drop_copies(docs, keep="largest")
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert sorted(r["doc_id"] or 0 for r in rows) == [0, 3, 7, 8, 9, 11, 12, 13, 14, 21]
+    assert all(r["_id"] == "a" and r["_sha_of"] == "b" and r["_key"] == "c" and r["_rows"] == r["doc_id"] for r in rows)
+
+
+def test_hot_digests_without_broadcast_joins(spark, monkeypatch):
+    monkeypatch.setattr(hot_keys, "LEAST_HOT", 10)
+    monkeypatch.setattr(hot_keys, "HOT_KEYS", 10)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(i, "Copy") for i in range(100)] + [(200 + i, f"other {i}") for i in range(198)] + [(None, "Copy"), (7, "copy")]
+        got = exact_dedup.dedup_report(documents(spark, rows)).toPandas()
+        assert len(got) == 300 and got.kept.sum() == 199 and (got.group_size == 102).sum() == 102
+        kept = exact_dedup.drop_copies(documents(spark, rows))
+        assert sorted(r["doc_id"] for r in kept.collect()) == [0, *range(200, 398)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_exact_dedup_of_nothing(spark):
     assert exact_dedup.dedup_report(documents(spark, [])).count() == 0
 
@@ -172,6 +195,10 @@ def test_hot_keys_join_like_any_other(spark, monkeypatch):
     got = hot_keys.join_facts(rows, facts, "k", "n", 43)
     assert got.columns == ["k", "x", "n", "top"]
     assert sorted(map(tuple, got.collect())) == sorted([("a", i, 40, 39) for i in range(40)] + [("b", 1, 1, 1)])
+    known = [("a", i, 39) for i in range(40)] + [("b", 1, 1)]
+    assert sorted(map(tuple, hot_keys.look_up(rows, facts.drop("n"), "k", 43).collect())) == sorted(known)
+    left = hot_keys.look_up(rows, facts.drop("n"), "k", 43, "left")
+    assert sorted(map(str, map(tuple, left.collect()))) == sorted(map(str, [*known, ("c", 2, None), (None, 3, None)]))
 
 
 def test_likely_first_holds_the_smallest_hashes(spark):
