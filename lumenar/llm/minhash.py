@@ -3,16 +3,24 @@
 1. Each text's shingle set is hashed once; its k smallest hashes are its sketch. Texts with
    equal sets are collapsed to their smallest doc_id, so copies cost nothing later.
 2. Inverted lists of the retained values. Two sets with a Jaccard similarity of 0.8 or more
-   share at least ``k / 2`` of k = 64 retained values (six standard deviations below the
-   mean of 51; for sets smaller than k the bound is exact), so of each sketch only its
-   rarest values, one more than it may miss, need lists: passages that many documents share
-   come last in that order and make no candidates.
-3. Documents linked by lists fall into clusters, which are cut into blocks of bounded size;
-   each pair of blocks is one task. In it, overlap counts of the sketches select pairs, the
-   bottom-k sketch of their union estimates the similarity, and pairs that may reach the
-   threshold are verified on their full sets. A task returns a spanning forest of its links,
-   never all pairs, so groups stay whole at any size.
-4. Components of the links give each document its group.
+   share 39 hundredths of k = 96 retained values (a pair of huge sets at exactly 0.8 shares
+   fewer with a chance under 1e-18, less than that of two shingles with one 64-bit hash; for
+   sets smaller than k the bound is exact), so of each sketch only its rarest values, one
+   more than it may miss, need lists: passages that many documents share come last in that
+   order and make no candidates.
+3. Documents linked by lists fall into clusters. A cluster of bounded size is one task: overlap
+   counts of the sketches select pairs, the bottom-k sketch of their union estimates the
+   similarity, and pairs that may reach the threshold are verified on their full sets. A task
+   returns a spanning forest of its links, never all pairs.
+4. Larger clusters are worked list by list. In each round every list has a hub, and its members
+   are held against the hub: estimate first, then the exact overlap of the full sets. Members
+   that links connect need no comparison with each other, so a list whose members are all
+   connected is closed; after HUB_ROUNDS rounds that leaves the lists in which different groups
+   meet. Equal lists count once. An open list is cut into blocks by group and size, and pairs of
+   blocks that hold different groups of compatible sizes are tasks as in 3. Work is thus linear in
+   the size of a group of near copies; it grows with the square only of what shares rare values
+   without being similar.
+5. Components of the links give each document its group.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; texts
 with fewer words than a shingle have their whole word sequence as one shingle; doc_id is the
@@ -34,16 +42,20 @@ from pyspark.sql.window import Window
 
 from lumenar.llm.bitmaps import maybe_members
 from lumenar.llm.components import components
-from lumenar.llm.hot_keys import join_facts
+from lumenar.llm.hot_keys import join_facts, look_up
 from lumenar.llm.shingles import buffers, mix, shingle_sets, signed, slices
 from lumenar.storage import table, written
 
-K = 64
+K = 96
 #: Of a full sketch, the share of values that a linked sketch has as well; of a whole small set, the share by the threshold.
-MISS_FULL, MISS_SMALL = 0.5, 0.7
-#: Pairs whose union-sketch estimate is lower are not verified: at the threshold, fewer than 32 of 64 values are shared with a chance of 1.9e-8.
-LEAST_ESTIMATE = 0.5
-BLOCK_ROWS, BLOCK_SHINGLES = 512, 500_000
+MISS_FULL, MISS_SMALL = 0.39, 0.7
+#: Pairs whose union-sketch estimate is lower are not verified. It is the same event as above: fewer than 38 of 96 values shared.
+LEAST_ESTIMATE = 0.39
+#: A cluster of at most so many rows and shingles is one task; so are two blocks of half as many rows.
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 500_000
+HUB_ROUNDS = 2
+#: Pairs of one hub that meet in a task for their verification; more are dealt over copies of its set.
+PAIRS_A_SALT = 256
 
 SKETCH_SCHEMA = "doc_id long, n long, s1 long, s2 long, sketch array<long>"
 SET_SCHEMA = "doc_id long, s1 long, s2 long, shingles array<long>"
@@ -104,8 +116,9 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
 def _rarest(reps: DataFrame, k: int) -> DataFrame:
     """(rep, v): of each sketch the shared values that must be listed for no link to be missed."""
     values = reps.select("rep", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
+    total = reps.agg(F.sum(F.size("sketch"))).first()[0] or 0
     shared = values.groupBy("v").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
-    postings = values.join(shared, "v")
+    postings = join_facts(values, shared, "v", "freq", total)
     mine = Window.partitionBy("rep")
     need = F.when(F.col("m") >= k, F.ceil(F.col("m") * MISS_FULL)).otherwise(F.ceil(F.col("m") * MISS_SMALL))
     return (
@@ -173,8 +186,8 @@ def _estimates(sketch: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarra
     return out
 
 
-def block_links(rep: np.ndarray, n: np.ndarray, side: np.ndarray, sketch: list[np.ndarray], sets: list[np.ndarray], percent: int, k: int = K) -> list[tuple[int, int]]:
-    """A spanning forest of the links between rows of the two sides (0 and 1, or 2 for a block with itself)."""
+def block_links(rep: np.ndarray, label: np.ndarray, n: np.ndarray, side: np.ndarray, sketch: list[np.ndarray], sets: list[np.ndarray], percent: int, k: int = K) -> list[tuple[int, int]]:
+    """A spanning forest of the links between rows of the two sides (0 and 1, or 2 for a block with itself) with different labels."""
     left, right = (np.flatnonzero(side != 1), np.flatnonzero(side != 0))
     if not len(left) or not len(right):
         return []
@@ -182,6 +195,7 @@ def block_links(rep: np.ndarray, n: np.ndarray, side: np.ndarray, sketch: list[n
     size = np.array([len(x) for x in sketch])
     need = np.where(size >= k, np.ceil(size * MISS_FULL), np.ceil(size * MISS_SMALL))
     may = share >= np.minimum(need[left][:, None], need[right][None, :])
+    may &= label[left][:, None] != label[right][None, :]
     may &= 100 * np.minimum(n[left][:, None], n[right][None, :]) >= percent * np.maximum(n[left][:, None], n[right][None, :])
     if (side == 2).any():
         may &= left[:, None] < right[None, :]
@@ -203,33 +217,128 @@ def block_links(rep: np.ndarray, n: np.ndarray, side: np.ndarray, sketch: list[n
     return [(int(rep[x]), int(rep[y])) for x, y in zip(a[linked].tolist(), b[linked].tolist(), strict=True) if forest.join(x, y)]
 
 
+def _verified(pairs: DataFrame, members: DataFrame, percent: int, k: int) -> DataFrame:
+    """The pairs (u, v) that are links: by sizes, by the estimate of their union's sketch, then by their full sets. Many u may meet one v."""
+    facts = members.select("rep", "n", "sketch")
+    total = pairs.count()
+    told = pairs.join(facts.withColumnsRenamed({"rep": "u", "n": "nu", "sketch": "su"}), "u")
+    told = look_up(told, facts.withColumnsRenamed({"rep": "v", "n": "nv", "sketch": "sv"}), "v", total)
+    told = told.where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
+
+    def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            both = [*batch["su"], *batch["sv"]]
+            padded = np.full((len(both), k), np.iinfo(np.int64).max)
+            for r, x in enumerate(both):
+                padded[r, : len(x)] = x
+            size, half = np.array([len(x) for x in both]), np.arange(len(batch))
+            keep = _estimates(padded, size, half, half + len(batch), k) >= LEAST_ESTIMATE if len(batch) else np.zeros(0, bool)
+            yield batch.loc[keep, ["u", "v", "nu", "nv"]]
+
+    some = written(told.mapInPandas(likely, "u long, v long, nu long, nv long"), "likely")
+    salts = some.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_SALT).cast("int").alias("salts"))
+    right = members.select(F.col("rep").alias("v"), F.col("shingles").alias("tv")).join(salts, "v").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    left = look_up(some, salts, "v", some.count()).withColumn("salt", F.pmod(F.xxhash64("u"), F.col("salts")).cast("int"))
+    left = left.join(members.select(F.col("rep").alias("u"), F.col("shingles").alias("tu")), "u")
+    shared = left.join(right.select("v", "salt", "tv"), ["v", "salt"]).select("u", "v", "nu", "nv", F.size(F.array_intersect("tu", "tv")).cast("long").alias("both"))
+    return shared.where(100 * F.col("both") >= percent * (F.col("nu") + F.col("nv") - F.col("both"))).select("u", "v")
+
+
+def _labelled(lists: DataFrame, links: DataFrame | None) -> DataFrame:
+    """lists with the label of each member: the smallest member that links connect it to."""
+    if links is None:
+        return lists.withColumn("label", F.col("rep"))
+    known = components(links, "hub-links").select(F.col("node").alias("rep"), F.col("component").alias("known"))
+    return lists.join(known, "rep", "left").select("rep", "v", F.coalesce("known", "rep").alias("label"))
+
+
+def _open(labelled: DataFrame) -> DataFrame:
+    """The lists in which different labels meet, one of those with equal members: v, size."""
+    lists = labelled.groupBy("v").agg(
+        F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("rep").alias("first"),
+        *(F.sum(F.xxhash64(F.lit(i), "rep").cast("decimal(38,0)")).alias(f"sum{i}") for i in (0, 1)),
+    )
+    return lists.where("low <> high").groupBy("size", "first", "sum0", "sum1").agg(F.min("v").alias("v")).select("v", "size")
+
+
+def _between_groups(labelled: DataFrame, members: DataFrame, percent: int, k: int) -> DataFrame:
+    """Links between different labels of each list, by pairs of blocks."""
+    half = BLOCK_ROWS // 2
+    # sizes of linked sets are at most one class apart
+    sized = labelled.join(members.select("rep", F.floor(F.log("n") / F.log(F.lit(100 / percent + 1e-9))).cast("int").alias("class")), "rep")
+    counts = sized.groupBy("v", "label", "class").agg(F.count(F.lit(1)).alias("rows"))
+    pools = counts.where(F.col("rows") <= half).groupBy("v", "class").agg(F.ceil(F.sum("rows") / half).cast("int").alias("pools"))
+    counts = counts.join(pools, ["v", "class"], "left")
+    small = F.col("rows") <= half
+    placed = sized.join(counts, ["v", "label", "class"]).select(
+        "v", "rep", "label", "class", F.when(~small, F.col("label")).alias("own"),
+        F.when(small, F.pmod(F.xxhash64("label"), F.col("pools"))).otherwise(F.pmod(F.xxhash64("rep"), F.ceil(F.col("rows") / half))).cast("int").alias("part"),
+    )
+    placed = placed.withColumn("block", F.xxhash64("own", "class", "part"))
+    placed = written(placed, "listed")
+    blocks = placed.groupBy("v", "block").agg(F.first("own").alias("own"), F.first("class").alias("class"))
+    other = blocks.withColumnsRenamed({"block": "b", "own": "o", "class": "c"})
+    pairs = blocks.join(other, "v").where((F.abs(F.col("class") - F.col("c")) <= 1) & F.coalesce(F.col("own") != F.col("o"), F.lit(True)))
+    pairs = pairs.select("v", "block", F.least("block", "b").alias("bi"), F.greatest("block", "b").alias("bj"), F.when(F.col("block") == F.col("b"), 2).when(F.col("block") < F.col("b"), 0).otherwise(1).alias("side"))
+    rows = placed.select("v", "block", "rep", "label").join(pairs, ["v", "block"]).join(members.select("rep", "n", "sketch", "shingles"), "rep")
+    return _solved(rows, ["v", "bi", "bj"], percent, k)
+
+
+def _solved(rows: DataFrame, key: list[str], percent: int, k: int) -> DataFrame:
+    def solve(group: pd.DataFrame) -> pd.DataFrame:
+        found = block_links(group["rep"].to_numpy(), group["label"].to_numpy(), group["n"].to_numpy(), group["side"].to_numpy(), list(group["sketch"]), list(group["shingles"]), percent, k)
+        return pd.DataFrame(found, columns=["u", "w"], dtype="int64")
+
+    slim = rows.select(*key, "rep", "label", "n", "side", "sketch", "shingles")
+    return slim.groupBy(*key).applyInPandas(solve, "u long, w long").withColumnRenamed("w", "v")
+
+
+def _large_links(lists: DataFrame, members: DataFrame, percent: int, k: int) -> DataFrame:
+    """Links of the clusters that are no single task."""
+    links = None
+    lists = written(lists, "large-lists")
+    labelled = written(_labelled(lists, None), "labelled")
+    for turn in range(HUB_ROUNDS + 1):
+        still = written(_open(labelled), "open-lists")
+        open_rows = labelled.count()
+        labelled = written(look_up(labelled, still, "v", open_rows).select("rep", "v", "label"), "labelled")
+        total = labelled.count()
+        if not total or turn == HUB_ROUNDS:
+            break
+        hubs = labelled.groupBy("v").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "label")).alias("hub"), F.count(F.lit(1)).alias("size"))
+        hubs = hubs.select("v", "size", F.col("hub.rep").alias("hub"), F.col("hub.label").alias("hub_label"))
+        pairs = join_facts(labelled, hubs, "v", "size", total).where("label <> hub_label").select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()
+        found = written(_verified(written(pairs, "hub-pairs"), members, percent, k), "hub-links")
+        links = found if links is None else links.unionByName(found)
+        labelled = written(_labelled(labelled.select("rep", "v"), links), "labelled")
+    if not total:
+        return links if links is not None else labelled.select(F.col("rep").alias("u"), "v")
+    rest = _between_groups(labelled, members, percent, k)
+    return rest if links is None else links.unionByName(rest)
+
+
 def _links(docs: DataFrame, reps: DataFrame, words: int, percent: int, k: int) -> DataFrame:
     """Verified links (u, v) between representatives."""
     lists = written(_rarest(reps, k), "postings")
-    leaders = lists.groupBy("v").agg(F.min("rep").alias("leader"))
-    stars = lists.join(leaders, "v").where("rep <> leader").select(F.col("rep").alias("u"), F.col("leader").alias("v")).distinct()
+    leaders = lists.groupBy("v").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("size"))
+    stars = join_facts(lists, leaders, "v", "size", lists.count()).where("rep <> leader").select(F.col("rep").alias("u"), F.col("leader").alias("v")).distinct()
     clusters = written(components(stars, "clusters"), "clusters").select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
 
-    members = reps.join(clusters, "rep")
-    sizes = members.groupBy("cluster").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("rows")
-    )
-    members = join_facts(members, sizes, "cluster", "rows", reps.count()).drop("rows").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     wanted = maybe_members(docs, "doc_id", clusters, "rep")
-    sets = full_sets(wanted, words).withColumnsRenamed({"doc_id": "rep"})
-    members = members.join(sets, ["rep", "s1", "s2"]).dropDuplicates(["rep", "cluster"])
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    pairs = members.select("*", other).select(
-        "cluster", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"),
-        F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
-        "rep", "n", "sketch", "shingles",
-    )
-
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        found = block_links(group["rep"].to_numpy(), group["n"].to_numpy(), group["side"].to_numpy(), list(group["sketch"]), list(group["shingles"]), percent, k)
-        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
-
-    return pairs.groupBy("cluster", "bi", "bj").applyInPandas(solve, "u long, v long")
+    sets = full_sets(wanted, words).groupBy(F.col("doc_id").alias("rep"), "s1", "s2").agg(F.first("shingles").alias("shingles"))
+    members = written(reps.join(clusters, "rep").join(sets, ["rep", "s1", "s2"]).select("rep", "cluster", "n", "sketch", "shingles"), "members")
+    total = members.count()
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles_of_all"))
+    sizes = sizes.withColumn("large", (F.col("rows") > BLOCK_ROWS) | (F.col("shingles_of_all") > BLOCK_SHINGLES))
+    few = sizes.where("not large")
+    small = join_facts(members, few.select("cluster", "rows"), "cluster", "rows", total).withColumn("label", F.col("rep")).withColumn("side", F.lit(2))
+    links = _solved(small, ["cluster"], percent, k)
+    large = sizes.where("large").select("cluster", "rows")
+    if large.isEmpty():
+        return links
+    of_large = join_facts(members.select("rep", "cluster"), large, "cluster", "rows", total).select("rep")
+    theirs = written(members.join(of_large, "rep", "left_semi"), "large-members")
+    return links.unionByName(_large_links(lists.join(of_large, "rep", "left_semi").select("rep", "v"), theirs, percent, k))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, k: int = K) -> DataFrame:
@@ -240,12 +349,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(sketches(slim, words, k), "sketches")
     same = ["n", "s1", "s2"]
     some = rows.where("n > 0")
-    reps = written(some.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "reps")
+    reps = written(some.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies")), "reps")
     links = components(_links(slim, reps.where("rep is not null"), words, percent, k), "links")
-    groups = reps.select(*same, "rep").join(links.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    groups = groups.select(*same, F.coalesce("component", "rep").alias("component"))
-    placed = rows.select("doc_id", *same).join(groups, same, "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    groups = reps.select(*same, "rep", "copies").join(links.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    key = F.concat_ws(":", *same).alias("key")
+    groups = groups.select(key, "copies", F.coalesce("component", "rep").alias("component"))
+    placed = join_facts(some.select("doc_id", "n", key), groups, "key", "copies", rows.count()).select("doc_id", "n", "component")
+    placed = placed.unionByName(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component")))
+    component = F.col("component")
     return placed.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 

@@ -151,13 +151,35 @@ def near_rows():
 
 @pytest.mark.parametrize("words", [4, 5])
 def test_near_duplicates_match_brute_force(spark, words, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK_ROWS", 16)  # many block pairs
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 16)  # many large clusters
+    monkeypatch.setattr(minhash, "PAIRS_A_SALT", 4)
+    monkeypatch.setattr(hot_keys, "LEAST_HOT", 20)
+    monkeypatch.setattr(hot_keys, "HOT_KEYS", 100)
     rows = near_rows()
     got = minhash.near_duplicates(documents(spark, rows), words=words).toPandas()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.itertuples()} == brute_components(rows, words)
     assert (got.kept == (got.doc_id == got.component_id)).all()
 
 
+def chain_rows(n=150, length=120, step=6):
+    """Each text is like its neighbours and unlike those farther off: one long chain, few links a document."""
+    rng = np.random.default_rng(8)
+    words = [f"c{i}" for i in rng.integers(0, 10**6, length + step * n)]
+    return [(int(i), " ".join(words[step * j : step * j + length])) for j, i in enumerate(rng.permutation(n))]
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 2])
+def test_near_duplicates_of_a_chain(spark, rounds, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(minhash, "HUB_ROUNDS", rounds)
+    weak = [(1000 + i, t + " tail" * 90 + f" end{i}") for i, t in chain_rows(60, 120, 30)]  # share values, similar to none
+    rows = chain_rows() + weak + [(2000 + i, t.replace("1", "x", 1)) for i, t in chain_rows()[:40]]
+    got = minhash.near_duplicates(documents(spark, rows), words=5).toPandas()
+    want = brute_components(rows, 5)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.itertuples()} == want
+    assert max(Counter(c for _, c in want.values()).values()) >= 150
+
+
 def test_near_duplicates_of_nulls_and_nothing(spark):
     got = minhash.near_duplicates(documents(spark, [(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (None, None)])).toPandas()
     assert sorted(got.component_id.fillna(-1)) == [-1, 4, 4, 4]
