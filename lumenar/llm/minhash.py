@@ -3,23 +3,20 @@
 1. Each text's shingle set is hashed once; its k smallest hashes are its sketch. Texts with
    equal sets are collapsed to their smallest doc_id, so copies cost nothing later.
 2. Inverted lists of the retained values. Two sets with a Jaccard similarity of 0.8 or more
-   share 39 hundredths of k = 96 retained values (a pair of huge sets at exactly 0.8 shares
-   fewer with a chance under 1e-18, less than that of two shingles with one 64-bit hash; for
-   sets smaller than k the bound is exact), so of each sketch only its rarest values, one
-   more than it may miss, need lists: passages that many documents share come last in that
-   order and make no candidates.
-3. Documents linked by lists fall into clusters. A cluster of bounded size is one task: overlap
-   counts of the sketches select pairs, the bottom-k sketch of their union estimates the
-   similarity, and pairs that may reach the threshold are verified on their full sets. A task
-   returns a spanning forest of its links, never all pairs.
-4. Larger clusters are worked list by list. In each round every list has a hub, and its members
-   are held against the hub: estimate first, then the exact overlap of the full sets. Members
-   that links connect need no comparison with each other, so a list whose members are all
-   connected is closed; after HUB_ROUNDS rounds that leaves the lists in which different groups
-   meet. Equal lists count once. An open list is cut into blocks by group and size, and pairs of
-   blocks that hold different groups of compatible sizes are tasks as in 3. Work is thus linear in
-   the size of a group of near copies; it grows with the square only of what shares rare values
-   without being similar.
+   share 20 of k = 64 retained values (a pair of huge sets at exactly 0.8 shares fewer with a
+   chance of 4e-18, less than that of two shingles of a text with one 64-bit hash; for sets
+   smaller than k the bound is exact), so of each sketch only its rarest values, one more than it
+   may miss, need lists: passages that many documents share come last in that order.
+3. Every list has up to four hubs, and its members are held against them: sizes first, then the
+   similarity estimated from the bottom-k sketch of the union, then the exact overlap of the full
+   sets. A hub's set is dealt in copies, so a list with a third of all rows is many tasks.
+4. Members that such links connect need no comparison with each other. Lists in which members
+   other than hubs are not all connected stay open; those of one first hub are taken together, cut
+   into blocks by component and size, and pairs of blocks that hold different components of
+   compatible sizes are tasks: overlap counts of the sketches and estimates select pairs, exact
+   overlaps verify them, and a task returns a spanning forest of its links, never all pairs. Work
+   is thus linear in the size of a group of near copies; it grows with the square only of what
+   shares rare values without being similar, or connected by the hubs.
 5. Components of the links give each document its group.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; texts
@@ -36,26 +33,25 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenar.llm.bitmaps import maybe_members
 from lumenar.llm.components import components
-from lumenar.llm.hot_keys import join_facts, look_up
+from lumenar.llm.hot_keys import join_facts
 from lumenar.llm.shingles import buffers, mix, shingle_sets, signed, slices
 from lumenar.storage import table, written
 
-K = 96
+K = 64
 #: Of a full sketch, the share of values that a linked sketch has as well; of a whole small set, the share by the threshold.
-MISS_FULL, MISS_SMALL = 0.39, 0.7
-#: Pairs whose union-sketch estimate is lower are not verified. It is the same event as above: fewer than 38 of 96 values shared.
-LEAST_ESTIMATE = 0.39
-#: A cluster of at most so many rows and shingles is one task; so are two blocks of half as many rows.
-BLOCK_ROWS, BLOCK_SHINGLES = 256, 500_000
-HUB_ROUNDS = 2
-#: Pairs of one hub that meet in a task for their verification; more are dealt over copies of its set.
-PAIRS_A_SALT = 256
+MISS_FULL, MISS_SMALL = 0.3125, 0.7
+#: Pairs whose union-sketch estimate is lower are not verified. It is the same event as above: fewer than 20 of 64 values shared.
+LEAST_ESTIMATE = 0.3125
+#: Two blocks of an open list hold at most about so many rows together.
+BLOCK_ROWS = 256
+#: Members that meet a copy of their hub's set in a task.
+MEMBERS_A_COPY = 256
 
 SKETCH_SCHEMA = "doc_id long, n long, s1 long, s2 long, sketch array<long>"
 SET_SCHEMA = "doc_id long, s1 long, s2 long, shingles array<long>"
@@ -114,18 +110,18 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _rarest(reps: DataFrame, k: int) -> DataFrame:
-    """(rep, v): of each sketch the shared values that must be listed for no link to be missed."""
-    values = reps.select("rep", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
+    """(rep, n, v): of each sketch the shared values that must be listed for no link to be missed."""
+    values = reps.select("rep", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
     total = reps.agg(F.sum(F.size("sketch"))).first()[0] or 0
-    shared = values.groupBy("v").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
-    postings = join_facts(values, shared, "v", "freq", total)
+    shared = written(values.groupBy("v").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1"), "shared-values")
+    postings = join_facts(maybe_members(values, "v", shared, "v"), shared, "v", "freq", total)
     mine = Window.partitionBy("rep")
     need = F.when(F.col("m") >= k, F.ceil(F.col("m") * MISS_FULL)).otherwise(F.ceil(F.col("m") * MISS_SMALL))
     return (
         postings.withColumn("left", F.count(F.lit(1)).over(mine) - need + 1)
         .withColumn("place", F.row_number().over(mine.orderBy("freq", "v")))
         .where("place <= left")
-        .select("rep", "v")
+        .select("rep", "n", "v")
     )
 
 
@@ -217,128 +213,91 @@ def block_links(rep: np.ndarray, label: np.ndarray, n: np.ndarray, side: np.ndar
     return [(int(rep[x]), int(rep[y])) for x, y in zip(a[linked].tolist(), b[linked].tolist(), strict=True) if forest.join(x, y)]
 
 
-def _verified(pairs: DataFrame, members: DataFrame, percent: int, k: int) -> DataFrame:
-    """The pairs (u, v) that are links: by sizes, by the estimate of their union's sketch, then by their full sets. Many u may meet one v."""
-    facts = members.select("rep", "n", "sketch")
-    total = pairs.count()
-    told = pairs.join(facts.withColumnsRenamed({"rep": "u", "n": "nu", "sketch": "su"}), "u")
-    told = look_up(told, facts.withColumnsRenamed({"rep": "v", "n": "nv", "sketch": "sv"}), "v", total)
-    told = told.where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
-
-    def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            both = [*batch["su"], *batch["sv"]]
-            padded = np.full((len(both), k), np.iinfo(np.int64).max)
-            for r, x in enumerate(both):
-                padded[r, : len(x)] = x
-            size, half = np.array([len(x) for x in both]), np.arange(len(batch))
-            keep = _estimates(padded, size, half, half + len(batch), k) >= LEAST_ESTIMATE if len(batch) else np.zeros(0, bool)
-            yield batch.loc[keep, ["u", "v", "nu", "nv"]]
-
-    some = written(told.mapInPandas(likely, "u long, v long, nu long, nv long"), "likely")
-    salts = some.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_SALT).cast("int").alias("salts"))
-    right = members.select(F.col("rep").alias("v"), F.col("shingles").alias("tv")).join(salts, "v").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    left = look_up(some, salts, "v", some.count()).withColumn("salt", F.pmod(F.xxhash64("u"), F.col("salts")).cast("int"))
-    left = left.join(members.select(F.col("rep").alias("u"), F.col("shingles").alias("tu")), "u")
-    shared = left.join(right.select("v", "salt", "tv"), ["v", "salt"]).select("u", "v", "nu", "nv", F.size(F.array_intersect("tu", "tv")).cast("long").alias("both"))
-    return shared.where(100 * F.col("both") >= percent * (F.col("nu") + F.col("nv") - F.col("both"))).select("u", "v")
-
-
-def _labelled(lists: DataFrame, links: DataFrame | None) -> DataFrame:
-    """lists with the label of each member: the smallest member that links connect it to."""
-    if links is None:
-        return lists.withColumn("label", F.col("rep"))
-    known = components(links, "hub-links").select(F.col("node").alias("rep"), F.col("component").alias("known"))
-    return lists.join(known, "rep", "left").select("rep", "v", F.coalesce("known", "rep").alias("label"))
-
-
-def _open(labelled: DataFrame) -> DataFrame:
-    """The lists in which different labels meet, one of those with equal members: v, size."""
-    lists = labelled.groupBy("v").agg(
-        F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("rep").alias("first"),
-        *(F.sum(F.xxhash64(F.lit(i), "rep").cast("decimal(38,0)")).alias(f"sum{i}") for i in (0, 1)),
-    )
-    return lists.where("low <> high").groupBy("size", "first", "sum0", "sum1").agg(F.min("v").alias("v")).select("v", "size")
+def _likely(su: Column, sv: Column, k: int) -> Column:
+    """Whether the union's k smallest values (all of them, for two whole sets) hold enough that are in both sketches."""
+    union = F.array_sort(F.array_union(su, sv))
+    most = F.when((F.size(su) < k) & (F.size(sv) < k), F.lit(2 * k)).otherwise(F.lit(k))
+    bottom = F.slice(union, F.lit(1), most)
+    return F.size(F.array_intersect(bottom, F.array_intersect(su, sv))) >= LEAST_ESTIMATE * F.size(bottom)
+
+
+def _similar(nu: Column, nv: Column, percent: int) -> Column:
+    return 100 * F.least(nu, nv) >= percent * F.greatest(nu, nv)
 
 
-def _between_groups(labelled: DataFrame, members: DataFrame, percent: int, k: int) -> DataFrame:
-    """Links between different labels of each list, by pairs of blocks."""
+def _hub_links(lists: DataFrame, hubs: DataFrame, members: DataFrame, total: int, percent: int, k: int) -> DataFrame:
+    """The links (u, v) of members with the hubs v of their lists."""
+    # a hub's lists often have the same members: copies by the largest list
+    each = hubs.select(F.explode("hubs").alias("hub"), "size").groupBy("hub.rep").agg(F.ceil(F.max("size") / MEMBERS_A_COPY).cast("int").alias("copies"))
+    each = written(each, "hub-copies")
+    met = join_facts(lists, hubs, "v", "size", total).select("rep", "n", F.explode("hubs").alias("hub")).where("rep <> hub.rep").where(_similar(F.col("n"), F.col("hub.n"), percent))
+    pairs = met.select("rep", F.col("hub.rep").alias("hub")).distinct()
+    pairs = pairs.join(members, "rep")
+    spread = each.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).withColumnRenamed("rep", "hub")
+    right = spread.join(members.withColumnsRenamed({"rep": "hub", "n": "hub_n", "sketch": "hub_sketch", "shingles": "hub_shingles"}), "hub")
+    most = each.agg(F.max("copies")).first()[0] or 1
+    # a pair goes to one of its hub's copies; where a hub has fewer than the most, several numbers name one copy
+    number = F.pmod(F.xxhash64("rep"), F.lit(most)).cast("int")
+    right = right.withColumn("number", F.explode(F.sequence(F.col("copy"), F.lit(most - 1), F.col("copies")))) if most > 1 else right.withColumn("number", F.col("copy"))
+    both = pairs.withColumn("number", number).join(right, ["hub", "number"]).where(_likely(F.col("sketch"), F.col("hub_sketch"), k))
+    both = both.select("rep", "hub", "n", "hub_n", F.size(F.array_intersect("shingles", "hub_shingles")).cast("long").alias("both"))
+    return both.where(100 * F.col("both") >= percent * (F.col("n") + F.col("hub_n") - F.col("both"))).select(F.col("rep").alias("u"), F.col("hub").alias("v"))
+
+
+def _between_components(listed: DataFrame, members: DataFrame, percent: int, k: int) -> DataFrame:
+    """Links between different labels of each group g of (g, rep, n, label), by pairs of blocks."""
     half = BLOCK_ROWS // 2
     # sizes of linked sets are at most one class apart
-    sized = labelled.join(members.select("rep", F.floor(F.log("n") / F.log(F.lit(100 / percent + 1e-9))).cast("int").alias("class")), "rep")
-    counts = sized.groupBy("v", "label", "class").agg(F.count(F.lit(1)).alias("rows"))
-    pools = counts.where(F.col("rows") <= half).groupBy("v", "class").agg(F.ceil(F.sum("rows") / half).cast("int").alias("pools"))
-    counts = counts.join(pools, ["v", "class"], "left")
+    sized = listed.withColumn("class", F.floor(F.log("n") / F.log(F.lit(100 / percent + 1e-9))).cast("int"))
+    counts = sized.groupBy("g", "label", "class").agg(F.count(F.lit(1)).alias("rows"))
     small = F.col("rows") <= half
-    placed = sized.join(counts, ["v", "label", "class"]).select(
-        "v", "rep", "label", "class", F.when(~small, F.col("label")).alias("own"),
-        F.when(small, F.pmod(F.xxhash64("label"), F.col("pools"))).otherwise(F.pmod(F.xxhash64("rep"), F.ceil(F.col("rows") / half))).cast("int").alias("part"),
-    )
-    placed = placed.withColumn("block", F.xxhash64("own", "class", "part"))
-    placed = written(placed, "listed")
-    blocks = placed.groupBy("v", "block").agg(F.first("own").alias("own"), F.first("class").alias("class"))
+    kind = F.when(small, F.lit(None)).otherwise(F.col("label")).alias("own")  # a large component has blocks of its own
+    parts = counts.groupBy("g", "class", kind).agg(F.ceil(F.sum("rows") / half).cast("int").alias("parts"))
+    cells = counts.select("g", "label", "class", kind).join(parts.select("g", "class", F.col("own").alias("o"), "parts").withColumnRenamed("class", "c").withColumnRenamed("g", "h"), (F.col("g") == F.col("h")) & (F.col("class") == F.col("c")) & F.col("own").eqNullSafe(F.col("o")))
+    placed = sized.join(cells.select("g", "label", "class", "own", "parts"), ["g", "label", "class"])
+    part = F.pmod(F.when(F.col("own").isNull(), F.xxhash64("label")).otherwise(F.xxhash64("rep")), F.col("parts")).cast("int")
+    placed = placed.select("g", "rep", "label", "class", "own", F.xxhash64("class", "own", part).alias("block"))
+    placed = written(placed, "blocks")
+    blocks = placed.groupBy("g", "block").agg(F.first("class").alias("class"), F.first("own").alias("own"))
     other = blocks.withColumnsRenamed({"block": "b", "own": "o", "class": "c"})
-    pairs = blocks.join(other, "v").where((F.abs(F.col("class") - F.col("c")) <= 1) & F.coalesce(F.col("own") != F.col("o"), F.lit(True)))
-    pairs = pairs.select("v", "block", F.least("block", "b").alias("bi"), F.greatest("block", "b").alias("bj"), F.when(F.col("block") == F.col("b"), 2).when(F.col("block") < F.col("b"), 0).otherwise(1).alias("side"))
-    rows = placed.select("v", "block", "rep", "label").join(pairs, ["v", "block"]).join(members.select("rep", "n", "sketch", "shingles"), "rep")
-    return _solved(rows, ["v", "bi", "bj"], percent, k)
-
+    pairs = blocks.join(other, "g").where((F.abs(F.col("class") - F.col("c")) <= 1) & F.coalesce(F.col("own") != F.col("o"), F.lit(True)))
+    side = F.when(F.col("block") == F.col("b"), 2).when(F.col("block") < F.col("b"), 0).otherwise(1)
+    pairs = pairs.select("g", "block", F.least("block", "b").alias("bi"), F.greatest("block", "b").alias("bj"), side.alias("side"))
+    rows = placed.select("g", "block", "rep", "label").join(pairs, ["g", "block"]).join(members, "rep")
 
-def _solved(rows: DataFrame, key: list[str], percent: int, k: int) -> DataFrame:
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         found = block_links(group["rep"].to_numpy(), group["label"].to_numpy(), group["n"].to_numpy(), group["side"].to_numpy(), list(group["sketch"]), list(group["shingles"]), percent, k)
         return pd.DataFrame(found, columns=["u", "w"], dtype="int64")
 
-    slim = rows.select(*key, "rep", "label", "n", "side", "sketch", "shingles")
-    return slim.groupBy(*key).applyInPandas(solve, "u long, w long").withColumnRenamed("w", "v")
-
-
-def _large_links(lists: DataFrame, members: DataFrame, percent: int, k: int) -> DataFrame:
-    """Links of the clusters that are no single task."""
-    links = None
-    lists = written(lists, "large-lists")
-    labelled = written(_labelled(lists, None), "labelled")
-    for turn in range(HUB_ROUNDS + 1):
-        still = written(_open(labelled), "open-lists")
-        open_rows = labelled.count()
-        labelled = written(look_up(labelled, still, "v", open_rows).select("rep", "v", "label"), "labelled")
-        total = labelled.count()
-        if not total or turn == HUB_ROUNDS:
-            break
-        hubs = labelled.groupBy("v").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "label")).alias("hub"), F.count(F.lit(1)).alias("size"))
-        hubs = hubs.select("v", "size", F.col("hub.rep").alias("hub"), F.col("hub.label").alias("hub_label"))
-        pairs = join_facts(labelled, hubs, "v", "size", total).where("label <> hub_label").select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()
-        found = written(_verified(written(pairs, "hub-pairs"), members, percent, k), "hub-links")
-        links = found if links is None else links.unionByName(found)
-        labelled = written(_labelled(labelled.select("rep", "v"), links), "labelled")
-    if not total:
-        return links if links is not None else labelled.select(F.col("rep").alias("u"), "v")
-    rest = _between_groups(labelled, members, percent, k)
-    return rest if links is None else links.unionByName(rest)
+    slim = rows.select("g", "bi", "bj", "rep", "label", "n", "side", "sketch", "shingles")
+    return slim.groupBy("g", "bi", "bj").applyInPandas(solve, "u long, w long").withColumnRenamed("w", "v")
 
 
 def _links(docs: DataFrame, reps: DataFrame, words: int, percent: int, k: int) -> DataFrame:
-    """Verified links (u, v) between representatives."""
+    """Verified links (u, v) between representatives that connect what all links connect."""
     lists = written(_rarest(reps, k), "postings")
-    leaders = lists.groupBy("v").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("size"))
-    stars = join_facts(lists, leaders, "v", "size", lists.count()).where("rep <> leader").select(F.col("rep").alias("u"), F.col("leader").alias("v")).distinct()
-    clusters = written(components(stars, "clusters"), "clusters").select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    total = lists.count()
+    ends = [end(F.struct(F.xxhash64(F.lit(seed), "rep"), "rep", "n")) for seed in (0, 1) for end in (F.min, F.max)]
+    hubs = lists.groupBy("v").agg(F.array_distinct(F.transform(F.array(*ends), lambda x: F.struct(x["rep"].alias("rep"), x["n"].alias("n")))).alias("hubs"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    hubs = written(hubs, "hubs")
+    listed = lists.select("rep").distinct()
 
-    wanted = maybe_members(docs, "doc_id", clusters, "rep")
+    wanted = maybe_members(docs, "doc_id", listed, "rep")
     sets = full_sets(wanted, words).groupBy(F.col("doc_id").alias("rep"), "s1", "s2").agg(F.first("shingles").alias("shingles"))
-    members = written(reps.join(clusters, "rep").join(sets, ["rep", "s1", "s2"]).select("rep", "cluster", "n", "sketch", "shingles"), "members")
-    total = members.count()
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles_of_all"))
-    sizes = sizes.withColumn("large", (F.col("rows") > BLOCK_ROWS) | (F.col("shingles_of_all") > BLOCK_SHINGLES))
-    few = sizes.where("not large")
-    small = join_facts(members, few.select("cluster", "rows"), "cluster", "rows", total).withColumn("label", F.col("rep")).withColumn("side", F.lit(2))
-    links = _solved(small, ["cluster"], percent, k)
-    large = sizes.where("large").select("cluster", "rows")
-    if large.isEmpty():
-        return links
-    of_large = join_facts(members.select("rep", "cluster"), large, "cluster", "rows", total).select("rep")
-    theirs = written(members.join(of_large, "rep", "left_semi"), "large-members")
-    return links.unionByName(_large_links(lists.join(of_large, "rep", "left_semi").select("rep", "v"), theirs, percent, k))
+    members = written(reps.join(sets, ["rep", "s1", "s2"]).select("rep", "n", "sketch", "shingles"), "members")
+    links = written(_hub_links(lists, hubs, members, total, percent, k), "hub-links")
+    stars = written(components(links, "hub-components").withColumnsRenamed({"node": "u", "component": "v"}), "hub-stars")
+
+    wide = hubs.where(F.col("size") > F.size("hubs") + 1)  # in others, every pair has a hub
+    told = join_facts(lists, wide, "v", "size", total).where(~F.exists("hubs", lambda h: h["rep"] == F.col("rep")))
+    told = told.join(stars.select(F.col("u").alias("rep"), F.col("v").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    told = written(told.select("v", "rep", "n", "label", F.col("hubs")[0]["rep"].alias("g")), "not-hubs")
+    still = told.groupBy("v").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("others")).where("low <> high").select("v", "others")
+    still = written(still, "open-lists")
+    if still.isEmpty():
+        return stars
+    rest = join_facts(told, still, "v", "others", told.count()).select("g", "rep", "n", "label").distinct()
+    return stars.unionByName(_between_components(written(rest, "open-members"), members, percent, k))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, k: int = K) -> DataFrame:

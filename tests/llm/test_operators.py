@@ -5,12 +5,14 @@ import gzip
 import hashlib
 import io
 import itertools
+import json
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,8 +153,8 @@ def near_rows():
 
 @pytest.mark.parametrize("words", [4, 5])
 def test_near_duplicates_match_brute_force(spark, words, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK_ROWS", 16)  # many large clusters
-    monkeypatch.setattr(minhash, "PAIRS_A_SALT", 4)
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 16)  # many blocks
+    monkeypatch.setattr(minhash, "MEMBERS_A_COPY", 4)
     monkeypatch.setattr(hot_keys, "LEAST_HOT", 20)
     monkeypatch.setattr(hot_keys, "HOT_KEYS", 100)
     rows = near_rows()
@@ -168,10 +170,9 @@ def chain_rows(n=150, length=120, step=6):
     return [(int(i), " ".join(words[step * j : step * j + length])) for j, i in enumerate(rng.permutation(n))]
 
 
-@pytest.mark.parametrize("rounds", [0, 1, 2])
-def test_near_duplicates_of_a_chain(spark, rounds, monkeypatch):
+def test_near_duplicates_of_a_chain(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_ROWS", 8)
-    monkeypatch.setattr(minhash, "HUB_ROUNDS", rounds)
+    monkeypatch.setattr(minhash, "MEMBERS_A_COPY", 2)
     weak = [(1000 + i, t + " tail" * 90 + f" end{i}") for i, t in chain_rows(60, 120, 30)]  # share values, similar to none
     rows = chain_rows() + weak + [(2000 + i, t.replace("1", "x", 1)) for i, t in chain_rows()[:40]]
     got = minhash.near_duplicates(documents(spark, rows), words=5).toPandas()
@@ -336,6 +337,36 @@ def test_arc_versions(version):
         list(warc.parse_arc(io.BytesIO(data.replace(f"\n{version} 0 ".encode(), b"\n9 0 "))))
 
 
+def test_records_that_are_no_http_messages(spark, tmp_path):
+    """A version block, a DNS record twice, a bare-LF head and an HTTP message without a body."""
+    dns = b"20240101000000\nexample.org. 3600 IN A 192.0.2.1\n"
+    bare = b"HTTP/1.0 200 OK\nContent-Length: 4\nX-Page-Id: 7\n\nbody"
+    none = b"HTTP/1.1 204 No Content\r\nX-Page-Id: 8"
+    parts = [("dns:example.org", "192.0.2.1", "text/dns", dns), ("dns:example.org", "192.0.2.1", "text/dns", dns), ("http://x/", "192.0.2.9", "text/html", bare), ("http://y/", "0.0.0.0", "no-type", none)]
+    data = warc.arc_version_block(1, "f.arc") + b"\n" + b"".join(f"{u} {ip} 20240101000000 {t} {len(m)}\n".encode() + m + b"\n" for u, ip, t, m in parts)
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "f.arc").write_bytes(data)
+    warc.write_warc(spark, str(tmp_path / "arc"), str(tmp_path / "warc"))
+    got = warc.read_warc(spark, str(tmp_path / "warc")).toPandas().sort_values(["record_type", "page_id"]).reset_index()
+    assert got.record_type.tolist() == ["resource", "response", "response", "revisit"]
+    assert got.payload_bytes.fillna(-1).tolist() == [len(dns), 4, 0, -1] and got.refers_to_id[3] == got.record_id[0]
+    assert got.payload_digest[0] == base64.b32encode(hashlib.sha1(dns).digest()).decode()
+    text = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "warc").glob("*.gz"))
+    assert text.count(b"WARC-Type: warcinfo") == 1 and text.count(b"WARC-IP-Address: 192.0.2.1\r\n") == 2 and b"Content-Type: text/dns" in text
+
+
+def test_a_hot_payload_does_not_meet_in_a_join(spark, monkeypatch):
+    monkeypatch.setattr(hot_keys, "LEAST_HOT", 10)
+    monkeypatch.setattr(hot_keys, "HOT_KEYS", 10)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(i, "u", "same" if i % 3 == 0 else f"page {i}") for i in range(300)] + [(5, "u", "page 5")]
+        got = warc.convert_pages(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS path", "'y' AS digest")).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == 301 and (got.record_type == "revisit").sum() == 100 and set(got.refers_to.dropna()) == {0, 5}
+
+
 # --- tool calls ------------------------------------------------------------------------
 
 
@@ -357,6 +388,56 @@ def test_tool_calls_are_linked_ordered_and_checked(spark):
     assert len(got) == len(calls) + len(results) and r.linked.sum() == 2 and '{"content":"done é\\n","id":"p","type":"result"}' in set(r.canonical)
 
 
+CALLS, RESULTS = "conv_id long, turn long, call_id string, name string, arguments string", "conv_id long, turn long, call_id string, content string"
+
+
+def brute_levels(edges, nodes):
+    refs = {n: {b for a, b in edges if a == n and b in nodes} for n in nodes}
+    level = {}
+    while fresh := {n: max((level[r] + 1 for r in refs[n]), default=0) for n in nodes if n not in level and all(r in level for r in refs[n])}:
+        level.update(fresh)
+    return level
+
+
+def test_levels_of_chains_branches_and_cycles(spark, monkeypatch):
+    monkeypatch.setattr(hot_keys, "LEAST_HOT", 5)
+    monkeypatch.setattr(hot_keys, "HOT_KEYS", 20)
+    edges = [(i, i - 1) for i in range(1, 41)] + [(50, 40), (50, 7), (51, 50), (52, 51), (52, 50), (53, 52)]  # a chain, calls with two references behind it
+    edges += [(60, 61), (61, 62), (62, 60), (63, 60), (64, 63), (64, 1), (65, 64)]  # a cycle and what lies behind it
+    edges += [(100 + i, 40) for i in range(50)] + [(200, 100 + i) for i in range(50)] + [(300, 999)] + [(400, 400)]  # a hot target, a call of many references
+    nodes = {a for a, _ in edges} | {b for _, b in edges} - {999}
+    calls = [(1, a, str(a), "f", json.dumps({"x": [{"$ref": str(b)} for x, b in edges if x == a]})) for a in sorted(nodes)]
+    got = tool_calls.link(spark.createDataFrame(calls, CALLS), spark.createDataFrame([], RESULTS), {"f": {}}).toPandas()
+    want = brute_levels(edges, nodes)
+    assert {int(i): int(v) for i, v in zip(got.call_id, got.level, strict=True) if v == v} == want and len(want) < len(nodes)
+
+
+def test_odd_arguments_are_kept_and_named(spark):
+    deep = '{"a": ' + "[" * 100_000 + "]" * 100_000 + "}"
+    rather = '{"a": ' + "[" * 500 + "]" * 500 + "}"
+    calls = [(1, 0, "d", "f", deep), (1, 1, "s", "f", '{"a": "\\ud800", "\\ud801": 1, "r": {"$ref": "\\ud802"}}'), (1, 2, "n", "f", '{"a": NaN}'), (1, 3, "e", "f", '{"a": 1e999}'), (1, 4, "r", "f", rather), (1, 5, "t", "f", '"text"'), (None, 6, "d", "f", "{}"), (1, 7, "l", "f", json.dumps({"a": LONG}))]
+    got = tool_calls.link(spark.createDataFrame(calls, CALLS).selectExpr("*", "'x' AS key", "1 AS level"), spark.createDataFrame([(1, 9, "l", LONG), (1, 9, "l", LONG)], RESULTS).selectExpr("*", "'x' AS key"), {"f": {"additionalProperties": True}}).toPandas()
+    by = {r.turn: r for r in got[got.kind == "call"].itertuples()}
+    assert len(got) == len(calls) + 2
+    assert list(by[0].errors) == ["nested too deeply"] == list(by[4].errors) and json.loads(by[0].canonical)["arguments"] == deep
+    assert by[1].valid and json.loads(by[1].canonical)["arguments"]["a"] == "\ud800"
+    assert [list(by[i].errors) for i in (2, 3, 5)] == [["not an object"]] * 3 and json.loads(by[2].canonical)["arguments"] == '{"a": NaN}'
+    assert not by[6].linked and by[6].level == 0 and json.loads(by[7].canonical)["arguments"]["a"] == LONG and by[7].other_turn == 9
+
+
+def test_hot_identifiers_are_linked(spark, monkeypatch):
+    monkeypatch.setattr(hot_keys, "LEAST_HOT", 10)
+    monkeypatch.setattr(hot_keys, "HOT_KEYS", 5)
+    calls = [(1, i, "hot" if i < 60 else f"c{i}", "f", "{}") for i in range(120)] + [(2, i, None, "f", "{}") for i in range(60)]
+    results = [(1, 500 + i, "hot", "x") for i in range(60)] + [(1, 700 + i, None, "x") for i in range(60)] + [(1, 900, "c70", "y")]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = tool_calls.link(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, RESULTS), {"f": {}}).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == 180 + 121 and got.linked.sum() == 60 + 60 + 2 and set(got[(got.kind == "call") & (got.call_id == "hot")].other_turn) == {500}
+
+
 def test_turns_of_nothing(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert tool_calls.link(*tool_calls.calls_of_turns(empty), tool_calls.TURN_SCHEMAS).count() == 0
@@ -384,21 +465,42 @@ def test_shards_are_contiguous_and_even(spark):
 def test_knn_join_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(knn_join, "BLOCK_ROWS", 20)
     monkeypatch.setattr(knn_join, "CHUNK_QUERIES", 3)
+    monkeypatch.setattr(knn_join, "TILE", 2)
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.normal(size=6) * (1 + i % 3)], 0) for i in range(300)]
-    rows += [(300, None, 0), (350, [None, 1.0], 0), (301, [float("nan")] * 6, 0), (400, [1.0], 0), (401, [], 0), (None, [1.0] * 6, 0), (5, rows[5][1], 0), *[(500 + i, [0.5] * 6, 0) for i in range(40)]]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
+    rows += [(300, None, 0), (350, [None, 1.0], 0), (301, [float("nan")] * 6, 0), (400, [1.0], 0), (401, [], 0), (None, [1.0] * 6, 0), (5, rows[5][1], 0), (50, rows[50][1], 0), (100, [1.0, 2.0], 0), *[(500 + i, [0.5] * 6, 0) for i in range(40)]]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int").selectExpr("*", "'x' AS cell", "'y' AS row", "'z' AS g", "'w' AS block")
     got = knn_join.knn_join(frame, "vec_id % 50 = 0", pivots=8).toPandas()
-    fine = {(i, tuple(np.floor(256 * x) for x in v)) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
-    for i, v in fine:
+    fine = [(i, tuple(np.floor(256 * x) for x in v)) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want = []
+    for n, (i, v) in enumerate(fine):
         if i % 50 == 0:
-            scores = sorted((-sum(int(a) * int(b) for a, b in zip(v, w, strict=False)), j) for j, w in fine if j != i)[:5]
-            mine = got[got.query_id == i].sort_values("rank")
-            assert [(-s, j) for s, j in zip(mine.score, mine.vec_id, strict=True)] == scores
-    assert set(got.query_id) == {i for i, _ in fine if i % 50 == 0}
+            scores = sorted((-sum(int(a) * int(b) for a, b in zip(v, w, strict=False)), j) for m, (j, w) in enumerate(fine) if m != n)[:5]
+            want += [(i, rank, j, -s) for rank, (s, j) in enumerate(scores, 1)]
+    assert sorted(map(tuple, got.itertuples(index=False))) == sorted(want)
     assert knn_join.knn_join(frame.limit(0), "vec_id % 50 = 0").count() == 0
+    assert knn_join.knn_join(frame.where("vec_id % 50 <> 0"), "vec_id % 50 = 0").count() == 0
     one = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 2.0])], "vec_id long, embedding array<double>")
     assert knn_join.knn_join(one, "vec_id % 50 = 0").first()["score"] == 2**63 - 1
+    huge = spark.createDataFrame([(0, [1e308, 0.0]), (1, [1e308, 0.0]), (2, [-1.7e308, 0.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], r["score"]) for r in knn_join.knn_join(huge, "vec_id % 50 = 0").orderBy("rank").collect()] == [(1, 2**63 - 1), (3, 0), (2, 1 - 2**63)]
+
+
+def test_vectors_go_where_bounds_reach_only(spark):
+    rng = np.random.default_rng(6)
+    centres = np.eye(4) * 100
+    rows = [(i, [float(x) for x in centres[i % 4] + rng.normal(size=4)]) for i in range(400)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    seen = []
+    keep = knn_join.written
+    knn_join.written = lambda df, name, **o: seen.append((name, out := keep(df, name, **o))) or out
+    try:
+        got = knn_join.knn_join(frame, "vec_id % 50 = 0", pivots=16).toPandas()
+    finally:
+        knn_join.written = keep
+    copies = dict(seen)["reaching"].selectExpr("sum(size(reached)) AS n").first()["n"]
+    groups = dict(seen)["cells"].where("vec_id % 50 = 0").select("cell").distinct().count()
+    assert (got.vec_id % 4 == got.query_id % 4).all() and len(got) == 40 and copies < 0.6 * 400 * groups
 
 
 # --- n-best ----------------------------------------------------------------------------
@@ -449,6 +551,79 @@ def test_ids_of_every_path_leave_the_operator(spark):
 # --- classifiers -----------------------------------------------------------------------
 
 
+def plain_toxicity(model, text):
+    """The score of a text word by word in plain Python, from the model's weights."""
+    weights = dict(zip(model.words.tolist(), model.weights.tolist(), strict=True))
+    none = 1.0
+    for sentence in re.split(rb"[.!?\n]", (text or "").encode()):
+        words = set()
+        for w in re.findall(rb"[A-Za-z\x80-\xff]+", sentence):
+            data, offsets = np.frombuffer(w, np.uint8), np.array([0, len(w)])
+            words |= set(shingles.hashed_words(data, offsets, toxicity._OUTSIDE, toxicity.PREFIXES)[2].tolist())
+        if words:
+            none *= 1 - 1 / (1 + np.exp(-(model.bias + sum(weights.get(x, 0.0) for x in words))))
+    return 1 - none
+
+
+def test_toxicity_scores_equal_a_plain_version(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, sample_text(rng, 5).replace("tree", "vile" if i % 3 == 0 else "tree")) for i in range(120)] + [(500, None), (501, ""), (502, "!?. 12"), (503, "Über vile. Tree!\nvile vile"), (503, LONG), (None, "vile")]
+    docs = documents(spark, rows)
+    model = toxicity.train(docs, spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(120)], "doc_id long, quality int, toxic int"))
+    got = sorted((r["doc_id"] or -1, r["score"]) for r in toxicity.scores(docs, model).collect())
+    want = sorted((i or -1, plain_toxicity(model, t)) for i, t in rows)
+    assert np.allclose([s for _, s in got], [s for _, s in want], atol=1e-9) and [i for i, _ in got] == [i for i, _ in want]
+
+
+def plain_language(model, text):
+    """(language, family margins, pair votes) of a text gram by gram in plain Python."""
+    data = (text or "").encode()
+    if not any(c.isalpha() for c in text or ""):
+        return "und"
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in data)
+    counts = Counter()
+    for n in (1, 2, 3):
+        for i in range(len(low) - n + 1):
+            gram = int.from_bytes(low[i : i + n], "big")
+            counts[((gram + n) * 2654435761 & 0xFFFFFFFF) >> (32 - 12)] += 1
+    norm = np.sqrt(sum(counts.values()))
+    score = lambda w: sum(np.sqrt(c) * w[s] for s, c in counts.items()) / norm + w[-1]
+    family = 0 if model.family_w is None else int(np.argmax([score(model.family_w[:, f]) for f in range(len(model.families))]))
+    votes = dict.fromkeys(model.families[family], 0.0)
+    for k, (a, b) in enumerate(model.pairs):
+        if a in votes and b in votes:
+            m = score(model.pair_w[:, k])
+            votes[a if m >= 0 else b] += 1
+            votes[a] += 1e-3 * np.tanh(m)
+            votes[b] -= 1e-3 * np.tanh(m)
+    return model.languages[max(votes, key=lambda i: (votes[i], -i))]
+
+
+def test_languages_equal_a_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(-1, None, "en"), (-2, "", "en"), (-3, "12 !", "en"), (-4, "x", None), (-4, "der und", None), (None, "le et", None)], docs.schema)
+    model = language_id.train(docs)
+    both = docs.where("doc_id < 60").unionByName(odd)
+    want = sorted((str(r["doc_id"]), plain_language(model, r["text"])) for r in both.collect())
+    assert sorted((str(r["doc_id"]), r["lang_pred"]) for r in language_id.predict(both, model).collect()) == want
+
+
+def test_short_texts_are_taken_few_at_a_time(monkeypatch):
+    seen, keep = [], language_id.features
+    monkeypatch.setattr(language_id, "features", lambda data, offsets, *a: seen.append(len(offsets) - 1) or keep(data, offsets, *a))
+    model = language_id.fit(np.eye(4096, dtype=np.float32)[:8], np.array(["en", "de"] * 4))
+    names, _ = language_id._languages(model, pa.array(["ab"] * 2000))
+    assert len(names) == 2000 and max(seen) <= language_id.SLICE_ROWS
+
+
+def test_an_id_is_learned_from_once(spark):
+    from lumenar.llm.training import one_row_an_id
+
+    rows = spark.createDataFrame([(1, "a")] * 50 + [(1, "b"), (2, "c"), (2, "c")], "doc_id long, text string")
+    got = one_row_an_id(rows, "text").collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 2] == sorted({r["doc_id"] for r in got}) and one_row_an_id(rows.limit(0), "text").count() == 0
+
+
 def sample_text(rng, n=12):
     return ". ".join(" ".join(rng.choice(["red", "blue", "green", "tree", "house", "water", "stone"], 6)) for _ in range(n)) + "."
 

@@ -16,14 +16,26 @@ def test_query_equals_oracle(spark, sf_dir, name):
     assert rows_of_spark(catalog.QUERIES[name](spark, sf_dir)) == rows_of_duckdb(sf_dir, catalog.ORACLES[name])
 
 
+def test_calls_of_turns_have_levels_and_errors(spark, sf_dir):
+    got = catalog.QUERIES["op3_tool_call_linking"](spark, sf_dir).toPandas()
+    assert got.level.max() >= 2 and 0 < (~got.valid).sum() < len(got) and got.errors.str.contains("longer than").any()
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = catalog.QUERIES["op10_language_id"](spark, sf).where("held_out").join(docs, "doc_id")
     assert got.where("lang_pred = lang").count() >= 0.97 * got.count()
-    labels = spark.read.parquet(f"{sf}/labels.parquet")
-    scored = catalog.QUERIES["op9_toxicity"](spark, sf).where("held_out").join(labels, "doc_id")
-    assert scored.where("predicted = toxic").count() >= 0.9 * scored.count()
+
+
+def test_toxic_documents_are_found(spark):
+    """The sf0.1 table holds a few hundred toxic rows to learn from; most held-out ones are found, hardly a clean one is named."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null")
+    scored = catalog.QUERIES["op9_toxicity"](spark, sf).where("held_out").join(labels, "doc_id").toPandas()
+    toxic, named = scored.toxic == 1, scored.predicted == 1
+    assert toxic.sum() >= 30 and (toxic & named).sum() >= 0.75 * toxic.sum() and (~toxic & named).sum() <= 0.01 * (~toxic).sum()
+    assert (toxic & named).sum() >= 0.9 * named.sum()
 
 
 def test_pipeline_equals_its_stages(spark, sf_dir):
