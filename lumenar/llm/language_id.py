@@ -4,7 +4,8 @@ A text is a vector of square roots of hashed byte n-gram counts (lengths 1 to 3,
 lower-cased) of unit length. One linear support vector machine for each family against the
 rest picks the family; within it, one machine for each pair of its languages votes. Both are
 trained on a bounded sample: at most ``per_language`` rows of each language, those with the
-smallest hashes of their ids. Languages that no family of the table lists are families of
+smallest hashes of their ids; of rows that repeat an id one is learned from, that whose text has
+the smallest hash. Languages that no family of the table lists are families of
 their own, so any label can be learned.
 
 Defined results: ``und`` with score 0 for a text that is null or has no letter, and where
@@ -30,13 +31,15 @@ from pyspark.sql import functions as F
 from lumenar.llm.hot_keys import likely_first
 from lumenar.llm.shingles import buffers, slices
 from lumenar.llm.toxicity import held_out
-from lumenar.llm.training import fitted
+from lumenar.llm.training import fitted, one_row_an_id
 from lumenar.storage import table
 
 PER_LANGUAGE = 400
 DIMENSIONS = 4096
 STEPS, RIDGE = 120, 1e-4
 UNKNOWN = "und"
+#: Rows whose features are held at once: 16 MB, however short the texts are.
+SLICE_ROWS = 512
 #: No document of sf0.001 to sf0.1 and check_s scores less (the least were 0.357 and more); 0.25 is a text on the border of both machines.
 LEAST_SCORE = 0.35
 SAMPLE = pa.schema([("lang", pa.string()), ("doc_id", pa.int64()), ("x", pa.list_(pa.float32()))])
@@ -82,16 +85,17 @@ def features(data: np.ndarray, offsets: np.ndarray, dimensions: int = DIMENSIONS
 def _machine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights and bias of a linear support vector machine (squared hinge, classes balanced); y is 1 or -1."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w, before, momentum = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 1.0
+    y = y.astype(x.dtype)  # all in the sample's type, or each step would cast the whole sample
+    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(x.dtype)
+    w, before, momentum = np.zeros(x.shape[1], x.dtype), np.zeros(x.shape[1], x.dtype), 1.0
     step = 1 / (2 * 2.0 + RIDGE)  # rows have squared norm 2
     ahead = w
     for _ in range(STEPS):
         slack = np.maximum(0, 1 - y * (x @ ahead))
-        before, w = w, ahead - step * (RIDGE * ahead - 2 * x.T @ (share * y * slack))
+        before, w = w, ahead - x.dtype.type(step) * (x.dtype.type(RIDGE) * ahead - 2 * (share * y * slack) @ x)
         following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-        ahead, momentum = w + (momentum - 1) / following * (w - before), following
-    return w
+        ahead, momentum = w + x.dtype.type((momentum - 1) / following) * (w - before), float(following)
+    return w.astype(np.float64)
 
 
 def fit(x: np.ndarray, languages: np.ndarray) -> Model:
@@ -115,7 +119,7 @@ def fit(x: np.ndarray, languages: np.ndarray) -> Model:
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """docs: doc_id, text, lang. Rows of the held-out fold are not read."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
+    usable = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
     best = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     # one row a language, as many as the model holds
     counts = usable.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids"))
@@ -125,7 +129,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column(2))
-            for first, last in slices(offsets):
+            for first, last in slices(offsets, most_rows=SLICE_ROWS):
                 x = features(data, offsets[first : last + 1]).astype(np.float32)
                 flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), DIMENSIONS).cast(pa.list_(pa.float32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), flat], SAMPLE.names)
@@ -138,7 +142,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         return fit(x, np.array(got["lang"].to_pylist()))
 
     # at most per_language ids of each language
-    sample = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").select("lang", "doc_id", "text")
+    sample = one_row_an_id(usable.join(F.broadcast(chosen), "doc_id"), "text").select("lang", "doc_id", "text")
     return fitted(sample.mapInArrow(vectors, "lang string, doc_id long, x array<float>"), SAMPLE, learn)
 
 
@@ -182,7 +186,7 @@ def _languages(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     if not model.languages:
         return names.tolist(), score
     known = np.array(model.languages, object)
-    for first, last in slices(offsets):
+    for first, last in slices(offsets, most_rows=SLICE_ROWS):
         bounds = offsets[first : last + 1]
         has = _lettered(data, bounds)
         if has.any():

@@ -53,12 +53,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
-def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``limit`` bytes; a longer text has a range of its own."""
+def slices(offsets: np.ndarray, limit: int = SLICE_BYTES, most_rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``limit`` bytes and at most ``most_rows`` rows; a longer text has a range of its own."""
     first, n = 0, len(offsets) - 1
     while first < n:
         last = int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1
-        last = min(max(last, first + 1), n)
+        last = min(max(last, first + 1), n, first + most_rows)
         yield first, last
         first = last
 

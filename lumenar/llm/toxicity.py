@@ -6,8 +6,11 @@ steps on the noisy-or likelihood, over a bounded sample of labelled rows. Scorin
 over the texts with the weights of the sample's vocabulary; the sentences whose probability
 is high are the offending ones.
 
-Bounds, both parameters: at most ``per_label`` rows of each label are fitted, those with the
-smallest hashes of their ids, and words of fewer than ``least_docs`` of them are ignored.
+Bounds, all parameters: at most ``per_label`` rows of each label are fitted, those with the
+smallest hashes of their ids among texts of at most ``most_bytes`` bytes (of rows that repeat an
+id, that whose text has the smallest hash), and words of fewer than ``least_docs`` of them are
+ignored. How strongly weights are held back (the ridge) is chosen by likelihood on a fold inside
+the learning rows, so a few labels aren't learned by heart.
 
 Defined results: a text that is null or without words has the score of an empty bag, 0; rows
 that repeat a doc_id are scored each; labels that are null are not learned from, of labels
@@ -28,12 +31,15 @@ from pyspark.sql import functions as F
 
 from lumenar.llm.hot_keys import likely_first
 from lumenar.llm.shingles import buffers, hashed_words, slices
-from lumenar.llm.training import fitted
+from lumenar.llm.training import fitted, one_row_an_id
 from lumenar.storage import table
 
 PER_LABEL = 1500
 LEAST_DOCS = 5
-STEPS, RATE, RIDGE = 120, 0.3, 1e-4
+MOST_BYTES = 1 << 18
+STEPS, RATE = 120, 0.3
+RIDGES = (1e-4, 1e-3, 1e-2)
+INNER_FOLDS = 5
 #: Beginnings of words are features as well: inflected forms share them.
 PREFIXES = (4, 5)
 SAMPLE = pa.schema([("label", pa.int32()), ("doc_id", pa.int64()), ("sentence", pa.list_(pa.int32())), ("word", pa.list_(pa.int64()))])
@@ -66,7 +72,7 @@ def _logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit(doc: np.ndarray, sentence: np.ndarray, word: np.ndarray, label: np.ndarray, weight: np.ndarray, least_docs: int = LEAST_DOCS) -> Model:
+def fit(doc: np.ndarray, sentence: np.ndarray, word: np.ndarray, label: np.ndarray, weight: np.ndarray, least_docs: int = LEAST_DOCS, ridges: tuple[float, ...] = RIDGES) -> Model:
     """doc, sentence and word of each token (sentences ascend with docs); label and weight of each doc."""
     names, code = np.unique(word, return_inverse=True)
     code = code.astype(np.int32)
@@ -81,28 +87,48 @@ def fit(doc: np.ndarray, sentence: np.ndarray, word: np.ndarray, label: np.ndarr
     pairs = np.unique(sentence[known] * kinds + renumber[code[known]])
     at, feature = (pairs // kinds).astype(np.int32), (pairs % kinds).astype(np.int32)
     del pairs, known, code
-    params, bias = np.zeros(len(names)), -6.0
     if not (label == 1).any() or not (label == 0).any():
-        return Model(names, params, -12.0)
-    m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
+        return Model(names, np.zeros(len(names)), -12.0)
+    ridge = ridges[0]
+    if len(ridges) > 1 and (label == 1).sum() >= 2 * INNER_FOLDS:
+        inner = np.arange(len(label)) % INNER_FOLDS == 0  # rows come by label, so both labels are in it
+        gain = {}
+        for r in ridges:
+            params, bias = _descended(at, feature, sentence_doc, label, np.where(inner, 0.0, weight), len(names), r)
+            p = np.clip(_bags(at, params[feature], bias, sentence_doc, len(label))[1], 1e-6, 1 - 1e-6)
+            gain[r] = float((weight * np.where(label == 1, np.log1p(-p), np.log(p)))[inner].sum())
+        ridge = max(ridges, key=gain.get)
+    params, bias = _descended(at, feature, sentence_doc, label, weight, len(names), ridge)
+    return Model(names, params, bias)
+
+
+def _bags(at: np.ndarray, weights: np.ndarray, bias: float, sentence_doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """The probability of each sentence, and of each document that none of its sentences is toxic."""
+    p = _logistic(bias + np.bincount(at, weights, len(sentence_doc)))
+    return p, np.exp(np.bincount(sentence_doc, np.log1p(-np.minimum(p, 1 - 1e-12)), docs))
+
+
+def _descended(at: np.ndarray, feature: np.ndarray, sentence_doc: np.ndarray, label: np.ndarray, weight: np.ndarray, words: int, ridge: float) -> tuple[np.ndarray, float]:
+    """Weights and bias after STEPS gradient steps on the weighted likelihood."""
+    params, bias = np.zeros(words), -6.0
+    m, v = np.zeros(words + 1), np.zeros(words + 1)
     total = weight.sum()
     for step in range(1, STEPS + 1):
-        p = _logistic(bias + np.bincount(at, params[feature], n_sentences))
-        none = np.exp(np.bincount(sentence_doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(label)))
+        p, none = _bags(at, params[feature], bias, sentence_doc, len(label))
         ratio = np.where(label == 1, none / np.maximum(1 - none, 1e-9), -1.0) * weight
         slope = ratio[sentence_doc] * p / total
-        grad = np.r_[np.bincount(feature, slope[at], len(names)) - RIDGE * params, slope.sum()]
+        grad = np.r_[np.bincount(feature, slope[at], words) - ridge * params, slope.sum()]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         params, bias = params + move[:-1], bias + move[-1]
-    return Model(names, params, float(bias))
+    return params, float(bias)
 
 
 def held_out(doc_id: Column, folds: int = 5, fold: int = 0) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, least_docs: int = LEAST_DOCS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, least_docs: int = LEAST_DOCS, most_bytes: int = MOST_BYTES) -> Model:
     """Fit on labelled rows outside the held-out fold. docs: doc_id, text; labels: doc_id, toxic."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
@@ -133,7 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, least_
         return fit(doc, np.cumsum(fresh) - 1, word, label, np.where(label == 1, share[1], share[0]), least_docs)
 
     # at most 2 * per_label ids
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "doc_id", "text")
+    short = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes)
+    sample = one_row_an_id(short.join(F.broadcast(chosen), "doc_id"), "text").select("label", "doc_id", "text")
     return fitted(sample.mapInArrow(tokens, "label int, doc_id long, sentence array<int>, word array<long>"), SAMPLE, learn)
 
 

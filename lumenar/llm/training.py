@@ -11,6 +11,7 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def _give_back() -> None:
@@ -21,6 +22,13 @@ def _give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def one_row_an_id(rows: DataFrame, text: str) -> DataFrame:
+    """Of rows that repeat a doc_id that whose text has the smallest hash, combined before the shuffle: an id may be that of a million rows."""
+    least = rows.groupBy("doc_id").agg(F.min(F.xxhash64(text)).alias("_least"))
+    # no more ids than the sample's bound
+    return rows.join(F.broadcast(least), "doc_id").where(F.xxhash64(text) == F.col("_least")).drop("_least").dropDuplicates(["doc_id"])
+
+
 def fitted(sample: DataFrame, schema: pa.Schema, fit: Callable[[pa.Table], Any]) -> Any:
     """``fit`` of the whole sample. The sample's bound is its caller's documented parameter."""
 

@@ -6,10 +6,14 @@ result code, checksum, location, offset and file name before the length). A reco
 are the declared length after its header line, whatever they hold.
 
 Each record becomes a WARC 1.1 record: its identifier is a name-based UUID over file, offset
-and payload digest, its timestamp the ARC date in ISO form, its payload digest the SHA-1 of
-the HTTP body in base32. Of records with equal payloads of at least ``least_bytes`` bytes the
-one with the smallest page id is a response, the others are revisits that keep the HTTP
-headers and refer to it; groups are found from digests, sizes and ids alone.
+and payload digest, its timestamp the ARC date in ISO form, its address the ARC's IP address, its
+payload digest the SHA-1 in base32 of the HTTP body. A version block becomes a warcinfo record; a
+record that is no HTTP message (it doesn't begin with ``HTTP/``) is a resource of the ARC's content
+type, and its payload is all of it. HTTP heads may end their lines with LF alone. Of records of one
+kind with equal payloads of at least ``least_bytes`` bytes the one with the smallest page id is a
+response (or resource), the others are revisits that keep the HTTP headers and refer to it; groups
+are found from digests, sizes and ids alone, and what is known of a hot payload is broadcast, so
+that a payload with a third of all records doesn't meet in one task.
 
 Archives are written by Spark's text writer with the record's trailing bytes as separator,
 gzipped, one per task: the output committer keeps files of lost executors out. They are read
@@ -34,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenar.llm.hot_keys import join_facts, look_up
 from lumenar.storage import new_path, remove, table, written
 
 FETCH_DATE = "20240101000000"
@@ -44,13 +49,21 @@ ARC_FIELDS = {
 CRLF = b"\r\n"
 
 
+def is_http(message: bytes) -> bool:
+    return message.startswith(b"HTTP/")
+
+
 def _payload(message: bytes) -> tuple[bytes, bytes]:
-    head, _, body = message.partition(b"\r\n\r\n")
-    return head, body
+    """Head and body of an HTTP message; any other is all body, a message without a blank line all head."""
+    if not is_http(message):
+        return b"", message
+    ends = [(at, len(gap)) for gap in (b"\r\n\r\n", b"\n\n") if (at := message.find(gap)) >= 0]
+    at, size = min(ends, default=(len(message), 0))
+    return message[:at], message[at + size :]
 
 
 def _header(head: bytes, name: bytes) -> bytes | None:
-    for line in head.split(CRLF):
+    for line in head.splitlines():
         key, sep, value = line.partition(b":")
         if sep and key.strip().lower() == name:
             return value.strip()
@@ -94,8 +107,8 @@ def write_arc(pages: DataFrame, path: str) -> None:
     slim.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
 
 
-def parse_arc(stream: io.BufferedIOBase) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, header fields, record bytes) of each record after the version block."""
+def parse_arc(stream: io.BufferedIOBase, with_version_block: bool = False) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(offset, header fields, record bytes) of each record after the version block, and of that block if asked."""
     fields, offset = None, 0
     while line := stream.readline():
         start, offset = offset, offset + len(line)
@@ -112,6 +125,8 @@ def parse_arc(stream: io.BufferedIOBase) -> Iterator[tuple[int, dict[str, str],
             if version not in ARC_FIELDS:
                 raise ValueError(f"ARC version {version} is not known")
             fields = body.split(b"\n")[1].decode().split(" ")
+            if with_version_block:
+                yield start, dict(zip(fields, values, strict=True)), body
             continue
         if fields is None:
             raise ValueError("the file does not open with a version block")
@@ -131,15 +146,22 @@ def record_id(path: str, offset: int, digest: str) -> str:
     return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{path}#{offset}#{digest}')}"
 
 
-def warc_record(url: str, date: str, ident: str, digest: str, message: bytes, refers_to: str | None) -> bytes:
-    """One WARC record but for the two line ends after it."""
+def warc_record(url: str, date: str, ident: str, digest: str, message: bytes, refers_to: str | None, ip: str = "", content_type: str = "", kind: str = "response") -> bytes:
+    """One WARC record but for the two line ends after it. kind is that of a record that refers to no other."""
     stamp = f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
-    head, _ = _payload(message)
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if refers_to else 'response'}", f"WARC-Record-ID: <{ident}>", f"WARC-Date: {stamp}", f"WARC-Target-URI: {url}"]
-    if refers_to:
-        message = head + b"\r\n\r\n"
-        lines += [f"WARC-Refers-To: <{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-    lines += ["Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{base32_sha1(message)}", f"Content-Length: {len(message)}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if refers_to else kind}", f"WARC-Record-ID: <{ident}>", f"WARC-Date: {stamp}"]
+    if kind == "warcinfo":
+        message = f"software: lumenar\r\nformat: WARC File Format 1.1\r\nisPartOf: {url}\r\n".encode()
+        lines += [f"WARC-Filename: {url}", "Content-Type: application/warc-fields"]
+    else:
+        lines.append(f"WARC-Target-URI: {url}")
+        lines += [f"WARC-IP-Address: {ip}"] if ip not in ("", "-", "0.0.0.0") else []
+        if refers_to:
+            head, _ = _payload(message)
+            message = head + b"\r\n\r\n" if head else b""
+            lines += [f"WARC-Refers-To: <{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines += [f"Content-Type: {'application/http; msgtype=response' if kind == 'response' else content_type or 'application/octet-stream'}", f"WARC-Payload-Digest: sha1:{digest}"]
+    lines += [f"WARC-Block-Digest: sha1:{base32_sha1(message)}", f"Content-Length: {len(message)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + message
 
 
@@ -161,7 +183,7 @@ def parse_warc(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], byte
         yield fields, block
 
 
-ARC_SCHEMA = "path string, offset long, url string, date string, page_id long, digest string, payload_bytes long, message binary"
+ARC_SCHEMA = "path string, offset long, kind string, url string, date string, ip string, content_type string, page_id long, digest string, payload_bytes long, message binary"
 WARC_SCHEMA = "record_id string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to_id string"
 #: Rows are handed on as soon as they have so many bytes.
 BATCH_BYTES = 4 << 20
@@ -189,29 +211,32 @@ def _open(content: bytes) -> io.BufferedIOBase:
 
 
 def read_arc(spark: SparkSession, path: str, with_message: bool = True) -> DataFrame:
-    """One row per ARC record: where it lies, its header, its payload's digest and size, and its bytes if asked."""
+    """One row per ARC record, version blocks too: where it lies, its kind and header, its payload's digest and size, and its bytes if asked."""
     text, number = pa.string(), pa.int64()
-    schema = pa.schema([("path", text), ("offset", number), ("url", text), ("date", text), ("page_id", number), ("digest", text), ("payload_bytes", number), ("message", pa.binary())])
+    schema = pa.schema([("path", text), ("offset", number), ("kind", text), ("url", text), ("date", text), ("ip", text), ("content_type", text), ("page_id", number), ("digest", text), ("payload_bytes", number), ("message", pa.binary())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, int]]:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                for offset, fields, message in parse_arc(_open(content.as_py())):
+                for offset, fields, message in parse_arc(_open(content.as_py()), with_version_block=True):
                     head, payload = _payload(message)
                     page = _header(head, b"x-page-id")
-                    yield [name.as_py(), offset, fields["URL"], fields["Archive-date"], None if page is None else int(page), base32_sha1(payload), len(payload), message if with_message else None], len(message)
+                    kind = "warcinfo" if fields["URL"].startswith("filedesc://") else "response" if is_http(message) else "resource"
+                    told = [fields["URL"].removeprefix("filedesc://") if kind == "warcinfo" else fields["URL"], fields["Archive-date"], fields["IP-address"], fields["Content-type"]]
+                    yield [name.as_py(), offset, kind, *told, None if page is None else int(page), base32_sha1(payload), len(payload), message if with_message else None], len(message)
 
     return _archives(spark, path).mapInArrow(lambda batches: _batches(rows(batches), schema), ARC_SCHEMA)
 
 
 def write_warc(spark: SparkSession, arc_path: str, path: str, least_bytes: int = 0) -> None:
     """Convert ARC files to WARC files: types from the digests alone, then each record with its type."""
-    keys = written(read_arc(spark, arc_path, with_message=False).drop("message"), "arc-records")
+    keys = written(read_arc(spark, arc_path, with_message=False).select("path", "offset", "kind", "page_id", "digest", "payload_bytes"), "arc-records")
     place = F.struct(F.col("page_id").isNull().alias("no_page"), "page_id", "path", "offset")
-    same = ["digest", "payload_bytes"]
-    first = keys.where(F.col("payload_bytes") >= least_bytes).groupBy(*same).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    alike = F.concat_ws(":", "kind", "digest", "payload_bytes").alias("alike")
+    grouped = keys.where((F.col("kind") != "warcinfo") & (F.col("payload_bytes") >= least_bytes)).select("path", "offset", "page_id", alike)
+    first = grouped.groupBy("alike").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     revisits = (
-        keys.join(first, same)
+        join_facts(grouped, first, "alike", "copies", keys.count())
         .where((F.col("first.path") != F.col("path")) | (F.col("first.offset") != F.col("offset")))
         .select("path", "offset", F.col("first.path").alias("of_path"), F.col("first.offset").alias("of_offset"))
     )
@@ -225,7 +250,7 @@ def write_warc(spark: SparkSession, arc_path: str, path: str, least_bytes: int =
                 for r in batch.to_pylist():
                     ident = record_id(r["path"], r["offset"], r["digest"])
                     refers_to = None if r["of_path"] is None else record_id(r["of_path"], r["of_offset"], r["digest"])
-                    yield [warc_record(r["url"], r["date"], ident, r["digest"], r["message"], refers_to)], len(r["message"])
+                    yield [warc_record(r["url"], r["date"], ident, r["digest"], r["message"], refers_to, r["ip"], r["content_type"], r["kind"])], len(r["message"])
 
         yield from _batches(rows(), schema)
 
@@ -233,7 +258,7 @@ def write_warc(spark: SparkSession, arc_path: str, path: str, least_bytes: int =
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """One row per WARC record; a revisit's payload size is the Content-Length of its HTTP headers."""
+    """One row per WARC record but warcinfo; a revisit's payload size is the Content-Length of its HTTP headers, null without one."""
     text, number = pa.string(), pa.int64()
     schema = pa.schema([("record_id", text), ("page_id", number), ("payload_bytes", number), ("payload_digest", text), ("record_type", text), ("refers_to_id", text)])
 
@@ -241,11 +266,14 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(1):
                 for fields, block in parse_warc(_open(content.as_py())):
+                    kind = fields["warc-type"]
+                    if kind == "warcinfo":
+                        continue
                     head, payload = _payload(block)
-                    page, kind = _header(head, b"x-page-id"), fields["warc-type"]
-                    digest = fields["warc-payload-digest"].removeprefix("sha1:")
-                    size = int(_header(head, b"content-length") or 0) if kind == "revisit" else len(payload)
-                    if kind == "response" and base32_sha1(payload) != digest:
+                    page, digest = _header(head, b"x-page-id"), fields["warc-payload-digest"].removeprefix("sha1:")
+                    declared = _header(head, b"content-length")
+                    size = len(payload) if kind != "revisit" else None if declared is None else int(declared)
+                    if kind != "revisit" and base32_sha1(payload) != digest:
                         raise ValueError(f"the payload of {fields['warc-record-id']} does not match its digest")
                     yield [fields["warc-record-id"].strip("<>"), None if page is None else int(page), size, digest, kind, fields.get("warc-refers-to", "").strip("<>") or None], 0
 
@@ -260,8 +288,10 @@ def convert_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     write_warc(spark, arc, warc, least_bytes)
     remove(spark, arc)
     records = written(read_warc(spark, warc), "warc-records")
-    referred = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
-    return records.join(referred, "refers_to_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    remove(spark, warc)
+    referred = records.where("refers_to_id is null").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
+    told = look_up(records, referred, "refers_to_id", records.count(), "left")
+    return told.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
