@@ -6,22 +6,29 @@ lost at any time; a written table survives that, a local checkpoint would not.
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_roots: dict[str, str] = {}
+_LOCAL = re.compile(r"local(\[.*\])?")
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder named by the session, or one of our own where none is set (tests)."""
+    """The shared folder named by the session. Where none is set, a folder of our own if the driver runs all tasks; on a cluster an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not _LOCAL.fullmatch(spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir names no shared folder, and executors don't see each other's disks")
     app = spark.sparkContext.applicationId
     if app not in _own_roots:
         _own_roots[app] = tempfile.mkdtemp(prefix="lumenar-")
+        atexit.register(shutil.rmtree, _own_roots[app], ignore_errors=True)
     return _own_roots[app]
 
 
