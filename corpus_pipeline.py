@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but
 the last return the columns of ``documents``. Both classifiers learn from the rows that
 reach their stage.
+
+Defined results: an empty table gives no sequences. Null, empty and letterless texts are clean
+and have no language, so the language stage drops them, unless nothing was learned and they have
+a letter. Rows that repeat a doc_id are judged each by their text in the first three stages, where
+of equal rows one stays; the near-duplicate stage takes rows of one doc_id for one document. Rows
+with a null doc_id are judged alike, but are nobody's near duplicate. Ties go to the smallest
+doc_id; further columns, whatever their names, are carried to the packing stage.
 """
 
 from __future__ import annotations
@@ -10,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenar.llm import exact_dedup, language_id, minhash, packing, toxicity
-from lumenar.storage import table, written
+from lumenar.storage import remove, table, written_at
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +57,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, older = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs, path = written_at(stage(spark, docs, sf_dir), name)
+        if older:
+            remove(spark, older)  # its successor is written
+        older = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -56,5 +56,21 @@ def remove(spark: SparkSession, *paths: str) -> None:
         target.getFileSystem(conf).delete(target, True)
 
 
+class Scratch:
+    """Intermediate tables that are removed together, once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        out, path = written_at(df, name, **options)
+        self.paths.append(path)
+        return out
+
+    def clear(self) -> None:
+        remove(self.spark, *self.paths)
+        self.paths = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
