@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lumenar.llm.bitmaps import marked_members, maybe_members
 from lumenar.llm.hot_keys import join_facts
-from lumenar.storage import remove, table, written, written_at
+from lumenar.storage import Scratch, remove, table, written, written_at
 
 FAN_IN = 64
 #: Copies of one text that meet in a task for their comparison; larger groups are dealt over more.
@@ -86,12 +86,12 @@ def _possible_hits(docs: DataFrame, index: DataFrame, id_col: str, text_col: str
     return maybe_members(scan, "digest", index.where("copies > 1"), "digest")
 
 
-def _collisions(docs: DataFrame, index: DataFrame, total: int, id_col: str, text_col: str, largest: bool) -> DataFrame:
+def _collisions(docs: DataFrame, index: DataFrame, total: int, id_col: str, text_col: str, largest: bool, scratch: Scratch) -> DataFrame:
     """Byte verification: rows whose bytes differ from those of their group's keeper (none, unless SHA-256 collides)."""
     keeper = F.col("last.doc_id") if largest else F.col("first.doc_id")
     shared = index.where("copies > 1").select("digest", keeper.alias("keep_id"), "copies")
     possible = _possible_hits(docs, index, id_col, text_col)
-    hits = written(join_facts(possible, shared, "digest", "copies", total), "hits")  # read twice: one scan of the texts
+    hits = scratch.written(join_facts(possible, shared, "digest", "copies", total), "hits")  # read twice: one scan of the texts
     hits = hits.withColumn("salts", F.ceil(F.col("copies") / ROWS_A_SALT).cast("int"))
     hits = hits.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.col("salts")).cast("int"))
     kept = hits.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("folded").alias("kept_text"), F.first("salts").alias("salts"))
@@ -110,7 +110,9 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     side = "last" if largest else "first"
     entries = index.select("digest", F.col(side).alias("keeper"), "copies")
     rows = join_facts(digests.select("doc_id", "row_no", "digest"), entries, "digest", "copies", total)
-    clashes = written(_collisions(docs, index, total, id_col, text_col, largest), "clashes")
+    scratch = Scratch(docs.sparkSession)
+    clashes = written(_collisions(docs, index, total, id_col, text_col, largest, scratch), "clashes")
+    scratch.clear()
     if clashes.isEmpty():
         return rows.select(
             "doc_id",

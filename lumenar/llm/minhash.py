@@ -41,7 +41,7 @@ from lumenar.llm.bitmaps import maybe_members
 from lumenar.llm.components import components
 from lumenar.llm.hot_keys import join_facts
 from lumenar.llm.shingles import buffers, mix, shingle_sets, signed, slices
-from lumenar.storage import table, written
+from lumenar.storage import Scratch, table, written
 
 K = 64
 #: Of a full sketch, the share of values that a linked sketch has as well; of a whole small set, the share by the threshold.
@@ -109,11 +109,11 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, SET_SCHEMA)
 
 
-def _rarest(reps: DataFrame, k: int) -> DataFrame:
+def _rarest(reps: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     """(rep, n, v): of each sketch the shared values that must be listed for no link to be missed."""
     values = reps.select("rep", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
     total = reps.agg(F.sum(F.size("sketch"))).first()[0] or 0
-    shared = written(values.groupBy("v").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1"), "shared-values")
+    shared = scratch.written(values.groupBy("v").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1"), "shared-values")
     postings = join_facts(maybe_members(values, "v", shared, "v"), shared, "v", "freq", total)
     mine = Window.partitionBy("rep")
     need = F.when(F.col("m") >= k, F.ceil(F.col("m") * MISS_FULL)).otherwise(F.ceil(F.col("m") * MISS_SMALL))
@@ -225,26 +225,33 @@ def _similar(nu: Column, nv: Column, percent: int) -> Column:
     return 100 * F.least(nu, nv) >= percent * F.greatest(nu, nv)
 
 
-def _hub_links(lists: DataFrame, hubs: DataFrame, members: DataFrame, total: int, percent: int, k: int) -> DataFrame:
+def _hub_links(lists: DataFrame, hubs: DataFrame, members: DataFrame, total: int, percent: int, k: int, scratch: Scratch) -> DataFrame:
     """The links (u, v) of members with the hubs v of their lists."""
-    # a hub's lists often have the same members: copies by the largest list
-    each = hubs.select(F.explode("hubs").alias("hub"), "size").groupBy("hub.rep").agg(F.ceil(F.max("size") / MEMBERS_A_COPY).cast("int").alias("copies"))
-    each = written(each, "hub-copies")
-    met = join_facts(lists, hubs, "v", "size", total).select("rep", "n", F.explode("hubs").alias("hub")).where("rep <> hub.rep").where(_similar(F.col("n"), F.col("hub.n"), percent))
-    pairs = met.select("rep", F.col("hub.rep").alias("hub")).distinct()
-    pairs = pairs.join(members, "rep")
-    spread = each.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).withColumnRenamed("rep", "hub")
-    right = spread.join(members.withColumnsRenamed({"rep": "hub", "n": "hub_n", "sketch": "hub_sketch", "shingles": "hub_shingles"}), "hub")
-    most = each.agg(F.max("copies")).first()[0] or 1
-    # a pair goes to one of its hub's copies; where a hub has fewer than the most, several numbers name one copy
-    number = F.pmod(F.xxhash64("rep"), F.lit(most)).cast("int")
-    right = right.withColumn("number", F.explode(F.sequence(F.col("copy"), F.lit(most - 1), F.col("copies")))) if most > 1 else right.withColumn("number", F.col("copy"))
-    both = pairs.withColumn("number", number).join(right, ["hub", "number"]).where(_likely(F.col("sketch"), F.col("hub_sketch"), k))
+    told = join_facts(lists, hubs, "v", "size", total).withColumn("is_hub", F.exists("hubs", lambda h: h["rep"] == F.col("rep")))
+    met = told.select("rep", "n", "is_hub", F.ceil(F.col("size") / MEMBERS_A_COPY).cast("int").alias("copies"), F.explode("hubs").alias("hub"))
+    met = met.where((F.col("rep") != F.col("hub.rep")) & (~F.col("is_hub") | (F.col("rep") < F.col("hub.rep"))))  # two hubs meet once
+    met = met.where(_similar(F.col("n"), F.col("hub.n"), percent)).select("rep", F.col("hub.rep").alias("hub"), "copies")
+    pairs = scratch.written(met.groupBy("rep", "hub").agg(F.max("copies").alias("copies")), "hub-pairs")
+    # sketches first: most pairs go before any full set is moved
+    near = _met(pairs, members.select("rep", "n", "sketch")).where(_likely(F.col("sketch"), F.col("hub_sketch"), k)).select("rep", "hub", "copies")
+    both = _met(scratch.written(near, "likely-pairs"), members.select("rep", "n", "shingles"))
     both = both.select("rep", "hub", "n", "hub_n", F.size(F.array_intersect("shingles", "hub_shingles")).cast("long").alias("both"))
     return both.where(100 * F.col("both") >= percent * (F.col("n") + F.col("hub_n") - F.col("both"))).select(F.col("rep").alias("u"), F.col("hub").alias("v"))
 
 
-def _between_components(listed: DataFrame, members: DataFrame, percent: int, k: int) -> DataFrame:
+def _met(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """pairs (rep, hub, copies) with the facts of both, those of the hub as ``hub_...``.
+
+    A hub's facts are dealt in as many copies as its largest list asks for; a pair goes to one of
+    the copies that its own lists ask for.
+    """
+    hubs = pairs.groupBy("hub").agg(F.max("copies").alias("most")).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("most") - 1)))
+    right = hubs.select("hub", "copy").join(facts.withColumnsRenamed({c: "hub" if c == "rep" else f"hub_{c}" for c in facts.columns}), "hub")
+    left = pairs.join(facts, "rep").withColumn("copy", F.pmod(F.xxhash64("rep"), F.col("copies")).cast("int"))
+    return left.join(right, ["hub", "copy"])
+
+
+def _between_components(listed: DataFrame, members: DataFrame, percent: int, k: int, scratch: Scratch) -> DataFrame:
     """Links between different labels of each group g of (g, rep, n, label), by pairs of blocks."""
     half = BLOCK_ROWS // 2
     # sizes of linked sets are at most one class apart
@@ -257,7 +264,7 @@ def _between_components(listed: DataFrame, members: DataFrame, percent: int, k:
     placed = sized.join(cells.select("g", "label", "class", "own", "parts"), ["g", "label", "class"])
     part = F.pmod(F.when(F.col("own").isNull(), F.xxhash64("label")).otherwise(F.xxhash64("rep")), F.col("parts")).cast("int")
     placed = placed.select("g", "rep", "label", "class", "own", F.xxhash64("class", "own", part).alias("block"))
-    placed = written(placed, "blocks")
+    placed = scratch.written(placed, "blocks")
     blocks = placed.groupBy("g", "block").agg(F.first("class").alias("class"), F.first("own").alias("own"))
     other = blocks.withColumnsRenamed({"block": "b", "own": "o", "class": "c"})
     pairs = blocks.join(other, "g").where((F.abs(F.col("class") - F.col("c")) <= 1) & F.coalesce(F.col("own") != F.col("o"), F.lit(True)))
@@ -273,31 +280,31 @@ def _between_components(listed: DataFrame, members: DataFrame, percent: int, k:
     return slim.groupBy("g", "bi", "bj").applyInPandas(solve, "u long, w long").withColumnRenamed("w", "v")
 
 
-def _links(docs: DataFrame, reps: DataFrame, words: int, percent: int, k: int) -> DataFrame:
+def _links(docs: DataFrame, reps: DataFrame, words: int, percent: int, k: int, scratch: Scratch) -> DataFrame:
     """Verified links (u, v) between representatives that connect what all links connect."""
-    lists = written(_rarest(reps, k), "postings")
+    lists = scratch.written(_rarest(reps, k, scratch), "postings")
     total = lists.count()
     ends = [end(F.struct(F.xxhash64(F.lit(seed), "rep"), "rep", "n")) for seed in (0, 1) for end in (F.min, F.max)]
     hubs = lists.groupBy("v").agg(F.array_distinct(F.transform(F.array(*ends), lambda x: F.struct(x["rep"].alias("rep"), x["n"].alias("n")))).alias("hubs"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    hubs = written(hubs, "hubs")
+    hubs = scratch.written(hubs, "hubs")
     listed = lists.select("rep").distinct()
 
     wanted = maybe_members(docs, "doc_id", listed, "rep")
     sets = full_sets(wanted, words).groupBy(F.col("doc_id").alias("rep"), "s1", "s2").agg(F.first("shingles").alias("shingles"))
-    members = written(reps.join(sets, ["rep", "s1", "s2"]).select("rep", "n", "sketch", "shingles"), "members")
-    links = written(_hub_links(lists, hubs, members, total, percent, k), "hub-links")
-    stars = written(components(links, "hub-components").withColumnsRenamed({"node": "u", "component": "v"}), "hub-stars")
+    members = scratch.written(reps.join(sets, ["rep", "s1", "s2"]).select("rep", "n", "sketch", "shingles"), "members")
+    links = scratch.written(_hub_links(lists, hubs, members, total, percent, k, scratch), "hub-links")
+    stars = scratch.written(components(links, "hub-components").withColumnsRenamed({"node": "u", "component": "v"}), "hub-stars")
 
     wide = hubs.where(F.col("size") > F.size("hubs") + 1)  # in others, every pair has a hub
     told = join_facts(lists, wide, "v", "size", total).where(~F.exists("hubs", lambda h: h["rep"] == F.col("rep")))
     told = told.join(stars.select(F.col("u").alias("rep"), F.col("v").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    told = written(told.select("v", "rep", "n", "label", F.col("hubs")[0]["rep"].alias("g")), "not-hubs")
+    told = scratch.written(told.select("v", "rep", "n", "label", F.col("hubs")[0]["rep"].alias("g")), "not-hubs")
     still = told.groupBy("v").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("others")).where("low <> high").select("v", "others")
-    still = written(still, "open-lists")
+    still = scratch.written(still, "open-lists")
     if still.isEmpty():
         return stars
     rest = join_facts(told, still, "v", "others", told.count()).select("g", "rep", "n", "label").distinct()
-    return stars.unionByName(_between_components(written(rest, "open-members"), members, percent, k))
+    return stars.unionByName(_between_components(scratch.written(rest, "open-members"), members, percent, k, scratch))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, k: int = K) -> DataFrame:
@@ -309,7 +316,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = ["n", "s1", "s2"]
     some = rows.where("n > 0")
     reps = written(some.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies")), "reps")
-    links = components(_links(slim, reps.where("rep is not null"), words, percent, k), "links")
+    scratch = Scratch(docs.sparkSession)
+    links = components(_links(slim, reps.where("rep is not null"), words, percent, k, scratch), "links")  # reads the links once
+    scratch.clear()
     groups = reps.select(*same, "rep", "copies").join(links.select(F.col("node").alias("rep"), "component"), "rep", "left")
     key = F.concat_ws(":", *same).alias("key")
     groups = groups.select(key, "copies", F.coalesce("component", "rep").alias("component"))

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenar.storage import table, written
+from lumenar.storage import Scratch, table, written
 
 CAPACITY = 2048
 PIECES_A_PARTITION = 40_000
@@ -195,8 +195,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, pieces_a_partition: int =
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """Pieces of every document with the sequence and the offset each is packed at."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = written(token_pieces(slim, path or vocabulary_path(), capacity), "pieces")
-    return pack(pieces, capacity).drop("row")
+    scratch = Scratch(docs.sparkSession)
+    packed = pack(scratch.written(token_pieces(slim, path or vocabulary_path(), capacity), "pieces"), capacity).drop("row")
+    scratch.clear()  # the packed tables hold all of them
+    return packed
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenar.llm.hot_keys import join_facts, look_up
-from lumenar.storage import table, written
+from lumenar.storage import Scratch, table, written
 
 _KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
@@ -164,16 +164,16 @@ def _key(call_id: str) -> Column:
     return F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col(call_id))
 
 
-def _shortened(single: DataFrame, names: int) -> DataFrame:
+def _shortened(single: DataFrame, names: int, scratch: Scratch) -> DataFrame:
     """(key, to, steps) of calls with one reference each: ``to`` is the first call on the way that has none or several, or, on a cycle, one of ``single``."""
-    hops = written(single.withColumn("steps", F.lit(1).cast("long")), "call-hops")
+    hops = scratch.written(single.withColumn("steps", F.lit(1).cast("long")), "call-hops")
     total = hops.count()
     for _ in range(max(1, names).bit_length()):
         if total == 0:
             break
         further = hops.select(F.col("key").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"))
         joined = look_up(hops, further, "to", total, "left")
-        hops = written(joined.select("key", F.coalesce("next", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next").isNotNull().alias("moved")), "call-hops")
+        hops = scratch.written(joined.select("key", F.coalesce("next", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next").isNotNull().alias("moved")), "call-hops")
         moved = hops.where("moved").limit(1).count()
         hops = hops.drop("moved")
         if not moved:
@@ -181,28 +181,28 @@ def _shortened(single: DataFrame, names: int) -> DataFrame:
     return hops
 
 
-def levels_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def levels_of(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, level) of the ``nodes`` (key) that are on no cycle of ``edges`` (key, ref), nor behind one. Edges are distinct; their ends are nodes."""
     counted = edges.groupBy("key").agg(F.count(F.lit(1)).alias("refs"), F.min("ref").alias("to"))
-    counted = written(counted, "call-counts")
+    counted = scratch.written(counted, "call-counts")
     total, names = edges.count(), nodes.count()
-    hops = _shortened(counted.where("refs = 1").select("key", "to"), names)
+    hops = _shortened(counted.where("refs = 1").select("key", "to"), names, scratch)
     # what is left: calls with several references, each to a settled call some steps down
     several = look_up(edges, counted.where("refs > 1").select("key"), "key", total)
     left = look_up(several.withColumnRenamed("ref", "first"), hops.withColumnsRenamed({"key": "first", "steps": "down"}), "first", total, "left")
-    left = written(left.select("key", F.coalesce("to", "first").alias("to"), F.coalesce("down", F.lit(0)).alias("down")), "call-edges")
+    left = scratch.written(left.select("key", F.coalesce("to", "first").alias("to"), F.coalesce("down", F.lit(0)).alias("down")), "call-edges")
     level = F.lit(0).cast("long").alias("level")
-    fresh = written(nodes.join(counted, "key", "left_anti").select("key", level), "call-levels")
+    fresh = scratch.written(nodes.join(counted, "key", "left_anti").select("key", level), "call-levels")
     settled, pending = [fresh], left.count()
     base = left.groupBy("key").agg(F.count(F.lit(1)).alias("open")).withColumn("least", F.lit(0).cast("long"))
-    base = written(base, "call-open") if pending else base
+    base = scratch.written(base, "call-open") if pending else base
     while pending:
         # edges to what was settled last; each counts in one round only
         hits = look_up(left, fresh.withColumnRenamed("key", "to"), "to", pending)
         got = hits.groupBy("key").agg(F.count(F.lit(1)).alias("closed"), F.max(F.col("level") + F.col("down") + 1).alias("high"))
         base = base.join(got, "key", "left").select("key", (F.col("open") - F.coalesce("closed", F.lit(0))).alias("open"), F.greatest("least", F.coalesce("high", F.lit(0))).alias("least"))
-        base = written(base, "call-open")
-        fresh = written(base.where("open = 0").select("key", F.col("least").alias("level")), "call-levels")
+        base = scratch.written(base, "call-open")
+        fresh = scratch.written(base.where("open = 0").select("key", F.col("least").alias("level")), "call-levels")
         if fresh.isEmpty():
             break
         settled.append(fresh)
@@ -224,13 +224,15 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     answers = results.withColumn("key", _key("call_id"))
     asked = checked.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("calls"), F.min("turn").alias("call_turn"))
     told = answers.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("results"), F.min("turn").alias("result_turn"))
-    nodes = written(asked, "call-names")
+    scratch = Scratch(calls.sparkSession)
+    nodes = scratch.written(asked, "call-names")
     refs = checked.where("key is not null").select("conv_id", "key", F.explode("refs").alias("ref_id")).select("key", _key("ref_id").alias("ref")).distinct()
-    refs = written(refs, "call-refs")
-    edges = written(look_up(refs, nodes.select(F.col("key").alias("ref")), "ref", refs.count()).select("key", "ref"), "call-edges")  # to calls that exist
-    levels = levels_of(nodes.select("key"), edges) if not edges.isEmpty() else nodes.select("key", F.lit(0).cast("long").alias("level"))
+    refs = scratch.written(refs, "call-refs")
+    edges = scratch.written(look_up(refs, nodes.select(F.col("key").alias("ref")), "ref", refs.count()).select("key", "ref"), "call-edges")  # to calls that exist
+    levels = levels_of(nodes.select("key"), edges, scratch) if not edges.isEmpty() else nodes.select("key", F.lit(0).cast("long").alias("level"))
     facts = nodes.join(told, "key", "full_outer").join(levels.select("key", F.col("level").cast("int").alias("level")), "key", "left")
     facts = written(facts, "call-facts")
+    scratch.clear()
 
     ask = join_facts(checked, facts.where("calls is not null").select("key", "calls", "result_turn", "level"), "key", "calls", checked.count(), "left")
     level = F.when(F.col("key").isNull() & (F.size("refs") == 0), F.lit(0)).otherwise(F.col("level")).alias("level")

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenar.llm.hot_keys import join_facts, look_up
-from lumenar.storage import new_path, remove, table, written
+from lumenar.storage import Scratch, new_path, remove, table, written
 
 FETCH_DATE = "20240101000000"
 ARC_FIELDS = {
@@ -230,7 +230,8 @@ def read_arc(spark: SparkSession, path: str, with_message: bool = True) -> DataF
 
 def write_warc(spark: SparkSession, arc_path: str, path: str, least_bytes: int = 0) -> None:
     """Convert ARC files to WARC files: types from the digests alone, then each record with its type."""
-    keys = written(read_arc(spark, arc_path, with_message=False).select("path", "offset", "kind", "page_id", "digest", "payload_bytes"), "arc-records")
+    scratch = Scratch(spark)
+    keys = scratch.written(read_arc(spark, arc_path, with_message=False).select("path", "offset", "kind", "page_id", "digest", "payload_bytes"), "arc-records")
     place = F.struct(F.col("page_id").isNull().alias("no_page"), "page_id", "path", "offset")
     alike = F.concat_ws(":", "kind", "digest", "payload_bytes").alias("alike")
     grouped = keys.where((F.col("kind") != "warcinfo") & (F.col("payload_bytes") >= least_bytes)).select("path", "offset", "page_id", alike)
@@ -255,6 +256,7 @@ def write_warc(spark: SparkSession, arc_path: str, path: str, least_bytes: int =
         yield from _batches(rows(), schema)
 
     typed.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    scratch.clear()
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
