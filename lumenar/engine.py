@@ -1,33 +1,33 @@
 """Requests in, answers and their scores out: the engine's public interface.
 
-``extract`` runs a query's plan over documents: filter documents, apply safe predicates through
-an extractor's records, reduce by join keys, assemble relations, answer the SQL. The extractor
-is a function of one's own (documents, schema) -> records; ``ground_truth_extractor`` copies the truth.
+``extract`` runs a query's plan over documents: filter documents, assign them to tables, reject by
+proxies and join keys what the query cannot need, extract the rest table by table, merge the
+records of chunks, reduce them by predicates and keys, answer the SQL. The extractor is a function
+of one's own (documents, schema) -> records; ``ground_truth_extractor`` copies the truth.
 """
 
 from __future__ import annotations
 
 import json
 import logging
-import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, fields
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenar.functions import values as V
-from lumenar.operators import metrics, relational
+from lumenar.operators import adaptive, metrics, relational
 from lumenar.operators.filters import DocumentFilter, NoFilter
-from lumenar.operators.predicates import all_of
 from lumenar.plans import answers
-from lumenar.plans.sqlx import Analysis, Predicate, analyse, table_order
-from lumenar.sources.datasets import Dataset, attribute_names, create_loader, project_schema, records_of
+from lumenar.plans.runtime import Extractor, RuntimeOptions, TableRun, assigned_tables, keeps_all_answers, merged_chunk_records, reduced, run_tables
+from lumenar.plans.sqlx import Analysis, analyse
+from lumenar.sources.datasets import Dataset, attribute_names, create_loader, project_schema, records_of, split_ids
 
-log = logging.getLogger(__name__)
+__all__ = ["Extractor", "RuntimeOptions", "keeps_all_answers", "reduced"]
 
-Extractor = Callable[[DataFrame, list[dict]], DataFrame]
+log = logging.getLogger(__name__)
 
 PROVIDERS: dict[str, Callable[..., Any]] = {}
 _listeners: list[Callable[[dict], None]] = []
@@ -78,6 +78,10 @@ class Config:
     query_ids: list[str] = field(default_factory=list)
     stages: list[str] = field(default_factory=lambda: ["extract", "evaluate"])
     target_recall: float = 0.95
+    proxies: str = "none"
+    vector: str = ""
+    training_documents: int = 0
+    cache: str = ""
     merge: str = "first_non_null"
     output: str = ""
 
@@ -95,6 +99,9 @@ class Config:
             raise ValueError(f"unknown stages: {', '.join(wrong)}")
         if not 0 < out.target_recall <= 1:
             raise ValueError("target_recall is over 0 and at most 1")
+        if out.training_documents < 0:
+            raise ValueError("the number of training documents is not negative")
+        RuntimeOptions(proxies=out.proxies)
         if out.merge not in relational.MERGES:
             raise ValueError(f"unknown merge {out.merge!r}")
         create_loader(out.loader)
@@ -148,86 +155,63 @@ class Extraction:
     records: DataFrame
     required: dict[str, list[str]]
     sql: str
+    runs: list[TableRun] = field(default_factory=list)
 
     def answer(self) -> DataFrame | None:
         return answers.answer(self.records, self.sql, self.required) if self.sql else None
 
 
-def _cell(column: str) -> Column:
-    """The cell as the relational tables hold it."""
-    return V.sql_value(F.try_element_at("data", F.lit(column)))
-
-
-def _key(column: str) -> Column:
-    """Equal for all cells that the tables' columns would join."""
-    cell = _cell(column)
-    return F.coalesce(V.join_value(cell), cell)
-
-
-_LOOKS_NUMERIC = re.compile(r"\s*[+-]?(\d|\.\d)")
-
-
-def keeps_all_answers(p: Predicate) -> bool:
-    """Whether the predicate's cell test, which disregards case and types, passes every row that SQL's passes."""
-    numeric = p.is_numeric
-    if p.operator in ("<", ">", "<=", ">="):
-        return numeric
-    if p.operator == "BETWEEN":
-        return all(isinstance(v, (int, float)) for v in p.value)
-    if p.operator in ("=", "IN", "LIKE"):
-        texts = p.value if p.operator == "IN" else [p.value]
-        return (numeric and p.operator == "=") or all(isinstance(v, str) and not _LOOKS_NUMERIC.match(v.lstrip("%_")) for v in texts)
-    return p.operator == "IS NOT NULL"
-
-
-def reduced(records: DataFrame, plan: Analysis, need: dict[str, list[str]]) -> DataFrame:
-    """Records after safe predicates and semi-joins along the join graph, parents first and then back."""
-    rows = {t: records.where(F.col("table_id") == t) for t in need}
-    for t, ps in plan.safe.items():
-        ps = [p for p in ps if keeps_all_answers(p)]
-        rows[t] = rows[t].where(all_of(ps, {p.attribute: _cell(p.attribute) for p in ps}))
-    order = {t: i for i, t in enumerate(table_order(plan))}
-    for j in sorted(plan.joins, key=lambda j: order[j.child[0]]):
-        (pt, pc), (ct, cc) = j.parent, j.child
-        if pt == ct:
-            continue
-        p, c = rows[pt].withColumn("_k", _key(pc)), rows[ct].withColumn("_k", _key(cc))
-        p, c = relational.reduce_both_ways(p, "_k", c, "_k")
-        rows[pt], rows[ct] = p.drop("_k"), c.drop("_k")
-    out = None
-    for r in rows.values():
-        out = r if out is None else out.unionByName(r)
-    return out
-
-
 _OUTER = {"LEFT", "RIGHT", "FULL"}
 
 
-def extract(data: Dataset, query: dict[str, Any], extractor: Extractor | None = None, document_filter: DocumentFilter | None = None, adapter: StaticSQL | None = None) -> Extraction:
-    """One query over a dataset's documents; the query's own SQL, or the adapter's for its question."""
+def extract(
+    data: Dataset, query: dict[str, Any], extractor: Extractor | None = None, document_filter: DocumentFilter | None = None, adapter: StaticSQL | None = None,
+    options: RuntimeOptions | None = None, merge: str = "first_non_null", assigner: Callable[[DataFrame], DataFrame] | None = None,
+) -> Extraction:
+    """One query over a dataset's documents; the query's own SQL, or the adapter's for its question.
+
+    Documents belong to tables by their metadata, else by the ground truth, else as ``assigner`` tells;
+    without any of these, every document may belong to every table.
+    """
     sql = query["sql"] or (adapter.sql_for(query["question"], data.schema) if adapter else "")
     plan = analyse(sql, columns_by_table(data.schema)) if sql else Analysis()
     need = required_by_table(data, query, plan)
+    options = options or RuntimeOptions()
     emit("extract", query_id=query["query_id"], tables=list(need))
-    docs = (document_filter or NoFilter()).kept(query["query_id"], data.documents)
+    whole = data.documents_with_provenance
+    docs = (document_filter or NoFilter()).kept(query["query_id"], whole if document_filter else data.documents)
     schema = [{**t, "Attributes": [a for a in t["Attributes"] if a["Attribute Name"] in need[t["Schema Name"]]]} for t in data.schema if t["Schema Name"] in need]
-    records = (extractor or ground_truth_extractor(data))(docs, schema)
     words = {t.word for t in answers.tokens(sql)} if sql else set()
     # a table that is referenced twice, an outer join or a set operation needs rows that a reduction would drop
     inner = not (words & _OUTER) and not plan.set_operation and len(set(plan.tables)) == len(plan.tables) and "SELECT" not in _after_first(sql)
+    tables = [t["Schema Name"] for t in schema]
+    provenance = whole.join(docs.select("doc_id"), "doc_id", "left_semi")
+    known = {"schema_tables", "schema_table", "table_id", "source_table"} & set(whole.columns)
+    has_truth = not data.ground_truth.isEmpty()
+    if known or has_truth or assigner:
+        assigned = assigned_tables(provenance, tables, truth=data.ground_truth if has_truth else None, assigner=assigner)
+    else:
+        assigned = docs.select("doc_id", F.explode(F.array(*[F.lit(t) for t in tables])).alias("table_id")) if tables else docs.select("doc_id", F.lit(None).cast("string").alias("table_id"))
+    if options.vector and options.vector not in docs.columns:
+        docs = docs.join(whole.select("doc_id", options.vector), "doc_id")
+    safe = plan if sql and inner else Analysis()
+    truth = records_of(data.ground_truth) if has_truth else None
+    runs = run_tables(docs, assigned, schema, safe, extractor or ground_truth_extractor(data), options, truth, inner)
+    records = reduce(DataFrame.unionByName, [r.records for r in runs]) if runs else data.records().where("false")
+    records = merged_chunk_records(records, provenance, merge)
     records = reduced(records, plan, need) if sql and inner else records.where(F.col("table_id").isin(list(need)))
-    return Extraction(query["query_id"], records, need, sql)
+    return Extraction(query["query_id"], records, need, sql, runs)
 
 
 def _after_first(sql: str) -> list[str]:
     return [t.word for t in answers.tokens(sql)][1:] if sql else []
 
 
-def evaluate(data: Dataset, done: Extraction) -> dict[str, float]:
+def evaluate(data: Dataset, done: Extraction, merge: str = "first_non_null") -> dict[str, float]:
     """Recall and precision of the answer as a multiset; without SQL both are 1."""
     if not done.sql:
         return {"query_id": done.query_id, "recall": 1.0, "precision": 1.0, "truth_rows": 0, "predicted_rows": 0}
-    truth = answers.answer(records_of(data.ground_truth), done.sql, done.required)
+    truth = answers.answer(merged_chunk_records(records_of(data.ground_truth), data.documents_with_provenance, merge), done.sql, done.required)
     row = metrics.answer_bags(truth, done.answer()).first().asDict()
     emit("evaluate", query_id=done.query_id, **row)
     return {"query_id": done.query_id, **{k: row[k] for k in ("recall", "precision", "truth_rows", "predicted_rows")}}
@@ -239,19 +223,71 @@ def run_request(spark: SparkSession, documents: Any, schema: Any, queries: Any,
     return {q["query_id"]: extract(data, q, extractor) for q in data.queries}
 
 
-def run(spark: SparkSession, config: Config, extractor: Extractor | None = None) -> list[dict[str, float]]:
-    """The configured stages over the configured dataset. Records are written under ``output``, one folder per query."""
+def run(spark: SparkSession, config: Config, extractor: Extractor | None = None, processor: Callable[[DataFrame], DataFrame] | None = None) -> list[dict[str, float]]:
+    """The configured stages over the configured dataset, each writing under ``output``.
+
+    ``preprocess`` discovers the general schema with ``processor`` (documents -> cells of tables and
+    columns), ``refine`` fits a schema to each query, ``extract`` writes records, ``evaluate`` scores
+    them. The first two need a processor; by default it reads the ground truth.
+    """
     data = create_loader(config.loader)(spark, config.root)
-    reports = []
+    process = processor or truth_processor(data)
+    general: adaptive.Schema = {}
+    reports: list[dict[str, float]] = []
+    if "preprocess" in config.stages:
+        general = preprocess(data, process)
+        write_json(spark, general, f"{config.output}/schema_general") if config.output else None
+    training = split_ids(data.documents, config.training_documents, "prefix", pos_col="doc_pos").where("split = 'train'").select("doc_id") if config.training_documents else None
+    options = RuntimeOptions(target_recall=config.target_recall, proxies=config.proxies, vector=config.vector or None, training=training, cache=config.cache or None, namespace=config.root)
     for q in select_queries(data, config.query_ids):
-        done = extract(data, q, extractor)
+        if "refine" in config.stages:
+            schema = refine(data, q, process, general or columns_by_table(data.schema))
+            write_json(spark, schema, f"{config.output}/{q['query_id']}/schema") if config.output else None
+            reports += [] if "extract" in config.stages or "evaluate" in config.stages else [{"query_id": q["query_id"], "tables": len(schema)}]
+        if not {"extract", "evaluate"} & set(config.stages):
+            continue
+        done = extract(data, q, extractor, options=options, merge=config.merge)
         if "extract" in config.stages and config.output:
             done.records.write.mode("overwrite").parquet(f"{config.output}/{q['query_id']}/records")
         if "evaluate" in config.stages:
-            reports.append(evaluate(data, done))
+            reports.append(evaluate(data, done, config.merge))
     return reports
 
 
+def truth_processor(data: Dataset) -> Callable[[DataFrame], DataFrame]:
+    """documents -> (doc_id, table_id, column_name) of their ground truth."""
+    return lambda docs: data.ground_truth.join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", "table_id", "column_name")
+
+
+def preprocess(data: Dataset, process: Callable[[DataFrame], DataFrame], rule: adaptive.EntropyRule | None = None) -> adaptive.Schema:
+    """The general schema of the documents, read in batches until it holds still."""
+    return adaptive.discover(data.documents, process, rule).schema
+
+
+def refine(data: Dataset, query: dict[str, Any], process: Callable[[DataFrame], DataFrame], general: adaptive.Schema, document_filter: DocumentFilter | None = None, rule: adaptive.EntropyRule | None = None) -> adaptive.Schema:
+    """The general schema cut to one query: documents that the filter keeps are read in order, and what they show of the query's tables and columns stays."""
+    need = columns_by_table(project_schema(data.schema, query))
+    docs = renumbered((document_filter or NoFilter()).kept(query["query_id"], data.documents))
+
+    def wanted(schema: adaptive.Schema, batch: DataFrame) -> adaptive.Schema:
+        seen = adaptive.schema_of(process(batch))
+        fits = {t: [a for a in attributes if a in need.get(t, [])] for t, attributes in seen.items() if t in need}
+        return adaptive.folded(schema, {t: a for t, a in fits.items() if t in general})
+
+    return adaptive.tailored(docs.withColumn("_order", -F.col("doc_pos")), {}, wanted, "_order", rule).schema
+
+
+def renumbered(docs: DataFrame) -> DataFrame:
+    """Kept documents with positions from 0, in the order of the old ones: counted by ranges, so no task sees them all."""
+    old = docs.withColumnRenamed("doc_pos", "_old")
+    places = adaptive.batched(old, 1, "_old").select(F.col("at.k").alias("doc_id"), F.col("batch").cast("long").alias("doc_pos"))
+    return old.drop("_old").join(places, "doc_id")
+
+
+def write_json(spark: SparkSession, value: object, path: str) -> None:
+    spark.createDataFrame([(json.dumps(value, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def output_columns(query: dict[str, Any]) -> list[str]:
     return attribute_names(query["output_columns"])
 

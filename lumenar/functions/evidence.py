@@ -3,21 +3,22 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+import unicodedata
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lumenar.functions.values import NUMBER_WORDS
+from lumenar.functions.values import NUMBER_WORDS, coerce_number
 
 _NUMBER = re.compile(r"(?<![\w.])-?\$?\d+(?:,\d{3})*(?:\.\d+)?%?")
-_WORD_NUMBER = r"(?P<num>\d+(?:,\d{3})*(?:\.\d+)?|" + "|".join(NUMBER_WORDS) + ")"
 _DENIED_BEFORE = re.compile(r"\b(?:no|not|never|without|lack of)\b")
-_DENIED_AFTER = re.compile(r"^\s*(?:status|membership)?\s*[:=-]?\s*(?:no|false|0)\b")
 
-# Phrases that assert an attribute which is false unless the text says so.
+# What denies an attribute after its phrase, and the phrases that assert an attribute which is false unless the text says so.
+_DENIED_AFTER = re.compile(r"^\s*(?:status|membership)?\s*[:=-]?\s*(?:no|false|0)\b")
 PHRASES = {
     "dropped_in_rank": (r"\bdropped in rank\b", r"\bdrop in rank\b", r"\bdecline(?:d)? (?:of \d+ places? )?in (?:its )?rank\b", r"\bmoved down\b"),
     "gained_in_rank": (r"\bgain(?:ed)? in rank\b", r"\bimproved (?:its )?rank\b", r"\bmoved up\b", r"\brise in (?:the )?rank(?:ing)?\b", r"\bupward trajectory\b"),
@@ -43,18 +44,66 @@ PHRASES = {
 }
 #: The numeric attribute whose sign decides, where it is known.
 SIGNS = {"dropped_in_rank": ("change_in_rank", -1), "gained_in_rank": ("change_in_rank", 1), "is_profitable": ("profits_m", 1)}
-#: What stands before or after the number in question, by attribute.
+
+# What stands around the number in question, by attribute; ``num`` is that number.
+_COUNT = r"(?P<num>\d+(?:,\d{3})*|no|none|zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve)"
+_AMOUNT = r"(?P<num>\d+(?:,\d{3})*(?:\.\d+)?)"
+_PUPILS = r"(?:students|seniors|learners|graduates|pupils)"
+_TOOK = r"(?:participated|took|take|taken|taking|undertook|opted|sat)"
+_HOW = r"(?:a|an|solid|commendable|impressive|slightly|higher|lower|notably|better|strong|respectable)"
 PARSERS = {
-    "height": (rf"{_WORD_NUMBER}\s*(?:centimeters|centimetres|cm)\b",),
-    "weight": (rf"{_WORD_NUMBER}\s*(?:pounds|lbs?)\b",),
-    "overall_rating": (rf"\boverall rating (?:of|is|stands at|at)\s+{_WORD_NUMBER}", rf"\brated\s+{_WORD_NUMBER}\s+overall\b"),
-    "potential": (rf"\bpotential (?:rating )?(?:of|is|at)\s+{_WORD_NUMBER}",),
-    "aggression": (rf"\baggression (?:rating |score |level )?(?:of|is|at)\s+{_WORD_NUMBER}",),
-    "num_tst_takr": (rf"{_WORD_NUMBER}\s+(?:students|seniors|learners|pupils|test[- ]takers)\s+(?:took|taking|sat)", rf"\b(?:taken by|took by)\s+{_WORD_NUMBER}\b"),
-    "num_ge1500": (rf"{_WORD_NUMBER}\s+(?:students|seniors|learners|graduates|pupils)?[^.]*?(?:scored|achieved)[^.]*?(?:above|over|more than|exceeding|at least)\s+1500\b",),
-    "average_score": (rf"\baverage(?: score)?(?: of)?\s+{_WORD_NUMBER}",),
+    "num_tst_takr": (
+        rf"{_COUNT}\s+{_PUPILS}?\s*(?:who\s+)?(?:have\s+|had\s+)?{_TOOK}\b[^.]*\b(?:sat|test)",
+        rf"{_COUNT}\s+of\s+(?:these\s+)?{_PUPILS}\s+(?:have\s+|had\s+)?{_TOOK}\b[^.]*\b(?:sat|test)",
+        rf"a total of\s+{_COUNT}\s+{_PUPILS}\s+(?:have\s+|had\s+)?{_TOOK}\b[^.]*\b(?:sat|test)",
+        rf"\bsat[^.]*?(?:taken|took|participated)\s+by\s+{_COUNT}\s+{_PUPILS}",
+    ),
+    "num_ge1500": (
+        rf"{_COUNT}\s+{_PUPILS}?[^.]*?(?:scored|achieved|surpassed|surpassing)[^.]*?(?:above|over|more than|exceeding)\s+1500",
+        rf"{_COUNT}\s+{_PUPILS}?[^.]*?1500",
+        rf"(?:above|over|more than|exceeding)\s+1500[^.]*?{_COUNT}\s+{_PUPILS}",
+    ),
+    "height": (
+        rf"\bheight\s+(?:of|at|is|was)\s+{_AMOUNT}\s+(?:centimeters|centimetres|cm)\b",
+        rf"\b(?:standing|stands|stood)\s+(?:tall\s+)?(?:at\s+)?(?:(?:an?|the)\s+)?(?:impressive|sturdy|notable|remarkable)?\s*(?:height\s+of\s+)?{_AMOUNT}\s+(?:centimeters|centimetres|cm)\b",
+    ),
+    "weight": (
+        rf"\bweighing\s+in\s+at\s+{_AMOUNT}\s+(?:pounds|lbs?|lb)\b",
+        rf"\bweighing\s+{_AMOUNT}\s+(?:pounds|lbs?|lb)\b",
+        rf"\bweighs\s+(?:in\s+)?(?:at\s+)?{_AMOUNT}\s+(?:pounds|lbs?|lb)\b",
+        rf"\bweight\s+(?:of|at|is|was)\s+{_AMOUNT}\s+(?:pounds|lbs?|lb)\b",
+        rf"\bat\s+(?:(?:an?|the)\s+)?(?:sturdy|solid|listed|recorded)?\s*weight\s+of\s+{_AMOUNT}\s+(?:pounds|lbs?|lb)\b",
+    ),
+    "overall_rating": (
+        rf"\boverall\s+(?:performance\s+)?rating\s+(?:of|at|is|was|to)?\s+{_AMOUNT}\b",
+        rf"\breceived\s+an?\s+overall\s+(?:performance\s+)?rating\s+of\s+{_AMOUNT}\b",
+        rf"\brecorded\s+with\s+an?\s+overall\s+(?:performance\s+)?rating\s+of\s+{_AMOUNT}\b",
+    ),
+    "potential": (
+        rf"\bpotential\s+rating\s+(?:of|at|is|was|soaring\s+to)?\s+{_AMOUNT}\b",
+        rf"\bpotential\s+to\s+reach\s+(?:an?\s+)?(?:impressive\s+)?(?:future\s+)?(?:score|rating)\s+of\s+{_AMOUNT}\b",
+    ),
+    "aggression": (
+        rf"\baggression\s+level\s+(?:of|at|is|was)?\s+{_AMOUNT}\b",
+        rf"\blevel\s+of\s+aggression\s+(?:rated\s+)?(?:of|at|is|was)?\s+{_AMOUNT}\b",
+        rf"\baggression\s*,?\s+standing\s+at\s+{_AMOUNT}\b",
+        rf"\baggression\s*\(\s*{_AMOUNT}\s*\)",
+        rf"\baggression\s+rated\s+(?:of|at)?\s+{_AMOUNT}\b",
+    ),
     "year": (r"\b(?P<num>(?:19|20)\d{2})\b",),
 }
+#: The words for each average score, and what stands around it: TERM is one of them.
+SCORES = {"avg_scr_math": ("math", "mathematics"), "avg_scr_read": ("reading", "read"), "avg_scr_write": ("writing", "write")}
+AVERAGE_OF_TERM = (
+    rf"(?:average\s+)?TERM\s+(?:score|average)\s*(?:was|is|of|at|reached|sitting at|stood at|slightly higher at|lower at)?\s*(?:{_HOW}\s+)*{_AMOUNT}",
+    rf"TERM\s+(?:reaching\s+an\s+average\s+of|at)\s*(?:{_HOW}\s+)*{_AMOUNT}",
+    rf"TERM\s+averag(?:e|ing|ed)\s*(?:score\s*)?(?:of|was|at|reached|to)?\s*(?:{_HOW}\s+)*{_AMOUNT}",
+    rf"TERM\s*,?[^.;]{{0,80}}?\b(?:average(?:d)?|score)\b[^.;]{{0,45}}?\b(?:of|was|at|reached|with a score of|to)?\s*(?:{_HOW}\s+)*{_AMOUNT}",
+    rf"\b(?:average\s+scores?|average)\b[^.;]{{0,90}}?{_AMOUNT}\s+in\s+TERM\b",
+)
+#: That nobody, or a quarter of those counted before, reached 1500.
+NOBODY_OVER_1500 = rf"\b(?:no|none)\s+{_PUPILS}?[^.]*?(?:scored|achieved)[^.]*?(?:above|over|more than|exceeding)\s+1500"
+QUARTER_OVER_1500 = r"\ba quarter of (?:these|the)\s+(?:test-takers|students|seniors|learners|graduates|pupils)[^.]*?(?:scored|achieved|excelled)[^.]*?1500"
 
 
 def number_of(token: str) -> float | None:
@@ -123,17 +172,94 @@ def nearby_numbers(text: Column, attribute: str, radius: int = 90) -> Column:
     return run(text)
 
 
-def parsed_numbers(text: str | None, attribute: str) -> list[float]:
-    """Numbers that the attribute's own parser finds; attributes without one have none."""
-    text = (text or "").lower()
-    tokens = [m.group("num") for p in PARSERS.get(attribute.lower(), ()) for m in re.finditer(p, text)]
+#: An extension: phrasings with a unit that are looked for where the patterns above find nothing, if asked.
+COMMON = {"height": (rf"{_AMOUNT}\s*(?:centimeters|centimetres|cm)\b",), "weight": (rf"{_AMOUNT}\s*(?:pounds|lbs?)\b",)}
+
+
+def _matched(text: str, patterns: tuple[str, ...]) -> list[float]:
+    tokens = [m.group("num") for p in patterns for m in re.finditer(p, text)]
     return [v for v in map(number_of, tokens) if v is not None]
 
 
+def _quarters(text: str) -> list[float]:
+    """A quarter of the test takers counted last before each mention, else of the last number in the 120 characters before it."""
+    found = []
+    for m in re.finditer(QUARTER_OVER_1500, text):
+        counted = _matched(text[: m.start()], PARSERS["num_tst_takr"])
+        if not counted:
+            near = [number_of(n.group()) for n in _NUMBER.finditer(text[max(0, m.start() - 120) : m.start()])]
+            counted = [n for n in near if n is not None]
+        found += [counted[-1] / 4] if counted else []
+    return found
+
+
+def parsed_numbers(text: str | None, attribute: str, common: bool = True) -> list[float]:
+    """Numbers that the attribute's own parser finds, pattern by pattern; attributes without one have none."""
+    text, attribute = (text or "").lower(), attribute.lower()
+    if attribute in SCORES:
+        return [v for term in SCORES[attribute] for v in _matched(text, tuple(p.replace("TERM", term) for p in AVERAGE_OF_TERM))]
+    found = _matched(text, PARSERS.get(attribute, ()))
+    if attribute == "num_ge1500":
+        found += [0.0] if re.search(NOBODY_OVER_1500, text) else []
+        found += _quarters(text)
+    return found if found or not common else _matched(text, COMMON.get(attribute, ()))
+
+
+def has_parser(attribute: str) -> bool:
+    return attribute.lower() in PARSERS or attribute.lower() in SCORES
+
+
+def row_id_numbers(source_row_id: Column, row_id: Column, parent_doc_id: Column) -> Column:
+    """The numbers by which a document names its row: its row ids, and what follows the last dash of its parent's id."""
+    suffix = F.element_at(F.split(parent_doc_id.cast("string"), "-"), -1)
+    return F.filter(F.transform(F.array(source_row_id.cast("string"), row_id.cast("string"), suffix), coerce_number), lambda x: x.isNotNull())
+
+
+def loosely_equal(left: str | None, right: str | None) -> bool:
+    """Equal as JSON values, else as texts of one Unicode form without case and outer blanks."""
+    if left is None or right is None:
+        return left is right
+    try:
+        if json.loads(left) == json.loads(right):
+            return True
+    except (ValueError, RecursionError):
+        pass
+    plain = [unicodedata.normalize("NFKC", x).strip().lower() for x in (left, right)]
+    return plain[0] == plain[1]
+
+
+def span_of_tokens(span: list[int], tokens: list[int], taken: tuple[tuple[int, int], ...] = ()) -> tuple[int, int] | None:
+    """The first place (start, end) of a run of token ids that overlaps no taken one."""
+    n = len(span)
+    for at in range(len(tokens) - n + 1) if n else ():
+        if tokens[at : at + n] == span and all(at + n <= a or at >= b for a, b in taken):
+            return at, at + n
+    return None
+
+
+def span_of_text(text: str, pieces: list[str], taken: tuple[tuple[int, int], ...] = ()) -> tuple[int, int] | None:
+    """The first run of pieces whose letters and digits, joined, are the text's; it overlaps no taken one."""
+    letters = lambda x: re.sub(r"[\W_]+", "", unicodedata.normalize("NFKC", x)).lower()
+    wanted, plain = letters(text), [letters(p) for p in pieces]
+    for at in range(len(plain)):
+        joined = ""
+        for end in range(at, len(plain)):
+            joined += plain[end]
+            if not wanted.startswith(joined):
+                break
+            if wanted and joined == wanted and plain[at]:
+                if all(end + 1 <= a or at >= b for a, b in taken):
+                    return at, end + 1
+                break
+    return None
+
+
 def explicit_numbers(text: Column, attribute: str) -> Column:
+    """``parsed_numbers`` by the fixed patterns alone."""
+
     @F.pandas_udf("array<double>")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: parsed_numbers(t, attribute))
+        return texts.map(lambda t: parsed_numbers(t, attribute, common=False))
 
     return run(text)
 
@@ -159,16 +285,21 @@ def hash_embedding(text: Column, dimensions: int = 256) -> Column:
 # Where a company's text tells its updated market value and its ticker.
 MARKET_VALUE = (
     r"(?i)(?:updated figures? of|updated (?:market )?(?:cap(?:italization)?|value) of)\s*(?:approximately\s*)?\$?([\d,]+(?:\.\d+)?)\s*(billion|million|m|bn)?",
+    r"(?i)(?:market (?:cap(?:italization)?|value)[^.]{0,120}?as of June 4, 2024[^$0-9]{0,40})\$?([\d,]+(?:\.\d+)?)\s*(billion|million|m|bn)?",
     r"(?i)\$?([\d,]+(?:\.\d+)?)\s*(billion|million|m|bn)?[^.]{0,80}as of June 4, 2024",
+    r"(?i)(?:minor increase|slight adjustment|adjustment|increase|update)\s+to\s+\$?([\d,]+(?:\.\d+)?)\s*(billion|million|m|bn)?[^.]{0,80}\bupdated figures?\b",
+    r"(?i)\$?([\d,]+(?:\.\d+)?)\s*(billion|million|m|bn)?[^.]{0,80}\bupdated figures?\b",
 )
 TICKER = (
     r"\bticker symbol\s*(?:of|is|:)?\s*[\"']?([A-Z][A-Z0-9.\-]{0,9})[\"']?\b",
     r"\b(?:NYSE|Nasdaq|NASDAQ)\s+ticker\s*[:=-]?\s*([A-Z][A-Z0-9.\-]{0,9})\b",
+    r"\b(?:listed|operates|traded) under (?:the )?ticker(?: symbol)?\s*[\"']?([A-Z][A-Z0-9.\-]{0,9})[\"']?\b",
     r"\btraded under (?:the )?symbol\s*[\"']?([A-Z][A-Z0-9.\-]{0,9})[\"']?\b",
 )
 
 
 def market_value_millions(text: Column) -> Column:
+    """The amount of the first pattern that tells one, billions as thousands of millions."""
     found = []
     for p in MARKET_VALUE:
         amount = F.regexp_replace(F.regexp_extract(text, p, 1), ",", "").try_cast("double")
@@ -176,6 +307,12 @@ def market_value_millions(text: Column) -> Column:
     return F.coalesce(*found)
 
 
+def market_value_text(text: Column) -> Column:
+    """``market_value_millions`` as a cell: whole amounts without a fraction."""
+    amount = market_value_millions(text)
+    return F.when(amount == F.floor(amount), amount.cast("decimal(38,0)").cast("string")).otherwise(amount.cast("string"))
+
+
 def ticker(text: Column) -> Column:
     found = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in TICKER]
     return F.regexp_replace(F.coalesce(*found), r"[.,;:)]+$", "")

@@ -132,6 +132,11 @@ def schema_of(cells: DataFrame) -> Schema:
     return out
 
 
+def schema_rows(cells: DataFrame) -> DataFrame:
+    """(table_id, attributes): the union of what was seen of each table, sorted."""
+    return cells.groupBy("table_id").agg(F.sort_array(F.collect_set("column_name")).alias("attributes"))
+
+
 def frequent_tables(assigned: DataFrame, more_than: int = 5) -> DataFrame:
     """Tables assigned in more than ``more_than`` documents."""
     return assigned.groupBy("table_id").agg(F.countDistinct("doc_id").alias("docs")).where(F.col("docs") > more_than)
@@ -189,13 +194,13 @@ class Discovery:
     entropies: list[float] = field(default_factory=list)
 
 
-def discover(docs: DataFrame, process: Callable[[DataFrame], DataFrame], rule: EntropyRule | None = None, size: int = 100, order: str = "doc_pos") -> Discovery:
-    """Read batches in order until the rule stops. process: documents -> cells (doc_id, table_id, column_name)."""
+def discover(docs: DataFrame, process: Callable[[DataFrame], DataFrame], rule: EntropyRule | None = None, size: int = 100, order: str = "doc_pos", features: Callable[[Schema], set[str]] = features_of) -> Discovery:
+    """Read batches in order until the rule stops. process: documents -> cells (doc_id, table_id, column_name); features: what counts as a change."""
     rule = rule or EntropyRule()
     out = Discovery({})
     for batch, n in _in_order(docs, size, order):
         out.schema = folded(out.schema, schema_of(process(batch)))
-        out.stopped = rule.see(features_of(out.schema), n)
+        out.stopped = rule.see(features(out.schema), n)
         out.batches, out.documents, out.entropies = out.batches + 1, out.documents + n, rule.entropies
         if out.stopped:
             break

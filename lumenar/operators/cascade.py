@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenar.functions.values import safe_ratio
+from lumenar.operators import ranks
 
 
 @dataclass
@@ -79,24 +80,51 @@ def conformal_level(n: int, alpha: float) -> float:
 def conformal_threshold(scores: DataFrame, column: str, alpha: float, default: float = 0.0) -> DataFrame:
     """n and the linearly interpolated quantile of non-conformity scores at ceil((n + 1)(1 - alpha)) / n."""
     n = scores.where(F.col(column).isNotNull()).count()
-    if not n:
-        return scores.sparkSession.createDataFrame([(0, default)], "n long, threshold double")
-    return scores.agg(F.count(column).alias("n"), F.percentile(column, F.lit(conformal_level(n, alpha))).alias("threshold"))
+    threshold = ranks.quantile(scores, column, conformal_level(n, alpha), n) if n else default
+    return scores.sparkSession.createDataFrame([(n, threshold)], "n long, threshold double")
 
 
 def similarity_threshold(scores: DataFrame, column: str, alpha: float) -> DataFrame:
-    negative = scores.select((-F.col(column)).alias("nc"))
+    """The conformal threshold of similarities: their negatives are the non-conformity scores."""
+    negative = scores.select(nonconformity(F.col(column)).alias("nc"))
     return conformal_threshold(negative, "nc", alpha).withColumn("threshold", -F.col("threshold"))
 
 
+def nonconformity(similarity: Column) -> Column:
+    return -similarity
+
+
+def positive_quantile(scores: DataFrame, column: str, label: str, target: float, default: float = 0.0) -> float:
+    """The quantile 1 - target of the scores of rows with label 1."""
+    positives = scores.where((F.col(label) == 1) & F.col(column).isNotNull())
+    n = positives.count()
+    return ranks.quantile(positives, column, 1 - target, n) if n else default
+
+
 def recall_threshold(scores: DataFrame, column: str, target: float, empty: float = 0.01) -> float:
     """Just below the score that a share ``target`` of positives reaches, not below 0."""
     n = scores.where(F.col(column).isNotNull()).count()
     if not n:
         return empty
     at = min(math.floor((1 - target) * n + 1e-9), n - 1)
-    row = scores.where(F.col(column).isNotNull()).orderBy(column).offset(at).limit(1).first()
-    return max(0.0, float(np.nextafter(row[column], -np.inf)))
+    (value,) = ranks.order_statistics(scores, column, [at])
+    return max(0.0, float(np.nextafter(value, -np.inf)))
+
+
+def ordering_summary(proxies: list[Proxy]) -> dict[str, float]:
+    """How many proxies there are, their mean cost and pass rate."""
+    n = len(proxies)
+    return {"proxies": n, "avg_cost": sum(p.cost for p in proxies) / n if n else 0.0, "avg_pass_rate": sum(p.pass_rate for p in proxies) / n if n else 0.0}
+
+
+def decide(row: dict, proxies: list[Callable[[dict], float]], thresholds: list[float]) -> tuple[bool, list[tuple[int, float]]]:
+    """One document in the caller's process: whether it passes, and the scores up to the first that rejects it."""
+    seen = []
+    for i, (score, least) in enumerate(zip(proxies, thresholds, strict=True)):
+        seen.append((i, float(score(row))))
+        if seen[-1][1] < least:
+            return False, seen
+    return True, seen
 
 
 def budget(alpha: float) -> float:
@@ -132,6 +160,42 @@ def allocate(stages: list[str], grid: list[float], target_recall: float, cost: C
         steps.append((s, grid[level[s]], now))
 
 
+@dataclass
+class AlphaPlan:
+    alphas: dict[str, float]
+    cost: float
+    steps: list[tuple[str, float, float]]
+    calibrated: bool = False
+
+
+def alpha_plan(stages: list[str], grid: list[float], target_recall: float, cost: Callable[[dict[str, float]], float], predicate_stage: str | None = None, answer_recall: Callable[[float], float] | None = None) -> AlphaPlan:
+    """A query's alphas: greedy by savings per budget, the budget left over for the predicate stage, then that stage's alpha by what answers it gives.
+
+    ``answer_recall`` measures the recall of the answers for a predicate alpha; of those of the grid
+    that the budget allows, the one closest to the target counts, at or above it first, then the smaller.
+    """
+    alphas, spent, steps = allocate(stages, grid, target_recall, cost)
+    if predicate_stage is None:
+        return AlphaPlan(alphas, spent, steps)
+    alphas = fill_leftover(alphas, predicate_stage, target_recall)
+    if answer_recall is None:
+        return AlphaPlan(alphas, float(cost(alphas)), steps)
+    tried = sorted({a for a in grid if a <= alphas[predicate_stage] + 1e-12} | {alphas[predicate_stage]})
+    best = closest_alpha([(a, answer_recall(a)) for a in tried], target_recall)
+    alphas = {**alphas, predicate_stage: best}
+    return AlphaPlan(alphas, float(cost(alphas)), steps, True)
+
+
+def surviving_documents(docs: DataFrame, doc_score: Column, doc_alpha: float, predicate_score: Column, predicate_alpha: float) -> int:
+    """The cost of two alphas: documents whose scores are over the quantiles that the alphas give up at both stages."""
+    scored = docs.select(doc_score.alias("d"), predicate_score.alias("p"))
+    cuts = {}
+    for name, alpha in (("d", doc_alpha), ("p", predicate_alpha)):
+        n = scored.where(F.col(name).isNotNull()).count()
+        cuts[name] = ranks.order_statistics(scored, name, [min(math.floor(alpha * n + 1e-9), n - 1)])[0] if n and alpha > 0 else -math.inf
+    return scored.where((F.col("d") >= cuts["d"]) & (F.col("p") >= cuts["p"])).count()
+
+
 def fill_leftover(alphas: dict[str, float], stage: str, target_recall: float) -> dict[str, float]:
     left = -math.log(max(target_recall, 1e-12)) - sum(budget(a) for s, a in alphas.items() if s != stage)
     return {**alphas, stage: max(alphas[stage], 1 - math.exp(-max(left, 0.0)))}

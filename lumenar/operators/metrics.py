@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenar.functions.values import canonical_cell, is_null_eval, safe_ratio, values_equal
+from lumenar.operators.ranks import running_sum
 
 
 def answer_bags(truth: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -60,10 +61,10 @@ def confusion(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
 
 
 def roc_auc(rows: DataFrame, truth: str, score: str) -> DataFrame:
-    """Area under the curve from counts per distinct score: no global ranking of rows."""
+    """Area under the curve from counts per distinct score and their running sums: no global ranking of rows."""
     by = rows.groupBy(score).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) != 1).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return by.withColumn("won", F.col("pos") * (below + F.col("neg") / 2)).agg(safe_ratio(F.sum("won"), F.sum("pos") * F.sum("neg")).alias("auc"))
+    placed = running_sum(by, [F.col(score)], "neg", "below", before=True)
+    return placed.withColumn("won", F.col("pos") * (F.col("below") + F.col("neg") / 2)).agg(safe_ratio(F.sum("won"), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
 def votes(scores: list[Column], how: str = "hard", threshold: float = 0.5) -> Column:
@@ -85,6 +86,35 @@ def majority_error(rows: DataFrame, truth: str, voters: list[str]) -> DataFrame:
     return rows.agg(F.avg(sum(wrong) / len(wrong)).alias("mean_error"), F.avg(sum(pairs) / len(pairs)).alias("disagreement"), F.avg((sum(wrong) * 2 > len(wrong)).cast("int")).alias("majority_error"))
 
 
+def voting_error(rows: DataFrame, truth: str, voters: list[str], k: int = 3, of_label: int | None = None) -> DataFrame:
+    """``error``: the estimated error of a majority of k voters, from the errors and disagreements of three.
+
+    With mean error e, mean disagreement d, the error rate eps of disagreeing pairs over 2 e, and
+    eta = P(most are wrong) / E(share wrong squared): eta (e + 3 (k - 1) / (2 k) (eps e - d / 2)).
+    ``of_label`` keeps rows of that truth only. No rows, or no errors, give 0.
+    """
+    if len(voters) != 3:
+        raise ValueError("the estimate needs three voters")
+    if of_label is not None:
+        rows = rows.where(F.col(truth) == of_label)
+    wrong = [(F.col(v) != F.col(truth)).cast("double") for v in voters]
+    pairs = [(0, 1), (0, 2), (1, 2)]
+    apart = [(F.col(voters[a]) != F.col(voters[b])).cast("double") for a, b in pairs]
+    share = sum(wrong) / 3
+    told = rows.agg(
+        F.avg(share).alias("e"), F.avg(sum(apart) / 3).alias("d"), F.avg(sum((wrong[a] + wrong[b]) * x for (a, b), x in zip(pairs, apart, strict=True)) / 9).alias("s"),
+        F.avg((share > 0.5).cast("double")).alias("most"), F.avg(share * share).alias("square"),
+    )
+    eps, eta = safe_ratio(F.col("s"), 2 * F.col("e")), safe_ratio(F.col("most"), F.col("square"))
+    return told.select(F.coalesce(eta * (F.col("e") + 3 * (k - 1) / (2 * k) * (eps * F.col("e") - 0.5 * F.col("d"))), F.lit(0.0)).alias("error"))
+
+
+def voting_error_of_positives(rows: DataFrame, truth: str, voters: list[str], k: int = 3) -> DataFrame:
+    """``error``: the error of a majority on rows of truth 1 times their share, to four digits."""
+    share = rows.agg(F.avg((F.col(truth) == 1).cast("double")).alias("share"))
+    return voting_error(rows, truth, voters, k, of_label=1).crossJoin(share).select(F.round(F.col("error") * F.coalesce("share", F.lit(0.0)), 4).alias("error"))  # a row each
+
+
 def chernoff_bound(n: int, p: float) -> float:
     if not 0 < p < 1:
         return 0.0
@@ -148,6 +178,76 @@ def attribute_accuracy(truth: DataFrame, predicted: DataFrame, keys: list[str],
     return out.withColumn("accuracy", safe_ratio(F.col("correct"), F.col("total")))
 
 
+def semantic_accuracy(truth: DataFrame, predicted: DataFrame, judge: Callable[[Column, Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(per attribute, per document) accuracy of whole records. Both: doc_id, table_id (null: none), data.
+
+    Values that match strictly are right; a judge decides on other pairs of values. A document is
+    right if its table is and all its attributes are; one without a table is right if none was said.
+    """
+    said = predicted.select("doc_id", F.col("table_id").alias("said_table"), F.col("data").alias("said"))
+    both = truth.join(said, "doc_id", "left").withColumn("_none", is_null_eval(F.col("table_id")))
+    right_table = F.coalesce(F.col("said_table") == F.col("table_id"), F.lit(False))
+    cells = both.where("not _none").select("doc_id", "table_id", F.explode("data").alias("column_name", "value"), "said")
+    got = F.try_element_at("said", F.col("column_name"))
+    strict = F.coalesce(values_equal(got, F.col("value")), F.lit(False))
+    unsure = ~strict & ~is_null_eval(got) & ~is_null_eval(F.col("value"))
+    agreed = unsure & F.coalesce(judge(got, F.col("value")), F.lit(False)) if judge else F.lit(False)
+    cells = cells.withColumn("_right", strict | agreed).withColumn("_judged", unsure if judge else F.lit(False))
+    attributes = cells.groupBy("table_id", "column_name").agg(F.count(F.lit(1)).alias("total"), F.count_if("_right").alias("correct"), F.count_if("_judged").alias("judged"))
+    attributes = attributes.withColumn("accuracy", safe_ratio(F.col("correct"), F.col("total")))
+    wrong = cells.groupBy("doc_id").agg(F.count_if(~F.col("_right")).alias("_wrong"))
+    documents = both.join(wrong, "doc_id", "left")
+    final = F.when(F.col("_none"), is_null_eval(F.col("said_table"))).otherwise(right_table & (F.coalesce("_wrong", F.lit(0)) == 0))
+    return attributes, documents.select("doc_id", F.when(F.col("_none"), is_null_eval(F.col("said_table"))).otherwise(right_table).alias("table_right"), F.coalesce("_wrong", F.lit(0)).alias("wrong"), final.alias("right"))
+
+
+def query_recall(matched: DataFrame, truth: DataFrame, predicted: DataFrame, required: dict[str, list[str]]) -> DataFrame:
+    """tables and cells that a query needs: covered, total, missing, wrong or mismatched, and whether it can be answered.
+
+    matched: ``relational.match_records``; truth cells that are null count for nothing. A record
+    without a match is missing if its document has no predicted record at all, else wrong.
+    """
+    names = F.lit(None).cast("array<string>")
+    for table, columns in required.items():
+        names = F.when(F.col("table_id") == table, F.array(*[F.lit(c) for c in columns]).cast("array<string>")).otherwise(names)
+    any_said = predicted.select("doc_id").distinct().withColumn("_any", F.lit(True))
+    keys = ["doc_id", "table_id", "record_id"]
+    rows = matched.where(F.col("table_id").isin(list(required))).join(truth.select(*keys, "data"), keys).join(any_said, "doc_id", "left")
+    said = predicted.select("doc_id", "table_id", F.col("record_id").alias("predicted_id"), F.col("data").alias("said"))
+    rows = rows.join(said, ["doc_id", "table_id", "predicted_id"], "left")
+    found = F.col("predicted_id").isNotNull()
+    cells = rows.select(found.alias("_found"), "said", "data", F.explode(names).alias("c")).select("_found", F.try_element_at("data", F.col("c")).alias("want"), F.try_element_at("said", F.col("c")).alias("got")).where(~is_null_eval(F.col("want")))
+    equal = F.col("_found") & F.coalesce(values_equal(F.col("got"), F.col("want")), F.lit(False))
+    c = cells.agg(F.count(F.lit(1)).alias("cells_total"), F.count_if(equal).alias("cells_covered"), F.count_if(~equal & is_null_eval(F.col("got"))).alias("cells_missing"), F.count_if(~equal & ~is_null_eval(F.col("got"))).alias("cells_mismatched"))
+    t = rows.agg(F.count(F.lit(1)).alias("tables_total"), F.count_if(found).alias("tables_covered"), F.count_if(~found & F.col("_any").isNull()).alias("tables_missing"), F.count_if(~found & F.col("_any").isNotNull()).alias("tables_wrong"))
+    both = t.crossJoin(c)  # a row each
+    both = both.withColumn("table_recall", safe_ratio(F.col("tables_covered"), F.col("tables_total"), 1.0)).withColumn("cell_recall", safe_ratio(F.col("cells_covered"), F.col("cells_total"), 1.0))
+    return both.withColumn("can_answer_query", (F.col("tables_covered") == F.col("tables_total")) & (F.col("cells_covered") == F.col("cells_total")))
+
+
+def token_savings(savings_of_stages: DataFrame, usage: DataFrame) -> DataFrame:
+    """stage, calls_saved, tokens_saved: saved calls times the stage's mean tokens a call, or the mean of all stages where it has none. usage: stage, calls, total_tokens."""
+    each = usage.groupBy("stage").agg((F.sum("total_tokens") / F.sum("calls")).alias("_mean"))
+    overall = usage.agg((F.sum("total_tokens") / F.sum("calls")).alias("_all"))
+    joined = savings_of_stages.join(each, "stage", "left").crossJoin(overall)  # one row
+    return joined.select("stage", "calls_saved", (F.col("calls_saved") * F.coalesce("_mean", "_all", F.lit(0.0))).alias("tokens_saved"))
+
+
+def usage_by(log: DataFrame, *by: str) -> DataFrame:
+    """Calls, prompt, completion and total tokens of usage rows by the given columns; null text keys are ``unattributed``, rows without tokens are counted."""
+    kinds_of = dict(log.select(*by).dtypes)
+    keys = [(F.coalesce(F.col(b), F.lit("unattributed")) if kinds_of[b.split(".")[-1]] == "string" else F.col(b)).alias(b.split(".")[-1]) for b in by]
+    kinds = ("prompt_tokens", "completion_tokens", "total_tokens")
+    return log.groupBy(*keys).agg(F.count(F.lit(1)).alias("calls"), *[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in kinds], F.count_if(F.col("total_tokens").isNull()).alias("without_tokens"))
+
+
+def cross_stage_cost(refinement_docs: int, extraction_docs: int, baseline_docs: int) -> dict[str, float]:
+    """Documents read by schema refinement and extraction together, and what that saves of the baseline, not below 0."""
+    total = refinement_docs + extraction_docs
+    saved = max(0, baseline_docs - total)
+    return {"documents": total, "saved": saved, "saved_rate": saved / baseline_docs if baseline_docs else 1.0}
+
+
 def set_counts(found: DataFrame, gold: DataFrame) -> DataFrame:
     """tp, fp, fn of two frames as sets of rows."""
     f, g = found.distinct().withColumn("_f", F.lit(1)), gold.distinct().withColumn("_g", F.lit(1))

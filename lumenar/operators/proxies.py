@@ -10,12 +10,12 @@ from abc import ABC, abstractmethod
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenar.functions import evidence
 from lumenar.functions import values as V
-from lumenar.operators import cascade
+from lumenar.operators import cascade, ranks
 from lumenar.operators.cascade import Proxy
 from lumenar.operators.predicates import all_of
 from lumenar.plans.sqlx import Predicate
@@ -50,7 +50,8 @@ class HeuristicProxy(PredicateProxy):
 
     In order: documents on the reject list score -1, those on the pass list and attributes that
     pass through score 1; a row id is compared with the document's own; text is sought as a
-    substring; numbers are sought near the attribute's words. Without evidence: 0.5.
+    substring; numbers are what the attribute's own parser finds or, if it has none, what stands near
+    its words. Without evidence: 0.5.
     """
 
     def __init__(self, p: Predicate, text: str = "doc_text", doc_id: str = "doc_id", row_id: str | None = None, rejected: tuple[str, ...] = (), passed: tuple[str, ...] = (), through: tuple[str, ...] = ()) -> None:
@@ -66,7 +67,7 @@ class HeuristicProxy(PredicateProxy):
             wanted = V.like_contains(text, p.value) if p.operator == "LIKE" else V.contains_value(text, F.lit(p.value))
             return F.when(wanted, 1.0).otherwise(0.0)
         if isinstance(p.value, (int, float)) and p.operator in ("=", "!=", "<>", "<", "<=", ">", ">="):
-            numbers = evidence.nearby_numbers(text, p.attribute)
+            numbers = evidence.explicit_numbers(text, p.attribute) if evidence.has_parser(p.attribute) else evidence.nearby_numbers(text, p.attribute)
             return cascade.heuristic_score(text, numbers, F.exists(numbers, lambda v: V.satisfies(v.cast("string"), p.operator, p.value)))
         return F.lit(0.5)
 
@@ -169,9 +170,9 @@ def conformal_centres(calibration: DataFrame, scores: list[str], wrong: str, alp
     """
     cells = calibration.groupBy(*scores).agg(F.count_if(F.col(wrong) == 0).alias("right"), F.count_if(F.col(wrong) != 0).alias("faults"))
     n = calibration.count()
-    order = Window.orderBy((F.col("faults") + F.col("right")) / F.col("right"), F.desc("right"), *scores).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("right").over(order), F.lit(0))  # one row per distinct vector, not per document
-    return cells.where("right > 0").withColumn("_before", before).where(F.col("_before") < math.ceil((1 - alpha) * (n + 1))).drop("_before")
+    order = [(F.col("faults") + F.col("right")) / F.col("right"), -F.col("right"), *map(F.col, scores)]
+    placed = ranks.running_sum(cells.where("right > 0"), order, "right", "_before", before=True)
+    return placed.where(F.col("_before") < math.ceil((1 - alpha) * (n + 1))).drop("_before")
 
 
 def nearest_centre(rows: DataFrame, cells: DataFrame, chosen: DataFrame, scores: list[str], key: str, most: int = 10_000) -> DataFrame:

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenar.functions.values import is_none_value, join_value, membership_key
+from lumenar.functions.values import decimal_value, is_none_value, is_null_eval, join_value, membership_key, normal_text
 
 
 def key_values(rows: DataFrame, key: str) -> DataFrame:
@@ -88,7 +88,7 @@ def chunked_parents(docs: DataFrame, parent: str = "parent_doc_id") -> DataFrame
 
 
 def merged_row_id(record_id: Column, parent: Column, doc_id: Column, index: Column, several: Column) -> Column:
-    return F.coalesce(record_id, F.when(several, F.concat_ws("#", parent.cast("string"), index.cast("string"))), parent, doc_id)
+    return F.coalesce(record_id.cast("string"), F.when(several, F.concat_ws("#", parent.cast("string"), index.cast("string"))), parent.cast("string"), doc_id.cast("string"))
 
 
 def active_records(records: Column) -> Column:
@@ -103,26 +103,80 @@ def updated_record(records: Column, index: int, attribute: str, value: Column) -
     )
 
 
-def match_records(predicted: DataFrame, truth: DataFrame) -> DataFrame:
+def match_records(predicted: DataFrame, truth: DataFrame, required: dict[str, list[str]] | None = None) -> DataFrame:
     """Greedy one-to-one matching within a document and table, truth in order, each taking the free prediction with most equal cells.
 
-    Both: doc_id, table_id, record_id, data map. A document's records are one task's group; their number is what one text can hold.
+    Both: doc_id, table_id, record_id, data map. With ``required``, cells of a table's required
+    columns count, equal as values are (numbers, blanks, case), and of equally good predictions
+    the one with more known cells is taken; without it, all of the truth's cells count, equal as
+    texts. A document's records are one task's group; their number is what one text can hold.
     """
 
+    def cells_of(rows: DataFrame) -> DataFrame:
+        """data as comparable texts: what values_equal takes for equal is one text, nulls are left out."""
+        if required is None:
+            return rows.select("doc_id", "table_id", "record_id", "data")
+        same = lambda v: F.coalesce(F.concat(F.lit("n:"), decimal_value(v).cast("string")), F.concat(F.lit("t:"), normal_text(v)))
+        known = F.map_filter("data", lambda _, v: ~is_null_eval(v))
+        return rows.select("doc_id", "table_id", "record_id", F.transform_values(known, lambda _, v: same(v)).alias("data"))
+
     def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         free, rows = list(left.sort_values("record_id").itertuples()), []
         for t in right.sort_values("record_id").itertuples():
             cells = dict(t.data)
-            scored = [(sum(dict(p.data).get(k) == v for k, v in cells.items()), -i) for i, p in enumerate(free)]
+            wanted = cells if required is None else required.get(t.table_id, [])
+            scored = []
+            for i, p in enumerate(free):
+                said = dict(p.data)
+                equal = sum(said.get(k) == cells.get(k) for k in wanted)  # two nulls are equal
+                scored.append((equal, 0 if required is None else sum(k in said for k in wanted), -i))
             if scored:
-                most, at = max(scored)
+                most, _, at = max(scored)
                 rows.append((t.doc_id, t.table_id, t.record_id, free.pop(-at).record_id, most))
             else:
                 rows.append((t.doc_id, t.table_id, t.record_id, None, 0))
         return pd.DataFrame(rows, columns=["doc_id", "table_id", "record_id", "predicted_id", "equal_cells"])
 
     keys = ["doc_id", "table_id"]
-    return predicted.groupBy(*keys).cogroup(truth.groupBy(*keys)).applyInPandas(solve, "doc_id string, table_id string, record_id string, predicted_id string, equal_cells long")
+    return cells_of(predicted).groupBy(*keys).cogroup(cells_of(truth).groupBy(*keys)).applyInPandas(solve, "doc_id string, table_id string, record_id string, predicted_id string, equal_cells long")
+
+
+def joined_documents(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner", where: Column | None = None, most_rows: int | None = None) -> DataFrame | None:
+    """``documents``: distinct documents of either side that take part in a join of two record tables (doc_id and columns each).
+
+    Columns of the sides are ``l`` and ``r`` structs in ``where``. None if the join would have no
+    rows, or more than ``most_rows``: its size is counted from the keys first.
+    """
+    l = left.select(F.struct(*left.columns).alias("l"), join_value(F.col(left_key)).alias("k"))  # noqa: E741
+    r = right.select(F.struct(*right.columns).alias("r"), join_value(F.col(right_key)).alias("k"))
+    if most_rows is not None:
+        rows = estimated_join_rows(l.where("k is not null"), r.where("k is not null"), "k").first()["rows"]
+        if not 0 < rows <= most_rows:
+            return None
+    both = l.join(r, "k", how)
+    if where is not None:
+        both = both.where(where)
+    ids = both.select(F.explode(F.array_compact(F.array(F.col("l.doc_id").cast("string"), F.col("r.doc_id").cast("string")))).alias("id"))
+    return ids.agg(F.countDistinct("id").alias("documents"))
+
+
+def grouped_records(documents: DataFrame, records: DataFrame) -> DataFrame:
+    """Records without chunk merging, one for each row id of a table; of equal row ids the last document's record stays.
+
+    documents: doc_id, parent_doc_id, doc_pos; records: doc_id, table_id, record_id, data. The row id is the
+    record's, else its parent and place where a document has several, else the parent or document.
+    """
+    rows = records.join(documents.select("doc_id", "parent_doc_id", "doc_pos"), "doc_id")
+    mine = Window.partitionBy("doc_id", "table_id")
+    rows = rows.withColumn("_i", F.row_number().over(mine.orderBy("record_id")) - 1).withColumn("_n", F.count(F.lit(1)).over(mine))
+    given = F.when(F.col("record_id") != "0", F.col("record_id"))
+    rows = rows.withColumn("row_id", merged_row_id(given, F.coalesce("parent_doc_id", "doc_id"), F.col("doc_id"), F.col("_i"), F.col("_n") > 1))
+    return rows.groupBy("table_id", "row_id").agg(F.max_by(F.struct("doc_id", "data"), F.struct("doc_pos", "_i")).alias("_last")).select("table_id", "row_id", "_last.doc_id", "_last.data")
+
+
+def row_id_of_document(source_row_id: Column, parent: Column) -> Column:
+    """The document's own row id, else what follows the last dash of its parent's id."""
+    return F.coalesce(source_row_id.cast("string"), F.nullif(F.regexp_extract(parent.cast("string"), r"-([^-]*)$", 1), F.lit("")))
 
 
 def oversample(rows: DataFrame, label: str, order: str) -> DataFrame:

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenar.functions import values as V
-from lumenar.plans.sqlx import _ENDS, _SETS, Token, _depths, quote, table_references, tokens
+from lumenar.operators.predicates import all_of
+from lumenar.plans.sqlx import _ENDS, _SETS, Predicate, Token, _depths, quote, table_references, tokens
 from lumenar.sources.datasets import relation
 
 Required = dict[str, list[str]]
@@ -163,6 +164,11 @@ def answer_references(records: DataFrame, sql: str, required: Required) -> DataF
     return wide.select(F.explode(rows).alias("r")).select("r.*").where("doc_id is not null").distinct()
 
 
+def post_query_output(rows: DataFrame, predicates: list[Predicate], output: list[str]) -> DataFrame:
+    """Rows that satisfy all predicates, with their output columns, where all of these are known."""
+    return rows.where(all_of(predicates)).select(*output).dropna()
+
+
 def required_records(records: DataFrame, required: Required, references: DataFrame | None = None) -> DataFrame:
     """The ground truth records an evaluation asks for: those of the answer, or all of the required tables."""
     kept = records.where(F.col("table_id").isin(list(required)))

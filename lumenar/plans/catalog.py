@@ -1,42 +1,23 @@
-"""Registry of the engine's queries over the driver tables and their DuckDB oracles.
-
-``@query(sql)`` registers a function of (spark, sf_dir); ``sql`` is the oracle, or None
-where SQL has no form of the query.
-"""
+"""The engine's queries over the driver tables and their DuckDB oracles; ``catalog_runtime`` holds more of them."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenar.functions import evidence
 from lumenar.functions import values as V
-from lumenar.operators import adaptive, cascade, curation, filters, metrics, proxies, relational, similarity
+from lumenar.operators import adaptive, cascade, curation, filters, metrics, proxies, ranks, relational, similarity
 from lumenar.operators.predicates import all_of, compile_predicate
-from lumenar.plans import answers
+from lumenar.plans import answers, runtime
+from lumenar.plans.registry import ORACLES, QUERIES, query
 from lumenar.plans.sqlx import Predicate, analyse, table_order
 from lumenar.sources import datasets, sinks
-from lumenar.storage import table
+from lumenar.storage import table, written
 from lumenar.streaming import windows
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None, name: str | None = None):
-    def register(f: Callable[[SparkSession, str], DataFrame]):
-        key = name or f.__name__
-        QUERIES[key] = f
-        if sql:
-            ORACLES[key] = sql
-        return f
-
-    return register
-
-
 # --- sources ---------------------------------------------------------------------------
 
 
@@ -72,7 +53,7 @@ def provenance_single_table_flag(s, d):
 
 @query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
 def contract_orphan_ids(s, d):
-    return table(s, d, "labels").join(table(s, d, "documents").where("lang = 'en'"), "doc_id", "left_anti").select("doc_id")
+    return datasets.orphans(table(s, d, "labels"), table(s, d, "documents").where("lang = 'en'"), "doc_id")
 
 
 @query("SELECT p_partkey, trim(regexp_replace(lower(regexp_replace(p_name, '[^A-Za-z0-9]+', '_', 'g')), '^_+|_+$', '', 'g')) AS ident FROM part")
@@ -149,7 +130,7 @@ def rowsafe_pushdown_equivalence(s, d):
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE lower(o_orderpriority) = '1-urgent' AND o_totalprice IS NOT NULL")
 def post_query_output(s, d):
-    return table(s, d, "orders").where(compile_predicate(Predicate("o_orderpriority", "=", "1-URGENT"), F.col("o_orderpriority"))).select("o_orderkey", "o_totalprice").dropna()
+    return answers.post_query_output(table(s, d, "orders"), [Predicate("o_orderpriority", "=", "1-URGENT")], ["o_orderkey", "o_totalprice"])
 
 
 FLAG_SQL = "SELECT c.c_name, o.o_orderkey FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey WHERE c.c_mktsegment = 'BUILDING' AND o.o_orderstatus = 'F'"
@@ -175,36 +156,40 @@ def flagship_extract_join_answer(s, d):
     return s.sql(re.sub(r"\b(customer|orders)\b", r"flag_\1", FLAG_SQL))
 
 
-# --- plain SQL over the tables: joins, sets, groups ------------------------------------
+# --- SQL over tables of records: joins, sets, groups -----------------------------------
 
 
-def _same_sql(name: str, sql: str, *tables: str) -> None:
-    """A query whose text both engines run."""
+def table_records(s: SparkSession, d: str, columns: dict[str, list[str]]) -> DataFrame:
+    """The tables' rows as records of text cells, a document each."""
+    out = None
+    for t, names in columns.items():
+        data = F.map_from_arrays(F.array(*[F.lit(c) for c in names]), F.array(*[F.col(c).cast("string") for c in names]))
+        place = F.monotonically_increasing_id().cast("string")
+        rows = table(s, d, t).select(F.concat_ws("-", F.lit(t), place).alias("doc_id"), F.lit(t).alias("table_id"), place.alias("record_id"), data.alias("data"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
-    def run(s: SparkSession, d: str) -> DataFrame:
-        text = sql
-        for t in tables:
-            table(s, d, t).createOrReplaceTempView(f"src_{t}")
-            text = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 src_{t}", text)
-        return s.sql(text)
 
-    query(sql, name)(run)
+def _answered(name: str, sql: str, **columns: str) -> None:
+    """A query whose tables are assembled from records of text, typed by their values, before Spark answers its SQL."""
+    need = {t: c.split() for t, c in columns.items()}
+    query(sql, name)(lambda s, d: answers.answer(table_records(s, d, need), sql, need))
 
 
 for _how in ("INNER", "LEFT", "RIGHT", "FULL"):
-    _same_sql(f"join_{_how.lower()}", f"SELECT c_custkey, o_orderkey FROM customer {_how} JOIN orders ON c_custkey = o_custkey AND o_totalprice > 200000", "customer", "orders")
-_same_sql("join_cross", "SELECT n_name, r_name FROM nation CROSS JOIN region", "nation", "region")
-_same_sql("join_in_subquery", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)", "customer", "orders")
-_same_sql("join_three_way", "SELECT r_name, n_name, c_name FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON n_nationkey = c_nationkey", "region", "nation", "customer")
-_same_sql("sql_group_having", "SELECT o_custkey, count(*) AS n, max(o_totalprice) AS most FROM orders GROUP BY o_custkey HAVING count(*) > 12", "orders")
-_same_sql("sql_count_distinct", "SELECT l_suppkey, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY l_suppkey HAVING count(DISTINCT l_partkey) > 3", "lineitem")
-_same_sql("sql_avg_cast", "SELECT p_brand, round(avg(CAST(p_size AS DOUBLE)), 4) AS size FROM part GROUP BY p_brand", "part")
-_same_sql("sql_column_comparison", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_discount < l_tax AND l_quantity < 10", "lineitem")
-_same_sql("orderby_limit_tiebreak", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey ORDER BY n DESC, o_custkey LIMIT 10", "orders")
-_same_sql("set_union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier", "customer", "supplier")
-_same_sql("set_intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier", "customer", "supplier")
-_same_sql("set_except", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier", "nation", "supplier")
-_same_sql("set_except_all", "SELECT o_custkey AS k FROM orders EXCEPT ALL SELECT c_custkey FROM customer", "orders", "customer")
+    _answered(f"join_{_how.lower()}", f"SELECT c_custkey, o_orderkey FROM customer {_how} JOIN orders ON c_custkey = o_custkey AND o_totalprice > 200000", customer="c_custkey", orders="o_orderkey o_custkey o_totalprice")
+_answered("join_cross", "SELECT n_name, r_name FROM nation CROSS JOIN region", nation="n_name", region="r_name")
+_answered("join_in_subquery", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)", customer="c_custkey", orders="o_custkey o_totalprice")
+_answered("join_three_way", "SELECT r_name, n_name, c_name FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON n_nationkey = c_nationkey", region="r_regionkey r_name", nation="n_nationkey n_regionkey n_name", customer="c_nationkey c_name")
+_answered("sql_group_having", "SELECT o_custkey, count(*) AS n, max(o_totalprice) AS most FROM orders GROUP BY o_custkey HAVING count(*) > 12", orders="o_custkey o_totalprice")
+_answered("sql_count_distinct", "SELECT l_suppkey, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY l_suppkey HAVING count(DISTINCT l_partkey) > 3", lineitem="l_suppkey l_partkey")
+_answered("sql_avg_cast", "SELECT p_brand, round(avg(CAST(p_size AS DOUBLE)), 4) AS size FROM part GROUP BY p_brand", part="p_brand p_size")
+_answered("sql_column_comparison", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_discount < l_tax AND l_quantity < 10", lineitem="l_orderkey l_linenumber l_discount l_tax l_quantity")
+_answered("orderby_limit_tiebreak", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey ORDER BY n DESC, o_custkey LIMIT 10", orders="o_custkey")
+_answered("set_union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier", customer="c_nationkey", supplier="s_nationkey")
+_answered("set_intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier", customer="c_nationkey", supplier="s_nationkey")
+_answered("set_except", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier", nation="n_nationkey", supplier="s_nationkey")
+_answered("set_except_all", "SELECT o_custkey AS k FROM orders EXCEPT ALL SELECT c_custkey FROM customer", orders="o_custkey", customer="c_custkey")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
@@ -219,7 +204,7 @@ def join_semi_reverse(s, d):
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def join_anti(s, d):
-    return table(s, d, "customer").join(table(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return datasets.orphans(table(s, d, "customer"), table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS key FROM orders WHERE o_totalprice > 250000")
@@ -448,14 +433,19 @@ def hard_negatives(s, d):
     return cascade.hard_negatives(cascade.run(table(s, d, "documents"), _proxies()), F.col("lang") == "en", F.col("doc_id")).select("doc_id")
 
 
-@query(None)
+@query(
+    "WITH r AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events WHERE value IS NOT NULL), l AS (SELECT DISTINCT n, least(1.0, ceil((n + 1) * CAST(0.95 AS DOUBLE)) / n) * (n - 1) AS place FROM r)"
+    " SELECT l.n, a.value + (place - floor(place)) * (b.value - a.value) AS threshold FROM l JOIN r a ON a.i = floor(place) JOIN r b ON b.i = least(floor(place) + 1, l.n - 1)"
+)
 def conformal_threshold(s, d):
     return cascade.conformal_threshold(table(s, d, "events"), "value", 0.05)
 
 
 @query("SELECT round(quantile_cont(value, 0.95), 4) AS q95, round(-quantile_cont(-value, 0.95), 4) AS s95 FROM events")
 def conformal_quantiles(s, d):
-    return table(s, d, "events").agg(F.round(F.percentile("value", F.lit(0.95)), 4).alias("q95"), F.round(-F.percentile(-F.col("value"), F.lit(0.95)), 4).alias("s95"))
+    e = table(s, d, "events").select("value", cascade.nonconformity(F.col("value")).alias("nc"))
+    n = e.where("value is not null").count()
+    return s.createDataFrame([(round(ranks.quantile(e, "value", 0.95, n), 4), round(-ranks.quantile(e, "nc", 0.95, n), 4))], "q95 double, s95 double")
 
 
 @query("WITH p AS (SELECT n_chars / 1000 AS v FROM documents), n AS (SELECT count(*) AS n FROM p) SELECT round(v, 6) AS threshold FROM (SELECT v, row_number() OVER (ORDER BY v) AS r FROM p), n WHERE r = least(floor(0.1 * n + 1e-9), n - 1) + 1")
@@ -472,19 +462,24 @@ def heuristic_scores(s, d):
 
 @query(None)
 def alpha_greedy(s, d):
-    docs = table(s, d, "documents").select("n_chars", F.length("lang").alias("k")).cache()
+    docs = written(table(s, d, "documents").select("n_chars"), "lengths")
 
     def cost(a: dict[str, float]) -> float:
         return docs.where((F.col("n_chars") > 4000 * a["doc"]) & (F.col("n_chars") > 2000 * a["predicate"])).count()
 
     alphas, left, steps = cascade.allocate(["doc", "predicate"], [0.0, 0.01, 0.02, 0.05, 0.1], 0.9, cost)
-    docs.unpersist()
     return s.createDataFrame([(alphas["doc"], alphas["predicate"], left, len(steps))], "doc double, predicate double, cost double, steps int")
 
 
-@query(None)
+@query(
+    "WITH c AS (SELECT toxic, count(*) AS n, row_number() OVER (ORDER BY toxic) - 1 AS q FROM labels GROUP BY 1), a AS (SELECT unnest([0, 1, 2]) AS i),"
+    " o AS (SELECT q, i, CAST(floor(n * (1 - [0.0, 0.05, 0.1][i + 1])) AS BIGINT) AS covered, n, [0.0, 0.05, 0.1][i + 1] AS alpha FROM c, a),"
+    " b AS (SELECT x.i AS i0, y.i AS i1, (x.covered + y.covered) / (x.n + y.n) AS rate, x.alpha + y.alpha AS total FROM o x, o y WHERE x.q = 0 AND y.q = 1),"
+    " w AS (SELECT * FROM b ORDER BY round(abs(rate - 0.95), 12), rate < 0.95, total, i0, i1 LIMIT 1)"
+    " SELECT CAST(0 AS INTEGER) AS query, CAST(i0 AS INTEGER) AS choice FROM w UNION ALL SELECT 1, i1 FROM w"
+)
 def alpha_global_dp(s, d):
-    counts = table(s, d, "labels").groupBy("toxic").count().orderBy("toxic").collect()
+    counts = table(s, d, "labels").groupBy("toxic").count().orderBy("toxic").collect()  # two labels
     options = [[(a, int(r["count"] * (1 - a)), r["count"]) for a in (0.0, 0.05, 0.1)] for r in counts]
     return s.createDataFrame([(i, p) for i, p in enumerate(cascade.global_choice(options, 0.95))], "query int, choice int")
 
@@ -556,16 +551,22 @@ def good_turing_missing_mass(s, d):
 
 @query("SELECT source, len(list_distinct(list(lang))) AS langs FROM documents WHERE lang IS NOT NULL GROUP BY 1")
 def gt_schema_fold(s, d):
-    return table(s, d, "documents").groupBy("source").agg(F.size(F.collect_set("lang")).cast("long").alias("langs"))
+    cells = table(s, d, "documents").where("lang is not null").select("doc_id", F.col("source").alias("table_id"), F.col("lang").alias("column_name"))
+    return adaptive.schema_rows(cells).select(F.col("table_id").alias("source"), F.size("attributes").cast("long").alias("langs"))
 
 
 # --- scalar functions ------------------------------------------------------------------
 
 
-@query(None)
+@query(
+    "SELECT p_partkey, CASE WHEN p_partkey % 8 IN (0, 1, 2, 3, 4) THEN TRUE ELSE FALSE END AS equal FROM part"
+)
 def value_compare_matrix(s, d):
-    pairs = [("1,000", "1000.0"), ("$5", "5"), ("12%", "12"), ("Foo  bar.", "foo bar"), (None, "n/a"), ("x", None), ("a", "b")]
-    return s.createDataFrame(pairs, "a string, b string").withColumn("equal", V.values_equal(F.col("a"), F.col("b")))
+    """Pairs that are equal as numbers with signs, as texts but for blanks, case and a last dot, as nulls; and pairs that are not."""
+    k, size, name = F.col("p_partkey") % 8, F.col("p_size").cast("string"), F.col("p_name")
+    left = F.when(k == 0, F.concat(F.lit("$"), size, F.lit(",000"))).when(k == 1, F.concat(size, F.lit("%"))).when(k == 2, F.concat(F.upper(name), F.lit(" ."))).when(k == 3, F.lit(None)).when(k == 4, F.concat(F.lit(" "), size, F.lit(".0"))).when(k == 5, name).when(k == 6, size).otherwise(F.lit("n/a"))
+    right = F.when(k == 0, F.concat(size, F.lit("000"))).when(k.isin(1, 4), size).when(k == 2, F.concat(F.lit("  "), name)).when(k == 3, F.lit("N/A")).when(k == 5, F.lit(None)).when(k == 6, F.concat(size, F.lit("1"))).otherwise(name)
+    return table(s, d, "part").select("p_partkey", V.values_equal(left, right).alias("equal"))
 
 
 @query("SELECT n_nationkey, CAST(replace(concat(n_nationkey * 1000, ',', '500'), ',', '') AS DOUBLE) AS amount FROM nation")
@@ -590,7 +591,7 @@ def hash_embedding(s, d):
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def json_field_coercion(s, d):
-    return table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    return table(s, d, "events").select("event_id", V.json_payload(F.col("props"), "k string")["k"].alias("k"))
 
 
 @query("SELECT doc_id, substring(text, greatest(greatest(strpos(lower(text), 'the'), 1) - 110, 1), 220) AS excerpt FROM documents")
@@ -601,8 +602,11 @@ def text_excerpt(s, d):
 @query("SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN 'cached' END, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END, o_orderpriority) AS assigned FROM orders")
 def table_assignment_cached(s, d):
     o = table(s, d, "orders")
-    cache, metadata = F.when(F.col("o_orderkey") % 3 == 0, "cached"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus"))
-    return o.select("o_orderkey", F.coalesce(cache, metadata, "o_orderpriority").alias("assigned"))
+    docs = o.select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).alias("source_table"), "o_orderpriority")
+    tables = ["cached", *(r[0] for r in o.select("o_orderstatus").union(o.select("o_orderpriority")).distinct().collect())]  # a few codes
+    cached = docs.where("doc_id % 3 = 0").select("doc_id", F.lit("cached").alias("table_id"))
+    found = runtime.assigned_tables(docs, tables, cached=cached, assigner=lambda left: left.select("doc_id", F.col("o_orderpriority").alias("table_id")))
+    return found.select(F.col("doc_id").alias("o_orderkey"), F.col("table_id").alias("assigned"))
 
 
 # --- accounting, curation, audit -------------------------------------------------------
@@ -610,18 +614,20 @@ def table_assignment_cached(s, d):
 
 @query("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS calls, round(sum(value), 2) AS tokens FROM events GROUP BY ALL")
 def usage_by_query_stage(s, d):
-    return table(s, d, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("value"), 2).alias("tokens"))
+    log = table(s, d, "events").select("event_type", F.date_trunc("hour", "ts").alias("hour"), F.lit(None).cast("double").alias("prompt_tokens"), F.lit(None).cast("double").alias("completion_tokens"), F.col("value").alias("total_tokens"))
+    return metrics.usage_by(log, "event_type", "hour").select("event_type", "hour", "calls", F.round("total_tokens", 2).alias("tokens"))
 
 
 @query("WITH a AS (SELECT event_type, avg(value) AS m FROM events GROUP BY 1), o AS (SELECT avg(value) AS m FROM events) SELECT event_type, round(10 * coalesce(a.m, o.m), 4) AS saved FROM a, o")
 def token_savings_estimate(s, d):
-    e = table(s, d, "events")
-    return e.groupBy("event_type").agg(F.avg("value").alias("m")).crossJoin(e.agg(F.avg("value").alias("all"))).select("event_type", F.round(10 * F.coalesce("m", "all"), 4).alias("saved"))
+    usage = table(s, d, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count("value").alias("calls"), F.sum("value").alias("total_tokens"))
+    saved = usage.select("stage", F.lit(10).alias("calls_saved"))
+    return metrics.token_savings(saved, usage).select(F.col("stage").alias("event_type"), F.round("tokens_saved", 4).alias("saved"))
 
 
 @query("SELECT source, count(*) AS docs FROM documents GROUP BY 1 HAVING count(*) > 5")
 def schema_frequency_threshold(s, d):
-    return table(s, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("docs")).where("docs > 5")
+    return adaptive.frequent_tables(table(s, d, "documents").select("doc_id", F.col("source").alias("table_id"))).select(F.col("table_id").alias("source"), "docs")
 
 
 @query(
@@ -666,24 +672,24 @@ def consistency_audit(s, d):
 
 @query(f"SELECT conflict_type, count(*) AS n FROM ({_AUDIT}) WHERE conflict_type IS NOT NULL GROUP BY 1")
 def conflict_counts(s, d):
-    return _audit(s, d).groupBy("conflict_type").agg(F.count(F.lit(1)).alias("n"))
+    return curation.conflict_totals(_audit(s, d)).select("conflict_type", "n")
 
 
 @query(f"SELECT source, conflict_type, count(DISTINCT doc_id) AS docs, min(doc_id) AS first_doc FROM ({_AUDIT}) WHERE conflict_type IS NOT NULL GROUP BY 1, 2")
 def conflict_docs_by_attribute(s, d):
-    return _audit(s, d).groupBy("source", "conflict_type").agg(F.countDistinct("doc_id").alias("docs"), F.min("doc_id").alias("first_doc"))
+    return curation.conflict_totals(_audit(s, d), "source").select("source", "conflict_type", "docs", "first_doc")
 
 
 @query("SELECT lang, source, count(*) AS docs, CAST(sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))) AS BIGINT) AS tokens FROM documents GROUP BY 1, 2")
 def density_per_source(s, d):
-    words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
-    return table(s, d, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("docs"), F.sum(words).alias("tokens"))
+    truth = table(s, d, "labels").select("doc_id", F.lit("labels").alias("table_id"))
+    return curation.density(table(s, d, "documents"), truth, ["lang", "source"], text="text").select("lang", "source", "docs", "tokens")
 
 
 @query("WITH v AS (SELECT s_nationkey AS variant, round(avg(s_acctbal), 2) AS answer, count(*) AS docs FROM supplier GROUP BY 1) SELECT variant, answer, docs, row_number() OVER (ORDER BY answer DESC, docs, variant) AS rank FROM v")
 def variant_leaderboard(s, d):
     v = table(s, d, "supplier").groupBy(F.col("s_nationkey").alias("variant")).agg(F.round(F.avg("s_acctbal"), 2).alias("answer"), F.count(F.lit(1)).alias("docs"))
-    return v.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("answer"), "docs", "variant")))
+    return curation.best_first(v, ["answer"], "docs", "variant")
 
 
 @query(
@@ -700,13 +706,13 @@ _LONG, _ODD = "SELECT doc_id FROM documents WHERE n_chars > 5000", "SELECT doc_i
 @query(f"{_LONG} UNION {_ODD}")
 def filter_merge_union(s, d):
     t = table(s, d, "documents")
-    return t.where("n_chars > 5000").select("doc_id").union(t.where("doc_id % 2 = 1").select("doc_id")).distinct()
+    return filters.merged([t.where("n_chars > 5000"), t.where("doc_id % 2 = 1")], "union")
 
 
 @query(f"{_LONG} INTERSECT {_ODD}")
 def filter_merge_intersection(s, d):
     t = table(s, d, "documents")
-    return t.where("n_chars > 5000").select("doc_id").intersect(t.where("doc_id % 2 = 1").select("doc_id"))
+    return filters.merged([t.where("n_chars > 5000"), t.where("doc_id % 2 = 1")], "intersection")
 
 
 # --- answers over records, proxies, filters, discovery ---------------------------------
@@ -887,3 +893,5 @@ def ext_session_windows(s, d):
 
 
 FLAGSHIP = flagship_extract_join_answer
+
+from lumenar.plans import catalog_runtime  # noqa: E402, F401 - registers its queries

@@ -9,10 +9,12 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -89,6 +91,9 @@ class Dataset:
     ground_truth: DataFrame
     schema: list[dict] = field(default_factory=list)
     queries: list[dict] = field(default_factory=list)
+    names: dict[str, Any] | None = None
+    root: str = ""
+    reload: Callable[[], Dataset] | None = None
 
     @property
     def documents(self) -> DataFrame:
@@ -105,6 +110,35 @@ class Dataset:
     def records(self) -> DataFrame:
         return records_of(self.ground_truth)
 
+    def document_tables(self) -> DataFrame:
+        """(doc_id, schema_tables, schema_table) as the ground truth tells."""
+        return table_provenance(self.ground_truth)
+
+    def document_records(self, doc_id: str) -> DataFrame:
+        return self.records().where(F.col("doc_id") == doc_id)
+
+    def sql(self, query_id: str) -> str:
+        return self.query(query_id)["sql"]
+
+    def name_map(self, query_id: str | None = None) -> dict[str, Any]:
+        """Names of tables and attributes in the ground truth by those of the task; the same, unless told otherwise."""
+        return name_map(self.schema, self.names)
+
+    def summary(self) -> dict[str, int]:
+        """How many documents, cells, tables, attributes and queries there are."""
+        return {
+            "documents": self.documents.count(), "cells": self.ground_truth.count(), "tables": len(self.schema),
+            "attributes": sum(len(t["Attributes"]) for t in self.schema), "queries": len(self.queries),
+        }
+
+    def refreshed(self) -> Dataset:
+        """The dataset read again from where it came from; one of memory stays as it is."""
+        if self.reload is None:
+            return self
+        spark = self.documents_with_provenance.sparkSession
+        spark.catalog.refreshByPath(self.root)
+        return self.reload()
+
 
 def with_positions(docs: DataFrame) -> DataFrame:
     """doc_pos in the order of the scan."""
@@ -128,7 +162,7 @@ def from_manifest(spark: SparkSession, root: str, manifest: dict[str, str] | Non
     docs = with_positions(spark.read.parquet(f"{root}/{names['documents']}"))
     truth = spark.read.parquet(f"{root}/{names['ground_truth']}") if exists("ground_truth") else spark.createDataFrame([], GROUND_TRUTH)
     schema = runtime_schema(whole("schema")) if exists("schema") else []
-    return Dataset(docs, truth, schema, query_records(whole("queries") if exists("queries") else [], schema))
+    return Dataset(docs, truth, schema, query_records(whole("queries") if exists("queries") else [], schema), root=root, reload=lambda: from_manifest(spark, root, manifest))
 
 
 def from_memory(spark: SparkSession, documents: list[dict] | str, schema: Any = None, queries: Any = None, id_column: str = "doc_id", text_column: str = "doc_text") -> Dataset:
@@ -143,6 +177,24 @@ def from_memory(spark: SparkSession, documents: list[dict] | str, schema: Any =
     return Dataset(frame, spark.createDataFrame([], GROUND_TRUTH), flat, query_records(queries, flat))
 
 
+def name_map(schema: list[dict], given: dict[str, Any] | None = None) -> dict[str, Any]:
+    """{"table": {name: ground truth name}, "attribute": {table: {name: ground truth name}}}: identity but for what is given."""
+    given = given or {}
+    tables = {t["Schema Name"]: given.get("table", {}).get(t["Schema Name"], t["Schema Name"]) for t in schema}
+    attributes = {t["Schema Name"]: {a["Attribute Name"]: given.get("attribute", {}).get(t["Schema Name"], {}).get(a["Attribute Name"], a["Attribute Name"]) for a in t["Attributes"]} for t in schema}
+    return {"table": tables, "attribute": attributes}
+
+
+def renamed_truth(truth: DataFrame, names: dict[str, Any]) -> DataFrame:
+    """Ground truth cells under the task's names of tables and columns; others keep theirs."""
+    rows = [(gt, None, task, None) for task, gt in names["table"].items()] + [(names["table"].get(t, t), gt, None, a) for t, xs in names["attribute"].items() for a, gt in xs.items()]
+    listed = truth.sparkSession.createDataFrame(rows, "gt_table string, gt_column string, task_table string, task_column string")
+    tables = listed.where("gt_column is null").select(F.col("gt_table").alias("table_id"), "task_table")
+    columns = listed.where("gt_column is not null").select(F.col("gt_table").alias("table_id"), F.col("gt_column").alias("column_name"), "task_column")
+    both = truth.join(F.broadcast(tables), "table_id", "left").join(F.broadcast(columns), ["table_id", "column_name"], "left")  # as many rows as the schema has names
+    return both.withColumn("table_id", F.coalesce("task_table", "table_id")).withColumn("column_name", F.coalesce("task_column", "column_name")).select(*truth.columns)
+
+
 LOADERS = {"hf_manifest": from_manifest, "memory": from_memory}
 
 
@@ -190,6 +242,81 @@ def contract_errors(documents: DataFrame, truth: DataFrame, schema: list[dict],
     return reduce(DataFrame.unionByName, [orphans, unknown, spark.createDataFrame(sorted(set(wrong)), "error string, subject string")])
 
 
+def registry(spark: SparkSession, root: str, name: str = "registry.json") -> list[dict[str, Any]]:
+    """The datasets of a root: {dataset_id, path, queries}; paths are relative to the root."""
+    rows = spark.read.text(f"{root}/{name}", wholetext=True).collect()  # a small file
+    raw = json.loads(rows[0][0])
+    listed = raw.get("datasets", raw) if isinstance(raw, dict) else raw
+    listed = [{"dataset_id": k, **(v if isinstance(v, dict) else {"path": v})} for k, v in listed.items()] if isinstance(listed, dict) else listed
+    return [{"dataset_id": d["dataset_id"], "path": d.get("path") or d["dataset_id"], "queries": list(d.get("queries") or [])} for d in listed]
+
+
+def selected_datasets(listed: list[dict[str, Any]], datasets: list[str] | str | None = None, query_ids: list[str] | str | None = None) -> list[dict[str, Any]]:
+    """The chosen datasets and queries; names are lists, or texts with commas, and unknown datasets raise ValueError."""
+    names = lambda x: list(dict.fromkeys(p.strip() for part in ([x] if isinstance(x, str) else x or []) for p in part.split(",") if p.strip()))
+    wanted, queries = names(datasets), names(query_ids)
+    known = {d["dataset_id"] for d in listed}
+    if missing := [d for d in wanted if d not in known]:
+        raise ValueError(f"unknown datasets: {', '.join(missing)}")
+    return [{**d, "queries": queries or d["queries"]} for d in listed if not wanted or d["dataset_id"] in wanted]
+
+
+def registry_errors(spark: SparkSession, root: str) -> DataFrame:
+    """(dataset_id, error, subject) of every dataset of the registry; one that cannot be read is an error of its own."""
+    parts = [spark.createDataFrame([], "dataset_id string, error string, subject string")]
+    for d in registry(spark, root):
+        try:
+            data = from_manifest(spark, f"{root}/{d['path']}")
+            parts.append(contract_errors(data.documents, data.ground_truth, data.schema, data.queries).select(F.lit(d["dataset_id"]).alias("dataset_id"), "error", "subject"))
+        except AnalysisException as wrong:
+            parts.append(spark.createDataFrame([(d["dataset_id"], "cannot be read", str(wrong).split("\n")[0])], parts[0].schema))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def orphans(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Distinct keys of ``rows`` that ``known`` lacks."""
+    return rows.join(known.select(key), key, "left_anti").select(key).distinct()
+
+
+def found_rows(wanted: DataFrame, rows: DataFrame, columns: list[str], row_id: str = "row_id") -> DataFrame:
+    """(source_row_id, row_id): the row that a source row id names: by row id, else ``column-value`` of a column, else any column's value; the first of several.
+
+    One shuffle by the text compared, whatever the number of columns.
+    """
+    asked = wanted.select("source_row_id").where("source_row_id is not null").distinct()
+    texts = [F.struct(F.lit(0).alias("place"), F.col(row_id).cast("string").alias("text"))]
+    for i, c in enumerate(columns):
+        texts.append(F.struct(F.lit(1 + i).alias("place"), F.concat(F.lit(f"{c}-"), F.col(c).cast("string")).alias("text")))
+        texts.append(F.struct(F.lit(1 + len(columns) + i).alias("place"), F.col(c).cast("string").alias("text")))
+    names = rows.select(F.col(row_id).alias("_row"), F.explode(F.array(*texts)).alias("t")).select("_row", "t.place", F.col("t.text").alias("source_row_id"))
+    hits = asked.join(names, "source_row_id").groupBy("source_row_id").agg(F.min(F.struct("place", "_row")).alias("_best"))
+    return asked.join(hits, "source_row_id", "left").select("source_row_id", F.col("_best._row").alias("row_id"))
+
+
+def repaired_truth(documents: DataFrame, truth: DataFrame, sources: dict[str, DataFrame], schema: list[dict], row_id: str = "row_id", keep_scope: bool = True) -> DataFrame:
+    """Ground truth cells built anew from the source tables by the documents' row ids; cells of documents without a source row stay.
+
+    With ``keep_scope`` only columns that the old truth had of a table are built.
+    """
+    had = truth.select("table_id", "column_name").distinct()
+    out = None
+    for t in schema:
+        name, columns = t["Schema Name"], [a["Attribute Name"] for a in t["Attributes"]]
+        if name not in sources:
+            continue
+        mine = documents.where((F.col("source_table") == name) & F.col("source_row_id").isNotNull()).select("doc_id", "source_row_id")
+        found = mine.join(found_rows(mine, sources[name], columns, row_id), "source_row_id").where("row_id is not null")
+        wide = found.join(sources[name].withColumnRenamed(row_id, "row_id"), "row_id")
+        cells = wide.select("doc_id", "source_row_id", F.col("row_id").cast("string").alias("record_id"), *[F.col(c).cast("string").alias(c) for c in columns]).unpivot(["doc_id", "source_row_id", "record_id"], columns, "column_name", "value")
+        cells = cells.where("value is not null").select("doc_id", "record_id", F.lit(name).alias("table_id"), "column_name", "value", "source_row_id")
+        out = cells if out is None else out.unionByName(cells)
+    old = truth.select("doc_id", "record_id", "table_id", "column_name", "value", "source_row_id")
+    if out is None:
+        return old
+    fresh = out.join(F.broadcast(had), ["table_id", "column_name"], "left_semi").select(*out.columns) if keep_scope else out  # as many rows as the schema has columns
+    return fresh.unionByName(old.join(out.select("doc_id").distinct(), "doc_id", "left_anti"))
+
+
 def split_ids(docs: DataFrame, n: int, strategy: str = "prefix", seed: int = 42, id_col: str = "doc_id", pos_col: str = "doc_id") -> DataFrame:
     """docs with ``split``: the first n by position, or by the hash of seed and id, are ``train``."""
     if n < 0:
