@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenar.llm.hot_keys import likely_first
+from lumenar.llm.memory import lean
 from lumenar.llm.shingles import buffers, slices
 from lumenar.llm.toxicity import held_out
 from lumenar.llm.training import fitted, one_row_an_id
@@ -143,7 +144,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
     # at most per_language ids of each language
     sample = one_row_an_id(usable.join(F.broadcast(chosen), "doc_id"), "text").select("lang", "doc_id", "text")
-    return fitted(sample.mapInArrow(vectors, "lang string, doc_id long, x array<float>"), SAMPLE, learn)
+    return fitted(sample.mapInArrow(lean(vectors), "lang string, doc_id long, x array<float>"), SAMPLE, learn)
 
 
 def _predicted(model: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,7 +205,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             names, score = _languages(model, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(lean(run), "doc_id long, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, model: Model, languages: tuple[str, ...] | None = None, least_score: float = LEAST_SCORE) -> DataFrame:
@@ -222,7 +223,7 @@ def keep_known(docs: DataFrame, model: Model, languages: tuple[str, ...] | None
                 kept = [n != UNKNOWN and s >= least_score and (languages is None or n in languages) for n, s in zip(names, score.tolist(), strict=True)]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,6 +40,7 @@ from pyspark.sql.window import Window
 from lumenar.llm.bitmaps import maybe_members
 from lumenar.llm.components import components
 from lumenar.llm.hot_keys import join_facts
+from lumenar.llm.memory import lean
 from lumenar.llm.shingles import buffers, mix, shingle_sets, signed, slices
 from lumenar.storage import Scratch, table, written
 
@@ -97,7 +98,7 @@ def sketches(docs: DataFrame, words: int, k: int = K) -> DataFrame:
             s1, s2 = _digest(value, bounds)
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(bounds)), pa.array(s1), pa.array(s2), _lists(bounds, value, k)], ["doc_id", "n", "s1", "s2", "sketch"])
 
-    return docs.mapInArrow(run, SKETCH_SCHEMA)
+    return docs.mapInArrow(lean(run), SKETCH_SCHEMA)
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -106,23 +107,40 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
             s1, s2 = _digest(value, bounds)
             yield pa.RecordBatch.from_arrays([ids, pa.array(s1), pa.array(s2), _lists(bounds, value)], ["doc_id", "s1", "s2", "shingles"])
 
-    return docs.mapInArrow(run, SET_SCHEMA)
+    return docs.mapInArrow(lean(run), SET_SCHEMA)
 
 
-def _rarest(reps: DataFrame, k: int, scratch: Scratch) -> DataFrame:
-    """(rep, n, v): of each sketch the shared values that must be listed for no link to be missed."""
+def _shared(values: DataFrame, total: int, name: str, scratch: Scratch) -> DataFrame:
+    """values (rep, v, ...) that several of them hold, with ``freq``; the others go before any of them is shuffled, as far as a bounded filter tells."""
+    shared = scratch.written(values.groupBy("v").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1"), name)
+    return join_facts(maybe_members(values, "v", shared, "v"), shared, "v", "freq", total)
+
+
+def _needed(m: Column, k: int) -> Column:
+    """How many of the m values of a sketch a linked sketch has as well."""
+    return F.when(m >= k, F.ceil(m * MISS_FULL)).otherwise(F.ceil(m * MISS_SMALL))
+
+
+def _retained(reps: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """(rep, n, m, v, freq) of the shared values of each sketch."""
     values = reps.select("rep", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
     total = reps.agg(F.sum(F.size("sketch"))).first()[0] or 0
-    shared = scratch.written(values.groupBy("v").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1"), "shared-values")
-    postings = join_facts(maybe_members(values, "v", shared, "v"), shared, "v", "freq", total)
+    return scratch.written(_shared(values, total, "shared-values", scratch), "retained")
+
+
+def _covered(members: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(rep) of the members of whose shingles a share of ``percent`` occurs in other members."""
+    values = members.select("rep", "n", F.explode("shingles").alias("v"))
+    total = members.agg(F.sum("n")).first()[0] or 0
+    counts = _shared(values, total, "shared-shingles", scratch).groupBy("rep", "n").agg(F.count(F.lit(1)).alias("shared"))
+    return counts.where(100 * F.col("shared") >= percent * F.col("n")).select("rep")
+
+
+def _rarest(retained: DataFrame, k: int) -> DataFrame:
+    """(rep, n, v): of each sketch the shared values that must be listed for no link to be missed."""
     mine = Window.partitionBy("rep")
-    need = F.when(F.col("m") >= k, F.ceil(F.col("m") * MISS_FULL)).otherwise(F.ceil(F.col("m") * MISS_SMALL))
-    return (
-        postings.withColumn("left", F.count(F.lit(1)).over(mine) - need + 1)
-        .withColumn("place", F.row_number().over(mine.orderBy("freq", "v")))
-        .where("place <= left")
-        .select("rep", "n", "v")
-    )
+    left = F.count(F.lit(1)).over(mine) - _needed(F.col("m"), k) + 1
+    return retained.withColumn("left", left).withColumn("place", F.row_number().over(mine.orderBy("freq", "v"))).where("place <= left").select("rep", "n", "v")
 
 
 class _Forest:
@@ -282,16 +300,20 @@ def _between_components(listed: DataFrame, members: DataFrame, percent: int, k:
 
 def _links(docs: DataFrame, reps: DataFrame, words: int, percent: int, k: int, scratch: Scratch) -> DataFrame:
     """Verified links (u, v) between representatives that connect what all links connect."""
-    lists = scratch.written(_rarest(reps, k, scratch), "postings")
+    retained = _retained(reps, k, scratch)
+    candidates = retained.groupBy("rep", "m").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= _needed(F.col("m"), k)).select("rep")
+    candidates = scratch.written(candidates, "candidates")
+    wanted = maybe_members(docs, "doc_id", candidates, "rep")
+    sets = full_sets(wanted, words).groupBy(F.col("doc_id").alias("rep"), "s1", "s2").agg(F.first("shingles").alias("shingles"))
+    members = scratch.written(reps.join(candidates, "rep").join(sets, ["rep", "s1", "s2"]).select("rep", "n", "sketch", "shingles"), "candidate-sets")
+    covered = scratch.written(_covered(members, percent, scratch), "covered")
+    members = scratch.written(members.join(covered, "rep", "left_semi"), "members")
+
+    lists = scratch.written(_rarest(maybe_members(retained, "rep", covered, "rep").join(covered, "rep", "left_semi"), k), "postings")
     total = lists.count()
     ends = [end(F.struct(F.xxhash64(F.lit(seed), "rep"), "rep", "n")) for seed in (0, 1) for end in (F.min, F.max)]
     hubs = lists.groupBy("v").agg(F.array_distinct(F.transform(F.array(*ends), lambda x: F.struct(x["rep"].alias("rep"), x["n"].alias("n")))).alias("hubs"), F.count(F.lit(1)).alias("size")).where("size > 1")
     hubs = scratch.written(hubs, "hubs")
-    listed = lists.select("rep").distinct()
-
-    wanted = maybe_members(docs, "doc_id", listed, "rep")
-    sets = full_sets(wanted, words).groupBy(F.col("doc_id").alias("rep"), "s1", "s2").agg(F.first("shingles").alias("shingles"))
-    members = scratch.written(reps.join(sets, ["rep", "s1", "s2"]).select("rep", "n", "sketch", "shingles"), "members")
     links = scratch.written(_hub_links(lists, hubs, members, total, percent, k, scratch), "hub-links")
     stars = scratch.written(components(links, "hub-components").withColumnsRenamed({"node": "u", "component": "v"}), "hub-stars")
 

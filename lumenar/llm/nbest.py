@@ -34,6 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenar.llm.memory import lean
 from lumenar.storage import table
 
 MARK = "▁"
@@ -281,7 +282,7 @@ def segmentations(docs: DataFrame, n: int = BEST, path: str | None = None) -> Da
             columns.insert(3, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _id_lists(built)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_pieces", "score", "scores", "ids", "ids_crc32", "second_crc32", "round_trip"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(lean(run), SCHEMA)
 
 
 def encoded(docs: DataFrame, n: int = BEST, path: str | None = None) -> DataFrame:
@@ -302,7 +303,7 @@ def encoded(docs: DataFrame, n: int = BEST, path: str | None = None) -> DataFram
                 ["doc_id", "rank", "score", "ids", "decoded"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, PATH_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(lean(run), PATH_SCHEMA)
 
 
 def op8_nbest_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:

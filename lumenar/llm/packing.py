@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenar.llm.memory import lean
 from lumenar.storage import Scratch, table, written
 
 CAPACITY = 2048
@@ -106,7 +107,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
                 ["doc_id", "row", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(run, PIECE_SCHEMA)
+    return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(lean(run), PIECE_SCHEMA)
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenar.llm.hot_keys import likely_first
+from lumenar.llm.memory import lean
 from lumenar.llm.shingles import buffers, hashed_words, slices
 from lumenar.llm.training import fitted, one_row_an_id
 from lumenar.storage import table
@@ -166,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, least_
     # at most 2 * per_label ids
     short = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes)
     sample = one_row_an_id(short.join(F.broadcast(chosen), "doc_id"), "text").select("label", "doc_id", "text")
-    return fitted(sample.mapInArrow(tokens, "label int, doc_id long, sentence array<int>, word array<long>"), SAMPLE, learn)
+    return fitted(sample.mapInArrow(lean(tokens), "label int, doc_id long, sentence array<int>, word array<long>"), SAMPLE, learn)
 
 
 def _sentence_scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -214,7 +215,7 @@ def scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
             )
 
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text"))
-    return slim.mapInArrow(run, "doc_id long, score double, predicted int, n_sentences long, worst_sentence int, worst_score double")
+    return slim.mapInArrow(lean(run), "doc_id long, score double, predicted int, n_sentences long, worst_sentence int, worst_score double")
 
 
 def offending_sentences(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -239,7 +240,7 @@ def offending_sentences(docs: DataFrame, model: Model, threshold: float = THRESH
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "sentence", "start", "score", "text"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, sentence int, start long, score double, text string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(lean(run), "doc_id long, sentence int, start long, score double, text string")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -250,7 +251,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
         for batch in batches:
             yield batch.filter(pa.array(_document_scores(model, batch.column(at))[0] < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import gc
 import pickle
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -13,13 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _give_back() -> None:
-    """Return freed memory to the machine: the worker goes on to other tasks."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
+from lumenar.llm.memory import give_back
 
 
 def one_row_an_id(rows: DataFrame, text: str) -> DataFrame:
@@ -34,7 +25,7 @@ def fitted(sample: DataFrame, schema: pa.Schema, fit: Callable[[pa.Table], Any])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = fit(pa.Table.from_batches([b.cast(schema) for b in batches], schema))
-        _give_back()
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     rows = sample.repartition(1).mapInArrow(run, "model binary").collect()
