@@ -110,10 +110,10 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(lean(run), SET_SCHEMA)
 
 
-def _shared(values: DataFrame, total: int, name: str, scratch: Scratch) -> DataFrame:
-    """values (rep, v, ...) that several of them hold, with ``freq``; the others go before any of them is shuffled, as far as a bounded filter tells."""
-    shared = scratch.written(values.groupBy("v").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1"), name)
-    return join_facts(maybe_members(values, "v", shared, "v"), shared, "v", "freq", total)
+def _alone(values: DataFrame) -> DataFrame:
+    """(rep, alone): how many of each one's values (rep, v) no other one holds; such a value's group names its only holder."""
+    single = values.groupBy("v").agg(F.count(F.lit(1)).alias("freq"), F.min("rep").alias("rep")).where("freq = 1")
+    return single.groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
 
 
 def _needed(m: Column, k: int) -> Column:
@@ -121,19 +121,25 @@ def _needed(m: Column, k: int) -> Column:
     return F.when(m >= k, F.ceil(m * MISS_FULL)).otherwise(F.ceil(m * MISS_SMALL))
 
 
-def _retained(reps: DataFrame, k: int, scratch: Scratch) -> DataFrame:
-    """(rep, n, m, v, freq) of the shared values of each sketch."""
-    values = reps.select("rep", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
-    total = reps.agg(F.sum(F.size("sketch"))).first()[0] or 0
-    return scratch.written(_shared(values, total, "shared-values", scratch), "retained")
+def _candidates(reps: DataFrame, k: int) -> DataFrame:
+    """(rep) of the sketches of whose values others hold as many as a linked one would."""
+    alone = _alone(reps.select("rep", F.explode("sketch").alias("v")))
+    m = F.size("sketch")
+    return reps.join(alone, "rep", "left").where(m - F.coalesce("alone", F.lit(0)) >= _needed(m, k)).select("rep")
 
 
-def _covered(members: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def _covered(members: DataFrame, percent: int) -> DataFrame:
     """(rep) of the members of whose shingles a share of ``percent`` occurs in other members."""
-    values = members.select("rep", "n", F.explode("shingles").alias("v"))
-    total = members.agg(F.sum("n")).first()[0] or 0
-    counts = _shared(values, total, "shared-shingles", scratch).groupBy("rep", "n").agg(F.count(F.lit(1)).alias("shared"))
-    return counts.where(100 * F.col("shared") >= percent * F.col("n")).select("rep")
+    alone = _alone(members.select("rep", F.explode("shingles").alias("v")))
+    held = F.col("n") - F.coalesce("alone", F.lit(0))
+    return members.select("rep", "n").join(alone, "rep", "left").where(100 * held >= percent * F.col("n")).select("rep")
+
+
+def _retained(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """(rep, n, m, v, freq) of the values of each sketch that others hold as well."""
+    values = members.select("rep", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
+    shared = scratch.written(values.groupBy("v").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1"), "shared-values")
+    return join_facts(values, shared, "v", "freq", members.agg(F.sum(F.size("sketch"))).first()[0] or 0)
 
 
 def _rarest(retained: DataFrame, k: int) -> DataFrame:
@@ -300,16 +306,13 @@ def _between_components(listed: DataFrame, members: DataFrame, percent: int, k:
 
 def _links(docs: DataFrame, reps: DataFrame, words: int, percent: int, k: int, scratch: Scratch) -> DataFrame:
     """Verified links (u, v) between representatives that connect what all links connect."""
-    retained = _retained(reps, k, scratch)
-    candidates = retained.groupBy("rep", "m").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= _needed(F.col("m"), k)).select("rep")
-    candidates = scratch.written(candidates, "candidates")
+    candidates = scratch.written(_candidates(reps, k), "candidates")
     wanted = maybe_members(docs, "doc_id", candidates, "rep")
     sets = full_sets(wanted, words).groupBy(F.col("doc_id").alias("rep"), "s1", "s2").agg(F.first("shingles").alias("shingles"))
     members = scratch.written(reps.join(candidates, "rep").join(sets, ["rep", "s1", "s2"]).select("rep", "n", "sketch", "shingles"), "candidate-sets")
-    covered = scratch.written(_covered(members, percent, scratch), "covered")
-    members = scratch.written(members.join(covered, "rep", "left_semi"), "members")
+    members = scratch.written(members.join(scratch.written(_covered(members, percent), "covered"), "rep", "left_semi"), "members")
 
-    lists = scratch.written(_rarest(maybe_members(retained, "rep", covered, "rep").join(covered, "rep", "left_semi"), k), "postings")
+    lists = scratch.written(_rarest(_retained(members, scratch), k), "postings")
     total = lists.count()
     ends = [end(F.struct(F.xxhash64(F.lit(seed), "rep"), "rep", "n")) for seed in (0, 1) for end in (F.min, F.max)]
     hubs = lists.groupBy("v").agg(F.array_distinct(F.transform(F.array(*ends), lambda x: F.struct(x["rep"].alias("rep"), x["n"].alias("n")))).alias("hubs"), F.count(F.lit(1)).alias("size")).where("size > 1")
