@@ -47,6 +47,8 @@ ARC_FIELDS = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 CRLF = b"\r\n"
+#: Gzip at its fast level: files are somewhat larger, and written in less than half the time.
+GZIP = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
 
 
 def is_http(message: bytes) -> bool:
@@ -104,7 +106,7 @@ def write_arc(pages: DataFrame, path: str) -> None:
             yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], ["record"])
 
     slim = pages.select(F.col("page_id").cast("long"), F.col("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("html"), F.spark_partition_id().alias("part"))
-    slim.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    slim.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").options(**GZIP).text(path)
 
 
 def parse_arc(stream: io.BufferedIOBase, with_version_block: bool = False) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -255,7 +257,7 @@ def write_warc(spark: SparkSession, arc_path: str, path: str, least_bytes: int =
 
         yield from _batches(rows(), schema)
 
-    typed.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    typed.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").options(**GZIP).text(path)
     scratch.clear()
 
 
