@@ -42,13 +42,10 @@ def cell_role(attribute: Column, roles: dict[str, str]) -> Column:
 def cell_recall(truth: DataFrame, predicted: DataFrame, keys: list[str], roles: dict[str, str]) -> DataFrame:
     """Per role: total, covered, missing and mismatched cells of ``keys`` + column_name, value; null truth is skipped, no cells are recall 1."""
     joined = truth.where(~is_null_eval(F.col("value"))).join(predicted.withColumnRenamed("value", "got"), [*keys, "column_name"], "left")
-    equal = values_equal(F.col("got"), F.col("value"))
-    return (
-        joined.withColumn("role", cell_role(F.col("column_name"), roles))
-        .groupBy("role")
-        .agg(F.count(F.lit(1)).alias("total"), F.count_if(equal).alias("covered"), F.count_if(is_null_eval(F.col("got"))).alias("missing"), F.count_if(~equal & ~is_null_eval(F.col("got"))).alias("mismatched"))
-        .withColumn("recall", safe_ratio(F.col("covered"), F.col("total"), 1.0))
-    )
+    # each test is a column once: repeated inside the aggregates, the expression is too long to compile
+    tested = joined.select(cell_role(F.col("column_name"), roles).alias("role"), values_equal(F.col("got"), F.col("value")).alias("_equal"), is_null_eval(F.col("got")).alias("_null"))
+    counts = tested.groupBy("role").agg(F.count(F.lit(1)).alias("total"), F.count_if("_equal").alias("covered"), F.count_if("_null").alias("missing"), F.count_if(~F.col("_equal") & ~F.col("_null")).alias("mismatched"))
+    return counts.withColumn("recall", safe_ratio(F.col("covered"), F.col("total"), 1.0))
 
 
 def confusion(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -217,8 +214,9 @@ def query_recall(matched: DataFrame, truth: DataFrame, predicted: DataFrame, req
     rows = rows.join(said, ["doc_id", "table_id", "predicted_id"], "left")
     found = F.col("predicted_id").isNotNull()
     cells = rows.select(found.alias("_found"), "said", "data", F.explode(names).alias("c")).select("_found", F.try_element_at("data", F.col("c")).alias("want"), F.try_element_at("said", F.col("c")).alias("got")).where(~is_null_eval(F.col("want")))
-    equal = F.col("_found") & F.coalesce(values_equal(F.col("got"), F.col("want")), F.lit(False))
-    c = cells.agg(F.count(F.lit(1)).alias("cells_total"), F.count_if(equal).alias("cells_covered"), F.count_if(~equal & is_null_eval(F.col("got"))).alias("cells_missing"), F.count_if(~equal & ~is_null_eval(F.col("got"))).alias("cells_mismatched"))
+    tested = cells.select((F.col("_found") & F.coalesce(values_equal(F.col("got"), F.col("want")), F.lit(False))).alias("equal"), is_null_eval(F.col("got")).alias("null"))
+    equal, null = F.col("equal"), F.col("null")
+    c = tested.agg(F.count(F.lit(1)).alias("cells_total"), F.count_if(equal).alias("cells_covered"), F.count_if(~equal & null).alias("cells_missing"), F.count_if(~equal & ~null).alias("cells_mismatched"))
     t = rows.agg(F.count(F.lit(1)).alias("tables_total"), F.count_if(found).alias("tables_covered"), F.count_if(~found & F.col("_any").isNull()).alias("tables_missing"), F.count_if(~found & F.col("_any").isNotNull()).alias("tables_wrong"))
     both = t.crossJoin(c)  # a row each
     both = both.withColumn("table_recall", safe_ratio(F.col("tables_covered"), F.col("tables_total"), 1.0)).withColumn("cell_recall", safe_ratio(F.col("cells_covered"), F.col("cells_total"), 1.0))
