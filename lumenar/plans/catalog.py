@@ -403,18 +403,13 @@ _REJECT = (
 )
 
 
-@query("SELECT 0 AS position, 'length' AS proxy, CAST(1 AS DOUBLE) AS cost UNION ALL SELECT 1, 'the', 2 UNION ALL SELECT 2, 'source', 0.5")
-def order_by_rejection_efficiency(s, d):
-    """The order by the given pass rates; ``order_by_measured_rejection`` measures them over all documents."""
-    return s.createDataFrame([(i, p.name, p.cost) for i, p in enumerate(cascade.ordered(_proxies()))], "position int, proxy string, cost double")
-
-
 @query(
     "WITH m AS (SELECT count(*) AS n, count_if(least(n_chars / 2000, 1.0) >= 0.3) AS l, count_if(contains(lower(text), 'the')) AS t, count_if(NOT (source LIKE '%0')) AS s FROM documents), "
     "p AS (SELECT 0 AS k, 'length' AS proxy, CAST(1 AS DOUBLE) AS cost, l / n AS pass_rate FROM m UNION ALL SELECT 1, 'the', 2, t / n FROM m UNION ALL SELECT 2, 'source', 0.5, s / n FROM m) "
     "SELECT CAST(row_number() OVER (ORDER BY (1 - pass_rate) / cost DESC, k) - 1 AS INTEGER) AS position, proxy, cost, pass_rate FROM p"
 )
-def order_by_measured_rejection(s, d):
+def order_by_rejection_efficiency(s, d):
+    """The order by pass rates measured over all documents."""
     measured = proxies.observed_pass_rates(table(s, d, "documents"), _proxies())
     return s.createDataFrame([(i, p.name, p.cost, p.pass_rate) for i, p in enumerate(cascade.ordered(measured))], "position int, proxy string, cost double, pass_rate double")
 
@@ -801,20 +796,9 @@ def composite_filter(s, d):
     return filters.Composite([filters.SchemaRelevance({"q": ["en", "de"]}), Short()]).excluded("q", docs)
 
 
-@query("SELECT (row_number() OVER (ORDER BY n_chars, doc_id) - 1) // 64 AS batch, doc_id FROM documents WHERE n_chars IS NOT NULL QUALIFY batch < 3")
-def document_batches(s, d):
-    """The first three batches only, as its SQL asks; ``document_batches_all`` gives every document."""
-    docs = table(s, d, "documents").where("n_chars is not null")
-    bounds = adaptive.batch_bounds(docs, 64, "n_chars").where("batch < 3").collect()  # three rows
-    parts = [adaptive.in_batch(docs, b["lo"], b["hi"], "n_chars").select(F.lit(b["batch"]).alias("batch"), "doc_id") for b in bounds]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 @query("SELECT (row_number() OVER (ORDER BY n_chars, doc_id) - 1) // 64 AS batch, doc_id FROM documents WHERE n_chars IS NOT NULL")
-def document_batches_all(s, d):
+def document_batches(s, d):
+    """Every document with its batch; the bound is the count."""
     docs = table(s, d, "documents").where("n_chars is not null")
     return adaptive.batched(docs, 64, "n_chars").select("batch", F.col("at.k").alias("doc_id"))
 

@@ -274,11 +274,11 @@ def embeddings_through_a_cache(s, d):
     return found.groupBy("doc_id").agg(F.max(F.size("embedding")).cast("long").alias("dimensions"), (F.max(size) > 0).alias("known"), F.count(F.lit(1)).alias("cached"))
 
 
-@query("SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, substring(text, CAST(i * 300 + 1 AS BIGINT), 400) AS chunk FROM (SELECT doc_id, text, unnest(range(0, greatest(CAST(floor((length(text) - 101) / 300) AS BIGINT), 0) + 1)) AS i FROM documents WHERE doc_id % 10 = 0)")
+@query("SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, substring(text, CAST(i * 300 + 1 AS BIGINT), 400) AS chunk FROM (SELECT doc_id, text, unnest(range(0, greatest(CAST(floor((length(text) - 101) / 300) AS BIGINT), 0) + 1)) AS i FROM documents)")
 def chunks_by_name(s, d):
-    """A sixth kind of chunk than the catalog's others: the chunker by name, on the documents whose id ends in 0."""
+    """A chunker by its name."""
     chunk = providers.create_chunker("fixed_size", 400, 100)
-    return table(s, d, "documents").where("doc_id % 10 = 0").select("doc_id", F.posexplode(chunk(F.col("text"))).alias("chunk_index", "chunk"))
+    return table(s, d, "documents").select("doc_id", F.posexplode(chunk(F.col("text"))).alias("chunk_index", "chunk"))
 
 
 # --- classifiers as proxies ------------------------------------------------------------
@@ -667,11 +667,11 @@ def retrieval_index(s, d):
     return best.select(F.col("n").cast("string").alias("id"), F.round("score", 5).alias("score"), F.lit(about["model"]).alias("model"))
 
 
-@query("SELECT concat(o_orderkey, '-', i) AS doc_id, o_orderkey AS parent_doc_id, 'status' AS column_name, o_orderstatus AS value FROM orders, (SELECT unnest([0, 1]) AS i) WHERE o_orderkey % 5 = 0")
+@query("SELECT concat(o_orderkey, '-', i) AS doc_id, o_orderkey AS parent_doc_id, 'status' AS column_name, o_orderstatus AS value FROM orders, (SELECT unnest([0, 1]) AS i)")
 def chunked_dataset(s, d):
     """A dataset of chunks on disk: every chunk of a document has its ground truth."""
     root = new_path(s, "chunked")
-    o = table(s, d, "orders").where("o_orderkey % 5 = 0")
+    o = table(s, d, "orders")
     docs = o.select(F.col("o_orderkey").alias("doc_id"), F.rpad(F.lit("x"), 150, "y").alias("doc_text"))
     truth = o.select(F.col("o_orderkey").alias("doc_id"), F.lit("status").alias("column_name"), F.col("o_orderstatus").alias("value"))
     sinks.write_chunked_dataset(docs, truth, V.char_chunks(F.col("doc_text"), 100, 10), root, "c")
