@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenar.llm import exact_dedup, knn_join, language_id, minhash, nbest, packing, sharding, tool_calls, toxicity, warc
+from lumenar.llm import centroids, exact_dedup, fill_in_middle, knn_join, language_id, minhash, nbest, packing, sharding, tool_calls, toxicity, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,6 +15,8 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
     "op6_byte_shards": sharding.op6_byte_shards,
+    "op11_centroid_clusters": centroids.op11_centroid_clusters,
+    "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
 }
 
 ORACLES = {
@@ -22,4 +24,6 @@ ORACLES = {
     "op3_tool_call_linking": tool_calls.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op7_voronoi_knn_join": knn_join.ORACLE,
+    "op11_centroid_clusters": centroids.ORACLE,
+    "op13_fill_in_middle": fill_in_middle.ORACLE,
 }
