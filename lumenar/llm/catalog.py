@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenar.llm import centroids, exact_dedup, fill_in_middle, knn_join, language_id, minhash, nbest, packing, sharding, tool_calls, toxicity, warc
+from lumenar.llm import centroids, exact_dedup, fill_in_middle, knn_join, language_id, minhash, nbest, ngram_join, packing, sharding, tool_calls, toxicity, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
     "op6_byte_shards": sharding.op6_byte_shards,
     "op11_centroid_clusters": centroids.op11_centroid_clusters,
+    "op12_ngram_jaccard_join": ngram_join.op12_ngram_jaccard_join,
     "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
 }
 
@@ -25,5 +26,6 @@ ORACLES = {
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op7_voronoi_knn_join": knn_join.ORACLE,
     "op11_centroid_clusters": centroids.ORACLE,
+    "op12_ngram_jaccard_join": ngram_join.ORACLE,
     "op13_fill_in_middle": fill_in_middle.ORACLE,
 }
