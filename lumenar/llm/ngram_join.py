@@ -8,7 +8,8 @@
    every pair that may link meets in a tree. No estimate and no frequency of tokens is involved, and a
    passage that many texts share does not put them under one root, since it is spread over the parts. Trees
    with the same members are one tree.
-3. Pivots. Each tree has up to two, and its members are held against them exactly; a pivot's set is dealt in
+3. Pivots. Each tree has up to two, and its members are held against them, by marks of their sets first (a lower bound of
+   what differs) and then exactly; a pivot's set is dealt in
    copies, so a tree with a third of all rows is many tasks. Components of these links are the labels of
    the members; near copies of each other now have one label.
 4. Trees that still hold several labels are built out (``signature_trees``): nodes with OR-combined token bitmaps and
@@ -37,9 +38,9 @@ from lumenar.llm.bitmaps import maybe_members
 from lumenar.llm.components import components
 from lumenar.llm.hot_keys import join_facts
 from lumenar.llm.memory import lean
-from lumenar.llm.sets import DIGEST, digests, each_slice, full_sets, groups_oracle, list_column, similar_sizes, verified, with_components
+from lumenar.llm.sets import DIGEST, digests, each_slice, full_sets, groups_oracle, list_column, met, similar_sizes, verified, with_components
 from lumenar.llm.shingles import mix
-from lumenar.llm.signature_trees import tree_links
+from lumenar.llm.signature_trees import marks, marks_allow, tree_links
 from lumenar.storage import Scratch, table, written
 
 #: Members that meet a copy of their pivot's set in a task.
@@ -117,47 +118,48 @@ def partial_signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.mapInArrow(lean(run), PARTS_SCHEMA)
 
 
-def _trees(reps: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def _trees(rows: DataFrame, reps: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Trees (tree, size, pivots) of two members or more, one for each group of members, and their members (tree, rep, n)."""
-    keys = reps.select("rep", "n", F.explode("parts").alias("tree"))
-    shared = scratch.written(keys.groupBy("tree").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared-parts")
-    listed = maybe_members(keys, "tree", shared, "tree")
-    total = shared.agg(F.sum("size")).first()[0] or 0
-    # keys that pass the filter without being shared are few; the join drops them
-    listed = scratch.written(join_facts(listed, shared, "tree", "size", total), "part-members")
+    keys = rows.where("n > 0 and doc_id is not null").select(*DIGEST, F.explode("parts").alias("tree"))
+    # copies share all keys; different sets have different digests
+    shared = keys.groupBy("tree").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low <> high").select("tree")
+    shared = scratch.written(shared, "shared-parts")
+    listed = maybe_members(keys, "tree", shared, "tree").distinct()
+    listed = scratch.written(listed.join(reps.select(*DIGEST, "rep"), DIGEST).select("tree", "rep", "n"), "part-members")
     ends = [end(F.struct(F.xxhash64(F.lit(7), "rep"), "rep", "n")) for end in (F.min, F.max)]
-    told = listed.groupBy("tree").agg(*(e.alias(f"e{i}") for i, e in enumerate(ends)), F.first("size").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(3), "rep")).alias("y"))
-    told = told.groupBy("size", "x", "y").agg(F.min("tree").alias("tree"), F.first("e0").alias("e0"), F.first("e1").alias("e1"))
+    told = listed.groupBy("tree").agg(*(e.alias(f"e{i}") for i, e in enumerate(ends)), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(3), "rep")).alias("y"))
+    told = told.where("size > 1").groupBy("size", "x", "y").agg(F.min("tree").alias("tree"), F.first("e0").alias("e0"), F.first("e1").alias("e1"))
     pivots = F.transform(F.array("e0", "e1"), lambda e: F.struct(e["rep"].alias("rep"), e["n"].alias("n")))
     trees = scratch.written(told.select("tree", "size", pivots.alias("pivots")), "trees")
-    members = join_facts(listed.drop("size"), trees.select("tree", "size"), "tree", "size", total).select("tree", "rep", "n")
+    members = join_facts(listed, trees.select("tree", "size"), "tree", "size", listed.count()).select("tree", "rep", "n")
     return trees, scratch.written(members, "tree-lists")
 
 
-def _pivot_links(trees: DataFrame, listed: DataFrame, members: DataFrame, total: int, percent: int, scratch: Scratch) -> DataFrame:
-    """The links (u, v) of members with the pivots v of their trees."""
+def _pivot_links(trees: DataFrame, listed: DataFrame, members: DataFrame, told_of: DataFrame, total: int, percent: int, scratch: Scratch) -> DataFrame:
+    """The links (u, v) of members with the pivots v of their trees; sets are moved where their marks allow a link."""
     told = join_facts(listed, trees, "tree", "size", total).select("rep", "n", F.ceil(F.col("size") / MEMBERS_A_COPY).cast("int").alias("copies"), F.explode("pivots").alias("pivot"))
     told = told.where((F.col("rep") != F.col("pivot.rep")) & similar_sizes(F.col("n"), F.col("pivot.n"), percent))
     pairs = told.select("rep", F.col("pivot.rep").alias("hub"), "copies").groupBy("rep", "hub").agg(F.max("copies").alias("copies"))
-    return verified(scratch.written(pairs, "pivot-pairs"), members, percent)
+    near = met(scratch.written(pairs, "pivot-pairs"), told_of).where(marks_allow("", "hub_", percent)).select("rep", "hub", "copies")
+    return verified(scratch.written(near, "likely-pairs"), members, percent)
 
 
-def _links(docs: DataFrame, reps: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+def _links(docs: DataFrame, rows: DataFrame, reps: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
     """Verified links (u, v) between representatives that connect what all links connect."""
-    trees, listed = _trees(reps, scratch)
+    trees, listed = _trees(rows, reps, scratch)
     candidates = scratch.written(listed.select("rep").distinct(), "candidates")
     wanted = maybe_members(docs, "doc_id", candidates, "rep")
     sets = full_sets(wanted, words).groupBy(F.col("doc_id").alias("rep"), "s1", "s2").agg(F.first("shingles").alias("shingles"))
     members = scratch.written(reps.join(candidates, "rep").select("rep", "n", "s1", "s2").join(sets, ["rep", "s1", "s2"]).select("rep", "n", "shingles"), "members")
-    total = listed.count()
-    links = scratch.written(_pivot_links(trees, listed, members, total, percent, scratch), "pivot-links")
+    told_of, total = scratch.written(marks(members), "marks"), listed.count()
+    links = scratch.written(_pivot_links(trees, listed, members, told_of, total, percent, scratch), "pivot-links")
     stars = scratch.written(components(links, "pivot-components").withColumnsRenamed({"node": "u", "component": "v"}), "pivot-stars")
     told = listed.join(stars.select(F.col("u").alias("rep"), F.col("v").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     told = scratch.written(told, "labelled-members")
     still = told.groupBy("tree").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high and size > 2")  # of two members one is a pivot
     still = scratch.written(still.select("tree", "size"), "open-trees")
     rest = scratch.written(join_facts(told, still, "tree", "size", total).select("tree", "rep", "n", "label"), "open-members")
-    return stars.unionByName(tree_links(rest, members, percent, scratch))
+    return stars.unionByName(tree_links(rest, members, told_of, percent, scratch))
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
@@ -166,9 +168,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("the size classes hold for a similarity of 0.8 or more")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = written(partial_signatures(slim, words, percent), "partial-signatures")
-    reps = written(rows.where("n > 0").groupBy(*DIGEST).agg(F.min("doc_id").alias("rep"), F.first("parts").alias("parts"), F.count(F.lit(1)).alias("copies")), "set-reps")
+    reps = written(rows.where("n > 0").groupBy(*DIGEST).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "set-reps")
     scratch = Scratch(docs.sparkSession)
-    links = components(_links(slim, reps.where("rep is not null"), words, percent, scratch), "links")  # reads the links once
+    links = components(_links(slim, rows, reps.where("rep is not null"), words, percent, scratch), "links")  # reads the links once
     scratch.clear()
     return with_components(rows.select("doc_id", *DIGEST), reps, links, rows.count())
 

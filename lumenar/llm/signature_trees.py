@@ -12,13 +12,16 @@ A dual traversal goes down pairs of nodes from (root, root), one level of all tr
 left when no two of their members can be similar: their size ranges are too far apart, or the maximum possible
 overlap (common bits, and the collisions of the poorer side) is less than the least overlap that a link of
 their smallest sizes needs. Nodes of the same label are never paired, so near copies cost one node, not pairs.
-What reaches the leaves is compared exactly, and each task returns a spanning forest of its links.
+Trees of few members are one leaf. In a leaf, members are first held against each other by short marks (a lower bound
+of what two sets differ in), so that only sets that may be similar are moved; these are compared exactly, and each task
+returns a spanning forest of its links.
 
 Nothing is a self-join of a list: children meet through the pair of their parents, and a node has about eight.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +41,8 @@ BITS = 1 << 15
 FAN_OUT = 8
 #: A leaf holds at most about so many members, and so many tokens of them.
 LEAF_ROWS, LEAF_TOKENS = 64, 1 << 17
+#: Bits of a mark. What may be similar beyond twice as many differences is left to the exact comparison.
+MARK_BITS = 1 << 11
 
 _BITS_SCHEMA = "rep long, bits binary, excess long"
 
@@ -60,6 +65,34 @@ def bitmaps(members: DataFrame) -> DataFrame:
     return members.select("rep", "shingles").mapInArrow(lean(run), _BITS_SCHEMA)
 
 
+def marks(members: DataFrame) -> DataFrame:
+    """(rep, n, mark) of members (rep, n, shingles): for each bit whether the number of its tokens is odd, so that tokens of both sets cancel out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                size = part.column(2).value_lengths().to_numpy(zero_copy_only=False)
+                bit = part.column(2).flatten().to_numpy() & (MARK_BITS - 1)
+                tokens = np.bincount(np.repeat(np.arange(part.num_rows), size) * MARK_BITS + bit, minlength=part.num_rows * MARK_BITS)
+                packed = np.packbits((tokens & 1).astype(bool).reshape(-1, MARK_BITS), axis=1, bitorder="little")
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in packed], pa.binary())], ["rep", "n", "mark"])
+
+    return members.select("rep", "n", "shingles").mapInArrow(lean(run), "rep long, n long, mark binary")
+
+
+@F.pandas_udf(LongType())
+def differing_bits(a: pd.Series, b: pd.Series) -> pd.Series:
+    x, y = (np.frombuffer(b"".join(s), np.uint64).reshape(-1, MARK_BITS // 64) for s in (a, b))
+    return pd.Series(np.bitwise_count(x ^ y).sum(1, dtype=np.int64))
+
+
+def marks_allow(a: str, b: str, percent: int) -> Column:
+    """Whether two sets may be similar by (n, mark) with the prefixes: each bit that differs is that of a token that differs."""
+    most = F.floor((F.col(f"{a}n") + F.col(f"{b}n")) * (100 - percent) / F.lit(100.0 + percent) + 1e-9)
+    return differing_bits(f"{a}mark", f"{b}mark") <= most
+
+
 @F.pandas_udf(LongType())
 def common_bits(a: pd.Series, b: pd.Series) -> pd.Series:
     out = np.zeros(len(a), np.int64)
@@ -150,13 +183,35 @@ class Trees:
         return one.unionByName(more.select(*one.columns))
 
 
-def leaf_links(rep: np.ndarray, label: np.ndarray, n: np.ndarray, partners: list[np.ndarray], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def _allowed(code: np.ndarray, names: np.ndarray, partners: list[np.ndarray | None]) -> np.ndarray:
+    """Which labels, by their codes, are compared with each other; no partners are all others."""
+    out = np.zeros((len(names), len(names)), bool)
+    for c, others in zip(code.tolist(), partners, strict=True):
+        out[c, slice(None) if others is None else np.searchsorted(names, others)] = True
+    np.fill_diagonal(out, False)
+    return out | out.T
+
+
+def suspects(label: np.ndarray, n: np.ndarray, mark: np.ndarray, partners: list[np.ndarray | None], percent: int) -> dict[int, set[int]]:
+    """Of the members of a leaf or a pair of leaves those that may be similar to one of another label, with these labels."""
+    names, code = np.unique(label, return_inverse=True)
+    allowed = _allowed(code, names, partners)
+    most = (100 - percent) * (n[:, None] + n[None, :]) // (100 + percent)
+    may = allowed[code[:, None], code[None, :]] & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
+    found: dict[int, set[int]] = {}
+    for i in range(len(n)):
+        others = np.flatnonzero(may[i])
+        differ = np.bitwise_count(mark[others] ^ mark[i]).sum(1)
+        others = others[differ <= most[i, others]]
+        if len(others):
+            found[i] = set(label[others].tolist())
+    return found
+
+
+def leaf_links(rep: np.ndarray, label: np.ndarray, n: np.ndarray, partners: list[np.ndarray | None], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between members whose labels are partners."""
     names, code = np.unique(label, return_inverse=True)
-    allowed = np.zeros((len(names), len(names)), bool)
-    for c, others in zip(code.tolist(), partners, strict=True):
-        allowed[c, np.searchsorted(names, others)] = True
-    may = (allowed | allowed.T)[code[:, None], code[None, :]]
+    may = _allowed(code, names, partners)[code[:, None], code[None, :]]
     may &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
     i, j = np.nonzero(np.triu(may, 1))
     if not len(i):
@@ -171,22 +226,45 @@ def leaf_links(rep: np.ndarray, label: np.ndarray, n: np.ndarray, partners: list
     return [(int(rep[x]), int(rep[y])) for x, y in zip(i[linked].tolist(), j[linked].tolist(), strict=True) if forest.join(x, y)]
 
 
-def tree_links(listed: DataFrame, members: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Links (u, v) between different labels of each tree of listed (tree, rep, n, label) that connect what all its links connect.
-
-    ``members`` (rep, n, shingles) has the sets. A member is listed once a tree.
-    """
+def _duties(listed: DataFrame, members: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(task, rep, n, label, partners) of trees that are built out: labels under the same two parents are one task, large ones leaf by leaf."""
     trees = Trees(listed, members, scratch)
     pairs = scratch.written(trees.leaf_pairs(trees.label_pairs(percent, scratch), percent), "leaf-pairs")
-    # labels under the same two parents are compared in one task, large ones leaf by leaf
     task = F.struct("tree", "pa", "pb", "fa", "fb").alias("task")
     duties = pairs.select(task, "tree", F.col("la").alias("label"), F.col("fa").alias("leaf"), F.col("lb").alias("partner"))
     duties = duties.unionByName(pairs.select(task, "tree", F.col("lb").alias("label"), F.col("fb").alias("leaf"), F.col("la").alias("partner")))
     duties = duties.groupBy("task", "tree", "label", "leaf").agg(F.collect_set("partner").alias("partners"))  # about a fan-out of labels
-    rows = trees.placed.join(duties, ["tree", "label", "leaf"]).select("task", "rep", "n", "label", "partners").join(members.select("rep", "shingles"), "rep")
+    return trees.placed.join(duties, ["tree", "label", "leaf"]).select(F.xxhash64("task").alias("task"), "rep", "n", "label", "partners")
+
+
+def tree_links(listed: DataFrame, members: DataFrame, told: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (u, v) between different labels of each tree of listed (tree, rep, n, label) that connect what all its links connect.
+
+    ``members`` (rep, n, shingles) has the sets, ``told`` their ``marks``. A member is listed once a tree.
+    """
+    total = listed.count()
+    sizes = listed.groupBy("tree").agg(F.count(F.lit(1)).alias("size"))
+    sized = scratch.written(join_facts(listed, sizes, "tree", "size", total), "sized-trees")
+    duties = sized.where(F.col("size") <= LEAF_ROWS).select(F.col("tree").alias("task"), "rep", "n", "label", F.lit(None).cast("array<long>").alias("partners"))
+    large = sized.where(F.col("size") > LEAF_ROWS).drop("size")
+    if not large.isEmpty():
+        duties = duties.unionByName(_duties(large, members, percent, scratch))
+
+    def select(group: pd.DataFrame) -> pd.DataFrame:
+        mark = np.frombuffer(b"".join(group["mark"]), np.uint64).reshape(-1, MARK_BITS // 64)
+        found = suspects(group["label"].to_numpy(), group["n"].to_numpy(), mark, list(group["partners"]), percent)
+        out = group.iloc[list(found)][["task", "rep", "n", "label"]].copy()
+        out["partners"] = pd.Series([sorted(x) for x in found.values()], index=out.index, dtype=object)
+        # the same members meet in many trees; they are one task
+        content = sorted(zip(out["rep"].tolist(), map(tuple, out["partners"]), strict=True))
+        out["task"] = int.from_bytes(hashlib.blake2b(repr(content).encode(), digest_size=8).digest(), "little", signed=True)
+        return out
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         found = leaf_links(group["rep"].to_numpy(), group["label"].to_numpy(), group["n"].to_numpy(), list(group["partners"]), list(group["shingles"]), percent)
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
+    marked = duties.join(told.select("rep", "mark"), "rep").select("task", "rep", "n", "mark", "label", "partners")
+    few = marked.groupBy("task").applyInPandas(select, "task long, rep long, n long, label long, partners array<long>").dropDuplicates(["task", "rep"])
+    rows = scratch.written(few, "suspects").join(members.select("rep", "shingles"), "rep")
     return rows.select("task", "rep", "n", "label", "partners", "shingles").groupBy("task").applyInPandas(solve, "u long, v long")
