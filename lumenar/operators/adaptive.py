@@ -57,19 +57,25 @@ def batches(lengths: Iterable[tuple[str, int]], most_docs: int, most_chars: int)
     return out
 
 
-def batched(docs: DataFrame, size: int, order: str = "doc_pos", key: str = "doc_id", buckets: int = 200) -> DataFrame:
-    """(at, batch): (order, key) of every document and the number of its batch of ``size`` documents in order.
+def numbered(docs: DataFrame, order: str = "doc_pos", key: str = "doc_id", buckets: int = 200, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(at, place, carried columns): (order, key) of every document and its place in the order, from 0.
 
-    Only order and key are read. Their ranges are numbered apart and offset by prefix counts
-    (one row per range), so no task sees all documents. Ties of the order go by the key.
+    Only these columns are read. Their ranges are numbered apart and offset by prefix counts
+    (one row per range), so no task sees all documents. Ties of the order go by the key, then by what is carried.
     """
-    keys = docs.select(F.struct(F.col(order).alias("o"), F.col(key).alias("k")).alias("at")).repartitionByRange(buckets, "at")
+    at = F.struct(F.col(order).alias("o"), F.col(key).alias("k")).alias("at")
+    keys = docs.select(at, *carried).repartitionByRange(buckets, "at", *carried)
     placed = written(keys.withColumn("_range", F.spark_partition_id()), "batch-keys")  # sampled ranges may differ from run to run
     sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy("at")) - 1
-    return placed.join(F.broadcast(before), "_range").select("at", F.floor((F.col("_before") + place) / size).alias("batch"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy("at", *carried)) - 1
+    return placed.join(F.broadcast(before), "_range").select("at", (F.col("_before") + inside).alias("place"), *carried)
+
+
+def batched(docs: DataFrame, size: int, order: str = "doc_pos", key: str = "doc_id", buckets: int = 200) -> DataFrame:
+    """(at, batch): (order, key) of every document and the number of its batch of ``size`` documents in order."""
+    return numbered(docs, order, key, buckets).select("at", F.floor(F.col("place") / size).alias("batch"))
 
 
 def batch_bounds(docs: DataFrame, size: int, order: str = "doc_pos", key: str = "doc_id", buckets: int = 200) -> DataFrame:

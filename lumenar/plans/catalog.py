@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenar.functions import evidence
 from lumenar.functions import values as V
-from lumenar.operators import adaptive, cascade, curation, filters, metrics, proxies, ranks, relational, similarity
+from lumenar.operators import adaptive, cascade, curation, filters, metrics, proxies, ranks, relational, segments, similarity, stop_points
 from lumenar.operators.predicates import all_of, compile_predicate
 from lumenar.plans import answers, runtime
 from lumenar.plans.registry import ORACLES, QUERIES, query
@@ -807,16 +807,59 @@ def _cells_by_source(docs):
     return docs.where("lang is not null").select("doc_id", F.col("lang").alias("table_id"), F.col("source").alias("column_name"))
 
 
-@query(None)
+_BATCH_SQL = """
+WITH d AS (SELECT doc_id, lang AS t, source AS c, (row_number() OVER (ORDER BY doc_id) - 1) // 50 AS b FROM documents),
+batches AS (SELECT b, sum(count(*)) OVER (ORDER BY b) AS n FROM d GROUP BY b),"""
+_KNOWN_SQL = """
+SELECT DISTINCT t AS table_id, c AS attribute, (SELECT n::BIGINT FROM batches JOIN stop USING (b)) AS documents FROM d WHERE t IS NOT NULL AND b <= (SELECT b FROM stop)"""
+
+
+@query(
+    _BATCH_SQL
+    + """
+f AS (SELECT b, unnest(['table:' || t, t || '.' || coalesce(c, 'None'), 'attr:' || coalesce(c, 'None')]) AS feature FROM d WHERE t IS NOT NULL),
+firsts AS (SELECT feature, min(b) AS b FROM f GROUP BY 1),
+course AS (SELECT b, n, count(feature) AS fresh FROM batches LEFT JOIN firsts USING (b) GROUP BY b, n),
+seen AS (SELECT *, sum(fresh) OVER (ORDER BY b) AS known FROM course),
+e AS (SELECT *, CASE WHEN b = 0 OR known = 0 THEN 1.0 ELSE fresh / known END AS entropy FROM seen),
+s AS (SELECT *, b - coalesce(max(CASE WHEN entropy >= 0.1 THEN b END) OVER (ORDER BY b), -1) AS streak FROM e),
+stop AS (SELECT coalesce(min(b) FILTER (streak >= 2 AND n >= 50 AND pow(0.95, n) * greatest(known, 1) <= 0.05), max(b)) AS b FROM s)"""
+    + _KNOWN_SQL
+)
 def schema_discovery_entropy(s, d):
-    found = adaptive.discover(table(s, d, "documents"), _cells_by_source, adaptive.EntropyRule(limit=0.1, needed=2, least=50), size=50, order="doc_id")
-    return s.createDataFrame([(t, a, found.documents) for t, xs in found.schema.items() for a in xs], "table_id string, attribute string, documents long")
+    docs = table(s, d, "documents")
+    found = stop_points.discovered(docs, _cells_by_source(docs), adaptive.EntropyRule(limit=0.1, needed=2, least=50), size=50, order="doc_id")
+    return found.select("table_id", F.col("column_name").alias("attribute"), "documents")
 
 
-@query(None)
+@query(
+    _BATCH_SQL
+    + """
+f AS (SELECT DISTINCT b, doc_id, t || '.' || coalesce(c, 'None') AS feature FROM d WHERE t IS NOT NULL),
+two AS (SELECT feature, b, row_number() OVER (PARTITION BY feature ORDER BY doc_id) AS nth FROM f),
+course AS (SELECT b, n, coalesce(sum(CASE nth WHEN 1 THEN 1 WHEN 2 THEN -1 END), 0) AS more FROM batches LEFT JOIN two USING (b) GROUP BY b, n),
+s AS (SELECT *, sum(more) OVER (ORDER BY b) AS once FROM course),
+stop AS (SELECT coalesce(min(b) FILTER (n >= 50 AND once / n < 0.1), max(b)) AS b FROM s)"""
+    + _KNOWN_SQL
+)
 def schema_discovery_missing_mass(s, d):
-    found = adaptive.discover_by_missing_mass(table(s, d, "documents"), _cells_by_source, adaptive.MissingMassRule(0.1, 50), size=50, order="doc_id")
-    return s.createDataFrame([(t, a, found.documents) for t, xs in found.schema.items() for a in xs], "table_id string, attribute string, documents long")
+    docs = table(s, d, "documents")
+    found = stop_points.discovered(docs, _cells_by_source(docs), adaptive.MissingMassRule(0.1, 50), size=50, order="doc_id")
+    return found.select("table_id", F.col("column_name").alias("attribute"), "documents")
+
+
+@query("""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, greatest(coalesce(n_chars, 0), 0) AS c, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
+g AS (
+  SELECT doc_id, i, 0::BIGINT AS batch, 1 AS docs, c AS chars FROM d WHERE i = 1
+  UNION ALL
+  SELECT d.doc_id, d.i, CASE WHEN docs >= 32 OR chars + c > 40000 THEN batch + 1 ELSE batch END,
+         CASE WHEN docs >= 32 OR chars + c > 40000 THEN 1 ELSE docs + 1 END, CASE WHEN docs >= 32 OR chars + c > 40000 THEN c ELSE chars + c END
+  FROM g JOIN d ON d.i = g.i + 1)
+SELECT doc_id, batch FROM g""")
+def document_batches_by_size(s, d):
+    """Every document with its batch of at most 32 documents and 40,000 characters, for one call of an extractor."""
+    return segments.batches_by_size(table(s, d, "documents"), 32, 40_000, order="doc_id").select(F.col("at.k").alias("doc_id"), "batch")
 
 
 @query("SELECT lang AS table_id, count(DISTINCT doc_id) AS docs FROM documents WHERE lang IS NOT NULL GROUP BY 1 HAVING count(DISTINCT doc_id) > 5")
