@@ -1,27 +1,24 @@
 """Signature trees over members of lists, and their dual traversal, as tables.
 
 A tree holds the members of one list. Its nodes carry the bitwise OR of their members' token bitmaps, the
-range of their set sizes, and the most tokens that any member's bitmap lost to collisions. From the leaves up:
-
-* a leaf holds members of one tree and label, so many that their sets fit a task's memory together;
-* a label node holds the leaves of one label (the component known so far: near copies, so that the OR of a
-  whole label is hardly denser than one member's bitmap);
-* slot nodes hold up to about eight label nodes each, then eight slot nodes each, up to the root.
+range of their set sizes, the most tokens that any member's bitmap lost to collisions, and their label (the component
+known so far) if they have but one. Leaves hold members of one class of sizes, of one label where a label
+has many, else of several; eight leaves have a parent, eight parents one, up to the root.
 
 A dual traversal goes down pairs of nodes from (root, root), one level of all trees a step. A pair of nodes is
 left when no two of their members can be similar: their size ranges are too far apart, or the maximum possible
 overlap (common bits, and the collisions of the poorer side) is less than the least overlap that a link of
-their smallest sizes needs. Nodes of the same label are never paired, so near copies cost one node, not pairs.
-Trees of few members are one leaf. In a leaf, members are first held against each other by short marks (a lower bound
-of what two sets differ in), so that only sets that may be similar are moved; these are compared exactly, and each task
-returns a spanning forest of its links.
+their smallest sizes needs. Two nodes of one and the same label are never paired, so near copies cost nodes, not pairs.
+
+Pairs of leaves that remain, and trees of few members, which are one leaf, are tasks. In a task members are first held
+against each other by short marks (a lower bound of what two sets differ in), so that only sets that may be similar
+are moved; these are compared exactly, and a task of a large tree returns a spanning forest of its links.
 
 Nothing is a self-join of a list: children meet through the pair of their parents, and a node has about eight.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,14 +30,16 @@ from pyspark.sql.types import LongType
 
 from lumenar.llm.hot_keys import join_facts
 from lumenar.llm.memory import lean
-from lumenar.llm.sets import Forest, overlaps
+from lumenar.llm.sets import Forest, overlaps, verified
 from lumenar.storage import Scratch
 
 #: Bits of a bitmap; that of Spark's own bitmap functions.
 BITS = 1 << 15
 FAN_OUT = 8
 #: A leaf holds at most about so many members, and so many tokens of them.
-LEAF_ROWS, LEAF_TOKENS = 64, 1 << 17
+LEAF_ROWS, LEAF_TOKENS = 1024, 1 << 22
+#: A tree of at most so many members is one leaf, and its pairs are few.
+SMALL_TREE = 64
 #: Bits of a mark. What may be similar beyond twice as many differences is left to the exact comparison.
 MARK_BITS = 1 << 11
 
@@ -117,7 +116,7 @@ def _may_link(percent: int) -> Column:
 
 
 def _facts(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("excess").alias("excess"), F.bitmap_or_agg("bits").alias("bits"))
+    return rows.groupBy(*keys).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("excess").alias("excess"), F.bitmap_or_agg("bits").alias("bits"), F.min("first").alias("first"), F.max("last").alias("last"))
 
 
 def _side(nodes: DataFrame, prefix: str, keys: list[str]) -> DataFrame:
@@ -127,91 +126,86 @@ def _side(nodes: DataFrame, prefix: str, keys: list[str]) -> DataFrame:
 class Trees:
     """The nodes of all trees of ``listed`` (tree, rep, n, label), written to the shared folder."""
 
-    def __init__(self, listed: DataFrame, members: DataFrame, scratch: Scratch) -> None:
+    def __init__(self, listed: DataFrame, members: DataFrame, percent: int, scratch: Scratch) -> None:
         total = listed.count()
-        sizes = listed.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("tokens"))
-        leaves = F.ceil(F.greatest(F.col("rows") / LEAF_ROWS, F.col("tokens") / LEAF_TOKENS)).cast("int")
-        sizes = scratch.written(sizes.select("tree", "label", F.struct("tree", "label").alias("node"), "rows", leaves.alias("leaves")), "label-sizes")
-        dealt = join_facts(listed.withColumn("node", F.struct("tree", "label")), sizes.select("node", "rows", "leaves"), "node", "rows", total)
-        dealt = dealt.withColumn("leaf", F.pmod(F.xxhash64("rep"), F.col("leaves")).cast("int"))
-        self.placed = scratch.written(dealt.select("tree", "rep", "n", "label", "leaf"), "tree-members")
-        marked = self.placed.join(bitmaps(members), "rep").select("tree", "label", "leaf", F.col("n").alias("low"), F.col("n").alias("high"), "excess", "bits")
-        self.leaves = scratch.written(_facts(marked, "tree", "label", "leaf"), "tree-leaves")
-
-        labels = _facts(self.leaves, "tree", "label").join(sizes.select("tree", "label", "leaves"), ["tree", "label"])
-        wide = sizes.groupBy("tree").agg(F.count(F.lit(1)).alias("labels"))
-        depth = F.greatest(F.lit(0), F.ceil(F.log(F.col("labels") / FAN_OUT) / F.log(F.lit(float(FAN_OUT))) - 1e-9)).cast("int")
-        labels = join_facts(labels, wide.select("tree", "labels", depth.alias("depth")), "tree", "labels", total)
-        # the slot of a label on the lowest level of its tree; one digit less a level up
-        slot = F.pmod(F.xxhash64("label"), F.pow(F.lit(FAN_OUT), F.col("depth")).cast("long"))
-        labels = scratch.written(labels.withColumn("slot", slot), "label-nodes")
-        up = labels.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("depth"))))
-        up = up.withColumn("slot", F.floor(F.col("slot") / F.pow(F.lit(FAN_OUT), F.col("depth") - F.col("level"))).cast("long"))
-        slots = _facts(up, "tree", "level", "slot").select("*", F.floor(F.col("slot") / FAN_OUT).cast("long").alias("parent"), F.lit(None).cast("long").alias("label"), F.lit(0).alias("leaves"))
-        lowest = labels.select("tree", (F.col("depth") + 1).alias("level"), "slot", "low", "high", "excess", "bits", F.col("slot").alias("parent"), "label", "leaves")
-        self.nodes = scratch.written(slots.select(*lowest.columns).unionByName(lowest), "tree-nodes")
-
-    def label_pairs(self, percent: int, scratch: Scratch) -> DataFrame:
-        """(tree, pa, pb, la, lb, na, nb): labels that may hold a link, their parents' slots and numbers of leaves."""
+        # sizes of similar sets are at most one class apart
+        sized = listed.withColumn("class", F.floor(F.log("n") / F.log(F.lit(100 / percent + 1e-9))).cast("int")).withColumn("cell", F.struct("tree", "class", "label"))
+        labels = sized.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("tokens"))
+        many = (F.col("rows") > LEAF_ROWS / 2) | (F.col("tokens") > LEAF_TOKENS / 2)
+        labels = labels.withColumn("own", F.when(many, F.col("cell.label"))).withColumn("kind", F.struct("cell.tree", "cell.class", "own"))
+        labels = scratch.written(labels, "label-sizes")
+        parts = F.ceil(F.greatest(F.sum("rows") / LEAF_ROWS, F.sum("tokens") / LEAF_TOKENS)).cast("int").alias("parts")
+        kinds = labels.groupBy("kind").agg(parts, F.count(F.lit(1)).alias("labels"))
+        facts = join_facts(labels, kinds, "kind", "labels", total).select("cell", "rows", "own", "parts")
+        placed = join_facts(sized, scratch.written(facts, "leaf-counts"), "cell", "rows", total)
+        part = F.pmod(F.when(F.col("own").isNull(), F.xxhash64("label")).otherwise(F.xxhash64("rep")), F.col("parts"))
+        placed = placed.select("tree", "rep", "n", "label", F.xxhash64("tree", "class", "own", part).alias("leaf"))
+        self.placed = scratch.written(placed, "tree-members")
+        marked = self.placed.join(bitmaps(members), "rep").select("tree", "leaf", F.col("n").alias("low"), F.col("n").alias("high"), "excess", "bits", F.col("label").alias("first"), F.col("label").alias("last"))
+        leaves = scratch.written(_facts(marked, "tree", "leaf"), "tree-leaves")
+
+        wide = leaves.groupBy("tree").agg(F.count(F.lit(1)).alias("leaves"))
+        depth = F.greatest(F.lit(0), F.ceil(F.log(F.col("leaves") / FAN_OUT) / F.log(F.lit(float(FAN_OUT))) - 1e-9)).cast("int")
+        leaves = join_facts(leaves, wide.select("tree", "leaves", depth.alias("depth")), "tree", "leaves", total)
+        # the slot of a leaf on the lowest level of its tree; one digit less a level up
+        leaves = leaves.withColumn("slot", F.pmod(F.xxhash64("leaf"), F.pow(F.lit(FAN_OUT), F.col("depth")).cast("long")))
+        up = leaves.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("depth"))))
+        up = up.withColumn("id", F.floor(F.col("slot") / F.pow(F.lit(FAN_OUT), F.col("depth") - F.col("level"))).cast("long"))
+        slots = _facts(up, "tree", "level", "id").select("*", F.floor(F.col("id") / FAN_OUT).cast("long").alias("parent"), F.lit(False).alias("is_leaf"))
+        lowest = leaves.withColumn("level", F.col("depth") + 1).withColumn("parent", F.col("slot")).withColumn("id", F.col("leaf")).withColumn("is_leaf", F.lit(True))
+        self.nodes = scratch.written(slots.unionByName(lowest.select(*slots.columns)), "tree-nodes")
+
+    def leaf_pairs(self, percent: int, scratch: Scratch) -> DataFrame:
+        """(tree, a, b): leaves that may hold a link, or one leaf twice."""
         on = ["tree", "level"]
-        children = self.nodes.withColumnRenamed("slot", "id")
-        a, b = (_side(children, p, on) for p in "ab")
-        front = self.nodes.where("level = 0").select("tree", F.lit(1).alias("level"), F.col("slot").alias("pa"), F.col("slot").alias("pb"))
+        a, b = (_side(self.nodes, p, on) for p in "ab")
+        front = self.nodes.where("level = 0").select("tree", F.lit(1).alias("level"), F.col("id").alias("pa"), F.col("id").alias("pb"))
         found = []
         while not front.isEmpty():
             met = front.join(a.withColumnRenamed("a_parent", "pa"), [*on, "pa"]).join(b.withColumnRenamed("b_parent", "pb"), [*on, "pb"])
-            # within one parent each pair once; labels differ, or one component would be compared with itself
-            once = F.when(F.col("a_label").isNull(), (F.col("pa") < F.col("pb")) | (F.col("a_id") <= F.col("b_id"))).otherwise((F.col("pa") < F.col("pb")) | (F.col("a_label") < F.col("b_label")))
-            itself = F.col("a_label").isNull() & (F.col("a_id") == F.col("b_id"))
-            apart = sizes_may_link("a", "b", percent)
-            kept = met.where(once & (itself | apart)).where(F.when(itself, True).otherwise(_may_link(percent)))
-            kept = scratch.written(kept.select("tree", "level", "pa", "pb", "a_id", "b_id", "a_label", "b_label", "a_leaves", "b_leaves"), "node-pairs")
-            found.append(kept.where("a_label is not null").select("tree", "pa", "pb", F.col("a_label").alias("la"), F.col("b_label").alias("lb"), F.col("a_leaves").alias("na"), F.col("b_leaves").alias("nb")))
-            front = kept.where("a_label is null").select("tree", (F.col("level") + 1).alias("level"), F.col("a_id").alias("pa"), F.col("b_id").alias("pb"))
-        out = found[0] if found else self.nodes.sparkSession.createDataFrame([], "tree long, pa long, pb long, la long, lb long, na int, nb int")
+            once = (F.col("pa") < F.col("pb")) | (F.col("a_id") <= F.col("b_id"))  # within one parent each pair once
+            one_label = (F.col("a_first") == F.col("b_last")) & (F.col("a_last") == F.col("b_first"))
+            met = met.where(once & ~one_label & sizes_may_link("a", "b", percent))
+            kept = met.where((F.col("a_id") == F.col("b_id")) | _may_link(percent))
+            kept = scratch.written(kept.select("tree", "level", "a_id", "b_id", "a_is_leaf"), "node-pairs")
+            found.append(kept.where("a_is_leaf").select("tree", F.col("a_id").alias("a"), F.col("b_id").alias("b")))
+            front = kept.where("not a_is_leaf").select("tree", (F.col("level") + 1).alias("level"), F.col("a_id").alias("pa"), F.col("b_id").alias("pb"))
+        out = found[0]
         for more in found[1:]:
             out = out.unionByName(more)
         return out
 
-    def leaf_pairs(self, pairs: DataFrame, percent: int) -> DataFrame:
-        """(tree, pa, pb, la, lb, fa, fb): leaves that may hold a link; labels of one leaf each have been tested already."""
-        one = pairs.where("na = 1 and nb = 1").select("tree", "pa", "pb", "la", "lb", F.lit(0).alias("fa"), F.lit(0).alias("fb"))
-        more = pairs.where("na > 1 or nb > 1").withColumn("fa", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("fb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        a = _side(self.leaves, "a", ["tree"]).withColumnsRenamed({"a_label": "la", "a_leaf": "fa"})
-        b = _side(self.leaves, "b", ["tree"]).withColumnsRenamed({"b_label": "lb", "b_leaf": "fb"})
-        more = more.join(a, ["tree", "la", "fa"]).join(b, ["tree", "lb", "fb"]).where(sizes_may_link("a", "b", percent)).where(_may_link(percent))
-        return one.unionByName(more.select(*one.columns))
-
-
-def _allowed(code: np.ndarray, names: np.ndarray, partners: list[np.ndarray | None]) -> np.ndarray:
-    """Which labels, by their codes, are compared with each other; no partners are all others."""
-    out = np.zeros((len(names), len(names)), bool)
-    for c, others in zip(code.tolist(), partners, strict=True):
-        out[c, slice(None) if others is None else np.searchsorted(names, others)] = True
-    np.fill_diagonal(out, False)
-    return out | out.T
-
-
-def suspects(label: np.ndarray, n: np.ndarray, mark: np.ndarray, partners: list[np.ndarray | None], percent: int) -> dict[int, set[int]]:
-    """Of the members of a leaf or a pair of leaves those that may be similar to one of another label, with these labels."""
-    names, code = np.unique(label, return_inverse=True)
-    allowed = _allowed(code, names, partners)
-    most = (100 - percent) * (n[:, None] + n[None, :]) // (100 + percent)
-    may = allowed[code[:, None], code[None, :]] & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
-    found: dict[int, set[int]] = {}
+
+def _sides(side: np.ndarray) -> np.ndarray:
+    """Which rows meet: of two sides (0 and 1) each with the other one's, of one leaf (2) all."""
+    return (side[:, None] != side[None, :]) | (side == 2)[:, None]
+
+
+def _may_be_similar(n: np.ndarray, mark: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Of pairs of rows those that sizes and marks allow: each bit that differs is that of a token that differs."""
+    out = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+    at = np.flatnonzero(out)
+    for k in range(0, len(at), 1 << 15):
+        some = at[k : k + (1 << 15)]
+        differ = np.bitwise_count(mark[i[some]] ^ mark[j[some]]).sum(1, dtype=np.int64)
+        out[some] = differ <= (100 - percent) * (n[i[some]] + n[j[some]]) // (100 + percent)
+    return out
+
+
+def suspects(label: np.ndarray, n: np.ndarray, mark: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
+    """The rows of a leaf, or of a pair of leaves, that may be similar to one of another label."""
+    meet, found = _sides(side), np.zeros(len(n), bool)
     for i in range(len(n)):
-        others = np.flatnonzero(may[i])
-        differ = np.bitwise_count(mark[others] ^ mark[i]).sum(1)
-        others = others[differ <= most[i, others]]
-        if len(others):
-            found[i] = set(label[others].tolist())
-    return found
-
-
-def leaf_links(rep: np.ndarray, label: np.ndarray, n: np.ndarray, partners: list[np.ndarray | None], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between members whose labels are partners."""
-    names, code = np.unique(label, return_inverse=True)
-    may = _allowed(code, names, partners)[code[:, None], code[None, :]]
+        j = np.flatnonzero(meet[i, i + 1 :] & (label[i + 1 :] != label[i])) + i + 1
+        j = j[_may_be_similar(n, mark, np.full(len(j), i), j, percent)]
+        found[j] = True
+        found[i] |= len(j) > 0
+    return np.flatnonzero(found)
+
+
+def leaf_links(rep: np.ndarray, label: np.ndarray, n: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between rows that meet and have different labels."""
+    may = _sides(side) & (label[:, None] != label[None, :])
     may &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
     i, j = np.nonzero(np.triu(may, 1))
     if not len(i):
@@ -226,15 +220,32 @@ def leaf_links(rep: np.ndarray, label: np.ndarray, n: np.ndarray, partners: list
     return [(int(rep[x]), int(rep[y])) for x, y in zip(i[linked].tolist(), j[linked].tolist(), strict=True) if forest.join(x, y)]
 
 
-def _duties(listed: DataFrame, members: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(task, rep, n, label, partners) of trees that are built out: labels under the same two parents are one task, large ones leaf by leaf."""
-    trees = Trees(listed, members, scratch)
-    pairs = scratch.written(trees.leaf_pairs(trees.label_pairs(percent, scratch), percent), "leaf-pairs")
-    task = F.struct("tree", "pa", "pb", "fa", "fb").alias("task")
-    duties = pairs.select(task, "tree", F.col("la").alias("label"), F.col("fa").alias("leaf"), F.col("lb").alias("partner"))
-    duties = duties.unionByName(pairs.select(task, "tree", F.col("lb").alias("label"), F.col("fb").alias("leaf"), F.col("la").alias("partner")))
-    duties = duties.groupBy("task", "tree", "label", "leaf").agg(F.collect_set("partner").alias("partners"))  # about a fan-out of labels
-    return trees.placed.join(duties, ["tree", "label", "leaf"]).select(F.xxhash64("task").alias("task"), "rep", "n", "label", "partners")
+def _marks(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, MARK_BITS // 64)
+
+
+def _likely_pairs(small: DataFrame, percent: int) -> DataFrame:
+    """(rep, hub) of small trees (rep, n, label, mark lists a row) that may be similar and have different labels; many trees at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                held = batch.column(0).slice(at, 1024)
+                size = held.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                flat = held.flatten()
+                rep, n, label = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("rep", "n", "label"))
+                mark = _marks(flat.field("mark"))
+                first = np.repeat(np.cumsum(size) - size, size)  # of each member: where its tree begins
+                later = first + np.repeat(size, size) - 1 - np.arange(len(rep))  # how many members of its tree come after it
+                i = np.repeat(np.arange(len(rep)), later)
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
+                differ = label[i] != label[j]
+                i, j = i[differ], j[differ]
+                may = _may_be_similar(n, mark, i, j, percent)
+                u, v = rep[i[may]], rep[j[may]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["rep", "hub"])
+
+    return small.mapInArrow(lean(run), "rep long, hub long")
 
 
 def tree_links(listed: DataFrame, members: DataFrame, told: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -242,29 +253,33 @@ def tree_links(listed: DataFrame, members: DataFrame, told: DataFrame, percent:
 
     ``members`` (rep, n, shingles) has the sets, ``told`` their ``marks``. A member is listed once a tree.
     """
-    total = listed.count()
     sizes = listed.groupBy("tree").agg(F.count(F.lit(1)).alias("size"))
-    sized = scratch.written(join_facts(listed, sizes, "tree", "size", total), "sized-trees")
-    duties = sized.where(F.col("size") <= LEAF_ROWS).select(F.col("tree").alias("task"), "rep", "n", "label", F.lit(None).cast("array<long>").alias("partners"))
-    large = sized.where(F.col("size") > LEAF_ROWS).drop("size")
-    if not large.isEmpty():
-        duties = duties.unionByName(_duties(large, members, percent, scratch))
+    sized = scratch.written(join_facts(listed, sizes, "tree", "size", listed.count()), "sized-trees")
+    marked = told.select("rep", "mark")
+    held = sized.where(F.col("size") <= SMALL_TREE).join(marked, "rep")
+    held = held.groupBy("tree").agg(F.collect_list(F.struct("rep", "n", "label", "mark")).alias("held")).select("held")  # SMALL_TREE members at most
+    pairs = scratch.written(_likely_pairs(held, percent).distinct().withColumn("copies", F.lit(1)), "likely-pairs")
+    links = verified(pairs, members, percent)
+    large = sized.where(F.col("size") > SMALL_TREE).drop("size")
+    if large.isEmpty():
+        return links
+
+    trees = Trees(large, members, percent, scratch)
+    leaves = scratch.written(trees.leaf_pairs(percent, scratch), "leaf-pairs")
+    task, itself = F.xxhash64("tree", "a", "b").alias("task"), F.col("a") == F.col("b")
+    duties = leaves.select(task, F.col("a").alias("leaf"), F.when(itself, 2).otherwise(0).alias("side"))
+    duties = duties.unionByName(leaves.where(~itself).select(task, F.col("b").alias("leaf"), F.lit(1).alias("side")))
+    rows = trees.placed.join(duties, "leaf").join(marked, "rep").select("task", "rep", "n", "label", "mark", "side")
 
     def select(group: pd.DataFrame) -> pd.DataFrame:
         mark = np.frombuffer(b"".join(group["mark"]), np.uint64).reshape(-1, MARK_BITS // 64)
-        found = suspects(group["label"].to_numpy(), group["n"].to_numpy(), mark, list(group["partners"]), percent)
-        out = group.iloc[list(found)][["task", "rep", "n", "label"]].copy()
-        out["partners"] = pd.Series([sorted(x) for x in found.values()], index=out.index, dtype=object)
-        # the same members meet in many trees; they are one task
-        content = sorted(zip(out["rep"].tolist(), map(tuple, out["partners"]), strict=True))
-        out["task"] = int.from_bytes(hashlib.blake2b(repr(content).encode(), digest_size=8).digest(), "little", signed=True)
-        return out
+        found = suspects(group["label"].to_numpy(), group["n"].to_numpy(), mark, group["side"].to_numpy(), percent)
+        return group.iloc[found][["task", "rep", "n", "label", "side"]]
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
-        found = leaf_links(group["rep"].to_numpy(), group["label"].to_numpy(), group["n"].to_numpy(), list(group["partners"]), list(group["shingles"]), percent)
+        found = leaf_links(group["rep"].to_numpy(), group["label"].to_numpy(), group["n"].to_numpy(), group["side"].to_numpy(), list(group["shingles"]), percent)
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
-    marked = duties.join(told.select("rep", "mark"), "rep").select("task", "rep", "n", "mark", "label", "partners")
-    few = marked.groupBy("task").applyInPandas(select, "task long, rep long, n long, label long, partners array<long>").dropDuplicates(["task", "rep"])
-    rows = scratch.written(few, "suspects").join(members.select("rep", "shingles"), "rep")
-    return rows.select("task", "rep", "n", "label", "partners", "shingles").groupBy("task").applyInPandas(solve, "u long, v long")
+    few = scratch.written(rows.groupBy("task").applyInPandas(select, "task long, rep long, n long, label long, side int"), "suspects")
+    whole = few.join(members.select("rep", "shingles"), "rep").select("task", "rep", "n", "label", "side", "shingles")
+    return links.unionByName(whole.groupBy("task").applyInPandas(solve, "u long, v long"))

@@ -52,6 +52,7 @@ def test_groups_equal_all_pairs(spark, monkeypatch, percent, rows):
     monkeypatch.setattr(ngram_join, "MEMBERS_A_COPY", 4)
     monkeypatch.setattr(signature_trees, "FAN_OUT", 2)
     monkeypatch.setattr(signature_trees, "LEAF_ROWS", 4)
+    monkeypatch.setattr(signature_trees, "SMALL_TREE", 6)
     monkeypatch.setattr(hot_keys, "LEAST_HOT", 20)
     monkeypatch.setattr(hot_keys, "HOT_KEYS", 100)
     got = ngram_join.jaccard_groups(documents(spark, rows), percent=percent).toPandas()
@@ -105,6 +106,7 @@ def test_sizes_share_a_range_when_they_may_link():
 def test_dual_traversal_finds_what_pairs_find(spark, monkeypatch, labels, fan_out, leaf_rows):
     monkeypatch.setattr(signature_trees, "FAN_OUT", fan_out)
     monkeypatch.setattr(signature_trees, "LEAF_ROWS", leaf_rows)
+    monkeypatch.setattr(signature_trees, "SMALL_TREE", 100)
     rng = np.random.default_rng(labels)
     sets, label = {}, {}
     for i in range(260):
