@@ -15,7 +15,8 @@ is spelled in byte pieces. Words of a text are looked up in a bounded cache of e
 
 Defined results: a null or empty text has one path without pieces and score 0; equal scores
 are ordered by the words' places, then by piece ids from the end; rows that repeat a doc_id
-are segmented each; texts of any length are segmented whole; a text with the model's mark in
+are segmented each; texts and words of any length are segmented whole, with work and memory in proportion to the
+longest word (about a kilobyte for each letter of it); a text with the model's mark in
 it decodes to a blank there, so ``round_trip`` is false; further columns are ignored.
 """
 
@@ -39,7 +40,8 @@ from lumenar.storage import table
 
 MARK = "▁"
 BEST = 4
-CACHED_WORDS = 500_000
+#: The cache of a worker: so many words of so many letters at most.
+CACHED_WORDS, CACHED_LETTERS = 500_000, 64
 BYTES_AT_ONCE = 1 << 20
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -52,12 +54,54 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class _Partial:
+    """A path from a word's end back to ``at``: its last step and the path before it, with a farther jump towards the end.
+
+    Paths of equal scores are ordered by their steps from the end. Two of them part where their common beginning
+    ends; jumps double like the digits of a number, so that place is found in as many steps as the logarithm of
+    their length, and no path is ever copied.
+    """
+
+    __slots__ = ("at", "behind", "depth", "ids", "jump", "up")
+
+    def __init__(self, up: _Partial | None, ids: tuple[int, ...], at: int, behind: float) -> None:
+        self.ids, self.at, self.behind = ids, at, behind
+        if up is None:
+            self.up = self.jump = self
+            self.depth = 0
+        else:
+            far = up.jump
+            self.up, self.depth = up, up.depth + 1
+            self.jump = far.jump if up.depth - far.depth == far.depth - far.jump.depth else up
+
+    def raised(self, depth: int) -> _Partial:
+        node = self
+        while node.depth > depth:
+            node = node.jump if node.jump.depth >= depth else node.up
+        return node
+
+    def __lt__(self, other: _Partial) -> bool:
+        a, b = self.raised(other.depth), other.raised(self.depth)
+        if a is b:  # one begins the other
+            return self.depth < other.depth
+        while a.up is not b.up:
+            a, b = (a.up, b.up) if a.jump is b.jump else (a.jump, b.jump)
+        return a.ids < b.ids
+
+    def spelled(self) -> tuple[int, ...]:
+        out: list[int] = []
+        node = self
+        while node.depth:
+            out.extend(node.ids)
+            node = node.up
+        return tuple(out)
+
+
 class Lattice:
     """The pieces of a model and the searches over a word's lattice."""
 
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int]) -> None:
         self.pieces, self.byte_ids = pieces, byte_ids
-        self.longest = max(map(len, pieces), default=1)
         self.unknown = min((s for _, s in pieces.values()), default=0.0) - 10
         #: Pieces, and None for what only begins one: a search for longer pieces ends where neither is.
         self.beginnings: dict[str, tuple[int, float] | None] = {piece[:k]: None for piece in pieces for k in range(1, len(piece))}
@@ -79,11 +123,14 @@ class Lattice:
 
     def _edges(self, word: str) -> list[list[tuple[int, int, float]]]:
         """By end: (start, piece id, score) of each edge; id -1 stands for a character in bytes."""
-        n, get, longest = len(word), self.pieces.get, self.longest
+        n, get = len(word), self.beginnings.get
         into: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
         for start in range(n):
-            for end in range(start + 1, min(n, start + longest) + 1):
-                if found := get(word[start:end]):
+            for end in range(start + 1, n + 1):
+                found = get(word[start:end], 0)
+                if found == 0:
+                    break
+                if found is not None:
                     into[end].append((start, *found))
             if word[start] not in self.pieces:
                 into[start + 1].append((start, -1, self.unknown))
@@ -102,15 +149,21 @@ class Lattice:
         """The n best paths of a word by backward A*."""
         into = self._edges(word)
         forward = self._forward(into)
-        heap = [(-forward[-1], (), len(word), 0.0)]
+        heap = [(-forward[-1], _Partial(None, (), len(word), 0.0))]
         found: list[Path] = []
+        passed = [0] * (len(word) + 1)
         while heap and len(found) < n:
-            _, path, at, behind = heapq.heappop(heap)
+            _, path = heapq.heappop(heap)
+            at, behind = path.at, path.behind
             if at == 0:
-                found.append((behind, tuple(x for ids in reversed(path) for x in ids)))
+                found.append((behind, path.spelled()))
                 continue
+            if passed[at] == n:  # n paths from here to the end come before, each with all ways to the beginning
+                continue
+            passed[at] += 1
             for start, ident, s in into[at]:
-                heapq.heappush(heap, (-(forward[start] + s + behind), (*path, self._spelled(word, start, ident)), start, behind + s))
+                if passed[start] < n:
+                    heapq.heappush(heap, (-(forward[start] + s + behind), _Partial(path, self._spelled(word, start, ident), start, behind + s)))
         return found
 
     def best(self, word: str) -> tuple[float, bytes, float]:
@@ -123,6 +176,8 @@ class Lattice:
             return got
         if not (got := self.older.get(word)):
             got = self._best(word)
+        if len(word) > CACHED_LETTERS:
+            return got
         if len(self.cache) >= CACHED_WORDS:  # the older half goes, words in use stay
             self.cache, self.older = {}, self.cache
         self.cache[word] = got

@@ -506,6 +506,48 @@ def test_vectors_go_where_bounds_reach_only(spark):
 # --- n-best ----------------------------------------------------------------------------
 
 
+def copied_paths(lattice, word, n):
+    """The same search with whole paths in its heap: their order is that of equal scores."""
+    import heapq
+
+    into = lattice._edges(word)
+    forward = lattice._forward(into)
+    heap, found = [(-forward[-1], (), len(word), 0.0)], []
+    while heap and len(found) < n:
+        _, path, at, behind = heapq.heappop(heap)
+        if at == 0:
+            found.append((behind, tuple(x for ids in reversed(path) for x in ids)))
+            continue
+        for start, ident, s in into[at]:
+            heapq.heappush(heap, (-(forward[start] + s + behind), (*path, lattice._spelled(word, start, ident)), start, behind + s))
+    return found
+
+
+def test_nbest_search_without_copied_paths():
+    lattice, _ = nbest._loaded(nbest.model_path())
+    rng = np.random.default_rng(17)
+    for letters in ("a", "ab", "aé日x", "etaoinshr", "abcdefghijklmnopqrstuvwxyz"):
+        for _ in range(120):
+            word = "".join(rng.choice(list(letters), rng.integers(1, 40)))
+            n = int(rng.integers(1, 8))
+            assert lattice.search(word, n) == copied_paths(lattice, word, n)
+
+
+@pytest.mark.parametrize("letters", ["a", "abcdefghijklmnopqrstuvwxyz0123456789+/"])
+def test_nbest_of_a_word_without_end(letters):
+    """A blob of 60,000 letters in a text: no copied paths, and the paths of its halves where they part."""
+    lattice, decoding = nbest._loaded(nbest.model_path())
+    rng = np.random.default_rng(18)
+    text = "some words " + "".join(rng.choice(list(letters), 60_000)) + " and more"
+    got = nbest.encode_nbest(lattice, text)
+    assert len(got) == 4 and [s for s, _ in got] == sorted((s for s, _ in got), reverse=True)
+    assert len({tuple(i) for _, i in got}) == 4 and all(nbest.decode(decoding, i) == text for _, i in got)
+    into = lattice._edges(nbest.MARK + text.split(" ")[2])
+    words = [nbest.MARK + w for w in text.split(" ")]
+    plain = sum(lattice._forward(lattice._edges(w))[-1] for w in words)
+    assert got[0][0] == plain and len(into) == 60_002
+
+
 def test_nbest_matches_enumeration():
     lattice, decoding = nbest._loaded(nbest.model_path())
 
