@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,6 +97,11 @@ def join_value(value: Column) -> Column:
     return F.when(text.isNull() | (text == "") | (F.length(text) > 120), F.lit(None)).otherwise(F.coalesce(as_number, text))
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with the value computed once: written out at each use, nested rules grow beyond what compiles."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def membership_key(value: Column) -> Column:
     text = F.lower(F.trim(value))
     return F.when(text != "", text)

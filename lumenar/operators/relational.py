@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenar.functions.values import decimal_value, is_none_value, is_null_eval, join_value, membership_key, normal_text
+from lumenar.storage import written
 
 
 def key_values(rows: DataFrame, key: str) -> DataFrame:
@@ -25,6 +29,79 @@ def reduce_both_ways(parent: DataFrame, parent_key: str, child: DataFrame, child
     return reduce_by_keys(parent, parent_key, key_values(child, child_key)), child
 
 
+@dataclass(frozen=True)
+class Edge:
+    """Two tables and the pairs of columns that join them, all of them at once."""
+
+    parent: str
+    child: str
+    columns: tuple[tuple[str, str], ...]
+
+    def of(self, table: str) -> list[str]:
+        return [c[0 if table == self.parent else 1] for c in self.columns]
+
+    def other(self, table: str) -> str:
+        return self.child if table == self.parent else self.parent
+
+
+def join_tree(joins: list[tuple[tuple[str, str], tuple[str, str]]]) -> tuple[list[Edge], list[Edge]]:
+    """(edges of a spanning forest, parents before children; edges that close a cycle) of joins ((table, column), (table, column)).
+
+    Joins of the same two tables are one edge; a table joined with itself is none.
+    """
+    pairs: dict[tuple[str, str], list[tuple[str, str]]] = {}
+    for (a, x), (b, y) in joins:
+        if a != b:
+            key, columns = ((a, b), (x, y)) if (b, a) not in pairs else ((b, a), (y, x))
+            if columns not in pairs.setdefault(key, []):
+                pairs[key].append(columns)
+    edges = [Edge(a, b, tuple(c)) for (a, b), c in pairs.items()]
+    tree, used, seen = [], set(), set()
+    for start in dict.fromkeys(t for e in edges for t in (e.parent, e.child)):
+        todo = [] if start in seen else [start]
+        seen.add(start)
+        while todo:
+            table = todo.pop(0)
+            for e in edges:
+                if e not in used and table in (e.parent, e.child) and e.other(table) not in seen:
+                    used.add(e)
+                    seen.add(e.other(table))
+                    todo.append(e.other(table))
+                    tree.append(e if e.parent == table else Edge(table, e.other(table), tuple((y, x) for x, y in e.columns)))
+    return tree, [e for e in edges if e not in used]
+
+
+def fully_reduced(rows: dict[str, DataFrame], joins: list[tuple[tuple[str, str], tuple[str, str]]], key: Callable[[str], Column]) -> dict[str, DataFrame]:
+    """Rows of each table without those that no row of the whole inner join uses, if the joins form a tree.
+
+    Semi-joins go from the leaves up and then down again, so what a table rejects reaches every other one. Joins that
+    close a cycle reduce both their tables once before, which is safe but need not be all. ``key`` gives a column's join
+    key; rows with a null key join nothing. Between steps only distinct keys are kept, in the shared folder.
+    """
+    tree, cycles = join_tree(joins)
+    rows = dict(rows)
+
+    def told(table: str, edge: Edge) -> DataFrame:
+        return rows[table].select(*(key(c).alias(f"_k{i}") for i, c in enumerate(edge.of(table))))
+
+    def reduce_to(table: str, edge: Edge) -> None:
+        names = [f"_k{i}" for i in range(len(edge.columns))]
+        # written before they are made distinct: as a grouping key the expression is too long to compile
+        keys = written(told(edge.other(table), edge).dropna(), "edge-keys").distinct()
+        columns = rows[table].columns
+        marked = rows[table].select("*", *(key(c).alias(f"_k{i}") for i, c in enumerate(edge.of(table))))
+        rows[table] = marked.join(keys, names, "left_semi").select(*columns)
+
+    for edge in cycles:
+        reduce_to(edge.child, edge)
+        reduce_to(edge.parent, edge)
+    for edge in reversed(tree):
+        reduce_to(edge.parent, edge)
+    for edge in tree:
+        reduce_to(edge.child, edge)
+    return rows
+
+
 def keep_by_tables(docs: DataFrame, allowed: list[str], tables: str = "schema_tables", keep_unknown: bool = True) -> DataFrame:
     """Documents whose known tables meet the allowed ones; unknown ones as told."""
     known = F.size(F.coalesce(tables, F.array().cast("array<string>"))) > 0

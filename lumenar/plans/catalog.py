@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenar.functions import evidence
 from lumenar.functions import values as V
-from lumenar.operators import adaptive, cascade, curation, filters, metrics, proxies, ranks, relational, segments, similarity, stop_points
+from lumenar.operators import adaptive, alpha_table, cascade, curation, filters, metrics, proxies, ranks, relational, segments, similarity, stop_points
 from lumenar.operators.predicates import all_of, compile_predicate
 from lumenar.plans import answers, runtime
 from lumenar.plans.registry import ORACLES, QUERIES, query
@@ -455,15 +455,41 @@ def heuristic_scores(s, d):
     return table(s, d, "documents").select("doc_id", cascade.heuristic_score(F.col("text"), y, F.exists(y, lambda v: v >= 1950)).alias("score"))
 
 
-@query(None)
-def alpha_greedy(s, d):
-    docs = written(table(s, d, "documents").select("n_chars"), "lengths")
+#: Scores of two stages on orders: ties in both, nulls in one.
+_DOC_SCORE, _PREDICATE_SCORE = "o_totalprice", "CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_custkey % 97 END"
+_ALPHAS = [0.0, 0.01, 0.02, 0.05, 0.1]
+
+
+def _alpha_sql(predicate_alphas: list[float]) -> str:
+    """Documents over both cuts of every pair of alphas: cuts by rank, counts by comparison."""
+    return f"""
+s AS MATERIALIZED (SELECT o_orderkey, o_custkey, CAST({_DOC_SCORE} AS DOUBLE) AS d, CAST({_PREDICATE_SCORE} AS DOUBLE) AS p FROM orders),
+rd AS (SELECT d AS v, row_number() OVER (ORDER BY d) - 1 AS r, count(*) OVER () AS n FROM s WHERE d IS NOT NULL),
+rp AS (SELECT p AS v, row_number() OVER (ORDER BY p) - 1 AS r, count(*) OVER () AS n FROM s WHERE p IS NOT NULL),
+ad AS (SELECT unnest({_ALPHAS}::DOUBLE[]) AS a), ap AS (SELECT unnest({predicate_alphas}::DOUBLE[]) AS a),
+cd AS (SELECT a, CASE WHEN a <= 0 THEN '-inf'::DOUBLE ELSE (SELECT v FROM rd WHERE r = least(floor(a * n + 1e-9), n - 1)) END AS cut FROM ad),
+cp AS (SELECT a, CASE WHEN a <= 0 THEN '-inf'::DOUBLE ELSE (SELECT v FROM rp WHERE r = least(floor(a * n + 1e-9), n - 1)) END AS cut FROM ap)"""
+
+
+@query(
+    f"WITH {_alpha_sql(_ALPHAS)}, a AS (SELECT o_custkey, min(d) AS d, CASE WHEN count(p) = count(*) THEN min(p) END AS p FROM s GROUP BY 1)"
+    " SELECT cd.a AS doc_alpha, cp.a AS predicate_alpha, (SELECT count(*) FROM s WHERE d >= cd.cut AND p >= cp.cut) AS cost, (SELECT count(*) FROM a WHERE d >= cd.cut AND p >= cp.cut) AS answers FROM cd, cp"
+)
+def alpha_costs_and_answers(s, d):
+    """What every pair of alphas costs, and how many answers (a customer's orders together) it keeps."""
+    orders = table(s, d, "orders")
+    ranked = alpha_table.alpha_table(orders, F.col(_DOC_SCORE), F.expr(_PREDICATE_SCORE), _ALPHAS, _ALPHAS, "o_orderkey")
+    costs, (kept, _) = ranked.costs(), ranked.answers(orders.select("o_orderkey", "o_custkey"), "o_orderkey", "o_custkey")
+    return s.createDataFrame([(*k, costs[k], kept[k]) for k in costs], "doc_alpha double, predicate_alpha double, cost long, answers long")
 
-    def cost(a: dict[str, float]) -> float:
-        return docs.where((F.col("n_chars") > 4000 * a["doc"]) & (F.col("n_chars") > 2000 * a["predicate"])).count()
 
-    alphas, left, steps = cascade.allocate(["doc", "predicate"], [0.0, 0.01, 0.02, 0.05, 0.1], 0.9, cost)
-    return s.createDataFrame([(alphas["doc"], alphas["predicate"], left, len(steps))], "doc double, predicate double, cost double, steps int")
+@query(None)
+def alpha_greedy(s, d):
+    """A query's alphas: greedy by savings, then by the answers that they keep; every probe is read from one table."""
+    orders = table(s, d, "orders")
+    sources = orders.select("o_orderkey", F.col("o_custkey").alias("answer"))
+    plan = alpha_table.plan_of_query(orders, F.col(_DOC_SCORE), F.expr(_PREDICATE_SCORE), _ALPHAS, 0.9, sources, "o_orderkey")
+    return s.createDataFrame([(plan.alphas["doc"], plan.alphas["predicate"], plan.cost, len(plan.steps))], "doc double, predicate double, cost double, steps int")
 
 
 @query(

@@ -75,6 +75,40 @@ def empty_side_spares_its_neighbour(s, d):
     return counts.join(s.createDataFrame([(r.table, r.how) for r in runs], "table_id string, how string"), "table_id")
 
 
+CHAIN_COLUMNS = {"nation": ["n_nationkey", "n_name", "n_regionkey"], "customer": ["c_custkey", "c_name", "c_nationkey"], "orders": ["o_orderkey", "o_custkey", "o_totalprice"]}
+CHAIN_ASKED = "SELECT o.o_orderkey FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE n.n_regionkey = 2"
+CHAIN_SQL = "n AS (SELECT n_nationkey FROM nation WHERE n_regionkey = 2), c AS (SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM n)), o AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c))"
+
+
+def chain_collection(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(documents, records) of three tables that join in a chain."""
+    records = None
+    for t, columns in CHAIN_COLUMNS.items():
+        data = F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[F.col(c).cast("string") for c in columns]))
+        key = F.col(columns[0]).cast("string")
+        rows = table(s, d, t).select(F.concat_ws("-", F.lit(t), key).alias("doc_id"), F.lit(t).alias("table_id"), key.alias("record_id"), data.alias("data"))
+        records = rows if records is None else records.unionByName(rows)
+    return records.select("doc_id", F.lit("").alias("doc_text"), F.col("table_id").alias("source_table")), records
+
+
+@query(f"WITH {CHAIN_SQL} SELECT 'nation' AS table_id, (SELECT count(*) FROM nation) AS assigned, (SELECT count(*) FROM nation) AS read, CAST(0 AS BIGINT) AS reused UNION ALL SELECT 'customer', (SELECT count(*) FROM customer), (SELECT count(*) FROM c), 0 UNION ALL SELECT 'orders', (SELECT count(*) FROM orders), (SELECT count(*) FROM o), 0")
+def documents_read_along_a_chain(s, d):
+    """What the far end of a chain of joins rejects is not read at the other end, though the two have no join of their own."""
+    docs, records = chain_collection(s, d)
+    schema = [{"Schema Name": t, "Attributes": [{"Attribute Name": c} for c in cs]} for t, cs in CHAIN_COLUMNS.items()]
+    assigned = runtime.assigned_tables(docs, list(CHAIN_COLUMNS))
+    runs = runtime.run_tables(docs.select("doc_id", "doc_text"), assigned, schema, analyse(CHAIN_ASKED, CHAIN_COLUMNS), runtime.materialised_extractor(records), runtime.RuntimeOptions(), records)
+    return runtime.read_counts(runs)
+
+
+@query(f"WITH {CHAIN_SQL}, m AS (SELECT DISTINCT o_custkey FROM o), k AS (SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM m) AND c_nationkey IN (SELECT n_nationkey FROM n)) SELECT 'orders' AS table_id, count(*) AS records FROM o UNION ALL SELECT 'customer', count(*) FROM k UNION ALL SELECT 'nation', count(*) FROM n WHERE n_nationkey IN (SELECT c_nationkey FROM k)")
+def records_of_a_full_reducer(s, d):
+    """Records that some row of the whole join uses: customers without an order go, and nations without such a customer."""
+    _, records = chain_collection(s, d)
+    kept = runtime.reduced(records, analyse(CHAIN_ASKED, CHAIN_COLUMNS), CHAIN_COLUMNS)
+    return kept.groupBy("table_id").agg(F.count(F.lit(1)).alias("records"))
+
+
 @query(ASKED.replace("SELECT c.c_name, o.o_orderkey", "SELECT c.c_name, count(*) AS n") + " GROUP BY c.c_name")
 def answer_after_reduction(s, d):
     """The answer from nothing but the records of documents that were read."""

@@ -1,10 +1,11 @@
 """Reduction before extraction: which documents of each table an extractor has to read for a query.
 
-Tables are processed one after the other, those with more safe predicates first. Of a table's
+Tables are processed one after the other, that with most safe predicates first and then those that join what
+was read, so that a rejection reaches every table after it. Of a table's
 documents a cascade of proxies rejects those that cannot satisfy its predicates; what is known of
 the keys of tables already read rejects those that no join would meet (only the key attribute is
 extracted for that); the rest is extracted, or taken from a cache that queries share. A table of
-which nothing survives spares its neighbours. Every step is a DataFrame over document ids; the
+which nothing survives spares all that joins connect it with. Every step is a DataFrame over document ids; the
 driver loops over tables and predicates only.
 """
 
@@ -23,7 +24,7 @@ from lumenar.functions import values as V
 from lumenar.operators import cascade, proxies, relational
 from lumenar.operators.cascade import Proxy
 from lumenar.operators.predicates import all_of
-from lumenar.plans.sqlx import Analysis, Predicate, table_order
+from lumenar.plans.sqlx import Analysis, Predicate, joined_order, joined_tables, table_order
 from lumenar.storage import written
 
 Extractor = Callable[[DataFrame, list[dict]], DataFrame]
@@ -77,8 +78,7 @@ def cell(column: str) -> Column:
 
 def join_key(column: str) -> Column:
     """Equal for all cells that the tables' columns would join."""
-    text = cell(column)
-    return F.coalesce(V.join_value(text), text)
+    return V.let(cell(column), lambda text: F.coalesce(V.join_value(text), text))
 
 
 _LOOKS_NUMERIC = re.compile(r"\s*[+-]?(\d|\.\d)")
@@ -102,18 +102,11 @@ def satisfying(records: DataFrame, predicates: list[Predicate]) -> DataFrame:
 
 
 def reduced(records: DataFrame, plan: Analysis, need: dict[str, list[str]]) -> DataFrame:
-    """Records after safe predicates and semi-joins along the join graph, parents first and then back."""
+    """Records after safe predicates and semi-joins along the whole join graph, up and down again."""
     rows = {t: records.where(F.col("table_id") == t) for t in need}
     for t, ps in plan.safe.items():
         rows[t] = satisfying(rows[t], [p for p in ps if keeps_all_answers(p)])
-    order = {t: i for i, t in enumerate(table_order(plan))}
-    for j in sorted(plan.joins, key=lambda j: order[j.child[0]]):
-        (pt, pc), (ct, cc) = j.parent, j.child
-        if pt == ct:
-            continue
-        p, c = rows[pt].withColumn("_k", join_key(pc)), rows[ct].withColumn("_k", join_key(cc))
-        p, c = relational.reduce_both_ways(p, "_k", c, "_k")
-        rows[pt], rows[ct] = p.drop("_k"), c.drop("_k")
+    rows = relational.fully_reduced(rows, [(j.parent, j.child) for j in plan.joins], lambda column: V.membership_key(join_key(column)))
     return reduce(DataFrame.unionByName, rows.values())
 
 
@@ -328,7 +321,7 @@ def merged_chunk_records(records: DataFrame, docs: DataFrame, how: str) -> DataF
 def run_tables(docs: DataFrame, assigned: DataFrame, schema: list[dict], plan: Analysis, extractor: Extractor, options: RuntimeOptions, truth: DataFrame | None = None, joins_are_safe: bool = True) -> list[TableRun]:
     """One run for each table of ``schema``, in processing order. truth: ground truth records, for calibration and the oracle."""
     by_name = {t["Schema Name"]: t for t in schema}
-    first = table_order(plan, selective_first=options.selective_first and options.both_ways)
+    first = joined_order(plan) if options.selective_first and options.both_ways else table_order(plan)
     order = [t for t in first if t in by_name] + [t for t in by_name if t not in first]
     joins = [j for j in plan.joins if j.parent[0] != j.child[0]] if options.join_resolution and joins_are_safe else []
     keys: dict[tuple[str, str], DataFrame] = {}
@@ -367,7 +360,7 @@ def run_tables(docs: DataFrame, assigned: DataFrame, schema: list[dict], plan: A
                     # written before they are made distinct: as a grouping key the expression is too long to compile
                     keys[table, column] = relational.key_values(written(survivors.select(join_key(column).alias("_k")), "join-keys"), "_k")
         if joins and options.both_ways and survivors.isEmpty():
-            spared |= {t for j in joins if name in (j.parent[0], j.child[0]) for t in (j.parent[0], j.child[0])} - {name}
+            spared |= joined_tables(plan, name) - {name}
         runs.append(TableRun(name, own.select("doc_id"), kept.join(reused, "doc_id", "left_anti"), reused, how, records, statistics))
     return runs
 
@@ -381,5 +374,10 @@ def read_counts(runs: list[TableRun]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def with_alphas(options: RuntimeOptions, plan: cascade.AlphaPlan) -> RuntimeOptions:
+    """Options whose proxies give up the share of a query's predicate stage in ``plan``."""
+    return replace(options, target_recall=1 - plan.alphas["predicate"])
+
+
 def without_proxies(options: RuntimeOptions) -> RuntimeOptions:
     return replace(options, proxies="none")
