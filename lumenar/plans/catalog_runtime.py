@@ -17,6 +17,7 @@ from lumenar.plans.registry import query
 from lumenar.plans.sqlx import Predicate, analyse
 from lumenar.sources import datasets, sinks
 from lumenar.storage import new_path, table, written
+from lumenar.streaming import admission
 
 # --- reduction before extraction -------------------------------------------------------
 
@@ -101,6 +102,20 @@ def documents_read_along_a_chain(s, d):
     return runtime.read_counts(runs)
 
 
+@query(ASKED.replace("SELECT c.c_name, o.o_orderkey", "SELECT concat('orders-', o.o_orderkey) AS doc_id"))
+def documents_admitted_from_a_stream(s, d):
+    """Orders wait for their customers: both arrive as documents in micro-batches, and what is admitted is what the batch reads."""
+    docs, records = collection(s, d)
+    plan = analyse(ASKED, COLUMNS)
+    arriving = admission.replay(docs.select("doc_id", "source_table"), 4, "arriving")
+    told = arriving.join(records, "doc_id")  # the extractor: recorded answers
+    customers = runtime.satisfying(told.where("source_table = 'customer'"), plan.safe["customer"])
+    orders = runtime.satisfying(told.where("source_table = 'orders'"), plan.safe["orders"])
+    waiting = orders.select("doc_id", runtime.join_key("o_custkey").alias("key"))
+    found = admission.admitted(waiting, customers.select(runtime.join_key("c_custkey").alias("key")), "key")
+    return admission.landed(found.select("doc_id"), "admitted")[0]
+
+
 @query(f"WITH {CHAIN_SQL}, m AS (SELECT DISTINCT o_custkey FROM o), k AS (SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM m) AND c_nationkey IN (SELECT n_nationkey FROM n)) SELECT 'orders' AS table_id, count(*) AS records FROM o UNION ALL SELECT 'customer', count(*) FROM k UNION ALL SELECT 'nation', count(*) FROM n WHERE n_nationkey IN (SELECT c_nationkey FROM k)")
 def records_of_a_full_reducer(s, d):
     """Records that some row of the whole join uses: customers without an order go, and nations without such a customer."""
