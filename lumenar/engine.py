@@ -156,9 +156,10 @@ class Extraction:
     required: dict[str, list[str]]
     sql: str
     runs: list[TableRun] = field(default_factory=list)
+    types: answers.Types = field(default_factory=dict)
 
     def answer(self) -> DataFrame | None:
-        return answers.answer(self.records, self.sql, self.required) if self.sql else None
+        return answers.answer(self.records, self.sql, self.required, self.types) if self.sql else None
 
 
 _OUTER = {"LEFT", "RIGHT", "FULL"}
@@ -200,7 +201,7 @@ def extract(
     records = reduce(DataFrame.unionByName, [r.records for r in runs]) if runs else data.records().where("false")
     records = merged_chunk_records(records, provenance, merge)
     records = reduced(records, plan, need) if sql and inner else records.where(F.col("table_id").isin(list(need)))
-    return Extraction(query["query_id"], records, need, sql, runs)
+    return Extraction(query["query_id"], records, need, sql, runs, answers.declared_types(data.schema))
 
 
 def _after_first(sql: str) -> list[str]:
@@ -211,7 +212,7 @@ def evaluate(data: Dataset, done: Extraction, merge: str = "first_non_null") ->
     """Recall and precision of the answer as a multiset; without SQL both are 1."""
     if not done.sql:
         return {"query_id": done.query_id, "recall": 1.0, "precision": 1.0, "truth_rows": 0, "predicted_rows": 0}
-    truth = answers.answer(merged_chunk_records(records_of(data.ground_truth), data.documents_with_provenance, merge), done.sql, done.required)
+    truth = answers.answer(merged_chunk_records(records_of(data.ground_truth), data.documents_with_provenance, merge), done.sql, done.required, done.types)
     row = metrics.answer_bags(truth, done.answer()).first().asDict()
     emit("evaluate", query_id=done.query_id, **row)
     return {"query_id": done.query_id, **{k: row[k] for k in ("recall", "precision", "truth_rows", "predicted_rows")}}

@@ -147,19 +147,35 @@ def closed_world_boolean(attribute: str, text: Column, signal: Column | None = N
     return F.when(signal.isNotNull(), F.when(signal * SIGNS[attribute][1] > 0, "1").otherwise("0")).otherwise(told)
 
 
+#: Words that stand for attributes whose names are none.
+HINTS = {
+    "avg_scr_math": ["average", "math", "score"],
+    "avg_scr_read": ["average", "reading", "read", "score"],
+    "avg_scr_write": ["average", "writing", "write", "score"],
+    "num_tst_takr": ["test", "took", "taken", "takers"],
+    "num_ge1500": ["1500", "above", "scored"],
+    "credits": ["credit", "credits"],
+    "semester": ["semester"],
+    "year": ["year"],
+    "salary": ["salary", "earns", "earning", "$"],
+}
+
+
 def hints_of(attribute: str) -> list[str]:
-    return [part for part in re.split(r"[_\W]+", attribute.lower()) if part]
+    """Words near which an attribute's numbers stand: known ones, else the words of its name."""
+    name = attribute.lower()
+    return HINTS[name] if name in HINTS else [part for part in re.split(r"[_\W]+", name) if part]
 
 
 def numbers_near(text: str | None, attribute: str, radius: int = 90) -> list[float]:
-    """Numbers with one of the attribute's words within ``radius`` characters; digits of the attribute's own name don't count."""
+    """Numbers with one of the attribute's words within ``radius`` characters, all of them where it has none; digits of its own name don't count."""
     text, hints = (text or "").lower(), hints_of(attribute)
     own = {number_of(t) for t in re.findall(r"\d+(?:\.\d+)?", attribute)}
     found = []
     for m in _NUMBER.finditer(text):
         window = text[max(0, m.start() - radius) : m.end() + radius]
         value = number_of(m.group())
-        if value is not None and value not in own and any(h in window for h in hints):
+        if value is not None and value not in own and (not hints or any(h in window for h in hints)):
             found.append(value)
     return found
 

@@ -49,19 +49,23 @@ class HeuristicProxy(PredicateProxy):
     """Evidence in the text for one predicate.
 
     In order: documents on the reject list score -1, those on the pass list and attributes that
-    pass through score 1; a row id is compared with the document's own; text is sought as a
+    pass through score 1; a row id is compared with the document's own, or with all numbers by which it
+    names its row (``row_id`` as the three columns that may), which prove it but don't refute it; text is sought as a
     substring; numbers are what the attribute's own parser finds or, if it has none, what stands near
     its words. Without evidence: 0.5.
     """
 
-    def __init__(self, p: Predicate, text: str = "doc_text", doc_id: str = "doc_id", row_id: str | None = None, rejected: tuple[str, ...] = (), passed: tuple[str, ...] = (), through: tuple[str, ...] = ()) -> None:
+    def __init__(self, p: Predicate, text: str = "doc_text", doc_id: str = "doc_id", row_id: str | tuple[str, str, str] | None = None, rejected: tuple[str, ...] = (), passed: tuple[str, ...] = (), through: tuple[str, ...] = ()) -> None:
         self.name = guard_key(p)
         self.predicate, self.text, self.doc_id, self.row_id = p, text, doc_id, row_id
         self.rejected, self.passed, self.through = rejected, passed, through
 
     def _evidence(self) -> Column:
         p, text = self.predicate, F.col(self.text)
-        if p.attribute in ("row_id", "rowid") and self.row_id:
+        if p.attribute in ("row_id", "rowid") and isinstance(self.row_id, tuple) and isinstance(p.value, (int, float)):
+            named = evidence.row_id_numbers(*map(F.col, self.row_id))
+            return F.when(F.exists(named, lambda v: V.satisfies(v.cast("string"), p.operator, p.value)), 1.0).otherwise(0.5)
+        if p.attribute in ("row_id", "rowid") and isinstance(self.row_id, str):
             return F.when(V.satisfies(F.col(self.row_id), p.operator, p.value), 1.0).otherwise(0.0)
         if isinstance(p.value, str) and p.operator in ("=", "LIKE", "CONTAINS"):
             wanted = V.like_contains(text, p.value) if p.operator == "LIKE" else V.contains_value(text, F.lit(p.value))

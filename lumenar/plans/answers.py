@@ -3,7 +3,8 @@
 Records are text. A column whose values are all numbers is published as numbers, every other one
 as text, so comparisons and aggregates of the query mean what they mean over a declared schema.
 A column that mixes both stays text; Spark then compares it with a number by casting, and where
-it cannot cast the query fails rather than answer something else.
+it cannot cast the query fails rather than answer something else. A column whose type is declared is
+published as declared, without a look at its values; a cell that is none of its type is null there.
 """
 
 from __future__ import annotations
@@ -20,6 +21,23 @@ from lumenar.plans.sqlx import _ENDS, _SETS, Predicate, Token, _depths, quote, t
 from lumenar.sources.datasets import relation
 
 Required = dict[str, list[str]]
+Types = dict[str, dict[str, str]]  # table -> column -> declared type
+
+#: How declared types are published; others are told by their values.
+DECLARED = {
+    "int": "bigint", "integer": "bigint", "bigint": "bigint", "long": "bigint",
+    "double": "double", "float": "double", "number": "double", "real": "double", "text": "string",
+}
+
+
+def declared_types(schema: list[dict]) -> Types:
+    """The types that a schema declares for its attributes; ``string``, which contracts also write where none is known, declares nothing."""
+    out: Types = {}
+    for t in schema:
+        for a in t["Attributes"]:
+            if str(a.get("Type", "")).lower() in DECLARED:
+                out.setdefault(t["Schema Name"], {})[a["Attribute Name"]] = str(a["Type"]).lower()
+    return out
 
 
 def numeric_columns(rows: DataFrame, columns: list[str]) -> dict[str, str]:
@@ -39,12 +57,14 @@ def numeric_columns(rows: DataFrame, columns: list[str]) -> dict[str, str]:
     return kinds
 
 
-def typed_relation(records: DataFrame, table: str, columns: list[str]) -> DataFrame:
-    """One table of records, (__doc_id, row_id, columns), typed by its values."""
+def typed_relation(records: DataFrame, table: str, columns: list[str], types: dict[str, str] | None = None) -> DataFrame:
+    """One table of records, (__doc_id, row_id, columns), typed as declared, else by its values: only undeclared columns are looked at first."""
     rows = relation(records, table, columns)
-    kinds = numeric_columns(rows, columns)
-    cells = [(V.sql_value(F.col(f"`{c}`")).cast(kinds[c]) if c in kinds else V.sql_value(F.col(f"`{c}`"))).alias(c) for c in columns]
-    return rows.select("__doc_id", "row_id", *cells)
+    kinds = {c: DECLARED[t] for c, t in (types or {}).items() if c in columns}
+    cells = {c: V.sql_value(F.col(f"`{c}`")) for c in columns}
+    cells |= {c: cells[c].try_cast(kind) for c, kind in kinds.items() if kind != "string"}
+    cells |= {c: cells[c].cast(kind) for c, kind in numeric_columns(rows, [c for c in columns if c not in kinds]).items()}
+    return rows.select("__doc_id", "row_id", *(cells[c].alias(c) for c in columns))
 
 
 def records_for(records: DataFrame, doc_ids: DataFrame, required: Required) -> DataFrame:
@@ -113,19 +133,19 @@ def _join_dots(words: list[str]) -> str:
     return out
 
 
-def publish(records: DataFrame, required: Required) -> dict[str, str]:
+def publish(records: DataFrame, required: Required, types: Types | None = None) -> dict[str, str]:
     """A view of a fresh name for each table, so that answers of several runs do not meet."""
     run = uuid.uuid4().hex[:8]
     views = {}
     for i, (table, columns) in enumerate(required.items()):
         views[table] = f"answer_{run}_{i}"
-        typed_relation(records, table, columns).createOrReplaceTempView(views[table])
+        typed_relation(records, table, columns, (types or {}).get(table)).createOrReplaceTempView(views[table])
     return views
 
 
-def answer(records: DataFrame, sql: str, required: Required) -> DataFrame:
+def answer(records: DataFrame, sql: str, required: Required, types: Types | None = None) -> DataFrame:
     """The rows of ``sql`` over the records' tables."""
-    views = publish(records, required)
+    views = publish(records, required, types)
     return records.sparkSession.sql(_spark_text([t for t in _renamed(sql, views) if t.text != ";"]))
 
 

@@ -171,9 +171,14 @@ def table_records(s: SparkSession, d: str, columns: dict[str, list[str]]) -> Dat
 
 
 def _answered(name: str, sql: str, **columns: str) -> None:
-    """A query whose tables are assembled from records of text, typed by their values, before Spark answers its SQL."""
+    """A query whose tables are assembled from records of text, typed as declared, before Spark answers its SQL."""
     need = {t: c.split() for t, c in columns.items()}
-    query(sql, name)(lambda s, d: answers.answer(table_records(s, d, need), sql, need))
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        declared = {t: {c: "text" if kind == "string" else kind for c, kind in table(s, d, t).dtypes if kind in ("string", *answers.DECLARED)} for t in need}
+        return answers.answer(table_records(s, d, need), sql, need, declared)
+
+    query(sql, name)(run)
 
 
 for _how in ("INNER", "LEFT", "RIGHT", "FULL"):

@@ -46,7 +46,7 @@ def runtime_schema(raw: Any) -> list[dict[str, Any]]:
         columns = body.get("columns", []) if isinstance(body, dict) else body
         columns = columns if isinstance(columns, list) else [{"name": k, "description": v} for k, v in columns.items()]
         columns = [{"name": c} if isinstance(c, str) else c for c in columns]
-        attributes = [{"Attribute Name": c.get("name") or c["column_id"].split(".")[-1], "Description": c.get("description", "")} for c in columns]
+        attributes = [{"Attribute Name": c.get("name") or c["column_id"].split(".")[-1], "Description": c.get("description", "")} | ({"Type": c["type"]} if c.get("type") not in (None, "string") else {}) for c in columns]
         out.append({"Schema Name": (body.get("name") if isinstance(body, dict) else None) or name, "Description": body.get("description", "") if isinstance(body, dict) else "", "Attributes": attributes})
     return out
 
