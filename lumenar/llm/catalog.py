@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenar.llm import centroids, exact_dedup, fill_in_middle, knn_join, language_id, minhash, nbest, ngram_join, packing, sharding, tool_calls, toxicity, warc
+from lumenar.llm import centroids, exact_dedup, fill_in_middle, knn_join, language_id, minhash, nbest, ngram_join, packing, sets, sharding, tool_calls, toxicity, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -24,6 +24,7 @@ ORACLES = {
     "op2_arc_to_warc": warc.ORACLE,
     "op3_tool_call_linking": tool_calls.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
+    "op5_minhash_near_dedup": sets.groups_oracle(4, 80),
     "op7_voronoi_knn_join": knn_join.ORACLE,
     "op11_centroid_clusters": centroids.ORACLE,
     "op12_ngram_jaccard_join": ngram_join.ORACLE,

@@ -2,12 +2,14 @@
 
 import glob
 import os
+import zlib
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from lumenar.llm import catalog, toxicity
+from lumenar.llm import catalog, nbest, toxicity
 from tests.support import rows_of_duckdb, rows_of_spark
 
 
@@ -16,6 +18,53 @@ def test_query_equals_oracle(spark, sf_dir, name):
     assert rows_of_spark(catalog.QUERIES[name](spark, sf_dir)) == rows_of_duckdb(sf_dir, catalog.ORACLES[name])
 
 
+def test_packing_as_registered(spark, sf_dir):
+    """Ids of the contract's tokenizer, pieces without gaps, and sequences without gaps."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    got = catalog.QUERIES["op1_best_fit_packing"](spark, sf_dir).toPandas()
+    assert set(got.doc_id) == set(texts)
+    for doc, pieces in got.sort_values("piece").groupby("doc_id"):
+        ids = [*tokenizer.encode(texts[doc], add_special_tokens=False).ids, 0]
+        assert pieces.piece.tolist() == list(range(len(pieces))) and pieces.length.sum() == len(ids)
+        assert pieces.start.tolist() == [0, *pieces.length.cumsum().tolist()[:-1]] and (pieces.length[1:] == 2048).all()
+        for p in pieces.itertuples():
+            assert p.ids_crc32 == zlib.crc32(np.array(ids[p.start : p.start + p.length], "<u4").tobytes())
+    for _, held in got.sort_values("offset").groupby("sequence_id"):
+        assert held.offset.tolist() == [0, *held.length.cumsum().tolist()[:-1]] and held.length.sum() <= 2048
+
+
+def test_shards_as_registered(spark, sf_dir):
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    got = catalog.QUERIES["op6_byte_shards"](spark, sf_dir).toPandas()
+    assert {r.doc_id: (r.size, r.text_crc32) for r in got.itertuples()} == {i: (len(t) + 1, zlib.crc32(t)) for i, t in texts.items()}
+    assert set(got.law) == {"bytes"} and got.grown_shard.isna().all() and set(got.shard) <= set(range(8))
+    assert all(sorted(s.slot) == list(range(len(s))) for _, s in got.groupby("shard"))
+    sizes = got.groupby("shard")["size"].sum()
+    assert sizes.max() - sizes.min() <= 2 * got["size"].max()
+
+
+def test_segmentation_as_registered(spark, sf_dir):
+    """The best path is sentencepiece's own by score, all paths decode to the text, and none is better than an earlier one."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=nbest.model_path())
+    lattice, pieces = nbest._loaded(nbest.model_path())
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    got = catalog.QUERIES["op8_nbest_segmentation"](spark, sf_dir).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        text = texts[r["doc_id"]]
+        assert r["scores"] == sorted(r["scores"], reverse=True) and r["score"] == r["scores"][0] and len({tuple(i) for i in r["ids"]}) == len(r["ids"])
+        assert r["round_trip"] == (nbest.decode(pieces, r["ids"][0]) == text)
+        own = [model.id_to_piece(i) for i in r["ids"][0]]
+        plain = all(i in {j for j, _ in lattice.pieces.values()} for i in r["ids"][0])
+        assert not plain or abs(sum(lattice.pieces[p][1] for p in own) - r["score"]) < 1e-6
+
+
 def test_calls_of_turns_have_levels_and_errors(spark, sf_dir):
     got = catalog.QUERIES["op3_tool_call_linking"](spark, sf_dir).toPandas()
     assert got.level.max() >= 2 and 0 < (~got.valid).sum() < len(got) and got.errors.str.contains("longer than").any()
