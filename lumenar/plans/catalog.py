@@ -541,7 +541,17 @@ def kmeans_clusters(s, d):
     return similarity.clusters(table(s, d, "embeddings"), 8).groupBy("cluster").count()
 
 
-@query(None)
+def _farthest_sql(picks: int) -> str:
+    """Greedy picks written out: after each, the least distance of every vector to all of them."""
+    steps = "p1 AS (SELECT 0::BIGINT AS vec_id)"
+    for i in range(1, picks):
+        far = f"SELECT e.vec_id, min(list_sum(list_transform(list_zip(e.embedding, c.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2))) AS least FROM embeddings e, p{i} p JOIN embeddings c ON c.vec_id = p.vec_id WHERE e.vec_id NOT IN (SELECT vec_id FROM p{i}) GROUP BY e.vec_id"
+        steps += f", p{i + 1} AS MATERIALIZED (SELECT vec_id FROM p{i} UNION ALL (SELECT vec_id FROM ({far}) ORDER BY least DESC, vec_id LIMIT 1))"
+    chosen = " UNION ALL ".join(f"SELECT {i} AS pick, vec_id FROM p{i + 1}" + (f" WHERE vec_id NOT IN (SELECT vec_id FROM p{i})" if i else "") for i in range(picks))
+    return f"WITH {steps} SELECT CAST(pick AS INTEGER) AS pick, vec_id FROM ({chosen})"
+
+
+@query(_farthest_sql(5))
 def kcenter_batch(s, d):
     return s.createDataFrame([(i, v) for i, v in enumerate(similarity.k_center(table(s, d, "embeddings"), 5, 0))], "pick int, vec_id long")
 

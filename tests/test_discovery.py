@@ -75,3 +75,19 @@ def test_batches_by_size_of_odd_lengths(spark):
     assert segments.batches_by_size(docs.limit(0), 10, 10, order="doc_id").count() == 0
     with pytest.raises(ValueError, match="one document"):
         segments.batches_by_size(docs, 0, 10)
+
+
+def test_k_center_in_few_passes_is_the_greedy_one(spark):
+    from lumenar.operators import similarity
+
+    rng = random.Random(9)
+    points = {i: [float(rng.randrange(6)), float(rng.randrange(6)), rng.random()] for i in range(60)}
+    points |= {100 + i: points[i] for i in range(10)}  # repeated vectors
+    frame = spark.createDataFrame([*points.items(), (999, None)], "vec_id long, embedding array<float>")
+    exact = {r["vec_id"]: [float(x) for x in r["embedding"]] for r in frame.where("embedding is not null").collect()}
+    want = [3]
+    while len(want) < 12:
+        want.append(min((i for i in exact if i not in want), key=lambda i: (-min(sum((a - b) ** 2 for a, b in zip(exact[i], exact[c], strict=True)) for c in want), i)))
+    for pool in (2, 7, 1024):
+        assert similarity.k_center(frame, 12, 3, pool=pool) == want
+    assert sorted(similarity.k_center(frame, 500, 3)) == sorted(exact) and similarity.k_center(frame, 5, 12345) == []
