@@ -1,7 +1,13 @@
 """What must not grow with the tables: what goes through the driver, one task or a worker."""
 
+import hashlib
+
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from lumenar.functions import evidence
+from lumenar.plans.catalog import QUERIES
 from lumenar.sources import datasets
 
 
@@ -39,3 +45,10 @@ def test_found_rows_takes_the_first_place_and_keeps_unknown_ids(spark, eager_bro
     found = datasets.found_rows(asked, values(spark, "(1, 'x'), (2, '1'), (3, 'x')", "row_id, a"), ["a"])
     assert "Broadcast" not in plan_of(found)
     assert sorted(map(tuple, found.collect())) == [("1", 1), ("a-x", 1), ("nobody", None), ("x", 1)]
+
+
+def test_texts_whose_hashed_tokens_cancel_out_are_known(spark, tmp_path):
+    assert not any(evidence.hash_embed("the w305", 64)) and any(evidence.hash_embed("the", 64))
+    values(spark, "(1L, 'the w305'), (2L, 'the w305'), (3L, '...'), (4L, CAST(NULL AS STRING)), (5L, 'The of')", "doc_id, text").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["embeddings_through_a_cache"](spark, str(tmp_path))
+    assert sorted(map(tuple, found.select("doc_id", "dimensions", "known", "cached").collect())) == [(i, 64, i not in (3, 4), 1) for i in range(1, 6)]
