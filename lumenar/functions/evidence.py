@@ -6,9 +6,11 @@ import hashlib
 import json
 import re
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -280,20 +282,31 @@ def explicit_numbers(text: Column, attribute: str) -> Column:
     return run(text)
 
 
-def hash_embed(text: str | None, dimensions: int = 256) -> list[float]:
-    """Signed counts of hashed tokens, of unit length."""
-    vector = np.zeros(dimensions)
-    for token in re.findall(r"[a-z0-9_]+", (text or "").lower()):
-        raw = int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "big")
-        vector[raw % dimensions] += 1.0 if (raw >> 8) & 1 else -1.0
+@lru_cache(maxsize=1 << 16)
+def _hashed(token: str) -> int:
+    return int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "big")
+
+
+def _hash_vector(text: str | None, dimensions: int) -> np.ndarray:
+    raw = np.fromiter(map(_hashed, re.findall(r"[a-z0-9_]+", (text or "").lower())), np.uint64)
+    signs = ((raw >> np.uint64(8)) & np.uint64(1)).astype(np.float64) * 2 - 1
+    vector = np.bincount((raw % np.uint64(dimensions)).astype(np.int64), weights=signs, minlength=dimensions)
     norm = np.linalg.norm(vector)
-    return (vector / norm if norm else vector).tolist()
+    return vector / norm if norm else vector
+
+
+def hash_embed(text: str | None, dimensions: int = 256) -> list[float]:
+    """Signed counts of hashed tokens, of unit length; all zeros without tokens, or where they cancel out."""
+    return _hash_vector(text, dimensions).tolist()
 
 
 def hash_embedding(text: Column, dimensions: int = 256) -> Column:
-    @F.pandas_udf("array<double>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: hash_embed(t, dimensions))
+    @F.arrow_udf("array<double>")
+    def run(texts: pa.Array) -> pa.Array:
+        flat = np.empty(len(texts) * dimensions)  # one buffer: a batch of lists or of arrays takes many times the memory
+        for i, t in enumerate(texts):
+            flat[i * dimensions : (i + 1) * dimensions] = _hash_vector(t.as_py(), dimensions)
+        return pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, dimensions, np.int32), pa.array(flat))
 
     return run(text)
 

@@ -52,3 +52,15 @@ def test_texts_whose_hashed_tokens_cancel_out_are_known(spark, tmp_path):
     values(spark, "(1L, 'the w305'), (2L, 'the w305'), (3L, '...'), (4L, CAST(NULL AS STRING)), (5L, 'The of')", "doc_id, text").write.parquet(f"{tmp_path}/documents.parquet")
     found = QUERIES["embeddings_through_a_cache"](spark, str(tmp_path))
     assert sorted(map(tuple, found.select("doc_id", "dimensions", "known", "cached").collect())) == [(i, 64, i not in (3, 4), 1) for i in range(1, 6)]
+
+
+def test_hashed_vectors_are_signed_counts_in_flat_arrays(spark):
+    text = "The cat_1 and the dog; the END. Élan"
+    want = np.zeros(16)
+    for token in ["the", "cat_1", "and", "the", "dog", "the", "end", "lan"]:
+        raw = int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "big")
+        want[raw % 16] += 1 if raw >> 8 & 1 else -1
+    assert np.allclose(evidence.hash_embed(text, 16), want / np.linalg.norm(want), atol=0, rtol=1e-15)
+    assert isinstance(evidence._hash_vector(text, 16), np.ndarray)
+    got = values(spark, f"('{text}'), (NULL)", "text").select(evidence.hash_embedding(F.col("text"), 16)).collect()
+    assert [list(r[0]) for r in got] == [evidence.hash_embed(text, 16), [0.0] * 16]
