@@ -1,13 +1,17 @@
 """What must not grow with the tables: what goes through the driver, one task or a worker."""
 
 import hashlib
+import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lumenar.functions import evidence
+from lumenar.operators import relational
 from lumenar.plans.catalog import QUERIES
+from lumenar.plans.runtime import RECORDS
 from lumenar.sources import datasets
 
 
@@ -64,3 +68,31 @@ def test_hashed_vectors_are_signed_counts_in_flat_arrays(spark):
     assert isinstance(evidence._hash_vector(text, 16), np.ndarray)
     got = values(spark, f"('{text}'), (NULL)", "text").select(evidence.hash_embedding(F.col("text"), 16)).collect()
     assert [list(r[0]) for r in got] == [evidence.hash_embed(text, 16), [0.0] * 16]
+
+
+def greedy(said, truth, wanted):
+    """The rule of ``match_records`` for one document: truth in order, each the free prediction with most equal and then most known cells."""
+    free, rows = sorted(said), []
+    for rid, cells in sorted(truth):
+        names = cells if wanted is None else wanted
+        scored = [(sum(p.get(k) == cells.get(k) for k in names), wanted is not None and sum(k in p for k in names), -i) for i, (_, p) in enumerate(free)]
+        most = max(scored, default=None)
+        rows.append((rid, free.pop(-most[2])[0], most[0]) if most else (rid, None, 0))
+    return rows
+
+
+@pytest.mark.parametrize("wanted", [None, ["x", "y"]])
+def test_records_are_matched_without_python_for_each_document(spark, wanted):
+    pick = random.Random(5)
+    sides, rows = [{}, {}], [[], []]
+    for side in (0, 1):
+        for d in [*range(40), None]:
+            made = {str(i): {k: pick.choice("ab") for k in "xyz" if pick.random() < 0.8} for i in range(pick.randrange(5))}
+            sides[side][d] = [(i, cells) for i, cells in made.items()]
+            rows[side] += [(None if d is None else str(d), "t", i, cells) for i, cells in made.items()]
+    said, truth = (spark.createDataFrame(r, RECORDS) for r in rows)
+    found = relational.match_records(said, truth, wanted and {"t": wanted})
+    assert not re.search("Pandas|Arrow|Python", plan_of(found))
+    want = [(None if d is None else str(d), *r) for d in sides[1] for r in greedy(sides[0][d], sides[1][d], wanted)]
+    key = lambda r: (str(r[0]), r[1])
+    assert sorted(map(tuple, found.select("doc_id", "record_id", "predicted_id", "equal_cells").collect()), key=key) == sorted(want, key=key)
