@@ -11,6 +11,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from lumenar.functions import evidence
 from lumenar.functions import values as V
 from lumenar.plans.runtime import RECORDS, Extractor
+from lumenar.storage import written
 
 
 @dataclass(frozen=True)
@@ -152,12 +154,16 @@ def typed(done: DataFrame, schema: str, text: str = "text") -> DataFrame:
 
 
 def complete_typed(requests: DataFrame, provider: Provider, schema: str, key: str = "key", repairs: int = 1, **options: Any) -> DataFrame:
-    """Typed completions; invalid answers are asked for again, told what was wrong, up to ``repairs`` times."""
-    done = typed(completions(requests.select(key, "prompt"), provider, **options), schema)
-    for _ in range(repairs):
-        again = done.where("not valid").select(key, F.concat("prompt", F.lit("\n\nAnswer with one JSON object of: " + schema)).alias("prompt"))
-        done = done.where("valid").unionByName(typed(completions(again, provider, **options), schema))
-    return done
+    """Typed completions; invalid answers are asked for again, told what was wrong, up to ``repairs`` times.
+
+    Each round is written before the next: every answer is asked for once, and rounds don't run inside one another.
+    """
+    rounds, asked = [], requests.select(key, "prompt")
+    for left in reversed(range(repairs + 1)):
+        done = written(typed(completions(asked, provider, **options), schema), "typed")
+        rounds.append(done.where("valid") if left else done)
+        asked = done.where("not valid").select(key, F.concat("prompt", F.lit("\n\nAnswer with one JSON object of: " + schema)).alias("prompt"))
+    return reduce(DataFrame.unionByName, rounds)
 
 
 # --- prompts ---------------------------------------------------------------------------

@@ -1,15 +1,19 @@
 """What must not grow with the tables: what goes through the driver, one task or a worker."""
 
 import hashlib
+import os
 import random
 import re
+import uuid
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lumenar import providers
 from lumenar.functions import evidence
 from lumenar.operators import relational
+from lumenar.plans import runtime
 from lumenar.plans.catalog import QUERIES
 from lumenar.plans.runtime import RECORDS
 from lumenar.sources import datasets
@@ -96,3 +100,18 @@ def test_records_are_matched_without_python_for_each_document(spark, wanted):
     want = [(None if d is None else str(d), *r) for d in sides[1] for r in greedy(sides[0][d], sides[1][d], wanted)]
     key = lambda r: (str(r[0]), r[1])
     assert sorted(map(tuple, found.select("doc_id", "record_id", "predicted_id", "equal_cells").collect()), key=key) == sorted(want, key=key)
+
+
+def test_each_answer_is_asked_for_once(spark, tmp_path):
+    log = str(tmp_path)
+
+    def provider(request):
+        with open(f"{log}/{uuid.uuid4()}", "w") as f:
+            f.write(request.prompt)
+        n = int(request.prompt.split()[0])
+        return providers.Completion(f'{{"n": {n}}}' if n % 2 or "\n" in request.prompt and n % 4 else "no answer")
+
+    done = providers.complete_typed(spark.createDataFrame([(k, str(k)) for k in range(8)], "key long, prompt string"), provider, "n long", repairs=1)
+    assert sorted((r.key, r.valid) for r in done.collect()) == [(k, k % 4 != 0) for k in range(8)]
+    asked = [open(f"{log}/{name}").read() for name in os.listdir(log)]
+    assert len(asked) == len(set(asked)) == 12
