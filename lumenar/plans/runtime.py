@@ -17,7 +17,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenar.functions import values as V
@@ -229,15 +229,18 @@ def merged_extraction(records: DataFrame, extracted: DataFrame) -> DataFrame:
     notes, not cells. Documents without a record of the table get the extracted one.
     """
     keys = ["doc_id", "table_id"]
-    cells = extracted.select(*keys, "record_id", F.map_filter("data", lambda k, _: ~k.startswith("__")).alias("_new")).where(F.size("_new") > 0)
-    one = cells.groupBy(*keys).agg(F.min_by(F.struct("record_id", "_new"), "record_id").alias("_got"))
-    counts = records.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    joined = records.join(counts, keys).join(one, keys, "left")
-    new = F.col("_got")["_new"]
-    kept = F.map_filter("data", lambda k, _: ~F.array_contains(F.map_keys(new), k))
-    data = F.when(F.col("_n").eqNullSafe(1) & new.isNotNull(), F.map_concat(kept, new)).otherwise(F.col("data"))
-    fresh = one.join(counts, keys, "left_anti").select(*keys, F.col("_got")["record_id"].alias("record_id"), F.col("_got")["_new"].alias("data"))
-    return joined.select(*keys, "record_id", data.alias("data")).unionByName(fresh)
+    cells = extracted.select(*keys, "record_id", F.map_filter("data", lambda k, _: ~k.startswith("__")).alias("data")).where(F.size("data") > 0)
+    both = records.select(*keys, "record_id", "data", F.lit(False).alias("_got")).unionByName(cells.withColumn("_got", F.lit(True)))
+    # one shuffle and one sort: aggregates by document before it would hold every document of a task
+    mine, got = Window.partitionBy(*keys), F.col("_got")
+    known = F.count_if(~got).over(mine)
+    new = F.min_by(F.when(got, F.struct("record_id", "data")), F.when(got, F.struct("record_id"))).over(mine)
+    place = F.row_number().over(mine.orderBy("_got", "record_id"))
+    rows = both.select("*", known.alias("_n"), new.alias("_new"), place.alias("_place")).where(~got | ((F.col("_n") == 0) & (F.col("_place") == 1)))
+    told = F.col("_new")["data"]
+    kept = F.map_filter("data", lambda k, _: ~F.array_contains(F.map_keys(told), k))
+    data = F.when(got, told).when((F.col("_n") == 1) & F.col("_new").isNotNull(), F.map_concat(kept, told)).otherwise(F.col("data"))
+    return rows.select(*keys, F.when(got, F.col("_new")["record_id"]).otherwise(F.col("record_id")).alias("record_id"), data.alias("data"))
 
 
 def filled_attributes(records: DataFrame, docs: DataFrame, table: dict, extractor: Extractor) -> DataFrame:

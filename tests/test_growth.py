@@ -115,3 +115,12 @@ def test_each_answer_is_asked_for_once(spark, tmp_path):
     assert sorted((r.key, r.valid) for r in done.collect()) == [(k, k % 4 != 0) for k in range(8)]
     asked = [open(f"{log}/{name}").read() for name in os.listdir(log)]
     assert len(asked) == len(set(asked)) == 12
+
+
+def test_extractions_are_merged_in_one_shuffle(spark):
+    records = spark.createDataFrame([("a", "t", "1", {"x": "1", "y": "1"}), ("b", "t", "1", {"x": "1"}), ("b", "t", "2", {"x": "2"}), ("c", "t", "1", {"x": "3"})], RECORDS)
+    got = spark.createDataFrame([("a", "t", "9", {"x": "n", "__note": "z"}), ("a", "t", "8", {"x": "m", "w": "k"}), ("b", "t", "1", {"x": "n"}), ("d", "t", "2", {"x": "p"}), ("d", "t", "1", {"x": "q"}), ("c", "t", "1", {"__note": "z"}), ("e", "t", "1", {"__note": "z"})], RECORDS)
+    found = runtime.merged_extraction(records, got)
+    assert plan_of(found).count("Exchange") == 1
+    rows = sorted((r.doc_id, r.record_id, sorted(r.data.items())) for r in found.collect())
+    assert rows == [("a", "1", [("w", "k"), ("x", "m"), ("y", "1")]), ("b", "1", [("x", "1")]), ("b", "2", [("x", "2")]), ("c", "1", [("x", "3")]), ("d", "1", [("x", "q")])]
