@@ -216,7 +216,7 @@ def joined_documents(docs: DataFrame, table: dict, attribute: str, keys: DataFra
     """Documents of which a record's join attribute is among ``keys``; nothing but that attribute is extracted."""
     only = [{**table, "Attributes": [a for a in table["Attributes"] if a["Attribute Name"] == attribute] or [{"Attribute Name": attribute}]}]
     found = extractor(docs, only).where(F.col("table_id") == table["Schema Name"]).withColumn("_k", join_key(attribute))
-    return docs.join(relational.reduce_by_keys(found, "_k", keys).select("doc_id").distinct(), "doc_id", "left_semi")
+    return docs.join(relational.reduce_by_keys(found, "_k", keys).select("doc_id"), "doc_id", "left_semi")
 
 
 # --- extraction ------------------------------------------------------------------------
@@ -303,7 +303,7 @@ def materialised_extractor(records: DataFrame) -> Extractor:
 
     def run(docs: DataFrame, schema: list[dict]) -> DataFrame:
         wanted = [t["Schema Name"] for t in schema]
-        return records.where(F.col("table_id").isin(wanted)).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+        return records.where(F.col("table_id").isin(wanted)).join(docs.select("doc_id"), "doc_id", "left_semi")  # not made distinct: a semi-join needs no copy of the ids in memory
 
     return run
 
@@ -331,7 +331,7 @@ def run_tables(docs: DataFrame, assigned: DataFrame, schema: list[dict], plan: A
     spared: set[str] = set()
     runs: list[TableRun] = []
     for name in order:
-        own = docs.join(assigned.where(F.col("table_id") == name).select("doc_id").distinct(), "doc_id", "left_semi")
+        own = docs.join(assigned.where(F.col("table_id") == name).select("doc_id"), "doc_id", "left_semi")
         none = own.select("doc_id").where("false")
         if name in spared:
             runs.append(TableRun(name, own.select("doc_id"), none, none, "empty join", docs.sparkSession.createDataFrame([], RECORDS)))

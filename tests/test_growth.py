@@ -124,3 +124,9 @@ def test_extractions_are_merged_in_one_shuffle(spark):
     assert plan_of(found).count("Exchange") == 1
     rows = sorted((r.doc_id, r.record_id, sorted(r.data.items())) for r in found.collect())
     assert rows == [("a", "1", [("w", "k"), ("x", "m"), ("y", "1")]), ("b", "1", [("x", "1")]), ("b", "2", [("x", "2")]), ("c", "1", [("x", "3")]), ("d", "1", [("x", "q")])]
+
+
+def test_a_materialised_extractor_keeps_no_copy_of_the_ids(spark):
+    records = spark.createDataFrame([("a", "t", "1", {"x": "1"}), ("b", "t", "1", {"x": "2"})], RECORDS)
+    found = runtime.materialised_extractor(records)(spark.createDataFrame([("a",), ("a",)], "doc_id string"), [{"Schema Name": "t", "Attributes": []}])
+    assert "Aggregate" not in plan_of(found) and [r.doc_id for r in found.collect()] == ["a"]
