@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lumenar import providers
 from lumenar.functions import evidence
+from lumenar.functions import values as V
 from lumenar.operators import relational
 from lumenar.plans import runtime
 from lumenar.plans.catalog import QUERIES
@@ -130,3 +131,14 @@ def test_a_materialised_extractor_keeps_no_copy_of_the_ids(spark):
     records = spark.createDataFrame([("a", "t", "1", {"x": "1"}), ("b", "t", "1", {"x": "2"})], RECORDS)
     found = runtime.materialised_extractor(records)(spark.createDataFrame([("a",), ("a",)], "doc_id string"), [{"Schema Name": "t", "Attributes": []}])
     assert "Aggregate" not in plan_of(found) and [r.doc_id for r in found.collect()] == ["a"]
+
+
+def test_plain_numbers_keep_their_cells_and_keys(spark):
+    told = {
+        "12": ("12", "12"), "100": ("100", "100"), "0": ("0", "0"), "007": ("007", "7"), "-5": ("-5", "-5"), "1.50": ("1.50", "1.5"), "5.": ("5.", "5"), ".5": (".5", "0.5"), "1e3": ("1e3", "1000"),
+        " 7 ": ("7", "7"), "7\n": ("7", "7"), "$1,200": ("1200", "1200"), "3%": ("3", "3"), "12.": ("12.", "12"), "n/a": (None, "n/a"), "Abc.": ("Abc", "abc."), "": (None, None), "1" * 19: ("1" * 19, "1" * 19),
+    }
+    rows = spark.createDataFrame([(t,) for t in told], "t string").select("t", V.sql_value(F.col("t")).alias("cell"), V.join_value(F.col("t")).alias("key"))
+    assert {r.t: (r.cell, r.key) for r in rows.collect()} == told
+    shown = rows._jdf.queryExecution().analyzed().toString()
+    assert V._BARE in shown and V._WHOLE in shown
