@@ -10,6 +10,9 @@ score) costs least; those words are searched and their lists merged best first.
 all n paths are built: ``segmentations`` gives them a text, ``encoded`` a path with its
 decoded text.
 
+The forward pass runs over all new words of some texts at once, in arrays: letter by letter
+from their beginnings, piece length by piece length. Longer words go one at a time.
+
 Scores are the model's; a character that no piece covers costs the least score less ten and
 is spelled in byte pieces. Words of a text are looked up in a bounded cache of each worker.
 
@@ -42,6 +45,10 @@ MARK = "▁"
 BEST = 4
 #: The cache of a worker: so many words of so many letters at most.
 CACHED_WORDS, CACHED_LETTERS = 500_000, 64
+#: Of words of so many letters at most, it holds the best paths of these many.
+CACHED_SEARCHES = 20_000
+#: So many new words go through one pass in arrays; of fewer than the least, each goes alone.
+WORDS_AT_ONCE, LEAST_AT_ONCE = 1 << 15, 500
 BYTES_AT_ONCE = 1 << 20
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -108,6 +115,12 @@ class Lattice:
         self.beginnings.update(pieces)
         self.cache: dict[str, tuple[float, bytes, float]] = {}
         self.older: dict[str, tuple[float, bytes, float]] = {}
+        self.searched = lru_cache(CACHED_SEARCHES)(self.search)
+        #: The beginnings as a tree in arrays: its k-th edge (node and letter) leads to node k + 1.
+        nodes = {beginning: k for k, beginning in enumerate(["", *self.beginnings])}
+        self._tree = pa.array(np.array([nodes[b[:-1]] << 21 | ord(b[-1]) for b in self.beginnings], np.int64))
+        self._node_ids = np.array([-1, *(-1 if found is None else found[0] for found in self.beginnings.values())], np.int64)
+        self._node_scores = np.array([0.0, *(0.0 if found is None else found[1] for found in self.beginnings.values())])
 
     @classmethod
     def of_file(cls, path: str) -> Lattice:
@@ -176,12 +189,111 @@ class Lattice:
             return got
         if not (got := self.older.get(word)):
             got = self._best(word)
-        if len(word) > CACHED_LETTERS:
-            return got
+        if len(word) <= CACHED_LETTERS:
+            self._keep(word, got)
+        return got
+
+    def _keep(self, word: str, got: tuple[float, bytes, float]) -> None:
         if len(self.cache) >= CACHED_WORDS:  # the older half goes, words in use stay
             self.cache, self.older = {}, self.cache
         self.cache[word] = got
-        return got
+
+    def learn(self, words: set[str]) -> None:
+        """Take what ``best`` gives for new words into the cache; many go through the forward pass together."""
+        new = [word for word in words if len(word) <= CACHED_LETTERS and word not in self.older]
+        for first in range(0, len(new), WORDS_AT_ONCE):
+            if len(some := new[first : first + WORDS_AT_ONCE]) >= LEAST_AT_ONCE:
+                for word, got in self._best_at_once(some):
+                    self._keep(word, got)
+
+    def _best_at_once(self, words: list[str]) -> Iterator[tuple[str, tuple[float, bytes, float]]]:
+        """``_best`` of many words in arrays.
+
+        Longest words first: a place is (letters before it, word), numbered by letters and then by words,
+        so that the words that reach a place are the first so many. Edges come to a place in the order in
+        which one word's loop brings them, so sums and ties are the same.
+        """
+        words = sorted(words, key=len, reverse=True)
+        sizes = np.array([len(word) for word in words])
+        longest, everyone = int(sizes[0]), np.arange(len(words))
+        reach = np.searchsorted(-sizes, -np.arange(longest + 1), "right")  # words of so many letters at least
+        places = np.concatenate([[0], np.cumsum(reach)])
+        after = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        letters = np.zeros(places[-1], np.int64)  # that which follows a place
+        letters[places[after] + np.repeat(everyone, sizes)] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        edges = self._edges_at_once(letters, sizes, reach, places)
+
+        first, second = np.full(places[-1], -np.inf), np.full(places[-1], -np.inf)
+        first[: len(words)] = 0.0
+        back, ids = np.zeros(places[-1], np.int64), np.zeros(places[-1], np.int64)
+        for k in range(longest):
+            for starts, ends, idents, scores, bounds in edges:
+                a, b = bounds[k], bounds[k + 1]
+                if a == b:
+                    continue
+                start, end, ident = starts[a:b], ends[a:b], idents[a:b]
+                value, top = first[start] + scores[a:b], first[end]
+                second[end] = np.maximum(np.maximum(second[end], second[start] + scores[a:b]), np.minimum(top, value))
+                first[end] = np.maximum(top, value)
+                taken = (value > top) | ((value == top) & (ident >= 0) & (ident < ids[end]))
+                back[end[taken]], ids[end[taken]] = start[taken], ident[taken]
+
+        last = places[sizes] + everyone
+        steps, who = [], everyone[sizes > 0]
+        at = last[who]
+        while len(who):
+            steps.append((who, ids[at], letters[back[at]]))
+            at = back[at]
+            on = at >= len(words)
+            at, who = at[on], who[on]
+        who = np.concatenate([s[0] for s in steps[::-1]])
+        order = np.argsort(who, kind="stable")
+        ident, letter = (np.concatenate([s[k] for s in steps[::-1]])[order] for k in (1, 2))
+        spelled, width = self._spelled_at_once(ident, letter)
+        ends = 4 * np.cumsum(np.bincount(who[order], weights=width, minlength=len(words)).astype(np.int64))
+        data = spelled.tobytes()
+        cuts = [0, *ends.tolist()]
+        parts = [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return zip(words, zip(first[last].tolist(), parts, (first[last] - second[last]).tolist(), strict=True), strict=True)
+
+    def _edges_at_once(self, letters: np.ndarray, sizes: np.ndarray, reach: np.ndarray, places: np.ndarray) -> list[tuple]:
+        """By letters of a piece: places where edges start and end, ids (-1: a character in bytes), scores, bounds by letters before."""
+        before = np.repeat(np.arange(len(reach)), reach)
+        word = np.arange(places[-1]) - places[before]
+        on = before < sizes[word]
+        before, word = before[on], word[on]
+        start, node, edges = places[before] + word, np.zeros(len(word), np.int64), []
+        for length in range(1, len(reach)):
+            key = node << 21 | letters[places[before + length - 1] + word]
+            found = pc.index_in(pa.array(key), self._tree)
+            node = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            ident = np.where(node > 0, self._node_ids[node], -1)
+            piece = ident >= 0
+            some = np.ones(len(ident), bool) if length == 1 else piece
+            scores = np.where(piece, self._node_scores[node], self.unknown)[some]
+            bounds = np.searchsorted(before[some], np.arange(len(reach) + 1)).tolist()
+            edges.append((start[some], (places[before + length] + word)[some], ident[some], scores, bounds))
+            on = (node > 0) & (before + length < sizes[word])
+            before, word, start, node = before[on], word[on], start[on], node[on]
+            if not len(word):
+                break
+        return edges
+
+    def _spelled_at_once(self, ident: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids with those of bytes where a character has none (32-bit integers), and how many each has become."""
+        width = np.ones(len(ident), np.int64)
+        if not len(bare := np.flatnonzero(ident < 0)):
+            return ident.astype(np.uint32), width
+        kinds, kind = np.unique(letter[bare], return_inverse=True)
+        spelled = [[self.byte_ids[b] for b in chr(c).encode("utf-8", "surrogatepass")] for c in kinds.tolist()]
+        width[bare] = np.array([len(s) for s in spelled])[kind]
+        begin = np.cumsum(width) - width
+        out = np.repeat(ident, width)
+        bytes_of = np.array([s + [0] * (4 - len(s)) for s in spelled])
+        for k in range(4):
+            on = width[bare] > k
+            out[begin[bare[on]] + k] = bytes_of[kind[on], k]
+        return out.astype(np.uint32), width
 
     def _best(self, word: str) -> tuple[float, bytes, float]:
         n, get = len(word), self.beginnings.get
@@ -234,17 +346,29 @@ class Lattice:
 
     def segment(self, text: str, n: int) -> tuple[list[float], list[bytes]]:
         """Scores and ids (as 32-bit integers) of the n best paths."""
-        words = _WORDS.findall(MARK + text.replace(" ", MARK)) if text else []
-        known, best = self.cache.get, self.best
-        infos = [known(w) or best(w) for w in words]
+        return next(self.segment_all([text], n))
+
+    def segment_all(self, texts: list[str], n: int) -> Iterator[tuple[list[float], list[bytes]]]:
+        """``segment`` of each text; their new words are searched together."""
+        cut = [_WORDS.findall(MARK + text.replace(" ", MARK)) if text else [] for text in texts]
+        infos = [list(map(self.cache.get, words)) for words in cut]
+        self.learn({word for words, known in zip(cut, infos, strict=True) for word, info in zip(words, known, strict=True) if info is None})
+        best = self.best
+        for words, known in zip(cut, infos, strict=True):
+            yield self._segmented(words, [info or best(word) for word, info in zip(words, known, strict=True)], n)
+
+    def _segmented(self, words: list[str], infos: list[tuple[float, bytes, float]], n: int) -> tuple[list[float], list[bytes]]:
         scores, picks = self._merged(words, infos, sum([info[0] for info in infos]), n)
         best = [info[1] for info in infos]
         return scores, [self._joined(best, pick) for pick in picks]
 
     def _merged(self, words: list[str], infos: list[tuple[float, bytes, float]], total: float, n: int) -> tuple:
-        costs = [info[2] for info in infos]
-        places = sorted(i for i in heapq.nsmallest(n - 1, range(len(costs)), key=costs.__getitem__) if costs[i] != float("inf"))
-        found = [self.search(words[i], n) for i in places]
+        costs, places = [info[2] for info in infos], []
+        while costs and len(places) < n - 1 and (least := min(costs)) != float("inf"):
+            places.append(costs.index(least))
+            costs[places[-1]] = float("inf")
+        places.sort()
+        found = [(self.searched if len(words[i]) <= CACHED_LETTERS else self.search)(words[i], n) for i in places]
         lists = [[infos[i][0] - score for score, _ in paths] for i, paths in zip(places, found, strict=True)]
         # paths as ranks at these places, best first; each is reached once, by its last raised place
         heap, scores, picks = [(0.0, (0,) * len(places), 0)], [], []
@@ -325,9 +449,8 @@ def segmentations(docs: DataFrame, n: int = BEST, path: str | None = None) -> Da
         lattice, pieces = _loaded(path)
         for batch in _parts(batches):
             rows, built, ends = [], [], [0]
-            for i in range(len(batch)):
-                text = batch.column(1)[i].as_py() or ""
-                scores, paths = lattice.segment(text, n)
+            texts = [text or "" for text in batch.column(1).to_pylist()]
+            for text, (scores, paths) in zip(texts, lattice.segment_all(texts, n), strict=True):
                 built += paths
                 ends.append(len(built))
                 second = zlib.crc32(paths[1]) if len(paths) > 1 else None
@@ -348,8 +471,8 @@ def encoded(docs: DataFrame, n: int = BEST, path: str | None = None) -> DataFram
         lattice, pieces = _loaded(path)
         for batch in _parts(batches):
             rows, built = [], []
-            for i in range(len(batch)):
-                scores, paths = lattice.segment(batch.column(1)[i].as_py() or "", n)
+            texts = [text or "" for text in batch.column(1).to_pylist()]
+            for i, (scores, paths) in enumerate(lattice.segment_all(texts, n)):
                 built += paths
                 rows.extend((i, rank, score, decode(pieces, array("I", ids))) for rank, (score, ids) in enumerate(zip(scores, paths, strict=True), 1))
             at, rank, score, decoded = zip(*rows, strict=True) if rows else ([],) * 4

@@ -571,6 +571,36 @@ def test_nbest_matches_enumeration():
         assert len({tuple(i) for _, i in got}) == len(got) and all(nbest.decode(decoding, i) == text for _, i in got)
 
 
+def test_new_words_go_through_one_pass(monkeypatch):
+    """Words alone or together have the same paths; texts of new words search none of them alone."""
+    lattice, _ = nbest._loaded(nbest.model_path())
+    rng = np.random.default_rng(19)
+    words = {""}
+    for letters in ("a", "ab", "aé日x", "etaoinshr▁", "abcdefghijklmnopqrstuvwxyz", "\ud800☃é\n𝄞aэ日"):
+        words |= {"".join(rng.choice(list(letters), rng.integers(1, nbest.CACHED_LETTERS + 1))) for _ in range(400)}
+    alone = {word: lattice._best(word) for word in words}
+    assert dict(lattice._best_at_once(list(words))) == alone
+
+    fresh = nbest.Lattice(lattice.pieces, lattice.byte_ids)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    texts = [" ".join("".join(rng.choice(letters, 9)) for _ in range(400)) for _ in range(5)] + ["", "x" * 300]
+    want, calls = [nbest.Lattice(lattice.pieces, lattice.byte_ids).segment(text, 4) for text in texts], []
+    monkeypatch.setattr(fresh, "_best", lambda word: calls.append(word) or lattice._best(word))
+    assert list(fresh.segment_all(texts, 4)) == want
+    assert calls == [nbest.MARK + "x" * 300]
+
+
+def test_cache_that_turns_over_gives_the_same_paths(monkeypatch):
+    monkeypatch.setattr(nbest, "CACHED_WORDS", 700)
+    lattice, _ = nbest._loaded(nbest.model_path())
+    small = nbest.Lattice(lattice.pieces, lattice.byte_ids)
+    rng = np.random.default_rng(20)
+    texts = [" ".join("".join(rng.choice(list("abcde"), rng.integers(1, 7))) for _ in range(300)) for _ in range(20)]
+    want = [nbest.encode_nbest(lattice, text) for text in texts]
+    got = [out for first in (0, 10) for out in small.segment_all(texts[first : first + 10], 4)]
+    assert [(scores, [np.frombuffer(ids, np.uint32).tolist() for ids in paths]) for scores, paths in got] == [([s for s, _ in w], [i for _, i in w]) for w in want]
+
+
 def test_segmentations_of_rows(spark):
     got = {r["doc_id"]: r for r in nbest.segmentations(documents(spark, [(1, None), (2, ""), (3, "plain words"), (4, "▁"), (5, LONG)])).collect()}
     assert got[1]["scores"] == [0.0] == got[2]["scores"] and got[1]["n_pieces"] == 0 and got[3]["round_trip"] and not got[4]["round_trip"] and got[5]["round_trip"]
